@@ -8,7 +8,7 @@ select a subset of rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn import schema as S
@@ -96,20 +96,29 @@ def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Session start / end calls from ``events``, in call order.
+    """Session start / end calls from ``events``, in call order (``seq``).
 
-    ``signup`` starts a session (id = event id); ``purchase`` ends the latest
-    earlier start of the same user with summary = props. Columns:
-    project, seq, ts, kind ('start' | 'end'), session_id (starts only), summary.
+    A ``signup`` starts a session (id = event id) in project ``p<user % 4>``;
+    a ``purchase`` ends the latest earlier session started by the same user,
+    summary = props, counts taken from the event value. Ends without an
+    earlier start of their user carry no session id and change nothing.
+    Several users share a project, so starts close each other's sessions and
+    late ends overwrite auto-closes, as in the reference.
     """
     ev = _read(spark, sf_dir, "events").filter(F.col("event_type").isin("signup", "purchase"))
+    is_start = F.col("event_type") == "signup"
+    w = (Window.partitionBy("user_id").orderBy("event_id")
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    last_start = F.last(F.when(is_start, F.col("event_id").cast("string")), ignorenulls=True).over(w)
     return ev.select(
-        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("project"),
+        F.concat(F.lit("p"), (F.col("user_id") % 4).cast("string")).alias("project"),
         F.col("event_id").alias("seq"),
         F.col("ts"),
-        F.when(F.col("event_type") == "signup", F.lit("start")).otherwise(F.lit("end")).alias("kind"),
-        F.when(F.col("event_type") == "signup", F.col("event_id").cast("string")).alias("session_id"),
-        F.when(F.col("event_type") == "purchase", F.col("props")).alias("summary"),
+        F.when(is_start, F.lit("start")).otherwise(F.lit("end")).alias("kind"),
+        last_start.alias("session_id"),
+        F.when(~is_start, F.col("props")).alias("summary"),
+        F.when(~is_start, F.floor(F.col("value")).cast("int")).alias("memories_created"),
+        F.when(~is_start, (F.col("event_id") % 7).cast("int")).alias("memories_accessed"),
     )
 
 
@@ -142,3 +151,143 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
         "created_at", "last_accessed",
         F.concat(F.lit("projects/"), slug).alias("db_path"),
     )
+
+
+# ------------------------------------------------------------------ batches
+# Request batches for the maintenance operators, each derived from a whole
+# test table so that its size grows with the data.
+
+def _title_of(text_col):
+    return X.first_words(text_col, 6)
+
+
+def recall_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C3 requests from events: a view recalls note ``user_id`` by id, a
+    click recalls by that note's title, an error names neither (rejected)."""
+    ev = _read(spark, sf_dir, "events").filter(F.col("event_type").isin("view", "click", "error"))
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    j = ev.join(docs, ev.user_id == docs.doc_id, "left")
+    return j.select(
+        F.col("event_id").alias("request_id"),
+        F.concat(F.lit("p"), (F.col("user_id") % 4).cast("string")).alias("project"),
+        F.when(F.col("event_type") == "view", F.col("user_id").cast("string")).alias("id"),
+        F.when(F.col("event_type") == "click", _title_of("text")).alias("title"),
+        F.col("event_id").alias("op_seq"))
+
+
+def store_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1 batch: every conversation turn stored as a note. System turns carry
+    an invalid category and are rejected by F8."""
+    c = _read(spark, sf_dir, "conversations")
+    cats = F.array(*[F.lit(x) for x in S.CATEGORIES])
+    k = F.col("conv_id") + F.col("turn")
+    return c.select(
+        F.concat(F.lit("p"), (F.col("conv_id") % 4).cast("string")).alias("project"),
+        F.when(F.col("role") == "system", F.lit("system_prompt"))
+         .otherwise(F.element_at(cats, (k % len(S.CATEGORIES) + 1).cast("int"))).alias("category"),
+        _title_of("text").alias("title"),
+        F.col("text").alias("content"),
+        F.array(F.col("role")).alias("tags"),
+        F.to_json(F.struct(F.col("conv_id").alias("conv"), F.col("turn").alias("turn"))).alias("metadata"),
+        (F.col("turn") % 3).cast("int").alias("priority"),
+        F.col("role").alias("source"),
+        F.array().cast(S.STR_ARRAY).alias("related_ids"),
+        (F.col("conv_id") * 100 + F.col("turn")).alias("op_seq"))
+
+
+def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M2 patches: one per label row (revised content for quality 1, cleared
+    tags and priority 3 for toxic, an empty-string title for toxic
+    low-quality, nothing at all for clean low-quality -> rejected), then one
+    per click event (metadata = props, priority from the value), later."""
+    lab = _read(spark, sf_dir, "labels")
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    l = lab.join(docs, "doc_id", "left")
+    q1, tox = F.col("quality") == 1, F.col("toxic") == 1
+    a = l.select(
+        F.concat(F.lit("p"), (F.col("doc_id") % 4).cast("string")).alias("project"),
+        F.col("doc_id").cast("string").alias("id"),
+        F.when(~q1 & tox, F.lit("")).alias("title"),
+        F.when(q1, F.concat(F.col("text"), F.lit(" revised."))).alias("content"),
+        F.when(tox, F.array().cast(S.STR_ARRAY)).alias("tags"),
+        F.lit(None).cast("string").alias("metadata"),
+        F.lit(None).cast("string").alias("status"),
+        F.when(tox, F.lit(3)).cast("int").alias("priority"),
+        F.lit(None).cast(S.STR_ARRAY).alias("related_ids"),
+        F.col("doc_id").cast("long").alias("op_seq"))
+    ev = _read(spark, sf_dir, "events").filter(F.col("event_type") == "click")
+    b = ev.select(
+        F.concat(F.lit("p"), (F.col("user_id") % 4).cast("string")).alias("project"),
+        F.col("user_id").cast("string").alias("id"),
+        F.lit(None).cast("string").alias("title"),
+        F.lit(None).cast("string").alias("content"),
+        F.lit(None).cast(S.STR_ARRAY).alias("tags"),
+        F.col("props").alias("metadata"),
+        F.lit(None).cast("string").alias("status"),
+        (F.floor(F.col("value")) % 3).cast("int").alias("priority"),
+        F.lit(None).cast(S.STR_ARRAY).alias("related_ids"),
+        (F.col("event_id") + 1_000_000_000).alias("op_seq"))
+    return a.unionByName(b)
+
+
+def soft_delete_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M3 requests: every error event archives note ``user_id``."""
+    ev = _read(spark, sf_dir, "events").filter(F.col("event_type") == "error")
+    return ev.select(
+        F.concat(F.lit("p"), (F.col("user_id") % 4).cast("string")).alias("project"),
+        F.col("user_id").cast("string").alias("id"), F.col("props").alias("reason"),
+        F.col("event_id").alias("op_seq"))
+
+
+def hard_delete_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M4 requests: toxic-labelled documents are removed."""
+    lab = _read(spark, sf_dir, "labels").filter(F.col("toxic") == 1)
+    return lab.select(
+        F.concat(F.lit("p"), (F.col("doc_id") % 4).cast("string")).alias("project"),
+        F.col("doc_id").cast("string").alias("id"), F.lit(None).cast("string").alias("reason"),
+        F.col("doc_id").alias("op_seq"))
+
+
+def import_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J4/M8 input: every document as a parsed note file. Ids ending in 1 are
+    unknown to the store, ending in 3 sit in an unknown category folder,
+    content ending in 0 was edited, ending in 2 is empty."""
+    d = _read(spark, sf_dir, "documents")
+    i = F.col("doc_id")
+    cats = F.array(*[F.lit(x) for x in S.CATEGORIES])
+    return d.select(
+        F.concat(F.lit("p"), (i % 4).cast("string")).alias("project"),
+        F.when(i % 10 == 1, F.concat(F.lit("x"), i.cast("string"))).otherwise(i.cast("string")).alias("id"),
+        F.when(i % 10 == 3, F.lit("misc")).otherwise(
+            F.element_at(cats, (i % len(S.CATEGORIES) + 1).cast("int"))).alias("category"),
+        _title_of("text").alias("title"),
+        F.when(i % 10 == 0, F.concat(F.col("text"), F.lit(" edited")))
+         .when(i % 10 == 2, F.lit("")).otherwise(F.col("text")).alias("content"),
+        F.array(F.col("lang")).alias("tags"),
+        F.lit(0).alias("priority"), F.lit("import").alias("source"),
+        F.lit(None).cast("string").alias("metadata"),
+        i.alias("op_seq"))
+
+
+def registry_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M12 batch: the first turn of every conversation registers or renames
+    project ``u<conv>``; even ids arrive as 'U_<conv>' and need slugifying."""
+    c = _read(spark, sf_dir, "conversations").filter(F.col("turn") == 0)
+    cid = F.col("conv_id").cast("string")
+    return c.select(
+        F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("U_"), cid)).otherwise(F.concat(F.lit("u"), cid)).alias("slug"),
+        F.concat(F.lit("Conversation "), cid).alias("display_name"),
+        F.when(F.col("role") == "user", F.lit(None).cast("string")).otherwise(_title_of("text")).alias("description"),
+        F.col("conv_id").alias("op_seq"))
+
+
+def touch_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M13 input: session starts touch project ``u<user>``."""
+    ev = _read(spark, sf_dir, "events").filter(F.col("event_type") == "signup")
+    return ev.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("slug"), "ts")
+
+
+def delete_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M14 input: projects of users with a severe error (value >= 45)."""
+    ev = _read(spark, sf_dir, "events").filter((F.col("event_type") == "error") & (F.col("value") >= 45))
+    return ev.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("slug"))

@@ -65,3 +65,262 @@ def c2_search_budgeted(spark, sf):
     out = SR.search_budgeted(qs, mem, _as_of())
     return out.select("query_id", "rank", "id", "title", "summary", "category", "similarity",
                       "relevance_score", "tokens", "fits", "tokens_used", "has_more")
+
+
+# ======================================================================
+# Everything below: Spark plan + oracle SQL per operator.
+# ======================================================================
+
+from cairn.functions import text as X  # noqa: E402
+from cairn.operators import filters as FL  # noqa: E402
+from cairn.operators import listing as L  # noqa: E402
+from cairn.operators import maintain as M  # noqa: E402
+from cairn.operators import sessions as SE  # noqa: E402
+
+Osql = O.sql
+AS = O.AS_OF
+
+
+def _mem(spark, sf):
+    return AD.memories(spark, sf)
+
+
+# ---------------------------------------------------------- scans (S)
+
+@register("s1_read_memories", Osql(f"""
+SELECT project, id, category, title, content, summary, coalesce(tags, CAST([] AS VARCHAR[])) AS tags, metadata,
+       status, priority, source, coalesce(related_ids, CAST([] AS VARCHAR[])) AS related_ids,
+       coalesce(entities, CAST([] AS VARCHAR[])) AS entities, access_count,
+       {O.ts_text_sql('expires_at')} AS expires_at, {O.ts_text_sql('created_at')} AS created_at,
+       {O.ts_text_sql('updated_at')} AS updated_at
+FROM memories""", "memories"))
+def s1_read_memories(spark, sf):
+    """S1 + P1: the typed note table as served (no vector)."""
+    return L.serve(_mem(spark, sf))
+
+
+@register("s2_read_provenance", Osql("SELECT * FROM provenance", "provenance"))
+def s2_read_provenance(spark, sf):
+    return AD.provenance(spark, sf)
+
+
+@register("s3_read_sessions", Osql(
+    "SELECT project, id, started_at, ended_at, summary, memories_created, memories_accessed FROM sessions",
+    "session_events", extra=O.REPLAY.strip()))
+def s3_read_sessions(spark, sf):
+    return SE.replay(AD.session_events(spark, sf), _as_of()).select(
+        "project", "id", "started_at", "ended_at", "summary", "memories_created", "memories_accessed")
+
+
+@register("s4_read_projects", Osql("""
+SELECT slug, display_name, description, created_at, last_accessed, db_path,
+       CAST(row_number() OVER (ORDER BY last_accessed DESC NULLS LAST, slug) AS INTEGER) AS position
+FROM registry""", "registry"))
+def s4_read_projects(spark, sf):
+    """Registry, newest access first (position is the global order; the
+    registry is one row per project)."""
+    from pyspark.sql import Window
+    w = Window.orderBy(F.col("last_accessed").desc_nulls_last(), F.col("slug"))
+    return AD.registry(spark, sf).withColumn("position", F.row_number().over(w))
+
+
+@register("s12_upgrade_v1", Osql("""
+SELECT project, id, title, CAST(NULL AS VARCHAR) AS summary, CAST(NULL AS VARCHAR[]) AS entities,
+       CAST(NULL AS TIMESTAMP) AS expires_at, status
+FROM memories""", "memories"))
+def s12_upgrade_v1(spark, sf):
+    """A v1-shaped table (no summary/entities/expires_at) upgraded."""
+    from cairn.sources import tables as TB
+    v1 = _mem(spark, sf).select(*[c.name for c in S.MEMORIES_V1.fields])
+    return TB.upgrade_v1(v1).select("project", "id", "title", "summary", "entities", "expires_at", "status")
+
+
+# ---------------------------------------------------- enrichment (E)
+
+@register("e1_summary", Osql("SELECT id, summary FROM memories", "memories"))
+def e1_summary(spark, sf):
+    return _mem(spark, sf).select("id", "summary")
+
+
+def _doc_regex(name, spark_fn, sql_expr):
+    @register(name, f"SELECT doc_id, {sql_expr} AS {name.split('_', 1)[1]} FROM documents")
+    def q_(spark, sf):
+        d = AD._read(spark, sf, "documents")
+        return d.select("doc_id", spark_fn(F.col("text")).alias(name.split("_", 1)[1]))
+    q_.__name__ = name
+    return q_
+
+
+_ASC = O.ascii_words("text")
+_doc_regex("e2_camel_case", X.camel_case, f"regexp_extract_all({_ASC}, '\\b[A-Z][a-z]+(?:[A-Z][a-z]+)+\\b')")
+_doc_regex("e3_acronyms", lambda t: F.array_sort(X.acronyms(t)),
+           f"list_sort(list_distinct(list_filter(regexp_extract_all({_ASC}, '\\b[A-Z]{{2,}}\\b'), "
+           f"lambda x: NOT list_contains({O.STOP}, x))))")
+_doc_regex("e4_mentions", X.mentions, "regexp_extract_all(text, '@[\\pL\\pN_]+')")
+_doc_regex("e5_hashtags", X.hashtags, "regexp_extract_all(text, '#[\\pL\\pN_]+')")
+_doc_regex("e6_double_quoted", X.double_quoted, "regexp_extract_all(text, '\"([^\"]{2,30})\"', 1)")
+_doc_regex("e7_single_quoted", X.single_quoted, "regexp_extract_all(text, '''([^'']{2,30})''', 1)")
+_doc_regex("e8_tech_terms", X.tech_terms, f"regexp_extract_all({_ASC}, '\\b(?:{O.TECH})\\b')")
+
+
+@register("e9_entities", Osql("SELECT id, entities FROM memories", "memories"))
+def e9_entities(spark, sf):
+    return _mem(spark, sf).select("id", "entities")
+
+
+@register("e10_expiry", Osql("SELECT id, category, priority, created_at, expires_at FROM memories", "memories"))
+def e10_expiry(spark, sf):
+    return _mem(spark, sf).select("id", "category", "priority", "created_at", "expires_at")
+
+
+@register("e11_rule_priority", Osql(
+    f"SELECT op_seq, category, priority AS raw_priority, CAST({O.rule_priority_sql('category', 'priority')} AS INTEGER) AS priority FROM store_batch",
+    "store_batch"))
+def e11_rule_priority(spark, sf):
+    b = AD.store_batch(spark, sf)
+    return b.select("op_seq", "category", F.col("priority").alias("raw_priority"),
+                    X.rule_priority("category", "priority").alias("priority"))
+
+
+@register("e12_tokens", Osql(f"SELECT id, {O.tokens_sql('content')} AS tokens FROM memories", "memories"))
+def e12_tokens(spark, sf):
+    return _mem(spark, sf).select("id", X.tokens("content").alias("tokens"))
+
+
+@register("e13_embedding_text", Osql("SELECT id, title || chr(10) || content AS embedding_text FROM memories", "memories"))
+def e13_embedding_text(spark, sf):
+    return _mem(spark, sf).select("id", X.embedding_text("title", "content").alias("embedding_text"))
+
+
+# ------------------------------------------------------ identifiers (N)
+
+@register("n1_slugify", Osql(f"SELECT id, title, {O.slugify_sql('title')} AS slug FROM memories", "memories"))
+def n1_slugify(spark, sf):
+    return _mem(spark, sf).select("id", "title", X.slugify("title").alias("slug"))
+
+
+@register("n2_valid_slug", Osql(f"""
+SELECT id, regexp_full_match(title, '(?:[a-z0-9][a-z0-9-]*[a-z0-9]|[a-z0-9])\\n?') AS title_valid,
+       regexp_full_match({O.slugify_sql('title')}, '(?:[a-z0-9][a-z0-9-]*[a-z0-9]|[a-z0-9])\\n?') AS slug_valid
+FROM memories""", "memories"))
+def n2_valid_slug(spark, sf):
+    return _mem(spark, sf).select("id", X.valid_slug("title").alias("title_valid"),
+                                  X.valid_slug(X.slugify("title")).alias("slug_valid"))
+
+
+@register("n3_file_slug", Osql(f"SELECT id, substring({O.slugify_sql('title')}, 1, 60) AS file_slug FROM memories",
+                               "memories"))
+def n3_file_slug(spark, sf):
+    return _mem(spark, sf).select("id", X.file_slug("title").alias("file_slug"))
+
+
+# ------------------------------------------------------ vectors (V)
+
+_PAIRS_SQL = """
+pairs AS (SELECT a.vec_id, CAST(a.embedding AS DOUBLE[]) AS a, CAST(b.embedding AS DOUBLE[]) AS b
+          FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)"""
+
+
+def _pairs(spark, sf):
+    e = AD._read(spark, sf, "embeddings")
+    a = e.select("vec_id", F.col("embedding").alias("a"))
+    b = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b"))
+    return a.join(b, "vec_id")
+
+
+_COS = ("CASE WHEN len(a) = len(b) AND list_dot_product(a, a) > 0 AND list_dot_product(b, b) > 0 "
+        "THEN 1.0 - list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))) END")
+
+
+@register("v1_cosine_distance", Osql(f"SELECT vec_id, {O.round_sql(_COS, 6)} AS distance FROM pairs",
+                                     extra=_PAIRS_SQL.strip()))
+def v1_cosine_distance(spark, sf):
+    """V1 over each vector and its successor (a linear pairing)."""
+    return _pairs(spark, sf).select("vec_id", V.round_places(V.cosine_distance("a", "b"), 6).alias("distance"))
+
+
+@register("v2_dot_similarity", Osql(
+    f"SELECT vec_id, {O.round_sql('CASE WHEN len(a) = len(b) THEN list_dot_product(a, b) END', 6)} AS dot FROM pairs",
+    extra=_PAIRS_SQL.strip()))
+def v2_dot_similarity(spark, sf):
+    return _pairs(spark, sf).select("vec_id", V.round_places(V.dot_similarity("a", "b"), 6).alias("dot"))
+
+
+@register("v3_recency", Osql(f"SELECT id, {O.round_sql(O.recency_sql('updated_at'), 10)} AS recency FROM memories",
+                             "memories"))
+def v3_recency(spark, sf):
+    return _mem(spark, sf).select("id", V.round_places(V.recency("updated_at", _as_of()), 10).alias("recency"))
+
+
+@register("v4_access_score", Osql(f"SELECT id, {O.access_sql('access_count')} AS access_score FROM memories",
+                                  "memories"))
+def v4_access_score(spark, sf):
+    return _mem(spark, sf).select("id", V.access_score("access_count").alias("access_score"))
+
+
+@register("v5_relevance", Osql(f"""
+SELECT m.id, {O.round_sql(O.relevance_sql(O.snap_sql('1.0 - (' + _COS + ')'), 'm.updated_at', 'm.access_count'))} AS relevance_score
+FROM memories m JOIN pairs p ON CAST(p.vec_id AS VARCHAR) = m.id""", "memories", extra=_PAIRS_SQL.strip()))
+def v5_relevance(spark, sf):
+    """V5 with the similarity of each note's vector to its successor."""
+    m = _mem(spark, sf)
+    p = _pairs(spark, sf).select(F.col("vec_id").cast("string").alias("id"),
+                                 V.snap(F.lit(1.0) - V.cosine_distance("a", "b")).alias("sim"))
+    return m.join(p, "id").select(
+        "id", V.round_places(V.relevance("sim", "updated_at", "access_count", _as_of())).alias("relevance_score"))
+
+
+# ------------------------------------------------------ filters (F)
+
+@register("f1_by_status", Osql("SELECT project, id, status FROM memories WHERE status = 'archived'", "memories"))
+def f1_by_status(spark, sf):
+    return FL.by_status(_mem(spark, sf), S.ARCHIVED).select("project", "id", "status")
+
+
+@register("f2_by_category", Osql("SELECT project, id FROM memories WHERE category = 'decision'", "memories"))
+def f2_by_category(spark, sf):
+    return FL.by_category(_mem(spark, sf), "decision").select("project", "id")
+
+
+@register("f3_any_tag", Osql("SELECT project, id FROM memories WHERE coalesce(list_has_any(tags, ['en', 'src3']), false)",
+                             "memories"))
+def f3_any_tag(spark, sf):
+    return FL.any_tag(_mem(spark, sf), ["en", "src3"]).select("project", "id")
+
+
+@register("f4_alive", Osql(f"SELECT project, id, expires_at FROM memories WHERE expires_at IS NULL OR expires_at > {AS}",
+                           "memories"))
+def f4_alive(spark, sf):
+    return FL.alive(_mem(spark, sf), _as_of()).select("project", "id", "expires_at")
+
+
+@register("f5_min_similarity", Osql(
+    f"SELECT vec_id, {O.round_sql(O.snap_sql('1.0 - (' + _COS + ')'))} AS similarity FROM pairs "
+    f"WHERE 1.0 - ({_COS}) >= 0.1", extra=_PAIRS_SQL.strip()))
+def f5_min_similarity(spark, sf):
+    p = _pairs(spark, sf).withColumn("sim", F.lit(1.0) - V.cosine_distance("a", "b"))
+    return FL.min_similarity(p, 0.1, "sim").select(
+        "vec_id", V.round_places(V.snap(F.col("sim"))).alias("similarity"))
+
+
+@register("f6_recent", Osql(f"SELECT project, id, created_at FROM memories WHERE created_at >= {AS} - INTERVAL 7 DAY",
+                            "memories"))
+def f6_recent(spark, sf):
+    return FL.recent(_mem(spark, sf), _as_of()).select("project", "id", "created_at")
+
+
+@register("f7_rules_only", Osql(
+    "SELECT project, id, category, priority FROM memories "
+    "WHERE category IN ('mandatory_rules', 'forbidden_rules') AND status = 'active'", "memories"))
+def f7_rules_only(spark, sf):
+    return FL.rules_only(_mem(spark, sf)).select("project", "id", "category", "priority")
+
+
+@register("f8_valid_category", Osql(f"""
+SELECT op_seq, category, category IN (SELECT unnest({O.CATS})) AS accepted,
+       CASE WHEN category IN (SELECT unnest({O.CATS})) THEN NULL ELSE 'Invalid category ''' || category || '''' END AS reason
+FROM store_batch""", "store_batch"))
+def f8_valid_category(spark, sf):
+    ok, bad = FL.valid_category(AD.store_batch(spark, sf))
+    return (ok.select("op_seq", "category", F.lit(True).alias("accepted"), F.lit(None).cast("string").alias("reason"))
+            .unionByName(bad.select("op_seq", "category", F.lit(False).alias("accepted"), "reason")))

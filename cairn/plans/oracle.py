@@ -169,10 +169,13 @@ FROM embeddings
 """
 
 SESSION_EVENTS = """
-SELECT 'u' || CAST(user_id AS VARCHAR) AS project, event_id AS seq, ts,
+SELECT 'p' || CAST(user_id % 4 AS VARCHAR) AS project, event_id AS seq, ts,
        CASE WHEN event_type = 'signup' THEN 'start' ELSE 'end' END AS kind,
-       CASE WHEN event_type = 'signup' THEN CAST(event_id AS VARCHAR) END AS session_id,
-       CASE WHEN event_type = 'purchase' THEN props END AS summary
+       last_value(CASE WHEN event_type = 'signup' THEN CAST(event_id AS VARCHAR) END IGNORE NULLS)
+           OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session_id,
+       CASE WHEN event_type = 'purchase' THEN props END AS summary,
+       CASE WHEN event_type = 'purchase' THEN CAST(floor(value) AS INTEGER) END AS memories_created,
+       CASE WHEN event_type = 'purchase' THEN CAST(event_id % 7 AS INTEGER) END AS memories_accessed
 FROM events WHERE event_type IN ('signup', 'purchase')
 """
 
@@ -264,3 +267,200 @@ SELECT i.query_id, i.rank, i.id, i.title, i.summary, i.category, i.similarity, i
        f.fits, max(f.used) OVER (PARTITION BY i.query_id) AS tokens_used,
        bool_or(NOT f.fits) OVER (PARTITION BY i.query_id) AS has_more
 FROM items i JOIN fold f ON f.query_id = i.query_id AND f.rank = i.rank""")
+
+
+# -------------------------------------------------------------- batches
+
+def title_sql(e: str) -> str:
+    return f"array_to_string({words(e)}[1:6], ' ')"
+
+
+RECALL_REQUESTS = f"""
+SELECT e.event_id AS request_id, 'p' || CAST(e.user_id % 4 AS VARCHAR) AS project,
+       CASE WHEN e.event_type = 'view' THEN CAST(e.user_id AS VARCHAR) END AS id,
+       CASE WHEN e.event_type = 'click' THEN {title_sql('d.text')} END AS title,
+       e.event_id AS op_seq
+FROM events e LEFT JOIN documents d ON d.doc_id = e.user_id
+WHERE e.event_type IN ('view', 'click', 'error')
+"""
+
+STORE_BATCH = f"""
+SELECT 'p' || CAST(conv_id % 4 AS VARCHAR) AS project,
+       CASE WHEN role = 'system' THEN 'system_prompt' ELSE {CATS}[CAST((conv_id + turn) % 11 AS INTEGER) + 1] END AS category,
+       {title_sql('text')} AS title, text AS content, [role] AS tags,
+       CAST(to_json({{'conv': conv_id, 'turn': turn}}) AS VARCHAR) AS metadata,
+       CAST(turn % 3 AS INTEGER) AS priority, role AS source, CAST([] AS VARCHAR[]) AS related_ids,
+       conv_id * 100 + turn AS op_seq
+FROM conversations
+"""
+
+PATCHES = f"""
+SELECT 'p' || CAST(l.doc_id % 4 AS VARCHAR) AS project, CAST(l.doc_id AS VARCHAR) AS id,
+       CASE WHEN l.quality <> 1 AND l.toxic = 1 THEN '' END AS title,
+       CASE WHEN l.quality = 1 THEN d.text || ' revised.' END AS content,
+       CASE WHEN l.toxic = 1 THEN CAST([] AS VARCHAR[]) END AS tags,
+       CAST(NULL AS VARCHAR) AS metadata, CAST(NULL AS VARCHAR) AS status,
+       CAST(CASE WHEN l.toxic = 1 THEN 3 END AS INTEGER) AS priority,
+       CAST(NULL AS VARCHAR[]) AS related_ids, CAST(l.doc_id AS BIGINT) AS op_seq
+FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id
+UNION ALL
+SELECT 'p' || CAST(user_id % 4 AS VARCHAR), CAST(user_id AS VARCHAR), NULL, NULL, NULL, props, NULL,
+       CAST(floor(value) % 3 AS INTEGER), NULL, event_id + 1000000000
+FROM events WHERE event_type = 'click'
+"""
+
+SOFT_DELETE_IDS = """
+SELECT 'p' || CAST(user_id % 4 AS VARCHAR) AS project, CAST(user_id AS VARCHAR) AS id,
+       props AS reason, event_id AS op_seq
+FROM events WHERE event_type = 'error'
+"""
+
+HARD_DELETE_IDS = """
+SELECT 'p' || CAST(doc_id % 4 AS VARCHAR) AS project, CAST(doc_id AS VARCHAR) AS id,
+       CAST(NULL AS VARCHAR) AS reason, doc_id AS op_seq
+FROM labels WHERE toxic = 1
+"""
+
+IMPORT_PARSED = f"""
+SELECT 'p' || CAST(doc_id % 4 AS VARCHAR) AS project,
+       CASE WHEN doc_id % 10 = 1 THEN 'x' || CAST(doc_id AS VARCHAR) ELSE CAST(doc_id AS VARCHAR) END AS id,
+       CASE WHEN doc_id % 10 = 3 THEN 'misc' ELSE {CATS}[CAST(doc_id % 11 AS INTEGER) + 1] END AS category,
+       {title_sql('text')} AS title,
+       CASE WHEN doc_id % 10 = 0 THEN text || ' edited' WHEN doc_id % 10 = 2 THEN '' ELSE text END AS content,
+       [lang] AS tags, 0 AS priority, 'import' AS source, CAST(NULL AS VARCHAR) AS metadata, doc_id AS op_seq
+FROM documents
+"""
+
+REGISTRY_BATCH = f"""
+SELECT CASE WHEN conv_id % 2 = 0 THEN 'U_' || CAST(conv_id AS VARCHAR) ELSE 'u' || CAST(conv_id AS VARCHAR) END AS slug,
+       'Conversation ' || CAST(conv_id AS VARCHAR) AS display_name,
+       CASE WHEN role = 'user' THEN NULL ELSE {title_sql('text')} END AS description,
+       conv_id AS op_seq
+FROM conversations WHERE turn = 0
+"""
+
+TOUCH_EVENTS = """
+SELECT 'u' || CAST(user_id AS VARCHAR) AS slug, ts FROM events WHERE event_type = 'signup'
+"""
+
+DELETE_SLUGS = """
+SELECT 'u' || CAST(user_id AS VARCHAR) AS slug FROM events WHERE event_type = 'error' AND value >= 45
+"""
+
+_ALL = {"memories": lambda: MEMORIES, "search_queries": lambda: SEARCH_QUERIES,
+        "session_events": lambda: SESSION_EVENTS, "provenance": lambda: PROVENANCE,
+        "registry": lambda: REGISTRY, "recall_requests": lambda: RECALL_REQUESTS,
+        "store_batch": lambda: STORE_BATCH, "patches": lambda: PATCHES,
+        "soft_delete_ids": lambda: SOFT_DELETE_IDS, "hard_delete_ids": lambda: HARD_DELETE_IDS,
+        "import_parsed": lambda: IMPORT_PARSED, "registry_batch": lambda: REGISTRY_BATCH,
+        "touch_events": lambda: TOUCH_EVENTS, "delete_slugs": lambda: DELETE_SLUGS}
+
+
+def sql(body: str, *tables: str, recursive: bool = False, extra: str = "") -> str:
+    """``WITH`` the named adapter tables (and ``extra`` CTEs), then ``body``."""
+    ctes = [f"{t} AS ({_ALL[t]()})" for t in tables]
+    if extra:
+        ctes.append(extra)
+    head = "WITH RECURSIVE " if recursive else "WITH "
+    return head + ",\n".join(ctes) + "\n" + body
+
+
+def ts_text_sql(e: str) -> str:
+    return (f"(CASE WHEN {e} IS NULL THEN NULL WHEN strftime({e}, '%f') = '000000' "
+            f"THEN strftime({e}, '%Y-%m-%d %H:%M:%S') ELSE strftime({e}, '%Y-%m-%d %H:%M:%S.%f') END)")
+
+
+def note_id_sql(*parts: str) -> str:
+    h = f"sha256(concat_ws(chr(1), {', '.join(f'CAST({p} AS VARCHAR)' for p in parts)}))"
+    return (f"(SELECT substring(h, 1, 8) || '-' || substring(h, 9, 4) || '-4' || substring(h, 14, 3) || '-' "
+            f"|| substring(h, 17, 4) || '-' || substring(h, 21, 12) FROM (SELECT {h} AS h))")
+
+
+AUTO = q(S.AUTO_CLOSE_SUMMARY)
+
+REPLAY = f"""
+starts AS (SELECT project, session_id AS id, ts AS started_at, seq AS start_seq,
+                  lead(ts) OVER (PARTITION BY project ORDER BY seq) AS next_start,
+                  lead(seq) OVER (PARTITION BY project ORDER BY seq) AS next_seq
+           FROM session_events WHERE kind = 'start' AND ts <= {AS_OF}),
+ends AS (SELECT project, session_id AS id, seq AS end_seq, ts, summary,
+                coalesce(memories_created, 0) AS mc, coalesce(memories_accessed, 0) AS ma
+         FROM session_events WHERE kind = 'end' AND session_id IS NOT NULL AND ts <= {AS_OF}),
+je AS (SELECT s.project, s.id, arg_max_null(e.ts, e.end_seq) AS end_ts,
+              arg_max_null(e.summary, e.end_seq) AS end_summary,
+              arg_max_null(e.mc, e.end_seq) AS end_mc, arg_max_null(e.ma, e.end_seq) AS end_ma,
+              min(e.end_seq) AS first_end_seq
+       FROM starts s JOIN ends e ON e.project = s.project AND e.id = s.id AND e.end_seq > s.start_seq
+       GROUP BY s.project, s.id),
+sessions AS (
+  SELECT s.project, s.id, s.started_at,
+         CASE WHEN je.first_end_seq IS NOT NULL THEN je.end_ts ELSE s.next_start END AS ended_at,
+         CASE WHEN je.first_end_seq IS NOT NULL THEN je.end_summary
+              WHEN s.next_start IS NOT NULL THEN {AUTO} END AS summary,
+         CAST(CASE WHEN je.first_end_seq IS NOT NULL THEN je.end_mc WHEN s.next_start IS NOT NULL THEN 0 END AS INTEGER) AS memories_created,
+         CAST(CASE WHEN je.first_end_seq IS NOT NULL THEN je.end_ma WHEN s.next_start IS NOT NULL THEN 0 END AS INTEGER) AS memories_accessed,
+         (s.next_start IS NOT NULL AND (je.first_end_seq IS NULL OR je.first_end_seq > s.next_seq)) AS auto_closed
+  FROM starts s LEFT JOIN je ON je.project = s.project AND je.id = s.id)"""
+
+
+def last_session_sql(src: str) -> str:
+    return f"""
+ls_all AS (SELECT project, summary, row_number() OVER (PARTITION BY project ORDER BY ended_at DESC, id DESC) AS rn
+           FROM {src} WHERE ended_at IS NOT NULL),
+ls_real AS (SELECT project, summary, row_number() OVER (PARTITION BY project ORDER BY ended_at DESC, id DESC) AS rn
+            FROM {src} WHERE ended_at IS NOT NULL AND summary IS NOT NULL AND summary <> {AUTO}),
+last_session AS (SELECT a.project, CASE WHEN a.summary = {AUTO} THEN b.summary ELSE a.summary END AS last_session_summary
+                 FROM (SELECT * FROM ls_all WHERE rn = 1) a LEFT JOIN (SELECT * FROM ls_real WHERE rn = 1) b
+                 ON a.project = b.project)"""
+
+
+RULES_SPLIT = """
+rules AS (SELECT * FROM memories WHERE category IN ('mandatory_rules', 'forbidden_rules') AND status = 'active'),
+rules_split AS (
+  SELECT r.project, r.category, CAST(row_number() OVER (PARTITION BY r.project, r.category
+              ORDER BY r.priority DESC NULLS LAST, r.created_at ASC NULLS LAST, r.id) AS INTEGER) AS position,
+         r.id, r.priority, r.created_at, c.n_mandatory, c.n_forbidden, c.total
+  FROM rules r JOIN (SELECT project, count(*) FILTER (WHERE category = 'mandatory_rules') AS n_mandatory,
+                            count(*) FILTER (WHERE category = 'forbidden_rules') AS n_forbidden, count(*) AS total
+                     FROM rules GROUP BY project) c ON c.project = r.project)"""
+
+
+def top_sql(name: str, where: str, order: str, n: int) -> str:
+    return f"""{name} AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY project ORDER BY {order}) AS INTEGER) AS position
+                       FROM memories WHERE {where}) WHERE position <= {n})"""
+
+
+SPRINT_TOP = top_sql("sprint_top", "category = 'sprint' AND status = 'active'",
+                     "priority DESC NULLS LAST, updated_at DESC NULLS LAST, id", S.ACTIVE_SPRINT_CAP)
+DECISIONS_TOP = top_sql("decisions_top",
+                        f"category = 'decision' AND status = 'active' AND created_at >= {AS_OF} - INTERVAL 7 DAY",
+                        "created_at DESC NULLS LAST, id", S.RECENT_DECISIONS_CAP)
+
+
+def overlay_sql() -> str:
+    """J5 in SQL: last non-null per field and the texts used for derivation."""
+    fields = ["title", "content", "tags", "metadata", "status", "priority", "related_ids"]
+    given = " OR ".join(f"{f} IS NOT NULL" for f in fields)
+    lnn = ",\n       ".join(f"arg_max({f}, op_seq) FILTER (WHERE {f} IS NOT NULL) AS p_{f}" for f in fields)
+    return f"""
+keyed AS (SELECT p.* FROM patches p WHERE EXISTS (SELECT 1 FROM memories m WHERE m.project = p.project AND m.id = p.id)),
+valid AS (SELECT * FROM keyed WHERE {given}),
+kstar AS (SELECT project, id, max(op_seq) FILTER (WHERE title IS NOT NULL OR content IS NOT NULL) AS k_star
+          FROM valid GROUP BY project, id),
+agg AS (SELECT v.project, v.id, {lnn},
+       max(k.k_star) AS k_star,
+       arg_max_null(v.title, v.op_seq) FILTER (WHERE v.op_seq = k.k_star) AS k_title,
+       arg_max_null(v.content, v.op_seq) FILTER (WHERE v.op_seq = k.k_star) AS k_content,
+       arg_max(v.title, v.op_seq) FILTER (WHERE v.op_seq < k.k_star AND v.title IS NOT NULL) AS prev_title,
+       arg_max(v.content, v.op_seq) FILTER (WHERE v.op_seq < k.k_star AND v.content IS NOT NULL) AS prev_content,
+       count(*) AS n_patches
+  FROM valid v JOIN kstar k ON k.project = v.project AND k.id = v.id GROUP BY v.project, v.id),
+overlay AS (
+  SELECT m.project, m.id, m.category, m.summary, m.entities, m.embedding, m.source, m.access_count,
+         m.expires_at, m.created_at, m.updated_at,
+         {", ".join(f"coalesce(a.p_{f}, m.{f}) AS {f}" for f in fields)},
+         a.k_star IS NOT NULL AS text_changed,
+         CASE WHEN a.k_title IS NULL OR a.k_title = '' THEN coalesce(a.prev_title, m.title) ELSE a.k_title END AS derive_title,
+         CASE WHEN a.k_content IS NULL OR a.k_content = '' THEN coalesce(a.prev_content, m.content) ELSE a.k_content END AS derive_content,
+         a.n_patches
+  FROM memories m JOIN agg a ON a.project = m.project AND a.id = m.id)"""
