@@ -324,3 +324,300 @@ def f8_valid_category(spark, sf):
     ok, bad = FL.valid_category(AD.store_batch(spark, sf))
     return (ok.select("op_seq", "category", F.lit(True).alias("accepted"), F.lit(None).cast("string").alias("reason"))
             .unionByName(bad.select("op_seq", "category", F.lit(False).alias("accepted"), "reason")))
+
+
+# -------------------------------------------------------- joins (J)
+
+@register("j1_lookup_by_id", Osql("""
+SELECT r.request_id, m.id, m.title, m.status
+FROM recall_requests r JOIN memories m ON m.project = r.project AND m.id = r.id""", "memories", "recall_requests"))
+def j1_lookup_by_id(spark, sf):
+    req = AD.recall_requests(spark, sf).filter(F.col("id").isNotNull()).select("request_id", "project", "id")
+    found, _ = M.lookup_by_id(_mem(spark, sf), req)
+    return found.select("request_id", "id", "title", "status")
+
+
+_FIRST_TITLE = """
+first_title AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project, title ORDER BY updated_at DESC, id DESC) AS rn
+                               FROM memories WHERE status = 'active') WHERE rn = 1)"""
+
+
+@register("j2_lookup_by_title", Osql("""
+SELECT r.request_id, f.id, f.title, f.updated_at
+FROM recall_requests r JOIN first_title f ON f.project = r.project AND f.title = r.title
+WHERE r.id IS NULL""", "memories", "recall_requests", extra=_FIRST_TITLE.strip()))
+def j2_lookup_by_title(spark, sf):
+    req = AD.recall_requests(spark, sf).filter(F.col("id").isNull() & F.col("title").isNotNull())
+    return M.lookup_by_title(_mem(spark, sf), req.select("request_id", "project", "title")).select(
+        "request_id", "id", "title", "updated_at")
+
+
+@register("j4_import_diff", Osql("""
+SELECT p.project, p.id, p.op_seq,
+       CASE WHEN p.category NOT IN (SELECT unnest(%s)) THEN 'error'
+            WHEN p.content IS NULL OR p.content = '' THEN 'skipped'
+            WHEN m.id IS NOT NULL AND (m.content IS DISTINCT FROM p.content OR m.title IS DISTINCT FROM p.title) THEN 'updated'
+            WHEN m.id IS NOT NULL THEN 'skipped' ELSE 'created' END AS outcome
+FROM import_parsed p LEFT JOIN memories m ON m.project = p.project AND m.id = p.id""" % O.CATS,
+    "memories", "import_parsed"))
+def j4_import_diff(spark, sf):
+    return M.import_diff(AD.import_parsed(spark, sf), _mem(spark, sf)).select("project", "id", "op_seq", "outcome")
+
+
+@register("j5_patch_join", Osql("""
+SELECT project, id, title, content, tags, metadata, status, priority, derive_title, n_patches FROM overlay
+UNION ALL
+SELECT project, id, NULL, NULL, NULL, NULL, 'rejected: ' || CASE WHEN EXISTS (SELECT 1 FROM memories m WHERE m.project = p.project AND m.id = p.id)
+       THEN 'No fields to update' ELSE 'Memory ''' || id || ''' not found' END, NULL, NULL, NULL
+FROM patches p WHERE NOT EXISTS (SELECT 1 FROM memories m WHERE m.project = p.project AND m.id = p.id)
+   OR (title IS NULL AND content IS NULL AND tags IS NULL AND metadata IS NULL AND status IS NULL AND priority IS NULL AND related_ids IS NULL)""",
+    "memories", "patches", extra=O.overlay_sql().strip()))
+def j5_patch_join(spark, sf):
+    over, rej = M.patch_join(_mem(spark, sf), AD.patches(spark, sf))
+    a = over.select("project", "id", "title", "content", "tags", "metadata", "status", "priority",
+                    "derive_title", F.col("n_patches").cast("long").alias("n_patches"))
+    b = rej.select("project", "id", F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("content"),
+                   F.lit(None).cast(S.STR_ARRAY).alias("tags"), F.lit(None).cast("string").alias("metadata"),
+                   F.concat(F.lit("rejected: "), F.col("reason")).alias("status"), F.lit(None).cast("int").alias("priority"),
+                   F.lit(None).cast("string").alias("derive_title"), F.lit(None).cast("long").alias("n_patches"))
+    return a.unionByName(b)
+
+
+@register("j6_drop_ids", Osql("""
+SELECT project, id FROM memories m
+WHERE NOT EXISTS (SELECT 1 FROM hard_delete_ids h WHERE h.project = m.project AND h.id = m.id)""",
+    "memories", "hard_delete_ids"))
+def j6_drop_ids(spark, sf):
+    return M.drop_ids(_mem(spark, sf), AD.hard_delete_ids(spark, sf)).select("project", "id")
+
+
+# --------------------------------------------------- aggregations (A)
+
+_SWEPT = f"""
+swept AS (SELECT * REPLACE (CASE WHEN status = 'active' AND expires_at IS NOT NULL AND expires_at <= {AS}
+                                 THEN 'expired' ELSE status END AS status) FROM memories),
+listed AS (SELECT * FROM swept WHERE status = 'active' AND coalesce(list_has_any(tags, ['en']), false)
+           AND (expires_at IS NULL OR expires_at > {AS}))"""
+
+
+@register("a1_filtered_total", Osql("SELECT project, count(*) AS total FROM listed GROUP BY project",
+                                    "memories", extra=_SWEPT.strip()))
+def a1_filtered_total(spark, sf):
+    f = L.list_filtered(L.sweep_expired(_mem(spark, sf), _as_of()), _as_of(), tags=["en"])
+    return L.filtered_total(f)
+
+
+@register("a2_rules_split", Osql(
+    "SELECT DISTINCT project, n_mandatory, n_forbidden, total FROM rules_split", "memories",
+    extra=O.RULES_SPLIT.strip()))
+def a2_rules_split(spark, sf):
+    return L.rules_split(_mem(spark, sf)).select("project", "n_mandatory", "n_forbidden", "total").distinct()
+
+
+@register("a3_count_by_category", Osql(
+    "SELECT project, category, count(*) AS count FROM memories WHERE status = 'active' GROUP BY project, category",
+    "memories"))
+def a3_count_by_category(spark, sf):
+    return L.count_by_category(_mem(spark, sf))
+
+
+_DIFF = f"""
+diff AS (SELECT p.*, CASE WHEN p.category NOT IN (SELECT unnest({O.CATS})) THEN 'error'
+            WHEN p.content IS NULL OR p.content = '' THEN 'skipped'
+            WHEN m.id IS NOT NULL AND (m.content IS DISTINCT FROM p.content OR m.title IS DISTINCT FROM p.title) THEN 'updated'
+            WHEN m.id IS NOT NULL THEN 'skipped' ELSE 'created' END AS outcome
+         FROM import_parsed p LEFT JOIN memories m ON m.project = p.project AND m.id = p.id)"""
+
+
+@register("a4_import_report", Osql("""
+SELECT project, count(*) FILTER (WHERE outcome = 'created') AS created, count(*) FILTER (WHERE outcome = 'updated') AS updated,
+       count(*) FILTER (WHERE outcome = 'skipped') AS skipped, count(*) FILTER (WHERE outcome = 'error') AS error
+FROM diff GROUP BY project""", "memories", "import_parsed", extra=_DIFF.strip()))
+def a4_import_report(spark, sf):
+    return M.import_report(M.import_diff(AD.import_parsed(spark, sf), _mem(spark, sf)))
+
+
+@register("a5_reembed_impact", Osql(
+    "SELECT project, count(*) AS to_reembed FROM memories WHERE status = 'active' GROUP BY project", "memories"))
+def a5_reembed_impact(spark, sf):
+    return M.reembed_impact(_mem(spark, sf))
+
+
+@register("a6_budget_fold", Osql("""
+SELECT f.project, f.position, s.id, f.tokens, f.fits, max(f.used) OVER (PARTITION BY f.project) AS tokens_used,
+       bool_or(NOT f.fits) OVER (PARTITION BY f.project) AS has_more
+FROM fold f JOIN sprint_top s ON s.project = f.project AND s.position = f.position""",
+    "memories", recursive=True, extra=O.SPRINT_TOP.strip() + f""",
+items AS (SELECT project, position, {O.tokens_sql('content')} AS tokens FROM sprint_top),
+fold AS (SELECT project, position, tokens, tokens <= 1000 AS fits,
+                CAST(CASE WHEN tokens <= 1000 THEN tokens ELSE 0 END AS BIGINT) AS used FROM items WHERE position = 1
+         UNION ALL
+         SELECT i.project, i.position, i.tokens, f.used + i.tokens <= 1000,
+                CASE WHEN f.used + i.tokens <= 1000 THEN f.used + i.tokens ELSE f.used END
+         FROM fold f JOIN items i ON i.project = f.project AND i.position = f.position + 1)"""))
+def a6_budget_fold(spark, sf):
+    """A6 over each project's active sprint list (top 10) with 1,000 tokens."""
+    s = L.active_by_category(_mem(spark, sf), "sprint", S.ACTIVE_SPRINT_CAP)
+    s = s.withColumn("tokens", X.tokens("content")).withColumn("budget", F.lit(1000).cast("long"))
+    out = SR.budget_fold(s, "project", "position", "tokens", "budget", ["id"])
+    return out.select("project", "position", "id", "tokens", "fits", "tokens_used", "has_more")
+
+
+@register("a7_trail_total", Osql("SELECT memory_id, count(*) AS total FROM provenance GROUP BY memory_id", "provenance"))
+def a7_trail_total(spark, sf):
+    return M.trail_total(AD.provenance(spark, sf))
+
+
+@register("a8_orphans_closed", Osql(
+    "SELECT project, count(*) AS sessions, CAST(sum(CAST(auto_closed AS INTEGER)) AS BIGINT) AS orphans_closed "
+    "FROM sessions GROUP BY project", "session_events", extra=O.REPLAY.strip()))
+def a8_orphans_closed(spark, sf):
+    return SE.orphans_closed(SE.replay(AD.session_events(spark, sf), _as_of()))
+
+
+# ------------------------------------------------------ top-k / sort (T)
+
+@register("t2_rerank", Osql(
+    "SELECT query_id, id, CAST(rank AS INTEGER) AS rank, relevance_score FROM hits", "memories", "search_queries",
+    extra=O._search_hits().strip()))
+def t2_rerank(spark, sf):
+    qs = AD.search_queries(spark, sf)
+    return SR.rerank(SR.candidates(qs, _mem(spark, sf), _as_of()), qs, _as_of()).select(
+        "query_id", "id", "rank", "relevance_score")
+
+
+def _page_sql(order: str, lo: int, hi: int) -> str:
+    return Osql(f"""
+SELECT project, id, title, updated_at, position FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY project ORDER BY {order}) AS INTEGER) AS position FROM memories)
+WHERE position > {lo} AND position <= {hi}""", "memories")
+
+
+@register("t3_page", _page_sql("title ASC NULLS LAST, id", 10, 30))
+def t3_page(spark, sf):
+    return L.page(_mem(spark, sf), "title", "asc", limit=20, offset=10).select(
+        "project", "id", "title", "updated_at", "position")
+
+
+@register("t3_page_fallback", _page_sql("updated_at DESC NULLS LAST, id", 0, 25))
+def t3_page_fallback(spark, sf):
+    """Unknown sort field and upper-case order fall back to updated_at desc."""
+    return L.page(_mem(spark, sf), "Title", "DESC", limit=25, offset=0).select(
+        "project", "id", "title", "updated_at", "position")
+
+
+@register("t4_order_rules", Osql("""
+SELECT project, id, category, CAST(row_number() OVER (PARTITION BY project
+       ORDER BY priority DESC NULLS LAST, created_at ASC NULLS LAST, id) AS INTEGER) AS position
+FROM memories WHERE category IN ('mandatory_rules', 'forbidden_rules') AND status = 'active'""", "memories"))
+def t4_order_rules(spark, sf):
+    return L.order_rules(_mem(spark, sf)).select("project", "id", "category", "position")
+
+
+@register("t5_order_trail", Osql("""
+SELECT memory_id, op_seq, operation, CAST(row_number() OVER (PARTITION BY memory_id ORDER BY created_at ASC NULLS LAST, op_seq) AS INTEGER) AS position,
+       count(*) OVER (PARTITION BY memory_id) AS total
+FROM provenance""", "provenance"))
+def t5_order_trail(spark, sf):
+    return M.trail(AD.provenance(spark, sf)).select("memory_id", "op_seq", "operation", "position", "total")
+
+
+@register("t6_recent_by_category", Osql(
+    "SELECT project, id, created_at, position FROM decisions_top", "memories", extra=O.DECISIONS_TOP.strip()))
+def t6_recent_by_category(spark, sf):
+    return L.recent_by_category(_mem(spark, sf), _as_of()).select("project", "id", "created_at", "position")
+
+
+@register("t7_active_by_category", Osql(
+    "SELECT project, id, priority, updated_at, position FROM sprint_top", "memories", extra=O.SPRINT_TOP.strip()))
+def t7_active_by_category(spark, sf):
+    return L.active_by_category(_mem(spark, sf)).select("project", "id", "priority", "updated_at", "position")
+
+
+@register("t8_last_session", Osql("SELECT project, last_session_summary FROM last_session", "session_events",
+                                  extra=O.REPLAY.strip() + "," + O.last_session_sql("sessions")))
+def t8_last_session(spark, sf):
+    return SE.last_session(SE.replay(AD.session_events(spark, sf), _as_of()))
+
+
+@register("t9_export_order", Osql("""
+SELECT project, id, category, title, CAST(row_number() OVER (PARTITION BY project ORDER BY category, title, id) AS INTEGER) AS position
+FROM memories WHERE status = 'active'""", "memories"))
+def t9_export_order(spark, sf):
+    return L.export_order(_mem(spark, sf)).select("project", "id", "category", "title", "position")
+
+
+# ------------------------------------------------------ composites (C)
+
+@register("c3_recall", Osql("""
+SELECT r.request_id, r.project,
+       CASE WHEN r.id IS NOT NULL AND r.id <> '' THEN r.id ELSE f.id END AS id,
+       CASE WHEN r.id IS NOT NULL AND r.id <> '' THEN m.title WHEN r.title IS NOT NULL AND r.title <> '' THEN r.title END AS title,
+       coalesce(m.status, f.status) AS status,
+       coalesce(m.access_count, f.access_count) AS access_count,
+       CASE WHEN (r.id IS NULL OR r.id = '') AND (r.title IS NULL OR r.title = '') THEN 'Provide either memory_id or title'
+            WHEN coalesce(m.id, f.id) IS NULL THEN 'Memory not found' ELSE 'ok' END AS outcome
+FROM recall_requests r
+LEFT JOIN memories m ON r.id IS NOT NULL AND r.id <> '' AND m.project = r.project AND m.id = r.id
+LEFT JOIN first_title f ON (r.id IS NULL OR r.id = '') AND r.title IS NOT NULL AND r.title <> ''
+                        AND f.project = r.project AND f.title = r.title""",
+    "memories", "recall_requests", extra=_FIRST_TITLE.strip()))
+def c3_recall(spark, sf):
+    ans, _, _ = M.recall(_mem(spark, sf), AD.recall_requests(spark, sf), _as_of())
+    return ans.select("request_id", "project", "id", "title", "status", "access_count", "outcome")
+
+
+@register("c4_list", Osql("""
+SELECT * FROM (
+  SELECT project, id, priority, updated_at,
+         CAST(row_number() OVER (PARTITION BY project ORDER BY priority DESC NULLS LAST, id) AS INTEGER) AS position,
+         count(*) OVER (PARTITION BY project) AS total
+  FROM listed) WHERE position <= 50""", "memories", extra=_SWEPT.strip()))
+def c4_list(spark, sf):
+    out = L.list_notes(_mem(spark, sf), _as_of(), tags=["en"], sort_by="priority", order="desc", limit=50)
+    return out.select("project", "id", "priority", "updated_at", "position", "total")
+
+
+@register("c5_rules", Osql("SELECT project, category, position, id, n_mandatory, n_forbidden, total FROM rules_split",
+                           "memories", extra=O.RULES_SPLIT.strip()))
+def c5_rules(spark, sf):
+    return L.rules_split(_mem(spark, sf)).select("project", "category", "position", "id", "n_mandatory",
+                                                 "n_forbidden", "total")
+
+
+_DIGEST = O.REPLAY.strip() + f""",
+projects AS (SELECT DISTINCT project FROM memories),
+closed AS (SELECT s.project, s.id,
+                  CASE WHEN s.ended_at IS NULL THEN {AS} ELSE s.ended_at END AS ended_at,
+                  CASE WHEN s.ended_at IS NULL THEN {O.AUTO} ELSE s.summary END AS summary,
+                  s.ended_at IS NULL AS closed_now
+           FROM sessions s WHERE s.project IN (SELECT project FROM projects)
+           UNION ALL
+           SELECT s.project, s.id, s.ended_at, s.summary, false FROM sessions s
+           WHERE s.project NOT IN (SELECT project FROM projects)),""" + O.last_session_sql("closed") + ",\n" + \
+    O.RULES_SPLIT.strip() + ",\n" + O.SPRINT_TOP.strip() + ",\n" + O.DECISIONS_TOP.strip()
+
+
+@register("c6_session_digest", Osql("""
+SELECT p.project, 'header' AS section, 0 AS position, CAST(NULL AS VARCHAR) AS id, l.last_session_summary,
+       CAST(coalesce(c.n, 0) AS BIGINT) AS orphans_closed
+FROM projects p LEFT JOIN last_session l ON l.project = p.project
+LEFT JOIN (SELECT project, count(*) FILTER (WHERE closed_now) AS n FROM closed GROUP BY project) c ON c.project = p.project
+UNION ALL SELECT project, category, position, id, NULL, NULL FROM rules_split
+UNION ALL SELECT project, 'active_sprint', position, id, NULL, NULL FROM sprint_top
+UNION ALL SELECT project, 'recent_decisions', position, id, NULL, NULL FROM decisions_top""",
+    "memories", "session_events", extra=_DIGEST))
+def c6_session_digest(spark, sf):
+    mem = _mem(spark, sf)
+    sessions = SE.replay(AD.session_events(spark, sf), _as_of())
+    return SE.session_digest(mem, sessions, mem.select("project"), _as_of())
+
+
+@register("c7_trail", Osql("""
+SELECT p.memory_id, p.operation, p.details, p.created_at, p.op_seq,
+       CAST(row_number() OVER (PARTITION BY p.memory_id ORDER BY p.created_at ASC NULLS LAST, p.op_seq) AS INTEGER) AS position,
+       count(*) OVER (PARTITION BY p.memory_id) AS total
+FROM provenance p WHERE p.memory_id IN (SELECT id FROM memories)""", "memories", "provenance"))
+def c7_trail(spark, sf):
+    return M.trail(AD.provenance(spark, sf), _mem(spark, sf).select("id")).select(
+        "memory_id", "operation", "details", "created_at", "op_seq", "position", "total")
