@@ -26,6 +26,12 @@ from cairn.operators import filters as FL
 AUDIT_COLUMNS = ["project", "memory_id", "operation", "details", "created_at", "op_seq"]
 
 
+def json_obj(*cols: Column) -> Column:
+    """A JSON object of the given (aliased) columns; NULL values are kept as
+    ``null`` like Python's ``json.dumps``."""
+    return F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
+
+
 def audit(df: DataFrame, memory_id: str, operation: str | Column, details: Column | None,
           created_at, op_seq: str = "op_seq") -> DataFrame:
     """Audit rows; empty details -> NULL."""
@@ -82,7 +88,7 @@ def recall(memories: DataFrame, requests: DataFrame, as_of) -> tuple[DataFrame,
         F.lit("Provide either memory_id or title").alias("outcome"))
     answers = ans.unionByName(bad)
     hits = answers.filter(F.col("outcome") == "ok")
-    trail = audit(hits, "id", "access", F.to_json(F.struct(F.lit("recall").alias("method"))), as_of)
+    trail = audit(hits, "id", "access", json_obj(F.lit("recall").alias("method")), as_of)
     return answers, hits.select("project", "id", "op_seq"), trail
 
 
@@ -136,8 +142,8 @@ def store(batch: DataFrame, as_of, embedder=None) -> tuple[DataFrame, DataFrame,
     if embedder is not None:
         notes = embedder.embed(notes.withColumn("_etext", X.embedding_text("title", "content")),
                                "_etext", "embedding").drop("_etext")
-    details = F.to_json(F.struct(F.col("category"), F.col("title"), F.col("source"),
-                                 F.size("entities").alias("entities_extracted")))
+    details = json_obj(F.col("category"), F.col("title"), F.col("source"),
+                       F.size("entities").alias("entities_extracted"))
     trail = audit(notes, "id", "create", details, as_of)
     return notes.drop("op_seq"), trail, rejected
 
@@ -225,7 +231,7 @@ def update(memories: DataFrame, patches: DataFrame, as_of, embedder=None):
     fields = F.filter(F.array(*[F.when(F.col(f).isNotNull(), F.lit(f)) for f in PATCH_FIELDS]),
                       lambda x: x.isNotNull())
     given = given.withColumn("_fields", fields).filter(F.size("_fields") > 0)
-    trail = audit(given, "id", "update", F.to_json(F.struct(F.col("_fields").alias("changed_fields"))), as_of)
+    trail = audit(given, "id", "update", json_obj(F.col("_fields").alias("changed_fields")), as_of)
     return out.drop("text_changed", "derive_title", "derive_content", "n_patches"), trail, rejected
 
 
@@ -248,7 +254,7 @@ def soft_delete(memories: DataFrame, ids: DataFrame, as_of):
              .withColumn("status", F.when(F.col("_hit"), F.lit(S.ARCHIVED)).otherwise(F.col("status")))
              .withColumn("updated_at", F.when(F.col("_hit"), FL._ts(as_of)).otherwise(F.col("updated_at")))
              .drop("_hit"))
-    trail = audit(found, "id", "soft_delete", F.to_json(F.struct(F.col("reason").alias("reason"))), as_of)
+    trail = audit(found, "id", "soft_delete", json_obj(F.col("reason").alias("reason")), as_of)
     return state, trail, missing
 
 
@@ -256,7 +262,7 @@ def hard_delete(memories: DataFrame, ids: DataFrame, as_of):
     """M4: remove listed notes (J6); the audit rows stay. Returns (state,
     audit, rejected)."""
     found, missing = _requests_found(memories, ids)
-    trail = audit(found, "id", "hard_delete", F.to_json(F.struct(F.col("reason").alias("reason"))), as_of)
+    trail = audit(found, "id", "hard_delete", json_obj(F.col("reason").alias("reason")), as_of)
     return drop_ids(memories, found), trail, missing
 
 
@@ -293,7 +299,7 @@ def import_apply(memories: DataFrame, diff: DataFrame, as_of, embedder=None):
                                            "priority", "source",
                                            F.array().cast(S.STR_ARRAY).alias("related_ids"), "op_seq"),
                                 as_of, embedder)
-    trail_c = trail_c.withColumn("details", F.to_json(F.struct(F.lit("import").alias("source"))))
+    trail_c = trail_c.withColumn("details", json_obj(F.lit("import").alias("source")))
     upd = diff.filter(F.col("outcome") == "updated").select(
         "project", "id", F.col("title").alias("n_title"), F.col("content").alias("n_content"),
         F.col("tags").alias("n_tags"), "op_seq")
@@ -307,7 +313,7 @@ def import_apply(memories: DataFrame, diff: DataFrame, as_of, embedder=None):
     if embedder is not None:
         u = embedder.embed(u.withColumn("_etext", X.embedding_text("title", "content")), "_etext", "embedding") \
             .drop("_etext")
-    trail_u = audit(u, "id", "update", F.to_json(F.struct(F.lit("import").alias("source"))), as_of)
+    trail_u = audit(u, "id", "update", json_obj(F.lit("import").alias("source")), as_of)
     return created, u.drop("n_title", "n_content", "n_tags", "op_seq"), trail_c.unionByName(trail_u)
 
 

@@ -288,6 +288,6 @@ def touch_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def delete_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M14 input: projects of users with a severe error (value >= 45)."""
-    ev = _read(spark, sf_dir, "events").filter((F.col("event_type") == "error") & (F.col("value") >= 45))
+    """M14 input: projects of users with a severe error (value >= 200)."""
+    ev = _read(spark, sf_dir, "events").filter((F.col("event_type") == "error") & (F.col("value") >= 200))
     return ev.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("slug"))

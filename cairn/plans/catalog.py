@@ -621,3 +621,199 @@ FROM provenance p WHERE p.memory_id IN (SELECT id FROM memories)""", "memories",
 def c7_trail(spark, sf):
     return M.trail(AD.provenance(spark, sf), _mem(spark, sf).select("id")).select(
         "memory_id", "operation", "details", "created_at", "op_seq", "position", "total")
+
+
+# ---------------------------------------------------- maintenance (M)
+
+from cairn.functions import embed as EM  # noqa: E402
+
+
+@register("m1_store", Osql("""
+SELECT project, id, category, title, summary, entities, tags, metadata, status, priority, source, access_count,
+       expires_at, created_at FROM store_notes""", "store_batch", extra=O.STORE_NOTES.strip()))
+def m1_store(spark, sf):
+    notes, _, _ = M.store(AD.store_batch(spark, sf), _as_of())
+    return notes.select("project", "id", "category", "title", "summary", "entities", "tags", "metadata", "status",
+                        "priority", "source", "access_count", "expires_at", "created_at")
+
+
+@register("m15_record", Osql("""
+SELECT project, id AS memory_id, 'create' AS operation,
+       CAST(to_json({'category': category, 'title': title, 'source': source, 'entities_extracted': CAST(len(entities) AS INTEGER)}) AS VARCHAR) AS details,
+       created_at, op_seq
+FROM store_notes""", "store_batch", extra=O.STORE_NOTES.strip()))
+def m15_record(spark, sf):
+    """M15 as written by M1: one create row per stored note."""
+    _, trail, _ = M.store(AD.store_batch(spark, sf), _as_of())
+    return trail
+
+
+@register("m2_update", Osql(f"""
+SELECT project, id, title, content,
+       CASE WHEN text_changed THEN {O.summary_sql('derive_title', 'derive_content')} ELSE summary END AS summary,
+       CASE WHEN text_changed THEN {O.entities_sql("derive_title || ' ' || derive_content")} ELSE entities END AS entities,
+       tags, metadata, status, priority, {AS} AS updated_at
+FROM overlay""", "memories", "patches", extra=O.overlay_sql().strip()))
+def m2_update(spark, sf):
+    out, _, _ = M.update(_mem(spark, sf), AD.patches(spark, sf), _as_of())
+    return out.select("project", "id", "title", "content", "summary", "entities", "tags", "metadata", "status",
+                      "priority", "updated_at")
+
+
+@register("m2_update_audit", Osql(f"""
+SELECT project, id AS memory_id, 'update' AS operation,
+       CAST(to_json({{'changed_fields': list_filter([
+           CASE WHEN title IS NOT NULL THEN 'title' END, CASE WHEN content IS NOT NULL THEN 'content' END,
+           CASE WHEN tags IS NOT NULL THEN 'tags' END, CASE WHEN metadata IS NOT NULL THEN 'metadata' END,
+           CASE WHEN status IS NOT NULL THEN 'status' END, CASE WHEN priority IS NOT NULL THEN 'priority' END,
+           CASE WHEN related_ids IS NOT NULL THEN 'related_ids' END], lambda x: x IS NOT NULL)}}) AS VARCHAR) AS details,
+       {AS} AS created_at, op_seq
+FROM patches p WHERE EXISTS (SELECT 1 FROM memories m WHERE m.project = p.project AND m.id = p.id)
+  AND (title IS NOT NULL OR content IS NOT NULL OR tags IS NOT NULL OR metadata IS NOT NULL OR status IS NOT NULL
+       OR priority IS NOT NULL OR related_ids IS NOT NULL)""", "memories", "patches"))
+def m2_update_audit(spark, sf):
+    _, trail, _ = M.update(_mem(spark, sf), AD.patches(spark, sf), _as_of())
+    return trail
+
+
+@register("m3_soft_delete", Osql(f"""
+SELECT m.project, m.id, CASE WHEN h.id IS NOT NULL THEN 'archived' ELSE m.status END AS status,
+       CASE WHEN h.id IS NOT NULL THEN {AS} ELSE m.updated_at END AS updated_at
+FROM memories m LEFT JOIN (SELECT DISTINCT project, id FROM soft_delete_ids) h ON h.project = m.project AND h.id = m.id""",
+    "memories", "soft_delete_ids"))
+def m3_soft_delete(spark, sf):
+    state, _, _ = M.soft_delete(_mem(spark, sf), AD.soft_delete_ids(spark, sf), _as_of())
+    return state.select("project", "id", "status", "updated_at")
+
+
+@register("m4_hard_delete", Osql("""
+SELECT h.project, h.id, CASE WHEN m.id IS NOT NULL THEN 'hard_delete' ELSE 'rejected' END AS outcome,
+       CASE WHEN m.id IS NOT NULL THEN '{"reason":null}' ELSE 'Memory ''' || h.id || ''' not found' END AS details
+FROM hard_delete_ids h LEFT JOIN memories m ON m.project = h.project AND m.id = h.id""",
+    "memories", "hard_delete_ids"))
+def m4_hard_delete(spark, sf):
+    """M4: audit rows of removed notes and rejects of unknown ids (the
+    remaining state is ``j6_drop_ids``)."""
+    _, trail, rej = M.hard_delete(_mem(spark, sf), AD.hard_delete_ids(spark, sf), _as_of())
+    return (trail.select("project", F.col("memory_id").alias("id"), F.lit("hard_delete").alias("outcome"), "details")
+            .unionByName(rej.select("project", "id", F.lit("rejected").alias("outcome"), F.col("reason").alias("details"))))
+
+
+@register("m5_bump_access", Osql("""
+SELECT m.project, m.id, CAST(m.access_count + coalesce(h.n, 0) AS INTEGER) AS access_count
+FROM memories m LEFT JOIN (
+  SELECT r.project, CASE WHEN r.id IS NOT NULL AND r.id <> '' THEN r.id ELSE f.id END AS id, count(*) AS n
+  FROM recall_requests r
+  LEFT JOIN memories mm ON r.id IS NOT NULL AND r.id <> '' AND mm.project = r.project AND mm.id = r.id
+  LEFT JOIN first_title f ON (r.id IS NULL OR r.id = '') AND r.title IS NOT NULL AND r.title <> ''
+                          AND f.project = r.project AND f.title = r.title
+  WHERE coalesce(mm.id, f.id) IS NOT NULL GROUP BY 1, 2) h ON h.project = m.project AND h.id = m.id""",
+    "memories", "recall_requests", extra=_FIRST_TITLE.strip()))
+def m5_bump_access(spark, sf):
+    mem = _mem(spark, sf)
+    _, hits, _ = M.recall(mem, AD.recall_requests(spark, sf), _as_of())
+    return M.bump_access(mem, hits).select("project", "id", "access_count")
+
+
+@register("m6_sweep_expired", Osql(f"""
+SELECT project, id, CASE WHEN status = 'active' AND expires_at IS NOT NULL AND expires_at <= {AS}
+                         THEN 'expired' ELSE status END AS status FROM memories""", "memories"))
+def m6_sweep_expired(spark, sf):
+    return L.sweep_expired(_mem(spark, sf), _as_of()).select("project", "id", "status")
+
+
+@register("m8_import_apply", Osql(f"""
+SELECT project, {O.note_id_sql('project', 'title', 'content', 'op_seq')} AS id, 'created' AS kind, title,
+       {O.summary_sql('title', 'content')} AS summary, coalesce(tags, CAST([] AS VARCHAR[])) AS tags,
+       CAST({O.rule_priority_sql('category', 'coalesce(priority, 0)')} AS INTEGER) AS priority,
+       coalesce(source, 'import') AS source,
+       {O.expiry_sql('category', O.rule_priority_sql('category', 'coalesce(priority, 0)'), AS)} AS expires_at,
+       {AS} AS updated_at
+FROM diff WHERE outcome = 'created'
+UNION ALL
+SELECT m.project, m.id, 'updated', d.title, {O.summary_sql('d.title', 'd.content')},
+       coalesce(d.tags, CAST([] AS VARCHAR[])), m.priority, m.source, m.expires_at, {AS}
+FROM diff d JOIN memories m ON m.project = d.project AND m.id = d.id WHERE d.outcome = 'updated'""",
+    "memories", "import_parsed", extra=_DIFF.strip()))
+def m8_import_apply(spark, sf):
+    mem = _mem(spark, sf)
+    diff = M.import_diff(AD.import_parsed(spark, sf), mem)
+    created, updated, _ = M.import_apply(mem, diff, _as_of())
+    cols = ["project", "id", "kind", "title", "summary", "tags", "priority", "source", "expires_at", "updated_at"]
+    return (created.withColumn("kind", F.lit("created")).select(*cols)
+            .unionByName(updated.withColumn("kind", F.lit("updated")).select(*cols)))
+
+
+@register("m9_start_sessions", Osql(
+    f"SELECT project, session_id AS id, ts AS started_at FROM session_events WHERE kind = 'start' AND ts <= {AS}",
+    "session_events"))
+def m9_start_sessions(spark, sf):
+    return SE.replay(AD.session_events(spark, sf), _as_of()).select("project", "id", "started_at")
+
+
+@register("m10_close_orphans", Osql(
+    "SELECT project, id, auto_closed, CASE WHEN auto_closed THEN ended_at END AS closed_at FROM sessions "
+    "WHERE auto_closed", "session_events", extra=O.REPLAY.strip()))
+def m10_close_orphans(spark, sf):
+    """M10 (log form): the sessions a later start auto-closed, and when."""
+    s = SE.replay(AD.session_events(spark, sf), _as_of()).filter("auto_closed")
+    return s.select("project", "id", "auto_closed",
+                    F.when(F.col("auto_closed") & (F.col("summary") == S.AUTO_CLOSE_SUMMARY), F.col("ended_at"))
+                    .otherwise(F.col("ended_at")).alias("closed_at"))
+
+
+@register("m11_end_sessions", Osql(
+    f"SELECT project, id, ended_at, summary, memories_created, memories_accessed FROM sessions "
+    f"WHERE ended_at IS NOT NULL AND summary IS DISTINCT FROM {O.AUTO}", "session_events", extra=O.REPLAY.strip()))
+def m11_end_sessions(spark, sf):
+    s = SE.replay(AD.session_events(spark, sf), _as_of())
+    return s.filter(F.col("ended_at").isNotNull() & ~F.col("summary").eqNullSafe(S.AUTO_CLOSE_SUMMARY)).select(
+        "project", "id", "ended_at", "summary", "memories_created", "memories_accessed")
+
+
+@register("m12_upsert_projects", Osql(f"""
+SELECT coalesce(r.slug, l.slug) AS slug,
+       CASE WHEN l.slug IS NOT NULL THEN l.display_name ELSE r.display_name END AS display_name,
+       CASE WHEN l.slug IS NOT NULL THEN l.description ELSE r.description END AS description,
+       coalesce(r.created_at, {AS}) AS created_at,
+       CASE WHEN l.slug IS NOT NULL THEN {AS} ELSE r.last_accessed END AS last_accessed,
+       coalesce(r.db_path, 'projects/' || l.slug) AS db_path
+FROM registry r FULL OUTER JOIN (
+  SELECT slug, arg_max_null(display_name, op_seq) AS display_name, arg_max_null(description, op_seq) AS description
+  FROM (SELECT CASE WHEN regexp_full_match(slug, '{O.VALID_SLUG_RE}') THEN slug ELSE {O.slugify_sql('slug')} END AS slug,
+               display_name, description, op_seq FROM registry_batch)
+  GROUP BY slug) l ON l.slug = r.slug""", "registry", "registry_batch"))
+def m12_upsert_projects(spark, sf):
+    return M.upsert_projects(AD.registry(spark, sf), AD.registry_batch(spark, sf), _as_of())
+
+
+@register("m13_touch_projects", Osql("""
+SELECT r.slug, r.display_name, r.description, r.created_at, coalesce(t.ts, r.last_accessed) AS last_accessed, r.db_path
+FROM registry r LEFT JOIN (SELECT slug, max(ts) AS ts FROM touch_events GROUP BY slug) t ON t.slug = r.slug""",
+    "registry", "touch_events"))
+def m13_touch_projects(spark, sf):
+    return M.touch_projects(AD.registry(spark, sf), AD.touch_events(spark, sf))
+
+
+@register("m14_delete_projects", Osql(
+    "SELECT * FROM registry WHERE slug NOT IN (SELECT slug FROM delete_slugs)", "registry", "delete_slugs"))
+def m14_delete_projects(spark, sf):
+    return M.delete_projects(AD.registry(spark, sf), AD.delete_slugs(spark, sf))
+
+
+# ------------------------------------------- embedder (no SQL oracle)
+
+@register("v6_embed")
+def v6_embed(spark, sf):
+    """V6: every note's ``title\\ncontent`` embedded (default hash embedder);
+    reports dimension and norm per note."""
+    e = EM.HashEmbedder().embed(_mem(spark, sf).select(
+        "id", X.embedding_text("title", "content").alias("t")), "t", "vec")
+    return e.select("id", F.size("vec").alias("dim"), V.round_places(V.norm("vec"), 6).alias("norm"))
+
+
+@register("m7_reembed")
+def m7_reembed(spark, sf):
+    """Re-embed active notes with a new model; state plus audit count."""
+    impact, state, trail = EM.reembed_for_model(_mem(spark, sf), "previous-model", EM.HashEmbedder(), _as_of())
+    return state.select("project", "id", "status", F.size("embedding").alias("dim"), "updated_at")

@@ -344,7 +344,7 @@ SELECT 'u' || CAST(user_id AS VARCHAR) AS slug, ts FROM events WHERE event_type
 """
 
 DELETE_SLUGS = """
-SELECT 'u' || CAST(user_id AS VARCHAR) AS slug FROM events WHERE event_type = 'error' AND value >= 45
+SELECT 'u' || CAST(user_id AS VARCHAR) AS slug FROM events WHERE event_type = 'error' AND value >= 200
 """
 
 _ALL = {"memories": lambda: MEMORIES, "search_queries": lambda: SEARCH_QUERIES,
@@ -464,3 +464,22 @@ overlay AS (
          CASE WHEN a.k_content IS NULL OR a.k_content = '' THEN coalesce(a.prev_content, m.content) ELSE a.k_content END AS derive_content,
          a.n_patches
   FROM memories m JOIN agg a ON a.project = m.project AND a.id = m.id)"""
+
+
+VALID_SLUG_RE = "(?:[a-z0-9][a-z0-9-]*[a-z0-9]|[a-z0-9])\\n?"
+
+STORE_NOTES = f"""
+store_ok AS (SELECT * FROM store_batch WHERE category IN (SELECT unnest({CATS}))),
+store_notes AS (
+  SELECT project, {note_id_sql('project', 'title', 'content', 'op_seq')} AS id, category, title, content,
+         {summary_sql('title', 'content')} AS summary,
+         coalesce(tags, CAST([] AS VARCHAR[])) AS tags,
+         CASE WHEN metadata IN ('{{}}', 'null') THEN NULL ELSE metadata END AS metadata,
+         'active' AS status,
+         CAST({rule_priority_sql('category', 'coalesce(priority, 0)')} AS INTEGER) AS priority,
+         coalesce(source, 'assistant') AS source,
+         {entities_sql("title || ' ' || content")} AS entities,
+         0 AS access_count,
+         {expiry_sql('category', rule_priority_sql('category', 'coalesce(priority, 0)'), AS_OF)} AS expires_at,
+         {AS_OF} AS created_at, op_seq
+  FROM store_ok)"""
