@@ -125,16 +125,16 @@ def parse(text) -> Column:
     lines = F.split(body, "\n", -1)
     n = F.size(lines)
     is_head = F.transform(lines, lambda l: l.startswith("# "))
-    t_idx = F.array_position(is_head, True)                   # 1-based, 0 = none
+    t_idx = F.array_position(is_head, True).cast("int")       # 1-based, 0 = none
     after = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
                         lambda i: (i > t_idx) & (strip_ws(F.element_at(lines, i)) != ""))
-    s_idx = F.when(t_idx > 0, F.array_position(after, True)).otherwise(F.lit(0))
+    s_idx = F.when(t_idx > 0, F.array_position(after, True).cast("int")).otherwise(F.lit(0))
     s_quote = F.when(s_idx > 0, F.element_at(lines, F.greatest(s_idx, F.lit(1))).startswith("> ")).otherwise(F.lit(False))
     # Unmatched title means nothing is skipped; with a title and no later
     # non-blank line, everything after the title is blank and skipped.
     skip_to = F.when(t_idx == 0, F.lit(0)).when(s_idx == 0, n).when(s_quote, s_idx).otherwise(s_idx - 1)
     kept = F.filter(lines, lambda l, i: (t_idx == 0) | (i + 1 < t_idx) | (i + 1 > skip_to))
-    stop = F.array_position(F.transform(kept, lambda l: l.startswith("## Related")), True)
+    stop = F.array_position(F.transform(kept, lambda l: l.startswith("## Related")), True).cast("int")
     kept = F.when(stop > 0, F.slice(kept, 1, F.greatest(stop - 1, F.lit(0)))).otherwise(kept)
     kept = F.when(stop == 1, F.array().cast(S.STR_ARRAY)).otherwise(kept)
     content = strip_ws(F.array_join(kept, "\n"))

@@ -144,7 +144,7 @@ def store(batch: DataFrame, as_of, embedder=None) -> tuple[DataFrame, DataFrame,
                                "_etext", "embedding").drop("_etext")
     details = json_obj(F.col("category"), F.col("title"), F.col("source"),
                        F.size("entities").alias("entities_extracted"))
-    trail = audit(notes, "id", "create", details, as_of)
+    trail = audit(notes, "id", "create", details, F.col("created_at"))
     return notes.drop("op_seq"), trail, rejected
 
 
