@@ -71,22 +71,32 @@ def lookup_by_title(memories: DataFrame, requests: DataFrame) -> DataFrame:
 def recall(memories: DataFrame, requests: DataFrame, as_of) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Requests (request_id, project, id, title, op_seq). The id wins when
     both are given; neither -> rejected. Returns (answers, access events,
-    audit). Answers show the row as read, before the increment (Q8)."""
+    audit). Answers show the row as read, before the increment (Q8).
+
+    One pass over the requests: a left join by id (for requests with an id)
+    and a left join to the first note per title (for the others); the
+    request flags are join conditions next to the equi-keys."""
     has_id = F.col("id").isNotNull() & (F.col("id") != "")
     has_title = F.col("title").isNotNull() & (F.col("title") != "")
-    by_id = requests.filter(has_id).select("request_id", "project", "id", "op_seq")
-    by_title = requests.filter(~has_id & has_title).select("request_id", "project", "title", "op_seq")
-    keep = ["id", "title", "category", "status", "access_count"]
-    a = by_id.join(memories.select("project", *keep), ["project", "id"], "left")
-    b = by_title.join(first_by_title(memories).select("project", *keep), ["project", "title"], "left")
-    ans = a.unionByName(b).withColumn(
-        "outcome", F.when(F.col("category").isNull(), F.lit("Memory not found")).otherwise(F.lit("ok")))
-    bad = requests.filter(~has_id & ~has_title).select(
-        "request_id", "project", F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("title"),
-        "op_seq", F.lit(None).cast("string").alias("category"), F.lit(None).cast("string").alias("status"),
-        F.lit(None).cast("int").alias("access_count"),
-        F.lit("Provide either memory_id or title").alias("outcome"))
-    answers = ans.unionByName(bad)
+    r = requests.select("request_id", "project", "id", "title", "op_seq",
+                        has_id.alias("_by_id"), (~has_id & has_title).alias("_by_title"))
+    keep = ["category", "status", "access_count"]
+    m = memories.select(F.col("project").alias("_p"), F.col("id").alias("_id"), F.col("title").alias("_t"),
+                        *[F.col(k).alias(f"_m_{k}") for k in keep])
+    f = first_by_title(memories).select(F.col("project").alias("_fp"), F.col("title").alias("_ft"),
+                                        F.col("id").alias("_fid"), *[F.col(k).alias(f"_f_{k}") for k in keep])
+    j = r.join(m, (F.col("project") == F.col("_p")) & (F.col("id") == F.col("_id")) & F.col("_by_id"), "left")
+    j = j.join(f, (F.col("project") == F.col("_fp")) & (F.col("title") == F.col("_ft")) & F.col("_by_title"), "left")
+    found = F.col("_id").isNotNull() | F.col("_fid").isNotNull()
+    outcome = (F.when(~F.col("_by_id") & ~F.col("_by_title"), F.lit("Provide either memory_id or title"))
+               .when(~found, F.lit("Memory not found")).otherwise(F.lit("ok")))
+    answers = j.select(
+        "request_id", "project",
+        F.when(F.col("_by_id"), F.col("id")).otherwise(F.col("_fid")).alias("id"),
+        F.when(F.col("_by_id"), F.col("_t")).when(F.col("_by_title"), F.col("title")).alias("title"),
+        "op_seq",
+        *[F.coalesce(F.col(f"_m_{k}"), F.col(f"_f_{k}")).alias(k) for k in keep],
+        outcome.alias("outcome"))
     hits = answers.filter(F.col("outcome") == "ok")
     trail = audit(hits, "id", "access", json_obj(F.lit("recall").alias("method")), as_of)
     return answers, hits.select("project", "id", "op_seq"), trail

@@ -23,7 +23,33 @@ def as_of_col():
     return F.lit(S.AS_OF).cast(S.TS)
 
 
+_STORED: dict[str, str] = {}
+
+
+def use_stored_memories(sf_dir: str, path: str | None) -> None:
+    """Serve ``memories(spark, sf_dir)`` from a table already written at
+    ``path`` (the enriched table as a deployment would store it)."""
+    if path is None:
+        _STORED.pop(sf_dir.rstrip("/"), None)
+    else:
+        _STORED[sf_dir.rstrip("/")] = path
+
+
+def materialize_memories(spark: SparkSession, sf_dir: str, path: str) -> str:
+    """Derive and write the ``memories`` table partitioned by project."""
+    derive_memories(spark, sf_dir).write.mode("overwrite").partitionBy("project").parquet(path)
+    return path
+
+
 def memories(spark: SparkSession, sf_dir: str, as_of=None) -> DataFrame:
+    """The note table: the stored one when registered, else derived."""
+    stored = _STORED.get(sf_dir.rstrip("/"))
+    if stored is not None and as_of is None:
+        return spark.read.schema(S.MEMORIES).parquet(stored)
+    return derive_memories(spark, sf_dir, as_of)
+
+
+def derive_memories(spark: SparkSession, sf_dir: str, as_of=None) -> DataFrame:
     """The ``memories`` table derived from documents, embeddings and events.
 
     One row per document. Plan: documents and embeddings join on their id
