@@ -19,6 +19,16 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy per-row work (regex over whole texts) at least one
+    partition per core. At scale the scan already has far more splits than
+    cores and this is a no-op; on a small file with few row groups it is one
+    round-robin exchange."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    n = df.rdd.getNumPartitions()
+    return df.repartition(cores) if n < cores else df
+
+
 def as_of_col():
     return F.lit(S.AS_OF).cast(S.TS)
 
@@ -58,7 +68,7 @@ def derive_memories(spark: SparkSession, sf_dir: str, as_of=None) -> DataFrame:
     shuffles whole.
     """
     as_of = as_of_col() if as_of is None else as_of
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    docs = spread(_read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     vecs = _read(spark, sf_dir, "embeddings").select(F.col("vec_id"), F.col("embedding"))
     views = (_read(spark, sf_dir, "events").filter(F.col("event_type") == "view")
              .groupBy("user_id").agg(F.count(F.lit(1)).alias("n_views")))
@@ -89,9 +99,10 @@ def derive_memories(spark: SparkSession, sf_dir: str, as_of=None) -> DataFrame:
         created.alias("created_at"),
         F.timestamp_add("HOUR", (i % 7).cast("int"), created).alias("updated_at"),
     )
+    base = base.withColumn("_first", X.first_sentence("content"))
     return base.select(
         "project", "id", "category", "title", "content",
-        X.summary("title", "content").alias("summary"),
+        X.summary_of_first("title", "_first").alias("summary"),
         "tags", "metadata", "embedding", "status", "priority", "source", "related_ids",
         X.entities("title", "content").alias("entities"),
         "access_count",
