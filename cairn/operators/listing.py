@@ -15,6 +15,13 @@ from pyspark.sql import functions as F
 
 from cairn import schema as S
 from cairn.operators import filters as FL
+from cairn.operators.ranking import rank_within
+
+
+
+def rule_order() -> list[Column]:
+    """Rules: priority desc, created_at asc, then id (NULLs last)."""
+    return [F.col("priority").desc_nulls_last(), F.col("created_at").asc_nulls_last(), F.col("id").asc()]
 
 
 def ts_text(c) -> Column:
@@ -105,10 +112,9 @@ def list_notes(df: DataFrame, as_of, category: str | None = None, status: str =
 
 
 def order_rules(df: DataFrame) -> DataFrame:
-    """T4 on F7: rules by priority desc, created_at asc (then id), no limit."""
-    w = Window.partitionBy("project").orderBy(F.col("priority").desc_nulls_last(),
-                                              F.col("created_at").asc_nulls_last(), F.col("id"))
-    return FL.rules_only(df).withColumn("position", F.row_number().over(w))
+    """T4 on F7: rules by priority desc, created_at asc (then id), no limit.
+    Positions are skew-safe (``rank_within``): a project is never one task."""
+    return rank_within(FL.rules_only(df), ["project"], rule_order())
 
 
 def rules_split(df: DataFrame) -> DataFrame:
@@ -120,13 +126,11 @@ def rules_split(df: DataFrame) -> DataFrame:
     rows); the counts are a partial-aggregated ``groupBy`` joined back, which
     is one row per project."""
     r = FL.rules_only(df)
-    w = Window.partitionBy("project", "category").orderBy(
-        F.col("priority").desc_nulls_last(), F.col("created_at").asc_nulls_last(), F.col("id"))
     counts = r.groupBy("project").agg(
         F.count(F.when(F.col("category") == "mandatory_rules", 1)).alias("n_mandatory"),
         F.count(F.when(F.col("category") == "forbidden_rules", 1)).alias("n_forbidden"),
         F.count(F.lit(1)).alias("total"))
-    return (r.withColumn("position", F.row_number().over(w))
+    return (rank_within(r, ["project", "category"], rule_order())
             .select("project", "category", "position", "id", "priority", "created_at")
             .join(counts, "project"))
 
@@ -155,9 +159,8 @@ def active_by_category(df: DataFrame, category: str = "sprint", n: int = S.ACTIV
 
 
 def export_order(df: DataFrame) -> DataFrame:
-    """Active notes by category, then title (then id)."""
-    w = Window.partitionBy("project").orderBy("category", "title", "id")
-    return FL.by_status(df, S.ACTIVE).withColumn("position", F.row_number().over(w))
+    """Active notes by category, then title (then id); skew-safe positions."""
+    return rank_within(FL.by_status(df, S.ACTIVE), ["project"], ["category", "title", "id"])
 
 
 def ordered_ids(ranked: DataFrame, name: str, group: str = "project") -> DataFrame:

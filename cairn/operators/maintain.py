@@ -376,12 +376,12 @@ def delete_projects(registry: DataFrame, slugs: DataFrame) -> DataFrame:
 def trail(provenance: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """Audit rows of the listed notes (all when None) with their
     position by (created_at, op_seq) and the note's total."""
-    from pyspark.sql import Window
+    from cairn.operators.ranking import rank_within
     p = provenance if ids is None else provenance.join(
         ids.select(F.col("id").alias("memory_id")).distinct(), "memory_id", "left_semi")
-    w = Window.partitionBy("memory_id").orderBy(F.col("created_at").asc_nulls_last(), F.col("op_seq"))
     totals = p.groupBy("memory_id").agg(F.count(F.lit(1)).alias("total"))
-    return p.withColumn("position", F.row_number().over(w)).join(totals, "memory_id")
+    ranked = rank_within(p, ["memory_id"], [F.col("created_at").asc_nulls_last(), F.col("op_seq")])
+    return ranked.join(totals, "memory_id")
 
 
 def trail_total(provenance: DataFrame) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from cairn import schema as S
 from cairn.operators import filters as FL
 from cairn.operators import listing as L
+from cairn.operators.ranking import next_within
 
 
 def replay(events: DataFrame, as_of=None) -> DataFrame:
@@ -40,9 +41,9 @@ def replay(events: DataFrame, as_of=None) -> DataFrame:
     starts = ev.filter(F.col("kind") == "start").select(
         "project", F.col("session_id").alias("id"), F.col("ts").alias("started_at"),
         F.col("seq").alias("start_seq"))
-    w = Window.partitionBy("project").orderBy("start_seq")
-    starts = (starts.withColumn("next_start", F.lead("started_at").over(w))
-              .withColumn("next_seq", F.lead("start_seq").over(w)))
+    # lead() over a project's starts, skew-safe (a project is never one task).
+    starts = next_within(starts, ["project"], ["start_seq"], ["started_at", "start_seq"]) \
+        .withColumnRenamed("next_started_at", "next_start").withColumnRenamed("next_start_seq", "next_seq")
     ends = ev.filter((F.col("kind") == "end") & F.col("session_id").isNotNull()).select(
         "project", F.col("session_id").alias("id"), F.col("seq").alias("end_seq"),
         F.struct(F.col("seq"), F.col("ts"), F.col("summary"),

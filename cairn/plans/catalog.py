@@ -119,9 +119,8 @@ FROM registry""", "registry"))
 def s4_read_projects(spark, sf):
     """Registry, newest access first (position is the global order; the
     registry is one row per project)."""
-    from pyspark.sql import Window
-    w = Window.orderBy(F.col("last_accessed").desc_nulls_last(), F.col("slug"))
-    return AD.registry(spark, sf).withColumn("position", F.row_number().over(w))
+    from cairn.operators.ranking import rank_within
+    return rank_within(AD.registry(spark, sf), [], [F.col("last_accessed").desc_nulls_last(), F.col("slug")])
 
 
 @register("s12_upgrade_v1", Osql("""
