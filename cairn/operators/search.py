@@ -189,6 +189,30 @@ def _query_frame(queries: DataFrame, oversample: int, with_min: bool) -> DataFra
         (lim * oversample).cast("long").alias("k"), qmin.cast("double").alias("q_min"))
 
 
+def choose_strategy(queries: DataFrame, strategy: str = "auto", max_broadcast_bytes: int = 64 << 20,
+                    oversample: int = S.SEARCH_OVERSAMPLE):
+    """Size check before anything is broadcast: query rows x bytes per
+    vector against ``max_broadcast_bytes``. Returns (strategy, n_queries,
+    k_max); one small aggregate job. The result is cached on the DataFrame
+    so the search and its join-back agree."""
+    cache = getattr(queries, "_cairn_strategy", None)
+    if cache is not None and strategy == "auto":
+        return cache
+    if strategy not in ("auto", "broadcast"):
+        return strategy, None, None
+    lim = F.coalesce(F.col("limit"), F.lit(S.SEARCH_LIMIT))
+    st = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim"),
+                     F.max(lim * oversample).alias("kmax")).first()
+    n_q, dim, kmax = st["n"], st["dim"] or 0, st["kmax"] or 1
+    est = n_q * (dim * 8 + 64)
+    if strategy == "broadcast" and est > max_broadcast_bytes:
+        raise ValueError(f"query batch of ~{est} bytes exceeds the broadcast bound")
+    out = ("broadcast" if est <= max_broadcast_bytes else "blocked", n_q, kmax)
+    if strategy == "auto":
+        queries._cairn_strategy = out
+    return out
+
+
 def candidates(queries: DataFrame, memories: DataFrame, as_of, oversample: int = S.SEARCH_OVERSAMPLE,
                apply_min_similarity: bool = True, strategy: str = "auto",
                max_broadcast_bytes: int = 64 << 20, block_rows: int = 20_000,
@@ -202,23 +226,12 @@ def candidates(queries: DataFrame, memories: DataFrame, as_of, oversample: int =
     spark = queries.sparkSession
     q = _query_frame(queries, oversample, apply_min_similarity)
     mem = searchable(memories, as_of)
-
-    n_q = None
-    if strategy in ("auto", "broadcast"):
-        # Size check before anything is broadcast: rows x bytes per vector.
-        stats = q.agg(F.count(F.lit(1)).alias("n"),
-                      F.max(F.size("q_embedding")).alias("dim"),
-                      F.max("k").alias("kmax")).first()
-        n_q, dim, kmax = stats["n"], stats["dim"] or 0, stats["kmax"] or 1
-        est = n_q * (dim * 8 + 64)
-        if strategy == "auto":
-            strategy = "broadcast" if est <= max_broadcast_bytes else "blocked"
-        elif est > max_broadcast_bytes:
-            raise ValueError(f"query batch of ~{est} bytes exceeds the broadcast bound")
+    strategy, n_q, kmax = choose_strategy(queries, strategy, max_broadcast_bytes, oversample)
 
     if strategy == "broadcast":
         if n_q == 0:
-            return spark.createDataFrame([], CANDIDATE_SCHEMA.add("rank_d", T.IntegerType()))
+            return spark.createDataFrame([], T.StructType(CANDIDATE_SCHEMA.fields + [
+                T.StructField("rank_d", T.IntegerType())]))
         pdf = q.toPandas()                                 # bounded by the check above
         groups = {}
         for (proj, status), g in pdf.groupby(["project", "status"], sort=False):
@@ -298,10 +311,16 @@ def rerank(cands: DataFrame, queries: DataFrame, as_of) -> DataFrame:
             .drop("q_category", "q_tags", "q_limit"))
 
 
-def attach_notes(hits: DataFrame, memories: DataFrame, columns: list[str]) -> DataFrame:
-    """Join note texts back onto hits. Hits are at most queries x limit rows;
-    AQE broadcasts them at run time when small, else it is a shuffle join."""
+def attach_notes(hits: DataFrame, memories: DataFrame, columns: list[str], bounded: bool = False) -> DataFrame:
+    """Join note texts back onto hits.
+
+    ``bounded``: the hits are at most (size-checked queries) x limit rows, so
+    they are broadcast; the memories scan then stays where it is (no
+    shuffle) and its project partitions are pruned by reusing that broadcast.
+    Otherwise it is a plain join planned by AQE."""
     side = memories.select("project", "id", *columns)
+    if bounded:
+        return side.join(F.broadcast(hits), ["project", "id"], "inner")
     return hits.join(side, ["project", "id"], "inner")
 
 
@@ -310,8 +329,9 @@ def search(queries: DataFrame, memories: DataFrame, as_of, **kw) -> DataFrame:
     ``relevance_score``, and the note as served (access_count as read, Q8)."""
     c = candidates(queries, memories, as_of, **kw)
     hits = rerank(c, queries, as_of)
+    bounded = choose_strategy(queries)[0] == "broadcast" and kw.get("strategy", "auto") != "blocked"
     return attach_notes(hits, memories, ["title", "summary", "content", "status", "priority",
-                                         "source", "created_at", "expires_at", "entities"])
+                                         "source", "created_at", "expires_at", "entities"], bounded)
 
 
 def access_events(hits: DataFrame) -> DataFrame:

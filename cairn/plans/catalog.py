@@ -53,7 +53,7 @@ def c1_search(spark, sf):
     mem = AD.memories(spark, sf)
     qs = AD.search_queries(spark, sf)
     hits = SR.rerank(SR.candidates(qs, mem, _as_of()), qs, _as_of())
-    hits = SR.attach_notes(hits, mem, ["title", "summary"])
+    hits = SR.attach_notes(hits, mem, ["title", "summary"], SR.choose_strategy(qs)[0] == "broadcast")
     return hits.select("query_id", "rank", "id", "title", "category", "similarity",
                        "relevance_score", "access_count", "summary")
 
