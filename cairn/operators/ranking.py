@@ -29,10 +29,32 @@ def _cols(xs) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 
 
+MAX_GROUP_CONF = "cairn.rank.maxGroupRows"
+DEFAULT_MAX_GROUP_ROWS = 2_000_000
+
+
+def largest_group(df: DataFrame, group: list[str]) -> int:
+    """Rows in the largest group: one partial-aggregated count job over the
+    group columns only."""
+    if not group:
+        return df.count()
+    return df.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
+
+
 def rank_within(df: DataFrame, group: list[str], order: list, name: str = "position",
-                num_partitions: int | None = None) -> DataFrame:
-    """Add ``name`` = 1-based position of each row within its group."""
+                num_partitions: int | None = None, max_group_rows: int | None = None) -> DataFrame:
+    """Add ``name`` = 1-based position of each row within its group.
+
+    When the largest group is at most ``max_group_rows`` (default from the
+    session conf ``cairn.rank.maxGroupRows``, 2,000,000) one task can sort
+    it, and this is a plain ``row_number()`` window. Beyond that the group is
+    split by range partitioning with a carry of earlier counts."""
     spark = df.sparkSession
+    if max_group_rows is None:
+        max_group_rows = int(spark.conf.get(MAX_GROUP_CONF, str(DEFAULT_MAX_GROUP_ROWS)))
+    if largest_group(df, group) <= max_group_rows:
+        w = Window.partitionBy(*group).orderBy(*_cols(order)) if group else Window.orderBy(*_cols(order))
+        return df.withColumn(name, F.row_number().over(w))
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ensure_checkpoint_dir(spark)
     # The range bounds come from sampling and the partition id is read after
@@ -54,10 +76,10 @@ def rank_within(df: DataFrame, group: list[str], order: list, name: str = "posit
 
 
 def next_within(df: DataFrame, group: list[str], order: list, cols: list[str],
-                prefix: str = "next_") -> DataFrame:
+                prefix: str = "next_", max_group_rows: int | None = None) -> DataFrame:
     """``lead(c)`` over (group, order) for each c in ``cols``: positions from
     ``rank_within`` and an equi-join of position p with p + 1 (both keys
     spread evenly, so no group lands in one task)."""
-    r = rank_within(df, group, order, "_pos")
+    r = rank_within(df, group, order, "_pos", max_group_rows=max_group_rows)
     nxt = r.select(*group, (F.col("_pos") - 1).alias("_pos"), *[F.col(c).alias(prefix + c) for c in cols])
     return r.join(nxt, [*group, "_pos"], "left").drop("_pos")

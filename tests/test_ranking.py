@@ -15,7 +15,7 @@ def _skewed(spark, n=3000):
 
 def test_rank_within_equals_window_on_hot_group(spark):
     df = _skewed(spark)
-    got = rank_within(df, ["g"], [F.col("k").desc(), "id"], num_partitions=8)
+    got = rank_within(df, ["g"], [F.col("k").desc(), "id"], num_partitions=8, max_group_rows=0)
     want = df.withColumn("position", F.row_number().over(Window.partitionBy("g").orderBy(F.col("k").desc(), "id")))
     assert sorted(got.select("g", "id", "position").collect()) == sorted(want.select("g", "id", "position").collect())
 
@@ -29,9 +29,31 @@ def test_hot_group_spans_several_tasks(spark):
 
 def test_global_rank_and_next(spark):
     df = _skewed(spark, 500)
-    got = rank_within(df, [], ["k", "id"], num_partitions=4)
+    got = rank_within(df, [], ["k", "id"], num_partitions=4, max_group_rows=0)
     want = df.withColumn("position", F.row_number().over(Window.orderBy("k", "id")))
     assert sorted(got.select("id", "position").collect()) == sorted(want.select("id", "position").collect())
-    nx = next_within(df, ["g"], ["k", "id"], ["id"])
+    nx = next_within(df, ["g"], ["k", "id"], ["id"], max_group_rows=0)
     want = df.withColumn("next_id", F.lead("id").over(Window.partitionBy("g").orderBy("k", "id")))
     assert sorted(nx.select("id", "next_id").collect()) == sorted(want.select("id", "next_id").collect())
+
+
+def test_small_groups_use_plain_window(spark):
+    df = _skewed(spark, 300)
+    got = rank_within(df, ["g"], ["k", "id"])
+    assert "Window" in got._jdf.queryExecution().optimizedPlan().toString()
+    want = df.withColumn("position", F.row_number().over(Window.partitionBy("g").orderBy("k", "id")))
+    assert sorted(got.select("id", "position").collect()) == sorted(want.select("id", "position").collect())
+
+
+def test_pipelines_equal_on_forced_skew_path(spark):
+    """Registered session and trail plans give the same rows on the skew path."""
+    from cairn.plans import catalog
+    sf = "/root/testdata/sf0.001"
+    names = ["s3_read_sessions", "c7_trail", "c5_rules"]
+    plain = {n: sorted(map(tuple, catalog.QUERIES[n](spark, sf).collect())) for n in names}
+    spark.conf.set("cairn.rank.maxGroupRows", "0")
+    try:
+        forced = {n: sorted(map(tuple, catalog.QUERIES[n](spark, sf).collect())) for n in names}
+    finally:
+        spark.conf.unset("cairn.rank.maxGroupRows")
+    assert plain == forced
