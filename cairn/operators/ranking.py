@@ -33,6 +33,21 @@ MAX_GROUP_CONF = "cairn.rank.maxGroupRows"
 DEFAULT_MAX_GROUP_ROWS = 2_000_000
 
 
+SMALL_INPUT_CONF = "cairn.rank.smallInputBytes"
+DEFAULT_SMALL_INPUT_BYTES = 256 << 20
+
+
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Sum of the plan's input (leaf) size estimates, without running a job.
+    Join estimates multiply; the inputs bound what any group can hold.
+    None if unavailable."""
+    try:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    except Exception:  # noqa: BLE001 - estimates are an optimisation only
+        return None
+
+
 def largest_group(df: DataFrame, group: list[str]) -> int:
     """Rows in the largest group: one partial-aggregated count job over the
     group columns only."""
@@ -52,7 +67,11 @@ def rank_within(df: DataFrame, group: list[str], order: list, name: str = "posit
     spark = df.sparkSession
     if max_group_rows is None:
         max_group_rows = int(spark.conf.get(MAX_GROUP_CONF, str(DEFAULT_MAX_GROUP_ROWS)))
-    if largest_group(df, group) <= max_group_rows:
+    small = int(spark.conf.get(SMALL_INPUT_CONF, str(DEFAULT_SMALL_INPUT_BYTES)))
+    est = estimated_bytes(df)
+    # A whole input this small cannot hold a hot group worth splitting: skip
+    # the counting job. Otherwise measure the largest group exactly.
+    if (max_group_rows > 0 and est is not None and est <= small) or largest_group(df, group) <= max_group_rows:
         w = Window.partitionBy(*group).orderBy(*_cols(order)) if group else Window.orderBy(*_cols(order))
         return df.withColumn(name, F.row_number().over(w))
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
