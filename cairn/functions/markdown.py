@@ -86,31 +86,54 @@ def _front_value(entries: Column, key: str) -> Column:
     return F.when(F.size(hits) > 0, F.element_at(hits, -1)["v"])
 
 
-def parse(text) -> Column:
-    """A struct of the importer's fields, or NULL without front matter.
-
-    Fields: id, category, title, status, source, metadata (strings; a value
-    in double quotes loses them), priority (int when all digits), tags (list
-    when bracketed), title_is_number / title_is_list flags, content (the
-    body without its first '# ' heading, the blank lines and one '> ' line
-    after it, and everything from the first kept line starting '## Related')."""
-    t = _c(text)
-    ok = t.rlike(FRONT_RE)
-    front = F.regexp_extract(t, FRONT_RE, 1)
-    body = strip_ws(F.regexp_extract(t, FRONT_RE, 2))
-
+def _entries(front: Column) -> Column:
+    """Front-matter ``key: value`` pairs (lambdas see only their element)."""
     raw = F.split(strip_ws(front), "\n", -1)
-    # `key: value` lines; key before the first ':'; both stripped.
     lines_kv = F.filter(F.transform(raw, lambda l: strip_ws(l)), lambda l: F.instr(l, ":") > 0)
     entries = F.transform(lines_kv, lambda l: F.struct(
         strip_ws(F.substring_index(l, ":", 1)).alias("k"),
         strip_ws(F.regexp_replace(l, r"\A[^:]*:", "")).alias("v")))
     # Strip one pair of surrounding double quotes.
-    entries = F.transform(entries, lambda e: F.struct(
+    return F.transform(entries, lambda e: F.struct(
         e["k"].alias("k"),
         F.when(e["v"].startswith('"') & e["v"].endswith('"'),
                F.regexp_replace(F.regexp_replace(e["v"], r'\A"', ""), r'"\z', "")).otherwise(e["v"]).alias("v")))
 
+
+def _staged_content(df, body_col: str, out: str):
+    """The importer's content rule on a stripped body column, one stage per
+    intermediate (each a column, so nothing is re-evaluated) and with array
+    slices only (no lambda refers to anything but its own element)."""
+    e = F.array().cast(S.STR_ARRAY)
+    df = df.withColumn("_l", F.split(F.col(body_col), "\n", -1))
+    df = (df.withColumn("_n", F.size("_l"))
+          .withColumn("_t", F.array_position(F.transform("_l", lambda l: l.startswith("# ")), True).cast("int"))
+          .withColumn("_b", F.transform("_l", lambda l: strip_ws(l) == "")))
+    # first non-blank line after the title, as an absolute index (0 = none)
+    df = df.withColumn("_r", F.array_position(
+        F.slice("_b", F.greatest(F.col("_t") + 1, F.lit(1)), F.greatest(F.col("_n") - F.col("_t"), F.lit(1))),
+        False).cast("int"))
+    df = df.withColumn("_s", F.when((F.col("_t") > 0) & (F.col("_t") < F.col("_n")) & (F.col("_r") > 0),
+                                    F.col("_t") + F.col("_r")).otherwise(F.lit(0)))
+    df = df.withColumn("_q", F.when(F.col("_s") > 0, F.element_at("_l", F.greatest(F.col("_s"), F.lit(1)))
+                                    .startswith("> ")).otherwise(F.lit(False)))
+    df = df.withColumn("_k", F.when(F.col("_s") == 0, F.col("_n")).when(F.col("_q"), F.col("_s"))
+                       .otherwise(F.col("_s") - 1))
+    before = F.when(F.col("_t") > 1, F.slice("_l", 1, F.greatest(F.col("_t") - 1, F.lit(1)))).otherwise(e)
+    after = F.when(F.col("_k") < F.col("_n"),
+                   F.slice("_l", F.least(F.col("_k") + 1, F.col("_n")), F.greatest(F.col("_n") - F.col("_k"), F.lit(1)))
+                   ).otherwise(e)
+    df = df.withColumn("_kept", F.when(F.col("_t") == 0, F.col("_l")).otherwise(F.concat(before, after)))
+    df = df.withColumn("_stop", F.array_position(F.transform("_kept", lambda l: l.startswith("## Related")),
+                                                  True).cast("int"))
+    kept = F.when(F.col("_stop") == 1, e).when(
+        F.col("_stop") > 1, F.slice("_kept", 1, F.greatest(F.col("_stop") - 1, F.lit(1)))).otherwise(F.col("_kept"))
+    return df.withColumn(out, strip_ws(F.array_join(kept, "\n"))).drop(
+        "_l", "_n", "_t", "_b", "_r", "_s", "_q", "_k", "_kept", "_stop")
+
+
+def _parsed(ok: Column, entries: Column, content: Column) -> Column:
+
     def as_list(v: Column) -> Column:
         inner = strip_ws(F.regexp_replace(F.regexp_replace(v, r"\A\[", ""), r"\]\z", ""))
         return F.when(v.startswith("[") & v.endswith("]"),
@@ -122,23 +145,6 @@ def parse(text) -> Column:
 
     title_v = _front_value(entries, "title")
     prio_v = _front_value(entries, "priority")
-    lines = F.split(body, "\n", -1)
-    n = F.size(lines)
-    is_head = F.transform(lines, lambda l: l.startswith("# "))
-    t_idx = F.array_position(is_head, True).cast("int")       # 1-based, 0 = none
-    after = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-                        lambda i: (i > t_idx) & (strip_ws(F.element_at(lines, i)) != ""))
-    s_idx = F.when(t_idx > 0, F.array_position(after, True).cast("int")).otherwise(F.lit(0))
-    s_quote = F.when(s_idx > 0, F.element_at(lines, F.greatest(s_idx, F.lit(1))).startswith("> ")).otherwise(F.lit(False))
-    # Unmatched title means nothing is skipped; with a title and no later
-    # non-blank line, everything after the title is blank and skipped.
-    skip_to = F.when(t_idx == 0, F.lit(0)).when(s_idx == 0, n).when(s_quote, s_idx).otherwise(s_idx - 1)
-    kept = F.filter(lines, lambda l, i: (t_idx == 0) | (i + 1 < t_idx) | (i + 1 > skip_to))
-    stop = F.array_position(F.transform(kept, lambda l: l.startswith("## Related")), True).cast("int")
-    kept = F.when(stop > 0, F.slice(kept, 1, F.greatest(stop - 1, F.lit(0)))).otherwise(kept)
-    kept = F.when(stop == 1, F.array().cast(S.STR_ARRAY)).otherwise(kept)
-    content = strip_ws(F.array_join(kept, "\n"))
-
     prio = F.when(is_digits(prio_v), prio_v.cast("int"))
     parsed = F.struct(
         _front_value(entries, "id").alias("id"),
@@ -154,3 +160,25 @@ def parse(text) -> Column:
         _front_value(entries, "metadata").alias("metadata"),
         content.alias("content"))
     return F.when(ok, parsed)
+
+
+def parse_df(df, text_col: str, out: str = "parsed"):
+    """Add a struct column ``out`` with the importer's fields, or NULL
+    when the text has no front matter.
+
+    Fields: id, category, title, status, source, metadata (strings; a value
+    in double quotes loses them), priority (int when all digits), tags (list
+    when bracketed), title_is_number / title_is_list flags, content (the
+    body without its first '# ' heading, the blank lines and one '> ' line
+    after it, and everything from the first kept line starting '## Related').
+
+    A staged transform: front matter, body and each line-level intermediate
+    are computed once as their own columns."""
+    t = F.col(text_col)
+    staged = (df.withColumn("_md_ok", t.rlike(FRONT_RE))
+              .withColumn("_md_front", F.regexp_extract(t, FRONT_RE, 1))
+              .withColumn("_md_body", strip_ws(F.regexp_extract(t, FRONT_RE, 2))))
+    staged = staged.withColumn("_md_entries", _entries(F.col("_md_front")))
+    staged = _staged_content(staged, "_md_body", "_md_content")
+    return staged.withColumn(out, _parsed(F.col("_md_ok"), F.col("_md_entries"), F.col("_md_content"))) \
+        .drop("_md_ok", "_md_front", "_md_body", "_md_entries", "_md_content")

@@ -816,3 +816,42 @@ def m7_reembed(spark, sf):
     """Re-embed active notes with a new model; state plus audit count."""
     impact, state, trail = EM.reembed_for_model(_mem(spark, sf), "previous-model", EM.HashEmbedder(), _as_of())
     return state.select("project", "id", "status", F.size("embedding").alias("dim"), "updated_at")
+
+
+# ------------------------------------------------------ interchange (N, S7)
+
+from cairn.functions import markdown as MD  # noqa: E402
+from cairn.sources import markdown_tree as MT  # noqa: E402
+
+
+@register("n5_render_markdown", Osql(f"SELECT id, {O.render_sql()} AS markdown FROM memories", "memories"))
+def n5_render_markdown(spark, sf):
+    """Every note rendered as its Markdown file text."""
+    return _mem(spark, sf).select("id", MD.render_row().alias("markdown"))
+
+
+@register("n4_parse_markdown", Osql(f"""
+SELECT id, id AS p_id, category,
+       CASE WHEN regexp_full_match(title, '[0-9]+') THEN CAST(CAST(title AS DECIMAL(38,0)) AS VARCHAR) ELSE title END AS title,
+       status, priority,
+       CASE WHEN len(coalesce(tags, CAST([] AS VARCHAR[]))) > 0 THEN tags END AS tags, source,
+       {O.strip_ws("array_to_string(CASE WHEN r > 0 THEN ls[1:r - 1] ELSE ls END, chr(10))")} AS content
+FROM (SELECT *, list_position(list_transform(ls, lambda l: starts_with(l, '## Related')), true) AS r
+      FROM (SELECT *, string_split({O.strip_ws('content')}, chr(10)) AS ls FROM memories))""", "memories"))
+def n4_parse_markdown(spark, sf):
+    """N4 over N5: each note rendered and parsed back (lossy rules applied)."""
+    p = MD.parse_df(_mem(spark, sf).select("id", MD.render_row().alias("md")), "md", "p")
+    return p.select("id", F.col("p.id").alias("p_id"), F.col("p.category").alias("category"),
+                    F.col("p.title").alias("title"), F.col("p.status").alias("status"),
+                    F.col("p.priority").alias("priority"), F.col("p.tags").alias("tags"),
+                    F.col("p.source").alias("source"), F.col("p.content").alias("content"))
+
+
+@register("s7_rendered_files", Osql(f"""
+SELECT project, category || '/' || substring({O.slugify_sql('title')}, 1, 60) || '.md' AS rel,
+       arg_max({O.render_sql()}, (title, id)) AS body, count(*) AS notes
+FROM memories WHERE status = 'active' GROUP BY 1, 2""", "memories"))
+def s7_rendered_files(spark, sf):
+    """S7 content: the file set of each project's export after same-slug
+    collisions (last by title, id wins)."""
+    return MT.rendered_files(FL.by_status(_mem(spark, sf), S.ACTIVE), ["project"])

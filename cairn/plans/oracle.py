@@ -483,3 +483,33 @@ store_notes AS (
          {expiry_sql('category', rule_priority_sql('category', 'coalesce(priority, 0)'), AS_OF)} AS expires_at,
          {AS_OF} AS created_at, op_seq
   FROM store_ok)"""
+
+
+def json_string_sql(e: str) -> str:
+    s = f"replace({e}, '\\', '\\\\')"
+    s = f"replace({s}, '\"', '\\\"')"
+    s = f"replace({s}, chr(10), '\\n')"
+    s = f"replace({s}, chr(13), '\\r')"
+    s = f"replace({s}, chr(9), '\\t')"
+    return f"('\"' || {s} || '\"')"
+
+
+def render_sql() -> str:
+    """N5 over the columns of ``memories``."""
+    opt = lambda cond, val: f"CASE WHEN {cond} THEN [{val}] ELSE CAST([] AS VARCHAR[]) END"
+    return f"""array_to_string(flatten([
+  ['---', 'id: ' || id, 'category: ' || category, 'title: "' || title || '"', 'status: ' || status,
+   'priority: ' || CAST(priority AS VARCHAR)],
+  {opt("len(coalesce(tags, CAST([] AS VARCHAR[]))) > 0", "'tags: [' || array_to_string(tags, ', ') || ']'")},
+  {opt("len(coalesce(entities, CAST([] AS VARCHAR[]))) > 0", "'entities: [' || array_to_string(entities, ', ') || ']'")},
+  {opt("source IS NOT NULL AND source <> ''", "'source: ' || source")},
+  {opt("expires_at IS NOT NULL", "'expires_at: ' || " + ts_text_sql('expires_at'))},
+  {opt("created_at IS NOT NULL", "'created_at: ' || " + ts_text_sql('created_at'))},
+  {opt("updated_at IS NOT NULL", "'updated_at: ' || " + ts_text_sql('updated_at'))},
+  {opt("metadata IS NOT NULL AND metadata <> ''", "'metadata: ' || " + json_string_sql('metadata'))},
+  ['---', '', '# ' || title, ''],
+  CASE WHEN summary IS NOT NULL AND summary <> '' THEN ['> ' || summary, ''] ELSE CAST([] AS VARCHAR[]) END,
+  [coalesce(content, ''), ''],
+  CASE WHEN len(coalesce(related_ids, CAST([] AS VARCHAR[]))) > 0
+       THEN flatten([['## Related'], list_transform(related_ids, lambda r: '- ' || r), ['']])
+       ELSE CAST([] AS VARCHAR[]) END]), chr(10))"""

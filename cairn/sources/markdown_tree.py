@@ -70,7 +70,7 @@ def parsed_notes(files: DataFrame) -> DataFrame:
     """N4 over S6 rows: importer fields, defaults applied (title = stem,
     source = 'import', priority 0, tags []). Files without front matter get
     an error ('Failed to parse: <name>')."""
-    p = files.withColumn("p", MD.parse(F.col("text")))
+    p = MD.parse_df(files, "text", "p")
     fname = F.concat(F.col("stem"), F.lit(".md"))
     err = (F.when(F.col("error").isNotNull(), F.col("error"))
            .when(F.col("p").isNull(), F.concat(F.lit("Failed to parse: "), fname)))
@@ -126,15 +126,18 @@ def _writer(base: str):
     return run
 
 
-def rendered_files(active: DataFrame) -> DataFrame:
-    """S7 content: one (relative path, text) per file. Two titles with one
-    slug in one category write one file; the later in (title, id) order
-    wins, as the reference's write order did (Q15)."""
+def rendered_files(active: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """S7 content: one (relative path, text) per file (per ``keys``, e.g.
+    project). Two titles with one slug in one category write one file; the
+    later in (title, id) order wins, as the reference's write order did (Q15).
+    A grouped ``max_by``: partial aggregation, no group gathered whole."""
+    keys = keys or []
     r = active.select(
-        "category", "title", "id",
+        *keys, "category", "title", "id",
         F.concat(F.col("category"), F.lit("/"), X.file_slug("title"), F.lit(".md")).alias("rel"),
         MD.render_row().alias("body"))
-    return r.groupBy("rel").agg(F.max_by("body", F.struct("title", "id")).alias("body"))
+    return r.groupBy(*keys, "rel").agg(F.max_by("body", F.struct("title", "id")).alias("body"),
+                                       F.count(F.lit(1)).alias("notes"))
 
 
 def index_lines(active: DataFrame, project: str, as_of) -> DataFrame:
@@ -179,7 +182,7 @@ def export(memories: DataFrame, project: str, root: str, as_of) -> tuple[DataFra
     if active.limit(1).count() == 0:
         return memories.sparkSession.createDataFrame([], WRITE_SCHEMA), counts
     base = _export_dir(root)
-    files = rendered_files(active).mapInPandas(_writer(base), WRITE_SCHEMA)
+    files = rendered_files(active).select("rel", "body").mapInPandas(_writer(base), WRITE_SCHEMA)
     written = files.collect()  # one row per file written (path, size): the action
     # The index is one document, so its lines stream in order through one
     # writer task (a global sort, then coalesce keeps the order); memory

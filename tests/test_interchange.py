@@ -26,7 +26,7 @@ def _notes(spark, project, items):
 
 
 def _parse(spark, text):
-    return spark.createDataFrame([(text,)], "t string").select(MD.parse("t").alias("p")).first().p
+    return MD.parse_df(spark.createDataFrame([(text,)], "t string"), "t", "p").first().p
 
 
 def test_parse_edge_cases(spark):
