@@ -175,6 +175,31 @@ def entities_of(text) -> Column:
     return F.array_sort(F.array_distinct(parts))
 
 
+def with_entities(df, text, out: str = "entities"):
+    """E9 as a staged transform: the token pass is its own column, so the
+    three token filters do not each re-run the regex over the whole text."""
+    t = _c(text)
+    df = df.withColumn("_e_tok", F.regexp_extract_all(t, F.lit(CAP_TOKEN_RE), 0))
+    tok = F.col("_e_tok")
+    stop = F.array(*[F.lit(w) for w in S.ACRONYM_STOPWORDS])
+    parts = F.concat(
+        F.filter(tok, lambda x: x.rlike(CAMEL_FULL)),
+        F.array_except(F.filter(tok, lambda x: x.rlike(ACRONYM_FULL)), stop),
+        F.array_intersect(tok, F.array(*[F.lit(w) for w in _TECH_PLAIN])),
+        F.regexp_extract_all(t, F.lit(TECH_OTHER_RE), 0),
+        F.regexp_extract_all(t, F.lit(TAG_RE), 0),
+        double_quoted(t),
+        single_quoted(t),
+    )
+    return df.withColumn(out, F.array_sort(F.array_distinct(parts))).drop("_e_tok")
+
+
+def with_summary(df, title, content, out: str = "summary"):
+    """E1 as a staged transform (the first sentence is its own column)."""
+    df = df.withColumn("_s_first", first_sentence(content))
+    return df.withColumn(out, summary_of_first(title, "_s_first")).drop("_s_first")
+
+
 def entities(title, content) -> Column:
     """Entities of ``title + ' ' + content``."""
     return entities_of(F.concat(_c(title), F.lit(" "), _c(content)))

@@ -131,11 +131,14 @@ def store(batch: DataFrame, as_of, embedder=None) -> tuple[DataFrame, DataFrame,
     ok, rejected = FL.valid_category(batch)
     ts = FL._ts(as_of)
     prio = X.rule_priority("category", F.coalesce("priority", F.lit(0)))
+    ok = X.with_summary(ok, "title", "content", "_summary")
+    ok = X.with_entities(ok.withColumn("_etext", F.concat(F.col("title"), F.lit(" "), F.col("content"))),
+                         "_etext", "_entities")
     notes = ok.select(
         "project",
         X.note_id("project", "title", "content", "op_seq").alias("id"),
         "category", "title", "content",
-        X.summary("title", "content").alias("summary"),
+        F.col("_summary").alias("summary"),
         F.coalesce("tags", F.array().cast(S.STR_ARRAY)).alias("tags"),
         F.when(F.col("metadata").isin("{}", "null"), F.lit(None).cast("string"))
          .otherwise(F.col("metadata")).alias("metadata"),
@@ -144,7 +147,7 @@ def store(batch: DataFrame, as_of, embedder=None) -> tuple[DataFrame, DataFrame,
         prio.cast("int").alias("priority"),
         F.coalesce("source", F.lit("assistant")).alias("source"),
         F.coalesce("related_ids", F.array().cast(S.STR_ARRAY)).alias("related_ids"),
-        X.entities("title", "content").alias("entities"),
+        F.col("_entities").alias("entities"),
         F.lit(0).alias("access_count"),
         X.expiry("category", prio, ts).alias("expires_at"),
         ts.alias("created_at"), ts.alias("updated_at"),
@@ -227,11 +230,12 @@ def update(memories: DataFrame, patches: DataFrame, as_of, embedder=None):
     call with its ``changed_fields``."""
     over, rejected = patch_join(memories, patches)
     ts = FL._ts(as_of)
-    out = over.withColumn("summary", F.when(F.col("text_changed"), X.summary("derive_title", "derive_content"))
-                          .otherwise(F.col("summary"))) \
-              .withColumn("entities", F.when(F.col("text_changed"), X.entities("derive_title", "derive_content"))
-                          .otherwise(F.col("entities"))) \
-              .withColumn("updated_at", ts)
+    over = X.with_summary(over, "derive_title", "derive_content", "_summary")
+    over = X.with_entities(over.withColumn(
+        "_etext", F.concat(F.col("derive_title"), F.lit(" "), F.col("derive_content"))), "_etext", "_entities")
+    out = over.withColumn("summary", F.when(F.col("text_changed"), F.col("_summary")).otherwise(F.col("summary"))) \
+              .withColumn("entities", F.when(F.col("text_changed"), F.col("_entities")).otherwise(F.col("entities"))) \
+              .withColumn("updated_at", ts).drop("_summary", "_entities", "_etext")
     if embedder is not None:
         out = embedder.embed(out.withColumn("_etext", X.embedding_text("derive_title", "derive_content")),
                              "_etext", "_new_vec")
@@ -317,9 +321,10 @@ def import_apply(memories: DataFrame, diff: DataFrame, as_of, embedder=None):
     u = (memories.join(upd, ["project", "id"], "inner")
          .withColumn("title", F.col("n_title")).withColumn("content", F.col("n_content"))
          .withColumn("tags", F.coalesce("n_tags", F.array().cast(S.STR_ARRAY)))
-         .withColumn("summary", X.summary("title", "content"))
-         .withColumn("entities", X.entities("title", "content"))
          .withColumn("updated_at", ts))
+    u = X.with_summary(u, "title", "content")
+    u = X.with_entities(u.withColumn("_etext", F.concat(F.col("title"), F.lit(" "), F.col("content"))),
+                        "_etext").drop("_etext")
     if embedder is not None:
         u = embedder.embed(u.withColumn("_etext", X.embedding_text("title", "content")), "_etext", "embedding") \
             .drop("_etext")

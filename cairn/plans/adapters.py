@@ -99,12 +99,12 @@ def derive_memories(spark: SparkSession, sf_dir: str, as_of=None) -> DataFrame:
         created.alias("created_at"),
         F.timestamp_add("HOUR", (i % 7).cast("int"), created).alias("updated_at"),
     )
-    base = base.withColumn("_first", X.first_sentence("content"))
+    base = X.with_summary(base, "title", "content")
+    base = X.with_entities(base.withColumn("_etext", F.concat(F.col("title"), F.lit(" "), F.col("content"))),
+                           "_etext")
     return base.select(
-        "project", "id", "category", "title", "content",
-        X.summary_of_first("title", "_first").alias("summary"),
-        "tags", "metadata", "embedding", "status", "priority", "source", "related_ids",
-        X.entities("title", "content").alias("entities"),
+        "project", "id", "category", "title", "content", "summary",
+        "tags", "metadata", "embedding", "status", "priority", "source", "related_ids", "entities",
         "access_count",
         X.expiry("category", "priority", "created_at").alias("expires_at"),
         "created_at", "updated_at",
