@@ -20,7 +20,7 @@ sys.path.insert(0, ROOT)
 
 HEADLINE = ["c1_search", "c2_search_budgeted", "t1_vector_topk", "c3_recall", "c4_list", "c5_rules",
             "c6_session_digest", "c7_trail", "m1_store", "m2_update", "m5_bump_access", "m8_import_apply",
-            "j4_import_diff", "e9_entities"]
+            "j4_import_diff", "e9_entities", "n4_parse_markdown", "v6_embed"]
 
 
 def main() -> None:
@@ -47,9 +47,11 @@ def main() -> None:
         q(spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[n] = round(time.perf_counter() - t0, 3)
 
+    n_docs = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    extra = {"embed_texts_per_sec": round(n_docs / times["v6_embed"], 1)} if "v6_embed" in times else {}
     sf = sf_dir.rsplit("sf", 1)[-1]
     print(json.dumps({"metric": "total_query_seconds", "value": round(sum(times.values()), 3), "unit": "sec",
-                      "queries": times, "sf": float(sf) if sf.replace(".", "").isdigit() else sf}))
+                      "queries": times, **extra, "sf": float(sf) if sf.replace(".", "").isdigit() else sf}))
     spark.stop()
 
 

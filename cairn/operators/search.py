@@ -228,11 +228,14 @@ def candidates(queries: DataFrame, memories: DataFrame, as_of, oversample: int =
     mem = searchable(memories, as_of)
     strategy, n_q, kmax = choose_strategy(queries, strategy, max_broadcast_bytes, oversample)
 
+    bc = None
     if strategy == "broadcast":
         if n_q == 0:
             return spark.createDataFrame([], T.StructType(CANDIDATE_SCHEMA.fields + [
                 T.StructField("rank_d", T.IntegerType())]))
-        pdf = q.toPandas()                                 # bounded by the check above
+        # Bounded by the size check; `limit` makes the bound hold even if the
+        # input changed since the check.
+        pdf = q.limit(int(n_q)).toPandas()
         groups = {}
         for (proj, status), g in pdf.groupby(["project", "status"], sort=False):
             g = g.reset_index(drop=True)
@@ -244,7 +247,11 @@ def candidates(queries: DataFrame, memories: DataFrame, as_of, oversample: int =
                 "ids": g["query_id"].to_numpy(dtype=np.int64), "mat": mat, "dim": dim_g,
                 "k": g["k"].to_numpy(dtype=np.int64), "min": g["q_min"].to_numpy(dtype=np.float64)}
         k_by_query = dict(zip(pdf["query_id"].astype(np.int64), pdf["k"].astype(np.int64)))
-        bc = spark.sparkContext.broadcast({"groups": groups, "k_by_query": k_by_query})
+        try:
+            bc = spark.sparkContext.broadcast({"groups": groups, "k_by_query": k_by_query})
+        except Exception:  # noqa: BLE001 - no SparkContext (e.g. a remote session)
+            strategy, bc = "blocked", None
+    if bc is not None:
         projects = sorted({p for p, _ in groups})
         # Prune the scan to queried projects (partition pruning on a
         # project-partitioned table); the kernel skips other statuses.
