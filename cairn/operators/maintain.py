@@ -52,20 +52,22 @@ def lookup_by_id(memories: DataFrame, requests: DataFrame) -> tuple[DataFrame, D
     return found, missing
 
 
-def first_by_title(memories: DataFrame) -> DataFrame:
+def first_by_title(memories: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """The note a title lookup returns: active, newest ``updated_at``, ties by
     the larger id. One grouped ``max_by`` per (project, title), so a title
-    shared by a third of all rows is reduced map-side before any join."""
+    shared by a third of all rows is reduced map-side before any join. Only
+    ``columns`` (default: all) ride in the aggregation buffer."""
     act = FL.by_status(memories, S.ACTIVE)
-    cols = [c for c in memories.columns if c not in ("project", "title")]
+    keep = columns or memories.columns
+    cols = [c for c in dict.fromkeys(["id", "updated_at", *keep]) if c not in ("project", "title")]
     best = act.groupBy("project", "title").agg(
         F.max_by(F.struct(*cols), F.struct("updated_at", "id")).alias("m"))
     return best.select("project", "title", "m.*")
 
 
-def lookup_by_title(memories: DataFrame, requests: DataFrame) -> DataFrame:
+def lookup_by_title(memories: DataFrame, requests: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Exact title, active only, first match."""
-    return requests.join(first_by_title(memories), ["project", "title"], "inner")
+    return requests.join(first_by_title(memories, columns), ["project", "title"], "inner")
 
 
 def recall(memories: DataFrame, requests: DataFrame, as_of) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -83,7 +85,7 @@ def recall(memories: DataFrame, requests: DataFrame, as_of) -> tuple[DataFrame,
     keep = ["category", "status", "access_count"]
     m = memories.select(F.col("project").alias("_p"), F.col("id").alias("_id"), F.col("title").alias("_t"),
                         *[F.col(k).alias(f"_m_{k}") for k in keep])
-    f = first_by_title(memories).select(F.col("project").alias("_fp"), F.col("title").alias("_ft"),
+    f = first_by_title(memories, keep).select(F.col("project").alias("_fp"), F.col("title").alias("_ft"),
                                         F.col("id").alias("_fid"), *[F.col(k).alias(f"_f_{k}") for k in keep])
     j = r.join(m, (F.col("project") == F.col("_p")) & (F.col("id") == F.col("_id")) & F.col("_by_id"), "left")
     j = j.join(f, (F.col("project") == F.col("_fp")) & (F.col("title") == F.col("_ft")) & F.col("_by_title"), "left")

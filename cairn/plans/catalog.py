@@ -347,7 +347,7 @@ FROM recall_requests r JOIN first_title f ON f.project = r.project AND f.title =
 WHERE r.id IS NULL""", "memories", "recall_requests", extra=_FIRST_TITLE.strip()))
 def j2_lookup_by_title(spark, sf):
     req = AD.recall_requests(spark, sf).filter(F.col("id").isNull() & F.col("title").isNotNull())
-    return M.lookup_by_title(_mem(spark, sf), req.select("request_id", "project", "title")).select(
+    return M.lookup_by_title(_mem(spark, sf), req.select("request_id", "project", "title"), ["updated_at"]).select(
         "request_id", "id", "title", "updated_at")
 
 

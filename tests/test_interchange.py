@@ -97,3 +97,12 @@ def test_snapshot_attach_sync(spark, tmpdir_path):
     assert created and reg4.first().slug == "newproj"
     _, _, err = SN.sync_snapshot(spark, reg, os.path.join(tmpdir_path, "missing"), _ts())
     assert err is not None
+
+
+def test_project_info(spark):
+    reg = spark.createDataFrame([
+        ("a", "A", None, AS_OF, AS_OF, "x"),
+        ("b", "B", "d", AS_OF, AS_OF + dt.timedelta(days=1), "y")], S.PROJECTS)
+    assert [r.slug for r in SN.project_info(reg).collect()] == ["b", "a"]
+    assert SN.project_info(reg, "a").first().display_name == "A"
+    assert SN.project_info(reg, "zz").count() == 0
