@@ -106,6 +106,35 @@ def local_topk(q_ids: np.ndarray, q_mat: np.ndarray, q_k: np.ndarray, q_min: np.
     return r[keep], order[c[keep]], d[keep]
 
 
+def local_topk_chunked(q_ids, q_mat, q_k, q_min, m_ids, m_mat, q_chunk: int = 1024, m_chunk: int = 8192):
+    """``local_topk`` over a block of any size with bounded memory: the score
+    matrix is built in (query chunk x note chunk) tiles of at most
+    ``q_chunk * m_chunk`` doubles; per query the tiles' cuts are merged by
+    (distance, id). Exact: each tile keeps every row that could be in the
+    query's top-k."""
+    nq, nm = len(q_ids), len(m_ids)
+    if nq <= q_chunk and nm <= m_chunk:
+        return local_topk(q_ids, q_mat, q_k, q_min, m_ids, m_mat)
+    id_rank = np.empty(nm, dtype=np.int64)
+    id_rank[np.argsort(m_ids, kind="stable")] = np.arange(nm)
+    rs, ms, ds = [], [], []
+    for q0 in range(0, nq, q_chunk):
+        q1 = min(nq, q0 + q_chunk)
+        for m0 in range(0, nm, m_chunk):
+            m1 = min(nm, m0 + m_chunk)
+            r, mi, d = local_topk(q_ids[q0:q1], q_mat[q0:q1], q_k[q0:q1], q_min[q0:q1],
+                                  m_ids[m0:m1], m_mat[m0:m1])
+            rs.append(r + q0)
+            ms.append(mi + m0)
+            ds.append(d)
+    r, mi, d = np.concatenate(rs), np.concatenate(ms), np.concatenate(ds)
+    o = np.lexsort((id_rank[mi], d, r))
+    r, mi, d = r[o], mi[o], d[o]
+    first = np.searchsorted(r, r, side="left")
+    keep = (np.arange(len(r)) - first) < q_k[r]
+    return r[keep], mi[keep], d[keep]
+
+
 def _emit(q_ids, proj, r, m_idx, d, g: pd.DataFrame) -> pd.DataFrame:
     sub = g.iloc[m_idx]
     return pd.DataFrame({
@@ -134,10 +163,11 @@ def _final_cut(frames: list[pd.DataFrame], kq: dict) -> pd.DataFrame:
 def _broadcast_kernel(bc):
     def run(batches):
         info = bc.value
-        frames = []
+        kept = None                                   # running top-k of this task
         for pdf in batches:
             if pdf.empty:
                 continue
+            frames = [] if kept is None else [kept]
             for (proj, status), g in pdf.groupby(["project", "status"], sort=False):
                 qi = info["groups"].get((proj, status))
                 if qi is None:
@@ -145,13 +175,15 @@ def _broadcast_kernel(bc):
                 g = g.reset_index(drop=True)
                 mat, ok, _ = _unit_rows(g["embedding"], qi["dim"])
                 g = g[ok].reset_index(drop=True)
-                r, mi, d = local_topk(qi["ids"], qi["mat"], qi["k"], qi["min"],
-                                      g["id"].to_numpy(dtype=object), mat)
+                r, mi, d = local_topk_chunked(qi["ids"], qi["mat"], qi["k"], qi["min"],
+                                              g["id"].to_numpy(dtype=object), mat)
                 if len(r):
                     frames.append(_emit(qi["ids"], proj, r, mi, d, g))
-        out = _final_cut(frames, info["k_by_query"])
-        if len(out):
-            yield out
+            # merge after every batch: a task holds at most queries x k rows
+            if frames:
+                kept = _final_cut(frames, info["k_by_query"])
+        if kept is not None and len(kept):
+            yield kept
     return run
 
 
@@ -164,8 +196,8 @@ def _blocked_kernel(keys, mem: pd.DataFrame, qry: pd.DataFrame) -> pd.DataFrame:
     mem = mem[ok].reset_index(drop=True)
     q_ids = qry["query_id"].to_numpy(dtype=np.int64)
     q_k = qry["k"].to_numpy(dtype=np.int64)
-    r, mi, d = local_topk(q_ids, qmat, q_k, qry["q_min"].to_numpy(dtype=np.float64),
-                          mem["id"].to_numpy(dtype=object), mat)
+    r, mi, d = local_topk_chunked(q_ids, qmat, q_k, qry["q_min"].to_numpy(dtype=np.float64),
+                                  mem["id"].to_numpy(dtype=object), mat)
     out = _emit(q_ids, mem["project"].iloc[0] if len(mem) else None, r, mi, d, mem)
     return out
 

@@ -105,3 +105,16 @@ def test_budgeted_search_keys(spark):
     out = {r.id: r for r in SR.search_budgeted(q, mem, _ts(spark)).collect()}
     assert out["s"].fits and not out["l"].fits
     assert out["s"].tokens_used == 3 and out["s"].has_more
+
+
+def test_chunked_topk_equals_single_block():
+    rng = np.random.default_rng(7)
+    q = rng.normal(size=(37, 8)); q /= np.linalg.norm(q, axis=1, keepdims=True)
+    m = rng.normal(size=(301, 8)); m /= np.linalg.norm(m, axis=1, keepdims=True)
+    m[50] = m[49]                                            # an exact tie
+    ids = np.array([f"n{i:04d}" for i in rng.permutation(301)], dtype=object)
+    qid, k, qmin = np.arange(37), np.full(37, 6), np.full(37, -np.inf)
+    a = SR.local_topk(qid, q, k, qmin, ids, m)
+    b = SR.local_topk_chunked(qid, q, k, qmin, ids, m, q_chunk=5, m_chunk=17)
+    key = lambda t: sorted(zip(t[0].tolist(), ids[t[1]].tolist()))
+    assert key(a) == key(b)
