@@ -83,7 +83,6 @@ def parsed_notes(files: DataFrame) -> DataFrame:
         F.coalesce(F.col("p.source"), F.lit("import")).alias("source"),
         F.col("p.metadata").alias("metadata"),
         err.alias("error"),
-        F.monotonically_increasing_id().alias("_mono"),
         F.col("path"))
 
 
@@ -173,24 +172,24 @@ def index_lines(active: DataFrame, project: str, as_of) -> DataFrame:
     return head.unionByName(table).unionByName(gap).unionByName(heads).unionByName(links).unionByName(tails)
 
 
-def export(memories: DataFrame, project: str, root: str, as_of) -> tuple[DataFrame, DataFrame]:
+def export(memories: DataFrame, project: str, root: str, as_of) -> tuple[dict, DataFrame]:
     """Write the active notes of ``project`` as a Markdown tree plus the
-    index. Returns (files written, count per category). No active note ->
-    nothing is written and the count is empty."""
+    index. Returns (summary, count per category); the summary holds the
+    number of note files and bytes written (one aggregate row, nothing per
+    file reaches the driver). No active note -> nothing is written."""
     active = FL.by_status(memories.filter(F.col("project") == project), S.ACTIVE)
     counts = active.groupBy("category").agg(F.count(F.lit(1)).alias("exported"))
     if active.limit(1).count() == 0:
-        return memories.sparkSession.createDataFrame([], WRITE_SCHEMA), counts
+        return {"files": 0, "bytes": 0, "index": None}, counts
     base = _export_dir(root)
     files = rendered_files(active).select("rel", "body").mapInPandas(_writer(base), WRITE_SCHEMA)
-    written = files.collect()  # one row per file written (path, size): the action
+    agg = files.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
     # The index is one document, so its lines stream in order through one
     # writer task (a global sort, then coalesce keeps the order); memory
     # stays bounded by one Arrow batch.
     lines = index_lines(active, project, as_of).orderBy("k1", "k2", "k3").coalesce(1).select("line")
-    idx_written = lines.mapInPandas(_line_writer(base, S.EXPORT_INDEX_NAME), WRITE_SCHEMA).collect()
-    spark = memories.sparkSession
-    return spark.createDataFrame(written + idx_written, WRITE_SCHEMA), counts
+    idx = lines.mapInPandas(_line_writer(base, S.EXPORT_INDEX_NAME), WRITE_SCHEMA).first()
+    return {"files": int(agg["files"]), "bytes": int(agg["bytes"]), "index": idx["path"]}, counts
 
 
 # ------------------------------------------------------------------ C9
@@ -203,8 +202,9 @@ def import_tree(memories: DataFrame, root: str, project: str, as_of, embedder=No
     parsed = parsed_notes(files)
     errors = parsed.filter(F.col("error").isNotNull()).select("project", "error")
     ok = parsed.filter(F.col("error").isNull())
-    base_seq = F.row_number().over(Window.orderBy("path")).cast("long")
-    ok = ok.withColumn("op_seq", base_seq).drop("_mono", "error", "path")
+    # A per-file sequence key for the repeatable id: a hash of the path (no
+    # global numbering window, which would put every file in one task).
+    ok = ok.withColumn("op_seq", F.xxhash64("path")).drop("error", "path")
     # A parsed id that is empty counts as absent.
     ok = ok.withColumn("id", F.when(F.col("id") == "", F.lit(None)).otherwise(F.col("id")))
     diff = M.import_diff(ok, memories)

@@ -55,7 +55,8 @@ def test_export_layout_and_import_round_trip(spark, tmpdir_path):
     mem = _notes(spark, "src", [("decision", "Use Redis", "Redis for caching."),
                                 ("architecture", "Layers", "Three layers."),
                                 ("devops", "Deploy", "Docker on AWS.")])
-    files, counts = MT.export(mem, "src", tmpdir_path, _ts())
+    summary, counts = MT.export(mem, "src", tmpdir_path, _ts())
+    assert summary["files"] == 3 and summary["index"].endswith("MEMORY_INDEX.md")
     base = os.path.join(tmpdir_path, ".memory")
     assert sorted(os.listdir(base)) == ["MEMORY_INDEX.md", "architecture", "decision", "devops"]
     assert os.listdir(os.path.join(base, "decision")) == ["use-redis.md"]
@@ -81,8 +82,8 @@ def test_export_layout_and_import_round_trip(spark, tmpdir_path):
 
 def test_no_active_notes_exports_nothing(spark, tmpdir_path):
     mem = _notes(spark, "p", [("decision", "A", "b")]).withColumn("status", F.lit("archived"))
-    files, counts = MT.export(mem, "p", tmpdir_path, _ts())
-    assert files.count() == 0 and not os.path.exists(os.path.join(tmpdir_path, ".memory"))
+    summary, counts = MT.export(mem, "p", tmpdir_path, _ts())
+    assert summary["files"] == 0 and not os.path.exists(os.path.join(tmpdir_path, ".memory"))
 
 
 def test_snapshot_attach_sync(spark, tmpdir_path):
