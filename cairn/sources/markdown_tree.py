@@ -16,7 +16,7 @@ from __future__ import annotations
 import datetime as _dt
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -140,35 +140,38 @@ def rendered_files(active: DataFrame, keys: list[str] | None = None) -> DataFram
 
 
 def index_lines(active: DataFrame, project: str, as_of) -> DataFrame:
-    """Lines of the index document with an ordering key (k1, k2, k3):
+    """Lines of the index document with an ordering key (k1..k5):
     header, one table row per category (sorted), then per category a heading
-    and one link line per note in export order."""
+    and one link line per note in export order (title, id). Positions come
+    from the final global sort (range-partitioned), not from a window, so a
+    hot category is never gathered in one task."""
     exported = F.date_format(FL._ts(as_of), "yyyy-MM-dd HH:mm")
     counts = active.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
     total = active.agg(F.count(F.lit(1)).alias("total"))
+    z = F.lit("")
+
+    def keyed(df, k1, k2, k3, line, k4=z, k5=z):
+        return df.select(F.lit(k1).alias("k1"), k2.alias("k2"), F.lit(k3).cast("long").alias("k3") if isinstance(k3, int)
+                         else k3.cast("long").alias("k3"), k4.alias("k4"), k5.alias("k5"), line.alias("line"))
+
     head = total.select(F.posexplode(F.array(
         F.lit(f"# Memory Index - {project}"), F.lit(""),
         F.concat(F.lit("Exported: "), exported), F.lit(""),
         F.concat(F.lit("Total: "), F.col("total").cast("string"), F.lit(" memories")), F.lit(""),
         F.lit("## Categories"), F.lit(""), F.lit("| Category | Count |"), F.lit("|----------|-------|"),
-    ))).select(F.lit(0).alias("k1"), F.lit("").alias("k2"), F.col("pos").cast("long").alias("k3"),
-               F.col("col").alias("line"))
-    table = counts.select(F.lit(1).alias("k1"), F.col("category").alias("k2"), F.lit(0).cast("long").alias("k3"),
-                          F.concat(F.lit("| ["), F.col("category"), F.lit("](./"), F.col("category"),
-                                   F.lit("/) | "), F.col("n").cast("string"), F.lit(" |")).alias("line"))
-    gap = total.select(F.lit(1).alias("k1"), F.lit("￿").alias("k2"), F.lit(0).cast("long").alias("k3"),
-                       F.lit("").alias("line"))
-    heads = counts.select(F.lit(2).alias("k1"), F.col("category").alias("k2"), F.lit(-2).cast("long").alias("k3"),
-                          F.concat(F.lit("## "), F.col("category")).alias("line")).unionByName(
-        counts.select(F.lit(2).alias("k1"), F.col("category").alias("k2"), F.lit(-1).cast("long").alias("k3"),
-                      F.lit("").alias("line")))
-    w = Window.partitionBy("category").orderBy("title", "id")
-    links = active.withColumn("pos", F.row_number().over(w).cast("long")).select(
-        F.lit(2).alias("k1"), F.col("category").alias("k2"), F.col("pos").alias("k3"),
-        F.concat(F.lit("- ["), F.col("title"), F.lit("](./"), F.col("category"), F.lit("/"), X.file_slug("title"),
-                 F.lit(".md) - "), F.coalesce(F.col("summary"), F.lit("None"))).alias("line"))
-    tails = counts.select(F.lit(2).alias("k1"), F.col("category").alias("k2"),
-                          F.lit(1 << 62).cast("long").alias("k3"), F.lit("").alias("line"))
+    )))
+    head = keyed(head, 0, z, F.col("pos"), F.col("col"))
+    table = keyed(counts, 1, F.col("category"), 0,
+                  F.concat(F.lit("| ["), F.col("category"), F.lit("](./"), F.col("category"),
+                           F.lit("/) | "), F.col("n").cast("string"), F.lit(" |")))
+    gap = keyed(total, 1, F.lit("\uffff"), 0, z)
+    heads = keyed(counts, 2, F.col("category"), -2, F.concat(F.lit("## "), F.col("category"))).unionByName(
+        keyed(counts, 2, F.col("category"), -1, z))
+    links = keyed(active, 2, F.col("category"), 0,
+                  F.concat(F.lit("- ["), F.col("title"), F.lit("](./"), F.col("category"), F.lit("/"),
+                           X.file_slug("title"), F.lit(".md) - "), F.coalesce(F.col("summary"), F.lit("None"))),
+                  F.col("title"), F.col("id"))
+    tails = keyed(counts, 2, F.col("category"), 1 << 62, z)
     return head.unionByName(table).unionByName(gap).unionByName(heads).unionByName(links).unionByName(tails)
 
 
@@ -187,7 +190,7 @@ def export(memories: DataFrame, project: str, root: str, as_of) -> tuple[dict, D
     # The index is one document, so its lines stream in order through one
     # writer task (a global sort, then coalesce keeps the order); memory
     # stays bounded by one Arrow batch.
-    lines = index_lines(active, project, as_of).orderBy("k1", "k2", "k3").coalesce(1).select("line")
+    lines = index_lines(active, project, as_of).orderBy("k1", "k2", "k3", "k4", "k5").coalesce(1).select("line")
     idx = lines.mapInPandas(_line_writer(base, S.EXPORT_INDEX_NAME), WRITE_SCHEMA).first()
     return {"files": int(agg["files"]), "bytes": int(agg["bytes"]), "index": idx["path"]}, counts
 
