@@ -56,6 +56,18 @@ def largest_group(df: DataFrame, group: list[str]) -> int:
     return df.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
 
 
+def groups_fit_one_task(df: DataFrame, group: list[str], max_group_rows: int | None = None) -> bool:
+    """True when a plain window over ``group`` is safe: the plan's input is
+    small (no job), or the largest group, counted exactly, is at most
+    ``max_group_rows`` (default from ``cairn.rank.maxGroupRows``)."""
+    spark = df.sparkSession
+    if max_group_rows is None:
+        max_group_rows = int(spark.conf.get(MAX_GROUP_CONF, str(DEFAULT_MAX_GROUP_ROWS)))
+    small = int(spark.conf.get(SMALL_INPUT_CONF, str(DEFAULT_SMALL_INPUT_BYTES)))
+    est = estimated_bytes(df)
+    return (max_group_rows > 0 and est is not None and est <= small) or largest_group(df, group) <= max_group_rows
+
+
 def rank_within(df: DataFrame, group: list[str], order: list, name: str = "position",
                 num_partitions: int | None = None, max_group_rows: int | None = None) -> DataFrame:
     """Add ``name`` = 1-based position of each row within its group.
@@ -65,13 +77,9 @@ def rank_within(df: DataFrame, group: list[str], order: list, name: str = "posit
     it, and this is a plain ``row_number()`` window. Beyond that the group is
     split by range partitioning with a carry of earlier counts."""
     spark = df.sparkSession
-    if max_group_rows is None:
-        max_group_rows = int(spark.conf.get(MAX_GROUP_CONF, str(DEFAULT_MAX_GROUP_ROWS)))
-    small = int(spark.conf.get(SMALL_INPUT_CONF, str(DEFAULT_SMALL_INPUT_BYTES)))
-    est = estimated_bytes(df)
     # A whole input this small cannot hold a hot group worth splitting: skip
     # the counting job. Otherwise measure the largest group exactly.
-    if (max_group_rows > 0 and est is not None and est <= small) or largest_group(df, group) <= max_group_rows:
+    if groups_fit_one_task(df, group, max_group_rows):
         w = Window.partitionBy(*group).orderBy(*_cols(order)) if group else Window.orderBy(*_cols(order))
         return df.withColumn(name, F.row_number().over(w))
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -99,6 +107,9 @@ def next_within(df: DataFrame, group: list[str], order: list, cols: list[str],
     """``lead(c)`` over (group, order) for each c in ``cols``: positions from
     ``rank_within`` and an equi-join of position p with p + 1 (both keys
     spread evenly, so no group lands in one task)."""
-    r = rank_within(df, group, order, "_pos", max_group_rows=max_group_rows)
+    if groups_fit_one_task(df, group, max_group_rows):
+        w = Window.partitionBy(*group).orderBy(*_cols(order)) if group else Window.orderBy(*_cols(order))
+        return df.select("*", *[F.lead(c).over(w).alias(prefix + c) for c in cols])
+    r = rank_within(df, group, order, "_pos", max_group_rows=0)
     nxt = r.select(*group, (F.col("_pos") - 1).alias("_pos"), *[F.col(c).alias(prefix + c) for c in cols])
     return r.join(nxt, [*group, "_pos"], "left").drop("_pos")

@@ -145,10 +145,15 @@ def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     Several users share a project, so starts close each other's sessions and
     late ends overwrite auto-closes, as in the reference.
     """
-    from cairn.operators.ranking import rank_within
+    from cairn.operators.ranking import groups_fit_one_task, rank_within
     ev = _read(spark, sf_dir, "events").filter(F.col("event_type").isin("signup", "purchase")).select(
         "event_id", "user_id", "ts", "event_type", "props", "value")
     is_start = F.col("event_type") == "signup"
+    if groups_fit_one_task(ev, ["user_id"]):
+        w = (Window.partitionBy("user_id").orderBy("event_id")
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        ev = ev.withColumn("_sid", F.last(F.when(is_start, F.col("event_id").cast("string")), ignorenulls=True).over(w))
+        return _session_rows(ev, is_start)
     # The latest earlier start of the same user, without a per-user window:
     # for an end at position P among all the user's calls and at position E
     # among its ends, P - E starts precede it, so its session is the start at
@@ -161,6 +166,10 @@ def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = (allpos.join(ends, F.col("event_id") == F.col("_eid"), "left")
           .withColumn("_k", F.when(is_start, F.lit(None)).otherwise(F.col("_p_all") - F.col("_p_end"))))
     ev = ev.join(starts, (F.col("user_id") == F.col("_su")) & (F.col("_k") == F.col("_p_start")), "left")
+    return _session_rows(ev, is_start)
+
+
+def _session_rows(ev: DataFrame, is_start) -> DataFrame:
     last_start = F.when(is_start, F.col("event_id").cast("string")).otherwise(F.col("_sid"))
     return ev.select(
         F.concat(F.lit("p"), (F.col("user_id") % 4).cast("string")).alias("project"),
