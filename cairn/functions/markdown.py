@@ -145,11 +145,12 @@ def _parsed(ok: Column, entries: Column, content: Column) -> Column:
 
     title_v = _front_value(entries, "title")
     prio_v = _front_value(entries, "priority")
-    prio = F.when(is_digits(prio_v), prio_v.cast("int"))
+    prio = F.when(is_digits(prio_v), prio_v.try_cast("int"))
     parsed = F.struct(
         _front_value(entries, "id").alias("id"),
         _front_value(entries, "category").alias("category"),
-        F.when(is_digits(title_v), title_v.cast("decimal(38,0)").cast("string")).otherwise(title_v).alias("title"),
+        # str(int(v)) for any length: drop leading zeros, keep one digit
+        F.when(is_digits(title_v), F.regexp_replace(title_v, r"\A0+(?=\p{Nd})", "")).otherwise(title_v).alias("title"),
         is_digits(title_v).alias("title_is_number"),
         (title_v.startswith("[") & title_v.endswith("]")).alias("title_is_list"),
         _front_value(entries, "status").alias("status"),

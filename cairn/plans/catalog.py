@@ -832,7 +832,7 @@ def n5_render_markdown(spark, sf):
 
 @register("n4_parse_markdown", Osql(f"""
 SELECT id, id AS p_id, category,
-       CASE WHEN regexp_full_match(title, '[0-9]+') THEN CAST(CAST(title AS DECIMAL(38,0)) AS VARCHAR) ELSE title END AS title,
+       CASE WHEN regexp_full_match(title, '[0-9]+') THEN coalesce(nullif(ltrim(title, '0'), ''), '0') ELSE title END AS title,
        status, priority,
        CASE WHEN len(coalesce(tags, CAST([] AS VARCHAR[]))) > 0 THEN tags END AS tags, source,
        {O.strip_ws("array_to_string(CASE WHEN r > 0 THEN ls[1:r - 1] ELSE ls END, chr(10))")} AS content

@@ -40,6 +40,8 @@ def test_parse_edge_cases(spark):
     assert p.title_is_list and p.content == "no summary line"
     p = _parse(spark, "---\ntitle: x\n---\n## Related\n- a\n")
     assert p.content == ""
+    p = _parse(spark, "---\ntitle: " + "0" * 3 + "9" * 45 + "\npriority: 99999999999999\n---\nb")
+    assert p.title == "9" * 45 and p.priority is None and p.priority_not_number
 
 
 def test_render_then_parse_round_trip(spark):
