@@ -17,6 +17,7 @@ from cairn.functions import score as V
 from cairn.operators import search as SR
 from cairn.plans import adapters as AD
 from cairn.plans import oracle as O
+from cairn.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,7 +27,11 @@ ORACLE: dict[str, str] = {}
 
 def register(name: str, sql: str | None = None):
     def deco(fn: Query) -> Query:
-        QUERIES[name] = fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)          # workers must import cairn too
+            return fn(spark, sf_dir)
+        run.__name__, run.__doc__ = fn.__name__, fn.__doc__
+        QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = sql
         return fn

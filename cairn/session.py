@@ -41,9 +41,40 @@ def build_session(master: str | None = None, app: str = "cairn",
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``cairn`` importable in the Python workers (pandas UDFs, map/apply
+    in pandas, stateful streaming functions) wherever they run: zip the
+    package once and distribute it with ``addPyFile`` (what ``--py-files``
+    does). Idempotent per application."""
+    try:
+        sc = spark.sparkContext
+        key = sc.applicationId
+    except Exception:  # noqa: BLE001 - remote session: ship with the job config instead
+        return
+    if key in _SHIPPED:
+        return
+    import zipfile
+
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    parent = os.path.dirname(pkg)
+    out = os.path.join(tempfile.mkdtemp(prefix="cairn-pkg-"), "cairn.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _dirs, files in os.walk(pkg):
+            for fn in files:
+                if fn.endswith(".py"):
+                    full = os.path.join(dirpath, fn)
+                    z.write(full, os.path.relpath(full, parent))
+    sc.addPyFile(out)
+    _SHIPPED.add(key)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting a scratch one only if unset."""
     current = spark.conf.get(CHECKPOINT_CONF, None)
