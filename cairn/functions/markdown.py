@@ -18,9 +18,6 @@ from cairn.operators.listing import ts_text
 
 # Front matter then body; DOTALL; Python's `\s` spelled out.
 FRONT_RE = f"(?s)\\A---{WS}*\\n(.*?)\\n---{WS}*\\n(.*)\\z"
-# Front-matter keys the importer reads.
-KEYS = ["id", "category", "title", "status", "priority", "tags", "entities", "source",
-        "expires_at", "created_at", "updated_at", "metadata"]
 
 
 def _c(x) -> Column:
@@ -74,7 +71,7 @@ def render(id_, category, title, status, priority, tags, entities, source, expir
     return F.array_join(lines, "\n")
 
 
-def render_row(df_cols=None) -> Column:
+def render_row() -> Column:
     """``render`` over the standard note columns."""
     return render("id", "category", "title", "status", "priority", "tags", "entities", "source",
                   "expires_at", "created_at", "updated_at", "metadata", "summary", "content", "related_ids")

@@ -17,7 +17,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cairn import schema as S
 from cairn.functions import text as X
@@ -395,6 +394,3 @@ def trail_total(provenance: DataFrame) -> DataFrame:
     """Number of audit rows per note."""
     return provenance.groupBy("memory_id").agg(F.count(F.lit(1)).alias("total"))
 
-
-def to_struct_type() -> T.StructType:
-    return S.PROVENANCE

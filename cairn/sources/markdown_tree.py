@@ -13,8 +13,6 @@ Layout: ``<root>/.memory/<category>/<file-slug>.md`` plus
 
 from __future__ import annotations
 
-import datetime as _dt
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,9 +46,7 @@ def read_markdown_tree(spark: SparkSession, root: str, project: str) -> DataFram
             raise
         return spark.createDataFrame([], "project string, category string, stem string, text string, "
                                          "path string, error string")
-    parts = F.split(F.col("path"), "/")
-    folder = F.element_at(parts, -2)
-    name = F.element_at(parts, -1)
+    folder = F.element_at(F.split(F.col("path"), "/"), -2)
     rows = (files.withColumn("category", F.expr("try_url_decode(element_at(split(path, '/'), -2))"))
             .withColumn("stem", F.regexp_replace(F.expr("try_url_decode(element_at(split(path, '/'), -1))"),
                                                  r"\.md\z", ""))
@@ -62,7 +58,6 @@ def read_markdown_tree(spark: SparkSession, root: str, project: str) -> DataFram
            .select(F.lit(project).alias("project"), "category", F.lit(None).cast("string").alias("stem"),
                    F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("path"),
                    F.concat(F.lit("Unknown category: "), F.col("category")).alias("error")))
-    _ = name
     return good.unionByName(bad)
 
 
@@ -217,6 +212,3 @@ def import_tree(memories: DataFrame, root: str, project: str, as_of, embedder=No
         allowMissingColumns=True))
     return created, updated, trail, report, errors
 
-
-def now_text() -> str:
-    return _dt.datetime.now(_dt.timezone.utc).strftime("%Y-%m-%d %H:%M")
