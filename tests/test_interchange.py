@@ -109,3 +109,20 @@ def test_project_info(spark):
     assert [r.slug for r in SN.project_info(reg).collect()] == ["b", "a"]
     assert SN.project_info(reg, "a").first().display_name == "A"
     assert SN.project_info(reg, "zz").count() == 0
+
+
+def test_parse_without_heading_and_empty_content_skipped(spark, tmpdir_path):
+    p = _parse(spark, "---\ntitle: t\n---\n\nline one\n> kept quote\n")
+    assert p.content == "line one\n> kept quote"
+    base = os.path.join(tmpdir_path, ".memory", "decision")
+    os.makedirs(base)
+    open(os.path.join(base, "empty.md"), "w").write("---\ntitle: e\n---\n# e\n\n")
+    open(os.path.join(base, "full.md"), "w").write("---\nsource: x\n---\nbody only\n")
+    # an empty front matter block does not match the file pattern: parse error
+    open(os.path.join(base, "bad.md"), "w").write("---\n---\nbody\n")
+    target = spark.createDataFrame([], S.MEMORIES)
+    created, _, _, report, errors = MT.import_tree(target, tmpdir_path, "p", _ts())
+    r = report.first()
+    assert (r.created, r.skipped) == (1, 1)
+    assert [e.error for e in errors.collect()] == ["Failed to parse: bad.md"]
+    assert created.first().title == "full"            # title defaults to the file stem

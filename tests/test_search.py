@@ -118,3 +118,23 @@ def test_chunked_topk_equals_single_block():
     b = SR.local_topk_chunked(qid, q, k, qmin, ids, m, q_chunk=5, m_chunk=17)
     key = lambda t: sorted(zip(t[0].tolist(), ids[t[1]].tolist()))
     assert key(a) == key(b)
+
+
+def test_any_tag_rules(spark):
+    from cairn.operators import filters as FL
+    df = spark.createDataFrame([("a", None), ("b", []), ("c", ["x"]), ("d", ["y", "x"])], "id string, tags array<string>")
+    assert [r.id for r in FL.any_tag(df, ["x"]).orderBy("id").collect()] == ["c", "d"]
+    assert FL.any_tag(df, []).count() == 4 and FL.any_tag(df, None).count() == 4
+
+
+def test_list_expired_status_after_sweep(spark):
+    """Q5/Q6: listing sweeps first, and status 'expired' lists them (search would not)."""
+    from cairn.operators import listing as L
+    mem = _mem_rows(spark, [
+        _note("p", "old", [1.0, 0.0], expires=AS_OF - dt.timedelta(days=2)),
+        _note("p", "new", [1.0, 0.0], expires=AS_OF + dt.timedelta(days=2)),
+        _note("p", "gone", [1.0, 0.0], status="expired", expires=AS_OF - dt.timedelta(days=9))])
+    out = L.list_notes(mem, _ts(spark), status="expired", sort_by="title", order="asc").collect()
+    assert sorted(r.id for r in out) == ["gone", "old"] and {r.total for r in out} == {2}
+    act = L.list_notes(mem, _ts(spark)).collect()
+    assert [r.id for r in act] == ["new"]
