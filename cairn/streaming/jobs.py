@@ -63,24 +63,28 @@ def _batch_writer(out: str, fmt: str = "parquet"):
     return write
 
 
-def _checkpoint(spark: SparkSession, name: str) -> str:
-    return scratch_path(spark, f"streams/{name}")
+def _checkpoint(spark: SparkSession, name: str, out: str) -> str:
+    """One checkpoint per (job, sink) under the shared checkpoint folder."""
+    import hashlib
+    return scratch_path(spark, f"streams/{name}-{hashlib.sha1(out.encode()).hexdigest()[:12]}")
 
 
 # ------------------------------------------------------------------ R1
 
-def stream_store(spark: SparkSession, source: str, out: str, fmt: str = "parquet", trigger_once: bool = True):
-    """Raw notes under ``source`` -> ``out/notes`` and ``out/audit``."""
+def stream_store(spark: SparkSession, source: str, out: str, fmt: str = "parquet", trigger_once: bool = True,
+                 embedder=None):
+    """Raw notes under ``source`` -> ``out/notes`` and ``out/audit``
+    (and ``out/rejected``); with an ``Embedder`` the notes get vectors."""
     raw = spark.readStream.schema(RAW_NOTE).format(fmt).load(source)
 
     def write(df: DataFrame, batch_id: int):
-        notes, trail, rejected = M.store(df, F.col("ts"))
+        notes, trail, rejected = M.store(df, F.col("ts"), embedder)
         # M.store's `as_of` is the row's event time: keep it on the note.
         notes.write.mode("overwrite").parquet(f"{out.rstrip('/')}/notes/batch_id={batch_id}")
         trail.write.mode("overwrite").parquet(f"{out.rstrip('/')}/audit/batch_id={batch_id}")
         rejected.write.mode("overwrite").parquet(f"{out.rstrip('/')}/rejected/batch_id={batch_id}")
 
-    w = raw.writeStream.foreachBatch(write).option("checkpointLocation", _checkpoint(spark, "store"))
+    w = raw.writeStream.foreachBatch(write).option("checkpointLocation", _checkpoint(spark, "store", out))
     return (w.trigger(availableNow=True) if trigger_once else w).start()
 
 
@@ -97,7 +101,7 @@ def stream_access(spark: SparkSession, source: str, out: str, fmt: str = "parque
             f"{out.rstrip('/')}/batch_id={batch_id}")
 
     w = (counts.writeStream.outputMode("update").foreachBatch(write)
-         .option("checkpointLocation", _checkpoint(spark, "access")))
+         .option("checkpointLocation", _checkpoint(spark, "access", out)))
     return (w.trigger(availableNow=True) if trigger_once else w).start()
 
 
@@ -151,7 +155,7 @@ def stream_sessions(spark: SparkSession, source: str, out: str, fmt: str = "parq
     upd = calls.groupBy("project").applyInPandasWithState(
         _session_state, SESSION_UPDATE, OPEN_STATE, "append", GroupStateTimeout.NoTimeout)
     w = (upd.writeStream.outputMode("append").foreachBatch(_batch_writer(out))
-         .option("checkpointLocation", _checkpoint(spark, "sessions")))
+         .option("checkpointLocation", _checkpoint(spark, "sessions", out)))
     return (w.trigger(availableNow=True) if trigger_once else w).start()
 
 

@@ -54,3 +54,14 @@ def test_stream_store_equals_batch(spark, tmpdir_path):
     want, _, _ = M.store(batch, F.lit(S.AS_OF).cast(S.TS))
     cols = ["project", "id", "title", "summary", "entities", "priority", "expires_at"]
     assert sorted(tuple(r) for r in got.select(*cols).collect()) == sorted(tuple(r) for r in want.select(*cols).collect())
+
+
+def test_stream_store_with_embedder(spark, tmpdir_path):
+    from cairn.functions.embed import HashEmbedder
+    batch = AD.store_batch(spark, SF).limit(40).withColumn("ts", F.lit(S.AS_OF).cast(S.TS))
+    src = f"{tmpdir_path}/raw"
+    _split_write(batch.select(*[f.name for f in J.RAW_NOTE.fields]), src, n=2)
+    J.stream_store(spark, src, f"{tmpdir_path}/out", embedder=HashEmbedder()).awaitTermination(300)
+    got = spark.read.parquet(f"{tmpdir_path}/out/notes")
+    dims = {r[0] for r in got.select(F.size("embedding")).collect()}
+    assert dims == {384}
