@@ -192,20 +192,31 @@ def patch_join(memories: DataFrame, patches: DataFrame) -> tuple[DataFrame, Data
     valid = keyed.filter(given)
 
     text_call = F.col("title").isNotNull() | F.col("content").isNotNull()
-    # Phase 1: per note, the op_seq of the last call that changed a text.
-    k = valid.groupBy("project", "id").agg(F.max(F.when(text_call, F.col("op_seq"))).alias("k_star"))
-    v = valid.join(k, ["project", "id"])
-    before = F.col("op_seq") < F.col("k_star")
-    at = F.col("op_seq") == F.col("k_star")
-    agg = v.groupBy("project", "id").agg(
+    # One grouped pass (partial aggregation before the shuffle): last
+    # non-null per field, the last title/content-changing call k* with its
+    # title and content, and the op_seq of the latest title and content.
+    agg = valid.groupBy("project", "id").agg(
         *[_last_non_null(f).alias(f"p_{f}") for f in PATCH_FIELDS],
-        F.max("op_seq").alias("last_seq"),
-        F.max("k_star").alias("k_star"),
-        F.max_by(F.col("title"), F.when(at, F.col("op_seq"))).alias("k_title"),
-        F.max_by(F.col("content"), F.when(at, F.col("op_seq"))).alias("k_content"),
-        F.max_by(F.col("title"), F.when(before & F.col("title").isNotNull(), F.col("op_seq"))).alias("prev_title"),
-        F.max_by(F.col("content"), F.when(before & F.col("content").isNotNull(), F.col("op_seq"))).alias("prev_content"),
+        F.max(F.when(text_call, F.col("op_seq"))).alias("k_star"),
+        F.max_by(F.col("title"), F.when(text_call, F.col("op_seq"))).alias("k_title"),
+        F.max_by(F.col("content"), F.when(text_call, F.col("op_seq"))).alias("k_content"),
+        F.max(F.when(F.col("title").isNotNull(), F.col("op_seq"))).alias("t_seq"),
+        F.max(F.when(F.col("content").isNotNull(), F.col("op_seq"))).alias("c_seq"),
         F.count(F.lit(1)).alias("n_patches"))
+    # The value stored just before k* is the latest one, unless k* itself set
+    # it; it only matters when k* gave an empty string (Q10). Only those
+    # notes need a second look, restricted to their earlier patches.
+    empty_t = (F.col("t_seq") == F.col("k_star")) & (F.col("k_title") == "")
+    empty_c = (F.col("c_seq") == F.col("k_star")) & (F.col("k_content") == "")
+    need = agg.filter(empty_t | empty_c).select("project", "id", F.col("k_star").alias("_k"))
+    earlier = valid.join(need, ["project", "id"]).filter(F.col("op_seq") < F.col("_k"))
+    second = earlier.groupBy("project", "id").agg(
+        _last_non_null("title").alias("t_before"), _last_non_null("content").alias("c_before"))
+    agg = agg.join(second, ["project", "id"], "left")
+    agg = (agg.withColumn("prev_title", F.when(F.col("t_seq") == F.col("k_star"), F.col("t_before"))
+                          .otherwise(F.col("p_title")))
+              .withColumn("prev_content", F.when(F.col("c_seq") == F.col("k_star"), F.col("c_before"))
+                          .otherwise(F.col("p_content"))))
     m = memories.join(agg, ["project", "id"], "inner")
 
     def derive(f):

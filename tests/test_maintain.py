@@ -95,3 +95,15 @@ def test_upsert_projects(spark):
     out = {r.slug: r for r in M.upsert_projects(reg, batch, F.lit(later).cast(S.TS)).collect()}
     assert out["my-app"].display_name == "New" and out["my-app"].description is None
     assert out["my-app"].last_accessed == later and out["myapp2"].created_at == later
+
+
+def test_update_empty_title_after_earlier_title_patch(spark):
+    """Q10 across calls: 'A' then '' -> the second call derives from 'A'
+    (the value stored just before it), while '' is what is stored."""
+    patches = spark.createDataFrame([
+        ("p", "a", "A", None, None, None, None, None, None, 1),
+        ("p", "a", "", None, None, None, None, None, None, 2),
+    ], PATCH)
+    out, _, _ = M.update(_mem(spark), patches, _ts())
+    a = out.first()
+    assert a.title == "" and a.summary == "A: Old content"
