@@ -138,3 +138,13 @@ def test_list_expired_status_after_sweep(spark):
     assert sorted(r.id for r in out) == ["gone", "old"] and {r.total for r in out} == {2}
     act = L.list_notes(mem, _ts(spark)).collect()
     assert [r.id for r in act] == ["new"]
+
+
+def test_search_same_hits_under_both_strategies(spark):
+    mem = AD.memories(spark, SF)
+    qs = AD.search_queries(spark, SF)
+    cols = ["query_id", "rank", "id", "similarity", "relevance_score", "title"]
+    a = SR.search(qs, mem, _ts(spark)).select(*cols).collect()
+    qs2 = AD.search_queries(spark, SF)
+    b = SR.search(qs2, mem, _ts(spark), strategy="blocked", block_rows=41, query_block_rows=13).select(*cols).collect()
+    assert sorted(a) == sorted(b) and len(a) > 0
