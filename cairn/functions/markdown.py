@@ -105,7 +105,7 @@ def _staged_content(df, body_col: str, out: str):
     df = df.withColumn("_l", F.split(F.col(body_col), "\n", -1))
     df = (df.withColumn("_n", F.size("_l"))
           .withColumn("_t", F.array_position(F.transform("_l", lambda l: l.startswith("# ")), True).cast("int"))
-          .withColumn("_b", F.transform("_l", lambda l: strip_ws(l) == "")))
+          .withColumn("_b", F.transform("_l", lambda l: l.rlike(f"\\A{WS}*\\z"))))
     # first non-blank line after the title, as an absolute index (0 = none)
     df = df.withColumn("_r", F.array_position(
         F.slice("_b", F.greatest(F.col("_t") + 1, F.lit(1)), F.greatest(F.col("_n") - F.col("_t"), F.lit(1))),
