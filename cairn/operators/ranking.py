@@ -93,13 +93,15 @@ def rank_within(df: DataFrame, group: list[str], order: list, name: str = "posit
         "_local", F.row_number().over(Window.partitionBy("_pid", *group).orderBy(*_cols(order))))
     counts = ranged.groupBy("_pid", *group).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    carry = counts.select("_pid", *group, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    if group:
-        joined = local.join(carry, ["_pid", *group])
-    else:
-        joined = local.join(carry, ["_pid"])
+    carry = counts.select(F.col("_pid").alias("_c_pid"), *[F.col(g).alias(f"_c_{g}") for g in group],
+                          F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    # NULL is a group of its own, as in a window: null-safe keys.
+    cond = F.col("_pid") == F.col("_c_pid")
+    for g in group:
+        cond = cond & F.col(g).eqNullSafe(F.col(f"_c_{g}"))
+    joined = local.join(carry, cond)
     return joined.withColumn(name, (F.col("_local") + F.col("_before")).cast("int")).drop(
-        "_pid", "_local", "_before")
+        "_pid", "_local", "_before", "_c_pid", *[f"_c_{g}" for g in group])
 
 
 def next_within(df: DataFrame, group: list[str], order: list, cols: list[str],
@@ -111,5 +113,9 @@ def next_within(df: DataFrame, group: list[str], order: list, cols: list[str],
         w = Window.partitionBy(*group).orderBy(*_cols(order)) if group else Window.orderBy(*_cols(order))
         return df.select("*", *[F.lead(c).over(w).alias(prefix + c) for c in cols])
     r = rank_within(df, group, order, "_pos", max_group_rows=0)
-    nxt = r.select(*group, (F.col("_pos") - 1).alias("_pos"), *[F.col(c).alias(prefix + c) for c in cols])
-    return r.join(nxt, [*group, "_pos"], "left").drop("_pos")
+    nxt = r.select(*[F.col(g).alias(f"_n_{g}") for g in group], (F.col("_pos") - 1).alias("_n_pos"),
+                   *[F.col(c).alias(prefix + c) for c in cols])
+    cond = F.col("_pos") == F.col("_n_pos")
+    for g in group:
+        cond = cond & F.col(g).eqNullSafe(F.col(f"_n_{g}"))
+    return r.join(nxt, cond, "left").drop("_pos", "_n_pos", *[f"_n_{g}" for g in group])

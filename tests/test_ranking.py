@@ -57,3 +57,15 @@ def test_pipelines_equal_on_forced_skew_path(spark):
     finally:
         spark.conf.unset("cairn.rank.maxGroupRows")
     assert plain == forced
+
+
+def test_null_group_is_its_own_group_on_both_paths(spark):
+    df = spark.createDataFrame([(None, 3), (None, 1), ("a", 2), ("a", 5), (None, 2)], "g string, k int")
+    key = lambda r: (r["g"] is None, r["g"] or "", r["k"])
+    want = sorted(df.withColumn("position", F.row_number().over(Window.partitionBy("g").orderBy("k"))).collect(), key=key)
+    for m in (None, 0):
+        got = sorted(rank_within(df, ["g"], ["k"], num_partitions=3, max_group_rows=m).collect(), key=key)
+        assert [tuple(r) for r in got] == [tuple(r) for r in want]
+    wl = sorted(df.withColumn("next_k", F.lead("k").over(Window.partitionBy("g").orderBy("k"))).collect(), key=key)
+    got = sorted(next_within(df, ["g"], ["k"], ["k"], max_group_rows=0).collect(), key=key)
+    assert [tuple(r) for r in got] == [tuple(r) for r in wl]
