@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import huffman, packing
+from cairn.llm import bpe, huffman, packing
 from cairn.llm.common import read, tokenizer_path
 
 
+def op2_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path("byte_bpe_50k.json")
+    docs = bpe.decode(bpe.encode(read(spark, sf_dir, "documents"), path), path)
+    return docs.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), bpe.decimal_digest(F.col("ids"), path).alias("ids_sha256"),
+                       F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -18,5 +25,5 @@ def op9_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op6_best_fit_packing, op9_huffman_ids)}
+QUERIES = {f.__name__: f for f in (op2_bpe_words, op6_best_fit_packing, op9_huffman_ids)}
 ORACLE: dict[str, str] = {}
