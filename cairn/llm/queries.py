@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, huffman, packing
+from cairn.llm import bpe, huffman, packing, quality
 from cairn.llm.common import read, tokenizer_path
 
 
+def _scored(docs: DataFrame, score: str, threshold: float) -> DataFrame:
+    """doc_id, held_out, score, predicted."""
+    return docs.select("doc_id", quality.held_out().alias("held_out"), F.col(score).alias("score"), (F.col(score) >= threshold).cast("int").alias("predicted"))
+
+
+def op1_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    return _scored(quality.classify(docs, labels), "quality_score", 0.3)
+
+
 def op2_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("byte_bpe_50k.json")
     docs = bpe.decode(bpe.encode(read(spark, sf_dir, "documents"), path), path)
@@ -25,5 +35,5 @@ def op9_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe_words, op6_best_fit_packing, op9_huffman_ids)}
+QUERIES = {f.__name__: f for f in (op1_quality_ftrl, op2_bpe_words, op6_best_fit_packing, op9_huffman_ids)}
 ORACLE: dict[str, str] = {}
