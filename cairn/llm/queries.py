@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, huffman, packing, quality
+from cairn.llm import bpe, huffman, packing, quality, toxicity
 from cairn.llm.common import read, tokenizer_path
 
 
@@ -30,10 +30,15 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op8_toxicity_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    return _scored(toxicity.classify(docs, labels), "toxicity", 0.5)
+
+
 def op9_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = huffman.round_trip(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
     return docs.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_ftrl, op2_bpe_words, op6_best_fit_packing, op9_huffman_ids)}
+QUERIES = {f.__name__: f for f in (op1_quality_ftrl, op2_bpe_words, op6_best_fit_packing, op8_toxicity_automata, op9_huffman_ids)}
 ORACLE: dict[str, str] = {}
