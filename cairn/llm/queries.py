@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, huffman, packing, quality, toxicity
+from cairn.llm import bpe, huffman, packing, quality, rules, toxicity
 from cairn.llm.common import read, tokenizer_path
 
 
@@ -26,6 +26,11 @@ def op2_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op5_crf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = rules.apply(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return docs.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -40,5 +45,5 @@ def op9_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_ftrl, op2_bpe_words, op6_best_fit_packing, op8_toxicity_automata, op9_huffman_ids)}
+QUERIES = {f.__name__: f for f in (op1_quality_ftrl, op2_bpe_words, op5_crf_lines, op6_best_fit_packing, op8_toxicity_automata, op9_huffman_ids)}
 ORACLE: dict[str, str] = {}
