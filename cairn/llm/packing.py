@@ -135,7 +135,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")] + [pa.array(seq), pa.array(off)],
                                              names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    ranked = pieces.join(before.drop("n"), ["part", "length"]).withColumn("rank", F.col("base") + F.col("nth"))
+    # ``before`` has up to a row per task and length, so it is never broadcast
+    ranked = pieces.join(before.drop("n").hint("merge"), ["part", "length"]).withColumn("rank", F.col("base") + F.col("nth"))
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(place, PIECES + ", sequence_id long, offset long")
 
 

@@ -27,9 +27,9 @@ S, L, N, P = 0, 1, 2, 3
 _B = 6364136223846793005
 _INV = pow(_B, -1, 1 << 64)
 #: Code points handled together; longer texts are cut at single spaces, where no word can span.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Words remembered by a Python worker before its cache starts anew.
-MAX_WORDS = 2_000_000
+MAX_WORDS = 800_000
 
 _POW: dict[str, np.ndarray] = {}
 
@@ -201,7 +201,7 @@ class Splitter:
             part = self.normal(part)
             at = 0
             while len(part) - at > CHUNK:
-                m = _CUT.search(part, at + CHUNK - 1024)
+                m = _CUT.search(part, at + CHUNK // 2)
                 if not m:
                     break
                 out.append((part[at : m.start()], False))
