@@ -8,7 +8,6 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cairn.session import ensure_checkpoint_dir, scratch_path, ship_package
 
@@ -70,10 +69,3 @@ def by_size(batch, column: str = "text", limit: int = 4 << 20) -> Iterator:
         to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
         yield batch.slice(at, to - at)
         base, at = int(ends[to - 1]), to
-
-
-LONG = T.LongType()
-
-
-def schema(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec) if hasattr(T.StructType, "fromDDL") else T._parse_datatype_string(spec)

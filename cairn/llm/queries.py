@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, huffman, packing, quality, rules, toxicity
+from cairn.llm import bpe, huffman, packing, quality, rules, secret_scan, toxicity
 from cairn.llm.common import read, tokenizer_path
 
 
@@ -45,5 +45,12 @@ def op9_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_ftrl, op2_bpe_words, op5_crf_lines, op6_best_fit_packing, op8_toxicity_automata, op9_huffman_ids)}
+def op10_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = secret_scan.find(read(spark, sf_dir, "documents")).drop("text")
+    spans = F.col("secret_spans")
+    return docs.select("doc_id", *[secret_scan.of_kind(spans, k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+                       F.sha2(secret_scan.joined(spans, True).cast("binary"), 256).alias("base_sha256"), secret_scan.joined(spans, False).alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_ftrl, op2_bpe_words, op5_crf_lines, op6_best_fit_packing, op8_toxicity_automata, op9_huffman_ids, op10_secret_crf)}
 ORACLE: dict[str, str] = {}
