@@ -6,8 +6,9 @@ space. Features: a token's shape (length, kinds of characters, hexadecimal or
 not), how often letters and digits alternate in it, its own and its neighbours'
 words (hashed), and the file's share of digits. The field is trained here on a
 bounded sample of documents: tokens inside base spans are B and I, all others
-O; for half of the training windows the neighbours' words are hidden, so that
-shape counts too. Decoding is Viterbi over whole texts. Tokens whose score for
+O; windows with long tokens of letters and digits outside of base spans don't
+train, as these may be secrets; for half of the windows the neighbours' words
+are hidden, so that shape counts too. Decoding is Viterbi over whole texts. Tokens whose score for
 O is ahead by more than any two transitions can bring are O on every best path,
 so only the stretches between them need the lattice.
 
@@ -88,6 +89,7 @@ class Tokens:
         self.doc = np.searchsorted(at, s, side="right") - 1
         self.first = np.searchsorted(self.doc, np.arange(len(texts) + 1))
         self.start, self.end = s - at[self.doc], e - at[self.doc]
+        self.odd = np.zeros(len(s), dtype=bool)
         if not len(s):
             self.ids = np.zeros((0, len(OFF)), dtype=np.int64)
             return
@@ -99,6 +101,8 @@ class Tokens:
         low = codes | np.where((codes >= 65) & (codes <= 90), 32, 0).astype(np.uint32)
         size = e - s
         digits, lower, upper = per(kind == 3), per(kind == 1), per(kind == 2)
+        #: long tokens of letters and digits: not known to be harmless where no base pattern holds
+        self.odd = (size >= 16) & (digits > 0) & (lower + upper > 0)
         hexa = per(((codes >= 48) & (codes <= 57)) | ((codes >= 97) & (codes <= 102)))
         bucket = np.searchsorted([3, 5, 8, 12, 16, 24, 40], size, side="right")
         shape = bucket * 16 + (lower > 0) + 2 * (upper > 0) + 4 * (digits > 0) + 8 * (hexa == size)
@@ -144,7 +148,8 @@ def _windows(texts: list[str], rng) -> list[tuple[np.ndarray, np.ndarray]]:
                 at.append(int(k[0]))
         for k in at[:4] + [int(rng.integers(0, z - a))]:
             lo, hi = max(0, k - WINDOW), min(z - a, k + WINDOW)
-            out.append((t.ids[a + lo : a + hi].copy(), y[lo:hi]))
+            if not (t.odd[a + lo : a + hi] & (y[lo:hi] == 0)).any():
+                out.append((t.ids[a + lo : a + hi].copy(), y[lo:hi]))
     return out
 
 
