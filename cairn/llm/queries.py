@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, huffman, packing, quality, rules, secret_scan, toxicity
+from cairn.llm import bpe, hnsw, huffman, packing, quality, rules, secret_scan, toxicity
 from cairn.llm.common import read, tokenizer_path
 
 
@@ -21,9 +21,8 @@ def op1_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("byte_bpe_50k.json")
-    docs = bpe.decode(bpe.encode(read(spark, sf_dir, "documents"), path), path)
-    return docs.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), bpe.decimal_digest(F.col("ids"), path).alias("ids_sha256"),
-                       F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+    docs = bpe.decode(bpe.encode(read(spark, sf_dir, "documents"), path), path, digest=True)
+    return docs.select("doc_id", (F.octet_length("ids") / bpe.width(path)).cast("long").alias("n_tokens"), "ids_sha256", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
 def op5_crf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +34,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op7_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 def op8_toxicity_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     return _scored(toxicity.classify(docs, labels), "toxicity", 0.5)
@@ -52,5 +55,5 @@ def op10_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(secret_scan.joined(spans, True).cast("binary"), 256).alias("base_sha256"), secret_scan.joined(spans, False).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_ftrl, op2_bpe_words, op5_crf_lines, op6_best_fit_packing, op8_toxicity_automata, op9_huffman_ids, op10_secret_crf)}
+QUERIES = {f.__name__: f for f in (op1_quality_ftrl, op2_bpe_words, op5_crf_lines, op6_best_fit_packing, op7_hnsw, op8_toxicity_automata, op9_huffman_ids, op10_secret_crf)}
 ORACLE: dict[str, str] = {}
