@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from cairn.llm.common import by_size, texts_of
 
-BLOCK_CHARS = 24 << 20
+BLOCK_CHARS = 28 << 20
 ENCODED = "doc_id long, ids binary"
 
 
@@ -112,7 +112,7 @@ def _emit_docs(block: _Block):
     import pyarrow as pa
     import zstandard
 
-    z, name, n = zstandard.ZstdCompressor(level=1), block.name(), len(block.words)
+    z, name, n = zstandard.ZstdCompressor(level=3), block.name(), len(block.words)
     kind = "<u2" if n <= 1 << 16 else "<u4"
     for a in range(0, len(block.docs), 500):
         part = block.docs[a : a + 500]
@@ -123,105 +123,126 @@ def _emit_docs(block: _Block):
                                          names=["block", "n_words", "doc_ids", "lengths", "numbers"])
 
 
-def _ids_of_words(path: str):
-    def run(words: pd.Series) -> pd.Series:
+def _encode_sorted(path: str):
+    """Rows (word, block, nr) sorted by word: each distinct word is encoded
+    once, and its ids are put together by block, about a million at a time."""
+
+    def flush(words, blocks, nr, enc, last, z):
+        import pyarrow as pa
+
+        from cairn.llm.wordids import gather
+
+        d = pa.concat_arrays(words).dictionary_encode()
+        table = d.dictionary.to_pylist()
+        # the first word may go on from the rows before
+        new = table[1:] if last and table[0] == last[0] else table
+        ids, ln = enc.word_ids(new) if new else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        if len(new) < len(table):
+            ids, ln = np.concatenate((last[1], ids)), np.concatenate(([len(last[1])], ln))
+        ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(ln)))
+        last = (table[-1], ids[ends[-2] :])
+        names = pa.concat_arrays(blocks).dictionary_encode()
+        codes, word, nr = names.indices.to_numpy(), d.indices.to_numpy(), np.concatenate(nr)
+        order = np.argsort(codes, kind="stable")
+        cuts = np.searchsorted(codes[order], np.arange(len(names.dictionary) + 1)).tolist()
+        rows = []
+        for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+            at = order[a:b]
+            w = word[at]
+            blob = nr[at].astype("<i4").tobytes() + ln[w].astype("<u4").tobytes() + gather(ids, ends[:-1][w], ln[w]).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+            rows.append((names.dictionary[k].as_py(), b - a, z.compress(blob)))
+        return last, pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.binary()))], names=["block", "n", "packed"])
+
+    def run(batches):
+        import zstandard
+
         from cairn.llm.wordids import encoder
 
-        enc, out = encoder(path), []
-        for a in range(0, len(words), 20_000):
-            ids, ln = enc.word_ids(words.iloc[a : a + 20_000].tolist())
-            raw, at = ids.astype("<u4").tobytes(), np.concatenate(([0], np.cumsum(ln))).tolist()
-            out += [raw[4 * x : 4 * y] for x, y in zip(at[:-1], at[1:])]
-        return pd.Series(out, dtype=object)
+        enc, z, last, n = encoder(path), zstandard.ZstdCompressor(level=3), None, 0
+        words, blocks, nr = [], [], []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            words.append(b.column("word"))
+            blocks.append(b.column("block"))
+            nr.append(b.column("nr").to_numpy())
+            n += b.num_rows
+            if n >= 1_000_000:
+                last, out = flush(words, blocks, nr, enc, last, z)
+                yield out
+                words, blocks, nr, n = [], [], [], 0
+        if n:
+            yield flush(words, blocks, nr, enc, last, z)[1]
 
-    return F.pandas_udf(run, "binary")
+    return run
 
 
-def _pack_words(batches):
-    """Rows (block, nr, ids) put together by block, about a million at a time."""
-    import pyarrow as pa
-    import zstandard
+def _read_off(kind: str):
+    """Ids of a block's documents, as numbers of a kind."""
 
-    z = zstandard.ZstdCompressor(level=1)
-
-    def flush(held):
-        t = pa.Table.from_batches(held).sort_by("block")
-        names = t.column("block").combine_chunks().dictionary_encode()
-        codes, nr = names.indices.to_numpy(), t.column("nr").to_numpy().astype("<i4")
-        raw = t.column("ids").combine_chunks()
-        ln = np.diff(np.frombuffer(raw.buffers()[1], dtype=np.int32, count=len(raw) + raw.offset + 1)[raw.offset :])
-        ends = np.concatenate(([0], np.cumsum(ln)))
-        flat = b"".join(raw.to_pylist())
-        cuts = np.concatenate(([0], np.flatnonzero(np.diff(codes)) + 1, [len(codes)])).tolist()
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            if a < b:
-                blob = nr[a:b].tobytes() + (ln[a:b] // 4).astype("<u4").tobytes() + flat[ends[a] : ends[b]]
-                yield pa.RecordBatch.from_arrays([pa.array([names.dictionary[int(codes[a])].as_py()]), pa.array([b - a], pa.int32()), pa.array([z.compress(blob)], pa.binary())],
-                                                 names=["block", "n", "packed"])
-
-    held, n = [], 0
-    for b in batches:
-        held.append(b)
-        n += b.num_rows
-        if n >= 1_000_000:
-            yield from flush(held)
-            held, n = [], 0
-    if n:
-        yield from flush(held)
-
-
-def _read_off(key, docs, words):
-    """Ids of a block's documents."""
-    import zstandard
+    def run(key, docs, words):
+        import zstandard
+
+        from cairn.llm.wordids import gather
+
+        if not len(docs):
+            return pd.DataFrame({"doc_id": pd.Series(dtype="Int64"), "ids": pd.Series(dtype=object)})
+        z, n = zstandard.ZstdDecompressor(), int(docs["n_words"].iloc[0])
+        ln, parts, got = np.zeros(n, dtype=np.int64), [], 0
+        for k, blob in zip(words["n"], words["packed"]):
+            raw = z.decompress(blob)
+            nr, m = np.frombuffer(raw, "<i4", k), np.frombuffer(raw, "<u4", k, 4 * k).astype(np.int64)
+            ln[nr] = m
+            ids = np.frombuffer(raw, np.uint8, offset=8 * k)
+            parts.append((nr, m, np.ascontiguousarray(ids.reshape(4, -1).T).view("<u4").reshape(-1)))
+            got += k
+        if got != n:
+            raise RuntimeError(f"block {key[0]}: {got} of its {n} words have ids; the table changed between two reads")
+        off = np.concatenate((np.zeros(1, np.int64), np.cumsum(ln)))
+        flat = np.zeros(int(off[-1]), dtype=kind)
+        for nr, m, ids in parts:
+            to = np.repeat(off[nr] - (np.cumsum(m) - m), m) + np.arange(len(ids))
+            flat[to] = ids
+        keys, out = [], []
+        for ids_of, lengths, blob in zip(docs["doc_ids"], docs["lengths"], docs["numbers"]):
+            raw = np.frombuffer(z.decompress(blob), dtype=np.uint8)
+            width, total = (2, "<u2") if n <= 1 << 16 else (4, "<u4"), int(np.sum(lengths))
+            e = np.ascontiguousarray(raw.reshape(width[0], total).T).view(width[1]).reshape(-1).astype(np.int64)
+            at = np.concatenate(([0], np.cumsum(np.asarray(lengths, dtype=np.int64))))
+            ids = gather(flat, off[e], ln[e])
+            ends = np.concatenate(([0], np.cumsum(ln[e])))[at].tolist()
+            raw, size = ids.tobytes(), ids.itemsize
+            keys += list(ids_of)
+            out += [raw[size * a : size * b] for a, b in zip(ends[:-1], ends[1:])]
+        return pd.DataFrame({"doc_id": pd.array(keys, dtype="Int64"), "ids": out})
 
-    from cairn.llm.wordids import gather
-
-    if not len(docs):
-        return pd.DataFrame({"doc_id": pd.Series(dtype="Int64"), "ids": pd.Series(dtype=object)})
-    z, n = zstandard.ZstdDecompressor(), int(docs["n_words"].iloc[0])
-    ln, parts, got = np.zeros(n, dtype=np.int64), [], 0
-    for k, blob in zip(words["n"], words["packed"]):
-        raw = z.decompress(blob)
-        nr, m = np.frombuffer(raw, "<i4", k), np.frombuffer(raw, "<u4", k, 4 * k).astype(np.int64)
-        ln[nr] = m
-        parts.append((nr, m, np.frombuffer(raw, "<u4", offset=8 * k)))
-        got += k
-    if got != n:
-        raise RuntimeError(f"block {key[0]}: {got} of its {n} words have ids; the table changed between two reads")
-    off = np.concatenate((np.zeros(1, np.int64), np.cumsum(ln)))
-    flat = np.zeros(int(off[-1]), dtype="<u4")
-    for nr, m, ids in parts:
-        to = np.repeat(off[nr] - (np.cumsum(m) - m), m) + np.arange(len(ids))
-        flat[to] = ids
-    keys, out = [], []
-    for ids_of, lengths, blob in zip(docs["doc_ids"], docs["lengths"], docs["numbers"]):
-        raw = np.frombuffer(z.decompress(blob), dtype=np.uint8)
-        width, total = (2, "<u2") if n <= 1 << 16 else (4, "<u4"), int(np.sum(lengths))
-        e = np.ascontiguousarray(raw.reshape(width[0], total).T).view(width[1]).reshape(-1).astype(np.int64)
-        at = np.concatenate(([0], np.cumsum(np.asarray(lengths, dtype=np.int64))))
-        ids = gather(flat, off[e], ln[e])
-        ends = np.concatenate(([0], np.cumsum(ln[e])))[at].tolist()
-        raw = ids.astype("<u4").tobytes()
-        keys += list(ids_of)
-        out += [raw[4 * a : 4 * b] for a, b in zip(ends[:-1], ends[1:])]
-    return pd.DataFrame({"doc_id": pd.array(keys, dtype="Int64"), "ids": out})
+    return run
+
+
+def width(path: str) -> int:
+    """Bytes of an id in packed columns: 2 if the vocabulary's ids fit, else 4."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    return 2 if max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec.get("added_tokens", []))]) < 1 << 16 else 4
 
 
 def encode(docs: DataFrame, path: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, ids) with the ids of each whole text as little-endian unsigned
-    32-bit numbers (``unpack`` makes an array of them)."""
+    numbers of ``width(path)`` bytes (``unpack`` makes an array of them)."""
     t = texts_of(docs)
     words = t.mapInArrow(_blocks(path, block_chars, _emit_words), "word string, block string, nr int")
-    table = words.select("word").distinct().withColumn("ids", _ids_of_words(path)("word"))
-    back = words.join(table, "word").select("block", "nr", "ids").mapInArrow(_pack_words, "block string, n int, packed binary")
+    # the table of distinct words lies in these partitions, each word in one of them, with its places beside it
+    back = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encode_sorted(path), "block string, n int, packed binary")
     numbers = t.mapInArrow(_blocks(path, block_chars, _emit_docs), "block string, n_words int, doc_ids array<long>, lengths array<long>, numbers binary")
-    return numbers.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(_read_off, ENCODED)
+    return numbers.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(_read_off(f"<u{width(path)}"), ENCODED)
 
 
-def unpack(ids: Column) -> Column:
+def unpack(ids: Column, path: str) -> Column:
     """Array of the ids in a packed column."""
+    kind = f"<u{width(path)}"
+
     def run(raw: pd.Series) -> pd.Series:
-        return pd.Series([np.frombuffer(x, "<u4").astype(np.int64) for x in raw], dtype=object)
+        return pd.Series([np.frombuffer(x, kind).astype(np.int64) for x in raw], dtype=object)
 
     return F.pandas_udf(run, "array<long>")(ids)
 
@@ -267,28 +288,26 @@ def _pieces(path: str, kind: str) -> Pieces:
     return _PIECES[path, kind]
 
 
-def decode(encoded: DataFrame, path: str) -> DataFrame:
+def decode(encoded: DataFrame, path: str, digest: bool = False) -> DataFrame:
     """(doc_id, ids, text): the pieces of a document's ids, joined by position;
-    bytes that are no UTF-8 become U+FFFD."""
+    bytes that are no UTF-8 become U+FFFD. With ``digest`` also ids_sha256, the
+    lowercase hex SHA-256 of the decimal ids joined by commas."""
+    kind = f"<u{width(path)}"
 
     def run(batches):
-        import pyarrow as pa
-
-        table = _pieces(path, "bytes")
-        for whole in batches:
-            for b in by_size(whole, "ids"):
-                texts = [table.join(np.frombuffer(x.as_buffer(), "<u4")).decode("utf-8", "replace") for x in b.column("ids")]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("ids"), pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
-
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, text string")
-
-
-def decimal_digest(ids: Column, path: str) -> Column:
-    """Lowercase hex SHA-256 of the decimal ids joined by commas."""
-    def run(raw: pd.Series) -> pd.Series:
         import hashlib
 
-        table = _pieces(path, "decimal")
-        return pd.Series([hashlib.sha256(table.join(np.frombuffer(x, "<u4"))[:-1]).hexdigest() for x in raw], dtype=object)
+        import pyarrow as pa
 
-    return F.pandas_udf(run, "string")(ids)
+        table, decimal = _pieces(path, "bytes"), _pieces(path, "decimal")
+        for whole in batches:
+            for b in by_size(whole, "ids", 1 << 20):
+                ids = [np.frombuffer(x.as_buffer(), kind) for x in b.column("ids")]
+                cols = [b.column("doc_id"), b.column("ids"), pa.array([table.join(x).decode("utf-8", "replace") for x in ids], pa.string())]
+                names = ["doc_id", "ids", "text"]
+                if digest:
+                    cols.append(pa.array([hashlib.sha256(decimal.join(x)[:-1]).hexdigest() for x in ids], pa.string()))
+                    names.append("ids_sha256")
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, text string" + (", ids_sha256 string" if digest else ""))

@@ -15,12 +15,12 @@ def test_equals_library_both_ways(docs_of, block_chars):
     t = Tokenizer.from_file(PATH)
     docs = docs_of([(a, b, "x") for a, b in ROWS], "doc_id long, text string, word string").repartition(2)
     enc = bpe.encode(docs, PATH, block_chars).persist()
-    got = sorted((r.doc_id is None, r.doc_id or 0, list(r.ids)) for r in enc.select("doc_id", bpe.unpack(enc.ids).alias("ids")).collect())
+    got = sorted((r.doc_id is None, r.doc_id or 0, list(r.ids)) for r in enc.select("doc_id", bpe.unpack(enc.ids, PATH).alias("ids")).collect())
     want = [(d is None, d or 0, t.encode(x or "", add_special_tokens=False).ids) for d, x in ROWS]
     assert got == sorted(want)
     dec = {(r.doc_id, r.text) for r in bpe.decode(enc, PATH).collect()}
     assert dec == {(d, t.decode(t.encode(x or "", add_special_tokens=False).ids, skip_special_tokens=False)) for d, x in ROWS}
-    dig = {(r[0], r[1]) for r in enc.select("doc_id", bpe.decimal_digest(enc.ids, PATH)).collect()}
+    dig = {(r.doc_id, r.ids_sha256) for r in bpe.decode(enc, PATH, digest=True).collect()}
     assert dig == {(d, hashlib.sha256(",".join(map(str, t.encode(x or "", add_special_tokens=False).ids)).encode()).hexdigest()) for d, x in ROWS}
 
 
