@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.common import by_size, stored, texts_of
-from cairn.llm.components import components
+from cairn.llm.group_links import group_links
 
 WORDS = 4
 THRESHOLD = 85  # per cent
@@ -274,7 +274,7 @@ def frequency_classes(sets: DataFrame, bits: int = TABLE_BITS) -> np.ndarray:
 
         n = np.zeros(1 << bits, dtype=np.int64)
         for b in batches:
-            h = np.frombuffer(b"".join(b.column("h").to_pylist()), "<u8")
+            h = np.frombuffer(b"".join(b.column("payload").to_pylist()), "<u8")
             n += np.bincount((h & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
         if n.any():
             for k, part in enumerate(np.split(n, slices)):
@@ -286,7 +286,7 @@ def frequency_classes(sets: DataFrame, bits: int = TABLE_BITS) -> np.ndarray:
         total = sum(np.frombuffer(x, "<i8") for x in pdf["n"])
         return pd.DataFrame({"slice": [int(key[0])], "n": [np.ceil(np.log2(total + 1)).astype(np.uint8).tobytes()]})
 
-    got = sets.select("h").mapInArrow(count, "slice int, n binary").groupBy("slice").applyInPandas(add, "slice int, n binary").collect()  # 2**bits bytes in all
+    got = sets.select("payload").mapInArrow(count, "slice int, n binary").groupBy("slice").applyInPandas(add, "slice int, n binary").collect()  # 2**bits bytes in all
     out = np.zeros((slices, (1 << bits) // slices), dtype=np.uint8)
     for r in got:
         out[r["slice"]] = np.frombuffer(bytes(r["n"]), np.uint8)
@@ -303,154 +303,57 @@ def prefix(h: np.ndarray, classes: np.ndarray, order: int, percent: int) -> np.n
     return h[np.argpartition(rank, p - 1)[:p]] if p < len(h) else h
 
 
-def linked(x: np.ndarray, y: np.ndarray, px: list[np.ndarray], py: list[np.ndarray], percent: int) -> bool:
-    """Do the prefixes meet under every order, and are the sets similar enough?"""
-    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-        return False
-    for a, b in zip(px, py):
-        if not len(np.intersect1d(a, b, assume_unique=True)):
-            return False
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return 100 * both >= percent * (len(x) + len(y) - both)
-
-
 # --- 4. links --------------------------------------------------------------
 
 
-def _compare(shared, percent: int):
-    """Candidates (with the first set) of one document: those that are linked."""
-
-    def run(key, edges, sets):
-        import pandas as pd
-
-        classes = shared.value
-        out = []
-        pre = lambda h: [prefix(h, classes, k, percent) for k in range(1, ORDERS)]
-        ys = [np.frombuffer(y, "<u8") for y in sets["hb"]]
-        pys = [pre(y) for y in ys]
-        for a, raw in zip(edges["a"], edges["h"]):
-            x = np.frombuffer(raw, "<u8")
-            px = pre(x)
-            if any(linked(x, y, px, py, percent) for y, py in zip(ys, pys)):
-                out.append((a, key[0]))
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
-
-    return run
-
+class JaccardOfSets:
+    """Sets (sorted 64-bit shingles) for ``group_links``."""
 
-def _verified(pairs: DataFrame, sets: DataFrame, shared, percent: int) -> DataFrame:
-    """The pairs (a, b) that are linked."""
-    left = pairs.join(sets.select(F.col("rep").alias("a"), "h"), "a")
-    return left.groupBy("b").cogroup(sets.select(F.col("rep").alias("b"), F.col("h").alias("hb")).groupBy("b")).applyInPandas(_compare(shared, percent), "a long, b long")
+    def __init__(self, classes: np.ndarray, percent: int):
+        self.classes, self.percent = classes, percent
 
+    def load(self, raw: bytes):
+        """The set and its prefix under every order."""
+        h = np.frombuffer(raw, "<u8")
+        return h, [prefix(h, self.classes, k, self.percent) for k in range(ORDERS)]
 
-def _cell_links(shared, percent: int):
-    """Links between documents of different components in one or two cells;
-    links that join nothing new within the task are left out."""
+    def tokens(self, item) -> list[int]:
+        return item[1][0].tolist()
 
-    def run(key, pdf):
-        import pandas as pd
-
-        classes = shared.value
-        sets = [np.frombuffer(x, "<u8") for x in pdf["h"]]
-        comp, side, rep = pdf["component"].tolist(), pdf["side"].tolist(), pdf["rep"].tolist()
-        pre = [[prefix(h, classes, k, percent) for k in range(ORDERS)] for h in sets]
-        index: dict[int, list[int]] = {}
-        root = {c: c for c in comp}
-
-        def find(c):
-            while root[c] != c:
-                root[c] = root[root[c]]
-                c = root[c]
-            return c
-
-        alone = key[1] == key[2]
-        out = []
-        for i in range(len(sets)):
-            near = {j for t in pre[i][0].tolist() for j in index.get(t, ())}
-            for j in sorted(near):
-                if (alone or side[i] != side[j]) and find(comp[i]) != find(comp[j]) and linked(sets[i], sets[j], pre[i][1:], pre[j][1:], percent):
-                    out.append((rep[i], rep[j]))
-                    root[find(comp[i])] = find(comp[j])
-            for t in pre[i][0].tolist():
-                index.setdefault(t, []).append(i)
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
-
-    return run
+    def linked(self, a, b) -> bool:
+        """Do the prefixes meet under every order, and are the sets similar enough?"""
+        (x, px), (y, py) = a, b
+        if 100 * min(len(x), len(y)) < self.percent * max(len(x), len(y)):
+            return False
+        for p, q in zip(px, py):
+            if not len(np.intersect1d(p, q, assume_unique=True)):
+                return False
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return 100 * both >= self.percent * (len(x) + len(y) - both)
 
 
-def links(sets: DataFrame, percent: int) -> DataFrame | None:
-    """(id, component) of the sets (rep, n, h) that are linked with another."""
-    spark = sets.sparkSession
-    shared = spark.sparkContext.broadcast(frequency_classes(sets))
+def links(sets: DataFrame, percent: int) -> DataFrame:
+    """(id, component) of the sets (id, n, payload) that are linked with another."""
+    similarity = JaccardOfSets(frequency_classes(sets), percent)
+    shared = sets.sparkSession.sparkContext.broadcast(similarity)
 
     def post(batches):
         import pyarrow as pa
 
+        classes = shared.value.classes
         for b in batches:
-            reps, n = b.column("rep").to_pylist(), b.column("n").to_pylist()
-            p = [prefix(np.frombuffer(x.as_buffer(), "<u8"), shared.value, 0, percent) for x in b.column("h")]
+            if not b.num_rows:
+                continue
+            ids, n = b.column("id").to_pylist(), b.column("n").to_pylist()
+            p = [prefix(np.frombuffer(x.as_buffer(), "<u8"), classes, 0, percent) for x in b.column("payload")]
             ln = [len(x) for x in p]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p).view(np.int64)), pa.array(np.repeat(reps, ln), pa.int64()), pa.array(np.repeat(n, ln), pa.int64())], names=["token", "rep", "n"])
-
-    posts = sets.mapInArrow(post, "token long, rep long, n long")
-    sizes = posts.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    posts = stored(posts.join(sizes, "token"), "posts")
-    similar = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("a") != F.col("b"))
-
-    found = None
-    label = None
-    for turn in range(2):
-        # the leader of a token differs from turn to turn, and prefers large components in the second
-        order = F.xxhash64(F.lit(turn), "rep")
-        now = posts if label is None else posts.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left")
-        if label is None:
-            now = now.withColumn("component", F.col("rep"))
-        now = now.withColumn("component", F.coalesce("component", "rep"))
-        lead = now.groupBy("token").agg(F.min_by(F.struct("rep", "n", "component"), F.struct(order, "rep")).alias("lead"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1")
-        star = now.join(lead, "token").where(F.col("component") != F.col("lead.component"))
-        star = star.select(F.col("rep").alias("a"), "n", F.col("lead.rep").alias("b"), F.col("lead.n").alias("m")).where(similar).select("a", "b").distinct()
-        new = _verified(star, sets, shared, percent)
-        found = stored(new if found is None else found.unionByName(new), "found")
-        label = components(found)
-
-    # what is left: tokens whose documents lie in several components
-    now = posts.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    split = now.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("token")
-    now = stored(now.join(split, "token"), "split")
-    few = now.where(F.col("size") <= SMALL)
-    x = few.select("token", F.col("rep").alias("a"), "n", F.col("component").alias("ca"))
-    y = few.select("token", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("component").alias("cb"))
-    pairs = x.join(y, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))).where(similar).select("a", "b").distinct()
-    new = _verified(pairs, sets, shared, percent)
-
-    many = now.where(F.col("size") > SMALL)
-    if not many.isEmpty():
-        # families: documents joined by large tokens
-        lead = many.groupBy("token").agg(F.min("rep").alias("b"))
-        family = components(many.join(lead, "token").select(F.col("rep").alias("a"), "b"))
-        rows = many.select("rep", "n", "component").distinct().join(family.select(F.col("id").alias("rep"), F.col("component").alias("family")), "rep")
-        # the length class: similar sets lie in one class or in two beside each other
-        rows = rows.withColumn("cls", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9).cast("int"))
-        cells = rows.groupBy("family", "cls").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("cells"))
-        rows = rows.join(cells, ["family", "cls"]).withColumn("cell", F.pmod(F.xxhash64("rep"), F.col("cells")).cast("int"))
-        beside = cells.select("family", (F.col("cls") - 1).alias("cls"), F.col("cells").alias("above"))
-        below = cells.select("family", (F.col("cls") + 1).alias("cls"), F.col("cells").alias("below"))
-        rows = rows.join(beside, ["family", "cls"], "left").join(below, ["family", "cls"], "left")
-        name = lambda c, k: F.concat_ws("/", c.cast("string"), k.cast("string"))
-        own = name(F.col("cls"), F.col("cell"))
-        task = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
-        seq = lambda z: F.when(F.coalesce(z, F.lit(0)) > 0, F.sequence(F.lit(0), F.coalesce(z, F.lit(1)) - 1)).otherwise(F.array().cast("array<int>"))
-        same = F.transform(seq(F.col("cells")), lambda k: task(name(F.col("cls"), F.least(k, F.col("cell"))), name(F.col("cls"), F.greatest(k, F.col("cell")))))
-        up = F.transform(seq(F.col("above")), lambda k: task(own, name(F.col("cls") + 1, k)))
-        down = F.transform(seq(F.col("below")), lambda k: task(name(F.col("cls") - 1, k), own))
-        dealt = rows.withColumn("task", F.explode(F.array_distinct(F.concat(same, up, down)))).select("family", F.col("task.x").alias("x"), F.col("task.y").alias("y"), "rep", "component", own.alias("side"))
-        new = new.unionByName(dealt.join(sets.select("rep", "h"), "rep").groupBy("family", "x", "y").applyInPandas(_cell_links(shared, percent), "a long, b long"))
-    return components(found.unionByName(new))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p).view(np.int64)), pa.array(np.repeat(ids, ln), pa.int64()), pa.array(np.repeat(n, ln), pa.int64())], names=["token", "id", "n"])
+
+    return group_links(sets.mapInArrow(post, "token long, id long, n long"), sets, shared, percent, SMALL, CELL)
 
 
 def sets_of(t: DataFrame, reps: DataFrame, words: int) -> DataFrame:
-    """(rep, n, h): the sets of the documents in ``reps`` (rep, n, k1, k2), read again from their texts."""
+    """(id, n, payload): the sets of the documents in ``reps`` (rep, n, k1, k2), read again from their texts."""
     ids = reps.select(F.col("rep").alias("doc_id"), "k1", "k2", "n")
     if ids.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
@@ -465,9 +368,9 @@ def sets_of(t: DataFrame, reps: DataFrame, words: int) -> DataFrame:
                 ok = [i for i, (x, y, n) in enumerate(zip(b.column("k1").to_pylist(), b.column("k2").to_pylist(), b.column("n").to_pylist())) if (k1[i], k2[i], first[i + 1] - first[i]) == (x, y, n)]
                 ids = b.column("doc_id").to_pylist()
                 yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in ok], pa.int64()), pa.array([int(first[i + 1] - first[i]) for i in ok], pa.int64()),
-                                                  pa.array([h[first[i] : first[i + 1]].astype("<u8").tobytes() for i in ok], pa.binary())], names=["rep", "n", "h"])
+                                                  pa.array([h[first[i] : first[i + 1]].astype("<u8").tobytes() for i in ok], pa.binary())], names=["id", "n", "payload"])
 
-    return stored(t.join(ids, "doc_id").select("doc_id", "text", "k1", "k2", "n").mapInArrow(run, "rep long, n long, h binary").dropDuplicates(["rep", "n", "h"]), "sets", "none")
+    return stored(t.join(ids, "doc_id").select("doc_id", "text", "k1", "k2", "n").mapInArrow(run, "id long, n long, payload binary").dropDuplicates(["id", "n", "payload"]), "sets", "none")
 
 
 def sizes_and_keys(t: DataFrame, words: int) -> DataFrame:
