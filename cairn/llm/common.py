@@ -69,3 +69,19 @@ def by_size(batch, column: str = "text", limit: int = 4 << 20) -> Iterator:
         to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
         yield batch.slice(at, to - at)
         base, at = int(ends[to - 1]), to
+
+
+def with_n_chars(docs: DataFrame, changed) -> DataFrame:
+    """``n_chars`` follows the text in changed rows, where it is a whole number."""
+    kind = dict(docs.dtypes).get("n_chars")
+    if kind not in ("bigint", "int"):
+        return docs
+    return docs.withColumn("n_chars", F.when(changed, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+
+
+def new_name(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name

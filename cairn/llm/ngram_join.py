@@ -46,7 +46,7 @@ BLOCK = 1 << 21  # shingles sorted together
 RANGE = 1 << 21  # shingles that meet in one task
 SMALL = 48  # documents of a prefix shingle compared as pairs of ids
 CELL = 192  # documents of one side of a task for larger ones
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 500_000
 TABLE_BITS = 20
 BATCH = 2 << 20
 
@@ -401,3 +401,20 @@ def join(docs: DataFrame, percent: int = THRESHOLD, words: int = WORDS) -> DataF
     reach = reach.select("k1", "k2", "n", F.coalesce("component", "rep").alias("component"))
     out = keys.join(reach, ["k1", "k2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
     return out
+
+
+def one_per_group(docs: DataFrame, percent: int = THRESHOLD, words: int = WORDS) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is the smallest of its component, all
+    columns kept; of rows with one doc_id, one stays. Rows without a doc_id
+    stay."""
+    found = stored(join(docs, percent, words), "groups")
+    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
+    repeated = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    bounded = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    left = docs.join(bounded(gone), "doc_id", "left_anti")
+    again = stored(repeated, "repeated")
+    if again.isEmpty():
+        return left.select(docs.columns)
+    again = bounded(again)
+    once = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return left.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(once.select(docs.columns))

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import by_size, texts_of
+from cairn.llm.common import by_size, new_name, texts_of
 
 BITS = 20
 MAX_DOCS = 8000
@@ -169,8 +169,8 @@ def fit(docs: DataFrame, sample: DataFrame, bits: int = BITS, epochs: int = EPOC
     return np.frombuffer(bytes(w["w"]), "<f4") if w else np.zeros((1 << bits) + 1, dtype=np.float32)
 
 
-def score(docs: DataFrame, weights: np.ndarray, bits: int = BITS) -> DataFrame:
-    """All columns of ``docs`` and ``quality_score``."""
+def score(docs: DataFrame, weights: np.ndarray, bits: int = BITS, name: str = "quality_score") -> DataFrame:
+    """All columns of ``docs`` and the score as ``name``, which must be new."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):
@@ -184,9 +184,16 @@ def score(docs: DataFrame, weights: np.ndarray, bits: int = BITS) -> DataFrame:
                 total = np.bincount(d, weights=w[g], minlength=len(texts))
                 n = np.bincount(d, minlength=len(texts))
                 s = 1 / (1 + np.exp(-np.clip(w[-1] + SCALE * total / np.maximum(n, 1), -35, 35)))
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=[*b.schema.names, "quality_score"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=[*b.schema.names, name])
 
-    return docs.mapInArrow(run, type(docs.schema)([*docs.schema.fields]).add("quality_score", "double"))
+    return docs.mapInArrow(run, type(docs.schema)([*docs.schema.fields]).add(name, "double"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_docs: int = MAX_DOCS) -> DataFrame:
+    """Rows of ``docs`` with a score of at least ``threshold``, all columns kept."""
+    name = new_name(docs, "quality_score")
+    weights = fit(docs, labelled_sample(labels, "quality", max_docs))
+    return score(docs, weights, name=name).where(F.col(name) >= threshold).drop(name)
 
 
 def classify(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:

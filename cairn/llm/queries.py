@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, hnsw, huffman, ngram_join, packing, quality, rules, secret_scan, toxicity
+from cairn.llm import bpe, hnsw, huffman, line_dedup, ngram_join, packing, quality, rules, secret_scan, toxicity
 from cairn.llm.common import read, tokenizer_path
 
 
@@ -25,6 +25,10 @@ def op2_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", (F.octet_length("ids") / bpe.width(path)).cast("long").alias("n_tokens"), "ids_sha256", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op3_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_report(read(spark, sf_dir, "documents"))
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(read(spark, sf_dir, "documents"))
 
@@ -59,5 +63,5 @@ def op10_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(secret_scan.joined(spans, True).cast("binary"), 256).alias("base_sha256"), secret_scan.joined(spans, False).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_ftrl, op2_bpe_words, op4_ngram_jaccard, op5_crf_lines, op6_best_fit_packing, op7_hnsw, op8_toxicity_automata, op9_huffman_ids, op10_secret_crf)}
+QUERIES = {f.__name__: f for f in (op1_quality_ftrl, op2_bpe_words, op3_fuzzy_lines, op4_ngram_jaccard, op5_crf_lines, op6_best_fit_packing, op7_hnsw, op8_toxicity_automata, op9_huffman_ids, op10_secret_crf)}
 ORACLE: dict[str, str] = {}

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairn.llm import crf
-from cairn.llm.common import by_size, texts_of
+from cairn.llm.common import by_size, new_name, texts_of, with_n_chars
 
 # Fixed values of the base patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -245,8 +245,8 @@ def _find(texts: list[str], model) -> list[list[dict]]:
     return [[{"kind": KINDS[k], "start": a, "end": b} for a, b, k in sorted(s, key=lambda s: (s[0], s[2]))] for s in found]
 
 
-def scan(docs: DataFrame, model) -> DataFrame:
-    """All columns of ``docs`` and ``secret_spans``: kind, start, end, by start, then kind."""
+def scan(docs: DataFrame, model, name: str = "secret_spans") -> DataFrame:
+    """All columns of ``docs`` and, as ``name`` (which must be new), kind, start, end, by start, then kind."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -256,9 +256,9 @@ def scan(docs: DataFrame, model) -> DataFrame:
         for whole in batches:
             for b in by_size(whole, limit=BATCH):
                 spans = _find([x or "" for x in b.column("text").to_pylist()], shared.value)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(spans, kind)], names=[*b.schema.names, "secret_spans"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(spans, kind)], names=[*b.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields]).add("secret_spans", T._parse_datatype_string(SPANS)))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields]).add(name, T._parse_datatype_string(SPANS)))
 
 
 def joined(spans, base_only: bool):
@@ -271,8 +271,9 @@ def of_kind(spans, kind: str):
     return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long")
 
 
-def redact(scanned: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """``text`` with every span replaced; overlapping spans are replaced together."""
+def redact(scanned: DataFrame, mark: str = "[secret]", name: str = "secret_spans") -> DataFrame:
+    """``text`` with every span of column ``name`` replaced and that column
+    dropped; overlapping spans are replaced together."""
 
     def run(text: pd.Series, spans: pd.Series) -> pd.Series:
         out = []
@@ -288,7 +289,14 @@ def redact(scanned: DataFrame, mark: str = "[secret]") -> DataFrame:
             out.append("".join(parts) + x[at:])
         return pd.Series(out, dtype=object)
 
-    return scanned.withColumn("text", F.pandas_udf(run, "string")("text", "secret_spans")).drop("secret_spans")
+    text = F.when(F.size(name) > 0, F.pandas_udf(run, "string")("text", name)).otherwise(F.col("text"))
+    return with_n_chars(scanned.withColumn("text", text), F.size(name) > 0).drop(name)
+
+
+def without_secrets(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
+    """``docs`` with its secrets replaced, all columns kept."""
+    name = new_name(docs, "secret_spans")
+    return redact(scan(docs, fit(docs, max_docs), name), name=name)
 
 
 def find(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:

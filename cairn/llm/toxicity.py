@@ -6,7 +6,8 @@ automata, and scored with the context of each match.
   labelled rows).
 * ``Lexicon.match``: the Levenshtein automaton of a text's word (bit-parallel,
   one bit mask per number of edits) is run along the lexicon's trie; a branch
-  is left as soon as no state is alive. Terms of ``FUZZY_FROM`` letters and more
+  is left as soon as no state is alive. Words that can be no match are sorted
+  out before, in numpy (``Lexicon.near``; it loses none). Terms of ``FUZZY_FROM`` letters and more
   may differ by one edit, of ``FUZZY_2_FROM`` and more by two. Each distinct
   word is matched once per task.
 * Context: a match inside quotation marks, or next to a word that speaks of
@@ -38,6 +39,27 @@ WINDOW = 4
 MAX_WORDS = 1_000_000
 
 
+def _gram(a, b, c):
+    """Key of three letters, never 0."""
+    return (a << 42) + (b << 21) + c + 1 if isinstance(a, int) else (a << np.uint64(42)) + (b << np.uint64(21)) + c + np.uint64(1)
+
+
+def _poly(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of words that stand one after another or apart, and of each word
+    without each of its letters."""
+    from cairn.llm.wordids import _INV, _powers, gather, mix
+
+    b, inv = _powers(len(codes))
+    v = mix((codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+    c = np.concatenate((np.zeros(1, np.uint64), np.cumsum(v * b[: len(codes)])))
+    size = ends - starts
+    word = np.repeat(np.arange(len(starts)), size)
+    p = gather(np.arange(len(codes), dtype=np.int64), starts, size)
+    s, e = starts[word], ends[word]
+    less = ((c[p] - c[s]) + (c[e] - c[p + 1]) * np.uint64(_INV)) * inv[s]
+    return (c[ends] - c[starts]) * inv[starts], less
+
+
 class Lexicon:
     """Weighted terms in a trie. Terms of weight 0 are known words that match nothing."""
 
@@ -50,6 +72,55 @@ class Lexicon:
                 node = node.setdefault(c, {})
             node[""] = t
 
+        self._tables()
+
+    def _tables(self) -> None:
+        """What a word near a term must hold: for one edit, the term or the
+        word without one letter; for two, a third of the term at its place or
+        two letters beside it."""
+        from cairn.llm.wordids import HashIndex, to_codes
+
+        live = [t for t, w in self.terms.items() if w]
+        short = {t for t in live if len(t) >= FUZZY_FROM}
+        short |= {t[:i] + t[i + 1 :] for t in short for i in range(len(t))}
+        one = sorted(short | set(live))
+        self.one = HashIndex()
+        flat = to_codes("".join(one))
+        at = np.concatenate(([0], np.cumsum([len(t) for t in one]))).astype(np.int64)
+        self.one.add(np.unique(_poly(flat, at[:-1], at[1:])[0]))
+        part: dict[int, int] = {}
+        for t in live:
+            if len(t) >= FUZZY_2_FROM:
+                n = len(t)
+                for p in (0, n // 3, 2 * n // 3):
+                    key = _gram(*(ord(c) for c in t[p : p + 3]))
+                    for q in range(max(0, p - 2), min(62, p + 2) + 1):
+                        part[key] = part.get(key, 0) | 1 << q
+        self.part = HashIndex()
+        self.part.add(np.array(list(part), dtype=np.uint64))
+        self.places = np.array([*part.values(), 0], dtype=np.uint64)
+
+    def near(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Words that ``match`` may find (all others it doesn't)."""
+        if not len(starts) or not self.root:
+            return np.zeros(len(starts), dtype=bool)
+        whole, less = _poly(codes, starts, ends)
+        ok = self.one.find(whole) >= 0
+        size = ends - starts
+        word = np.repeat(np.arange(len(starts)), size)
+        ok[word[self.one.find(less) >= 0]] = True
+        if self.part.n:
+            long = np.flatnonzero((size >= FUZZY_2_FROM - 2) & ~ok)
+            n = size[long] - 2
+            word = np.repeat(long, n)
+            place = np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n)
+            p = starts[word] + place
+            c = codes.astype(np.uint64)
+            k = self.part.find(_gram(c[p], c[p + 1], c[p + 2]))
+            hit = (k >= 0) & (place < 63)
+            ok[word[hit][(self.places[k[hit]] >> place[hit].astype(np.uint64)) & np.uint64(1) > 0]] = True
+        return ok
+
     def match(self, word: str) -> tuple[str, int] | None:
         """The nearest term within the allowed edits (ties: larger weight, then
         alphabetic) and the number of edits."""
@@ -168,7 +239,10 @@ class Matcher:
         if len(miss):
             _, first = np.unique(h[miss], return_index=True)
             which = miss[first]
-            got = [self.lexicon.match(w) for w in Words(codes, starts, ends, None).strings(which)]
+            got: list = [None] * len(which)
+            maybe = np.flatnonzero(self.lexicon.near(codes, starts[which], ends[which]))
+            for k, w in zip(maybe.tolist(), Words(codes, starts, ends, None).strings(which[maybe])):
+                got[k] = self.lexicon.match(w)
             base = self.index.n
             while base + len(got) > len(self.hit):
                 self.hit = np.concatenate((self.hit, np.zeros_like(self.hit)))
@@ -256,9 +330,14 @@ def learn_lexicon(seen: DataFrame, max_terms: int = MAX_TERMS, min_odds: float =
     def near(batches):
         import pyarrow as pa
 
+        from cairn.llm.wordids import to_codes
+
         lexicon = Lexicon(terms)
         for b in batches:
-            words = [w for w in b.column(0).to_pylist() if w not in terms and lexicon.match(w)]
+            words = b.column(0).to_pylist()
+            at = np.concatenate(([0], np.cumsum([len(w) for w in words]))).astype(np.int64)
+            maybe = np.flatnonzero(lexicon.near(to_codes("".join(words)), at[:-1], at[1:])).tolist()
+            words = [words[k] for k in maybe if words[k] not in terms and lexicon.match(words[k])]
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string())], names=["term"])
 
     known = counts.where((F.col("b") >= 2) & (F.col("b") * (n1 + 1) >= F.col("a") * (n0 + 1))).select("term").mapInArrow(near, "term string").collect() if terms else []
@@ -271,9 +350,10 @@ def learn_mention(seen: DataFrame, terms: dict[str, float], min_docs: int = 5, m
     def count(batches):
         import pyarrow as pa
 
+        m = Matcher(Lexicon(terms), frozenset())
         for whole in batches:
             for b in by_size(whole):
-                m, y = Matcher(Lexicon(terms), frozenset()), b.column("y").to_pylist()
+                y = b.column("y").to_pylist()
                 pairs = {(d, w) for d, _, _, _, near in m.spans([t or "" for t in b.column("text").to_pylist()])[0] for w in near}
                 rows = [(w, y[d], 1 - y[d]) for d, w in sorted(pairs)]
                 cols = list(zip(*rows)) if rows else ([], [], [])

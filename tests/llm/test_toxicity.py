@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 
 from cairn.llm import toxicity
+from cairn.llm.wordids import to_codes
 
 
 def edits(a, b):
@@ -34,9 +36,12 @@ def test_automata_equal_edit_distance(seed):
     word = lambda a, z: "".join(rng.choice("abc") for _ in range(rng.randint(a, z)))
     terms = {word(3, 12): float(rng.randint(0, 3)) for _ in range(25)}
     lex = toxicity.Lexicon(terms)
-    for _ in range(800):
-        w = word(1, 13)
+    words = [word(1, 13) for _ in range(800)]
+    at = np.concatenate(([0], np.cumsum([len(w) for w in words])))
+    near = lex.near(to_codes("".join(words)), at[:-1], at[1:])
+    for w, maybe in zip(words, near):
         assert lex.match(w) == brute(terms, w), w
+        assert maybe or lex.match(w) is None, w
 
 
 def test_quotation():
@@ -46,8 +51,6 @@ def test_quotation():
 
 
 def test_marks_of_many_words_at_once():
-    import numpy as np
-
     t = ['he "said it" now', 'on “a b” c\n" x', '"']
     _, codes, starts, ends, doc, at = toxicity.words_of(t)
     got = toxicity.in_marks(codes, at, starts)
