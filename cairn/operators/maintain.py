@@ -72,7 +72,9 @@ def lookup_by_title(memories: DataFrame, requests: DataFrame, columns: list[str]
 def recall(memories: DataFrame, requests: DataFrame, as_of) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Requests (request_id, project, id, title, op_seq). The id wins when
     both are given; neither -> rejected. Returns (answers, access events,
-    audit). Answers show the row as read, before the increment (Q8).
+    audit). Answers carry the served note (P1) as read, before the increment
+    (Q8); a batch reads its notes once, so repeated requests for a note show
+    the same count (sequential calls would count up).
 
     One pass over the requests: a left join by id (for requests with an id)
     and a left join to the first note per title (for the others); the
@@ -81,7 +83,8 @@ def recall(memories: DataFrame, requests: DataFrame, as_of) -> tuple[DataFrame,
     has_title = F.col("title").isNotNull() & (F.col("title") != "")
     r = requests.select("request_id", "project", "id", "title", "op_seq",
                         has_id.alias("_by_id"), (~has_id & has_title).alias("_by_title"))
-    keep = ["category", "status", "access_count"]
+    keep = ["category", "status", "access_count", "content", "summary", "tags", "metadata", "priority", "source",
+            "related_ids", "entities", "created_at", "updated_at", "expires_at"]
     m = memories.select(F.col("project").alias("_p"), F.col("id").alias("_id"), F.col("title").alias("_t"),
                         *[F.col(k).alias(f"_m_{k}") for k in keep])
     f = first_by_title(memories, keep).select(F.col("project").alias("_fp"), F.col("title").alias("_ft"),
@@ -185,11 +188,12 @@ def patch_join(memories: DataFrame, patches: DataFrame) -> tuple[DataFrame, Data
     given = F.lit(False)
     for f in PATCH_FIELDS:
         given = given | F.col(f).isNotNull()
-    keyed = patches.join(memories.select("project", "id"), ["project", "id"], "left_semi")
     unknown = patches.join(memories.select("project", "id"), ["project", "id"], "left_anti").withColumn(
         "reason", F.concat(F.lit("Memory '"), F.col("id"), F.lit("' not found")))
-    empty = keyed.filter(~given).withColumn("reason", F.lit("No fields to update"))
-    valid = keyed.filter(given)
+    empty = patches.filter(~given).join(memories.select("project", "id"), ["project", "id"], "left_semi") \
+        .withColumn("reason", F.lit("No fields to update"))
+    # Aggregated before any join: unknown ids fall out of the join below.
+    valid = patches.filter(given)
 
     text_call = F.col("title").isNotNull() | F.col("content").isNotNull()
     # One grouped pass (partial aggregation before the shuffle): last
@@ -285,9 +289,16 @@ def soft_delete(memories: DataFrame, ids: DataFrame, as_of):
 
 
 def hard_delete(memories: DataFrame, ids: DataFrame, as_of):
-    """M4: remove listed notes (J6); the audit rows stay. Returns (state,
-    audit, rejected)."""
+    """M4: remove listed notes (J6); the audit rows stay. Of several calls for
+    one note the first by ``op_seq`` removes it and the others find nothing.
+    Returns (state, audit, rejected)."""
     found, missing = _requests_found(memories, ids)
+    first = found.groupBy("project", "id").agg(F.min("op_seq").alias("_first"))
+    found = found.join(first, ["project", "id"])
+    late = found.filter(F.col("op_seq") > F.col("_first")).drop("_first").withColumn(
+        "reason", F.concat(F.lit("Memory '"), F.col("id"), F.lit("' not found")))
+    found = found.filter(F.col("op_seq") == F.col("_first")).drop("_first")
+    missing = missing.unionByName(late)
     trail = audit(found, "id", "hard_delete", json_obj(F.col("reason").alias("reason")), as_of)
     return drop_ids(memories, found), trail, missing
 
@@ -391,17 +402,18 @@ def delete_projects(registry: DataFrame, slugs: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- audit
 
 def trail(provenance: DataFrame, ids: DataFrame | None = None) -> DataFrame:
-    """Audit rows of the listed notes (all when None) with their
-    position by (created_at, op_seq) and the note's total."""
+    """Audit rows of the listed notes (project, id; all when
+    None) with their position by (created_at, op_seq) and the note's total. A
+    note id may occur in several projects (snapshots copy ids), so a note is
+    (project, memory_id)."""
     from cairn.operators.ranking import rank_within
     p = provenance if ids is None else provenance.join(
-        ids.select(F.col("id").alias("memory_id")).distinct(), "memory_id", "left_semi")
-    totals = p.groupBy("memory_id").agg(F.count(F.lit(1)).alias("total"))
-    ranked = rank_within(p, ["memory_id"], [F.col("created_at").asc_nulls_last(), F.col("op_seq")])
-    return ranked.join(totals, "memory_id")
+        ids.select("project", F.col("id").alias("memory_id")).distinct(), ["project", "memory_id"], "left_semi")
+    totals = trail_total(p)
+    ranked = rank_within(p, ["project", "memory_id"], [F.col("created_at").asc_nulls_last(), F.col("op_seq")])
+    return ranked.join(totals, ["project", "memory_id"])
 
 
 def trail_total(provenance: DataFrame) -> DataFrame:
-    """Number of audit rows per note."""
-    return provenance.groupBy("memory_id").agg(F.count(F.lit(1)).alias("total"))
-
+    """Number of audit rows per note of a project."""
+    return provenance.groupBy("project", "memory_id").agg(F.count(F.lit(1)).alias("total"))

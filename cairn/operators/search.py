@@ -59,23 +59,26 @@ CANDIDATE_SCHEMA = T.StructType([
 
 # --------------------------------------------------------------- kernels
 
-def _unit_rows(vectors: pd.Series, dim: int | None):
-    """Stack vectors into a float64 matrix of unit rows; mask bad rows."""
-    n = len(vectors)
-    lens = np.fromiter((len(v) if v is not None else -1 for v in vectors), dtype=np.int64, count=n)
-    if dim is None:
-        good = lens > 0
-        dim = int(np.bincount(lens[good]).argmax()) if good.any() else 0
-    ok = lens == dim
-    if not ok.any() or dim == 0:
-        return np.zeros((0, max(dim, 1))), ok, dim
-    m = np.stack([np.asarray(v, dtype=np.float64) for v, g in zip(vectors, ok) if g])
-    nrm = np.linalg.norm(m, axis=1)
-    nz = nrm > 0
-    idx = np.flatnonzero(ok)
-    ok[idx[~nz]] = False
-    m = m[nz] / nrm[nz][:, None]
-    return m, ok, dim
+def _by_length(vectors: pd.Series) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Per vector length: positions of the usable rows (not NULL, empty or
+    zero) and their unit rows as one float64 matrix. Vectors of different
+    lengths are never compared (a store may hold two models' vectors)."""
+    lens = np.fromiter((len(v) if v is not None else 0 for v in vectors), dtype=np.int64, count=len(vectors))
+    out = {}
+    for dim in np.unique(lens[lens > 0]).tolist():
+        pos = np.flatnonzero(lens == dim)
+        m = np.concatenate(vectors.iloc[pos].to_numpy()).astype(np.float64).reshape(len(pos), dim)
+        nrm = np.linalg.norm(m, axis=1)
+        ok = nrm > 0
+        if ok.any():
+            out[dim] = pos[ok], m[ok] / nrm[ok][:, None]
+    return out
+
+
+def snap(similarity: np.ndarray) -> np.ndarray:
+    """``score.snap`` in numpy: 12 places, so that equal vectors score equally
+    wherever they stand in a matrix product."""
+    return np.floor(similarity * 1e12 + 0.5) / 1e12
 
 
 def local_topk(q_ids: np.ndarray, q_mat: np.ndarray, q_k: np.ndarray, q_min: np.ndarray,
@@ -91,7 +94,7 @@ def local_topk(q_ids: np.ndarray, q_mat: np.ndarray, q_k: np.ndarray, q_min: np.
         e = np.zeros(0, dtype=np.int64)
         return e, e, np.zeros(0)
     order = np.argsort(m_ids, kind="stable")            # id order = column order
-    dist = 1.0 - q_mat @ m_mat[order].T                  # nq x nm
+    dist = 1.0 - snap(q_mat @ m_mat[order].T)            # nq x nm
     kmax = int(q_k.max())
     mask = (1.0 - dist) >= q_min[:, None]
     if dist.shape[1] > kmax:
@@ -169,16 +172,18 @@ def _broadcast_kernel(bc):
                 continue
             frames = [] if kept is None else [kept]
             for (proj, status), g in pdf.groupby(["project", "status"], sort=False):
-                qi = info["groups"].get((proj, status))
-                if qi is None:
+                asked = info["groups"].get((proj, status))
+                if asked is None:
                     continue
-                g = g.reset_index(drop=True)
-                mat, ok, _ = _unit_rows(g["embedding"], qi["dim"])
-                g = g[ok].reset_index(drop=True)
-                r, mi, d = local_topk_chunked(qi["ids"], qi["mat"], qi["k"], qi["min"],
-                                              g["id"].to_numpy(dtype=object), mat)
-                if len(r):
-                    frames.append(_emit(qi["ids"], proj, r, mi, d, g))
+                for dim, (pos, mat) in _by_length(g["embedding"]).items():
+                    qi = asked.get(dim)
+                    if qi is None:
+                        continue
+                    sub = g.iloc[pos]
+                    r, mi, d = local_topk_chunked(qi["ids"], qi["mat"], qi["k"], qi["min"],
+                                                  sub["id"].to_numpy(dtype=object), mat)
+                    if len(r):
+                        frames.append(_emit(qi["ids"], proj, r, mi, d, sub))
             # merge after every batch: a task holds at most queries x k rows
             if frames:
                 kept = _final_cut(frames, info["k_by_query"])
@@ -188,18 +193,20 @@ def _broadcast_kernel(bc):
 
 
 def _blocked_kernel(keys, mem: pd.DataFrame, qry: pd.DataFrame) -> pd.DataFrame:
-    if mem.empty or qry.empty:
+    frames = []
+    notes = _by_length(mem["embedding"]) if len(mem) and len(qry) else {}
+    for dim, (q_pos, q_mat) in (_by_length(qry["q_embedding"]).items() if notes else ()):
+        if dim in notes:
+            pos, mat = notes[dim]
+            q, sub = qry.iloc[q_pos], mem.iloc[pos]
+            q_ids = q["query_id"].to_numpy(dtype=np.int64)
+            r, mi, d = local_topk_chunked(q_ids, q_mat, q["k"].to_numpy(dtype=np.int64),
+                                          q["q_min"].to_numpy(dtype=np.float64),
+                                          sub["id"].to_numpy(dtype=object), mat)
+            frames.append(_emit(q_ids, sub["project"].iloc[0], r, mi, d, sub))
+    if not frames:
         return pd.DataFrame({f.name: pd.Series(dtype=object) for f in CANDIDATE_SCHEMA.fields})
-    qmat, qok, dim = _unit_rows(qry["q_embedding"], None)
-    qry = qry[qok].reset_index(drop=True)
-    mat, ok, _ = _unit_rows(mem["embedding"], dim)
-    mem = mem[ok].reset_index(drop=True)
-    q_ids = qry["query_id"].to_numpy(dtype=np.int64)
-    q_k = qry["k"].to_numpy(dtype=np.int64)
-    r, mi, d = local_topk_chunked(q_ids, qmat, q_k, qry["q_min"].to_numpy(dtype=np.float64),
-                                  mem["id"].to_numpy(dtype=object), mat)
-    out = _emit(q_ids, mem["project"].iloc[0] if len(mem) else None, r, mi, d, mem)
-    return out
+    return pd.concat(frames, ignore_index=True)
 
 
 # ------------------------------------------------------------ operators
@@ -223,26 +230,20 @@ def _query_frame(queries: DataFrame, oversample: int, with_min: bool) -> DataFra
 
 def choose_strategy(queries: DataFrame, strategy: str = "auto", max_broadcast_bytes: int = 64 << 20,
                     oversample: int = S.SEARCH_OVERSAMPLE):
-    """Size check before anything is broadcast: query rows x bytes per
-    vector against ``max_broadcast_bytes``. Returns (strategy, n_queries,
-    k_max); one small aggregate job. The result is cached on the DataFrame
-    so the search and its join-back agree."""
-    cache = getattr(queries, "_cairn_strategy", None)
-    if cache is not None and strategy == "auto":
-        return cache
+    """Size check before anything is broadcast: query rows x (bytes per
+    vector + k candidate rows) against ``max_broadcast_bytes``, so a batch
+    with few queries but huge limits goes blocked too. Returns (strategy,
+    n_queries, k_max) for exactly these arguments; one small aggregate job."""
     if strategy not in ("auto", "broadcast"):
         return strategy, None, None
-    lim = F.coalesce(F.col("limit"), F.lit(S.SEARCH_LIMIT))
+    lim = F.coalesce(F.col("limit"), F.lit(S.SEARCH_LIMIT)) * oversample
     st = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim"),
-                     F.max(lim * oversample).alias("kmax")).first()
+                     F.max(lim).alias("kmax"), F.sum(lim.cast("long")).alias("rows")).first()
     n_q, dim, kmax = st["n"], st["dim"] or 0, st["kmax"] or 1
-    est = n_q * (dim * 8 + 64)
+    est = n_q * (dim * 8 + 64) + (st["rows"] or 0) * 128
     if strategy == "broadcast" and est > max_broadcast_bytes:
         raise ValueError(f"query batch of ~{est} bytes exceeds the broadcast bound")
-    out = ("broadcast" if est <= max_broadcast_bytes else "blocked", n_q, kmax)
-    if strategy == "auto":
-        queries._cairn_strategy = out
-    return out
+    return ("broadcast" if est <= max_broadcast_bytes else "blocked"), n_q, kmax
 
 
 def candidates(queries: DataFrame, memories: DataFrame, as_of, oversample: int = S.SEARCH_OVERSAMPLE,
@@ -265,24 +266,20 @@ def candidates(queries: DataFrame, memories: DataFrame, as_of, oversample: int =
         if n_q == 0:
             return spark.createDataFrame([], T.StructType(CANDIDATE_SCHEMA.fields + [
                 T.StructField("rank_d", T.IntegerType())]))
-        # Bounded by the size check; `limit` makes the bound hold even if the
-        # input changed since the check.
-        pdf = q.limit(int(n_q)).toPandas()
+        # One row more than counted: a batch that grew since the check is
+        # refused, never cut.
+        pdf = q.limit(int(n_q) + 1).toPandas()
+        if len(pdf) > n_q:
+            raise RuntimeError("the query batch grew while it was read; store it first")
         groups = {}
         for (proj, status), g in pdf.groupby(["project", "status"], sort=False):
-            g = g.reset_index(drop=True)
-            mat, ok, dim_g = _unit_rows(g["q_embedding"], None)
-            g = g[ok].reset_index(drop=True)
-            if len(g) == 0:
-                continue
-            groups[(proj, status)] = {
-                "ids": g["query_id"].to_numpy(dtype=np.int64), "mat": mat, "dim": dim_g,
-                "k": g["k"].to_numpy(dtype=np.int64), "min": g["q_min"].to_numpy(dtype=np.float64)}
+            for dim, (pos, mat) in _by_length(g["q_embedding"]).items():
+                sub = g.iloc[pos]
+                groups.setdefault((proj, status), {})[dim] = {
+                    "ids": sub["query_id"].to_numpy(dtype=np.int64), "mat": mat,
+                    "k": sub["k"].to_numpy(dtype=np.int64), "min": sub["q_min"].to_numpy(dtype=np.float64)}
         k_by_query = dict(zip(pdf["query_id"].astype(np.int64), pdf["k"].astype(np.int64)))
-        try:
-            bc = spark.sparkContext.broadcast({"groups": groups, "k_by_query": k_by_query})
-        except Exception:  # noqa: BLE001 - no SparkContext (e.g. a remote session)
-            strategy, bc = "blocked", None
+        bc = spark.sparkContext.broadcast({"groups": groups, "k_by_query": k_by_query})
     if bc is not None:
         projects = sorted({p for p, _ in groups})
         # Prune the scan to queried projects (partition pruning on a
@@ -313,9 +310,8 @@ def _blocked(q: DataFrame, mem: DataFrame, block_rows: int, query_block_rows: in
              .select(*keys,
                      F.ceil(F.col("n_m") / block_rows).cast("int").alias("nmb"),
                      F.ceil(F.col("n_q") / query_block_rows).cast("int").alias("nqb")))
-    # One row per (project, status): broadcast only when the count is small.
-    n_groups = stats.count()
-    st = F.broadcast(stats) if n_groups <= 200_000 else stats
+    # One row per (project, status); the join's form is AQE's choice.
+    st = stats
     mem_b = (mem.join(st, keys)
              .withColumn("mb", F.pmod(F.xxhash64("id"), F.col("nmb")).cast("int"))
              .withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("nqb") - 1)))
@@ -350,27 +346,22 @@ def rerank(cands: DataFrame, queries: DataFrame, as_of) -> DataFrame:
             .drop("q_category", "q_tags", "q_limit"))
 
 
-def attach_notes(hits: DataFrame, memories: DataFrame, columns: list[str], bounded: bool = False) -> DataFrame:
-    """Join note texts back onto hits.
+NOTE_COLUMNS = ["title", "summary", "content", "metadata", "status", "priority", "source", "related_ids",
+                "created_at", "expires_at", "entities"]
+
 
-    ``bounded``: the hits are at most (size-checked queries) x limit rows, so
-    they are broadcast; the memories scan then stays where it is (no
-    shuffle) and its project partitions are pruned by reusing that broadcast.
-    Otherwise it is a plain join planned by AQE."""
-    side = memories.select("project", "id", *columns)
-    if bounded:
-        return side.join(F.broadcast(hits), ["project", "id"], "inner")
-    return hits.join(side, ["project", "id"], "inner")
+def attach_notes(hits: DataFrame, memories: DataFrame, columns: list[str]) -> DataFrame:
+    """Join note fields back onto hits: a plain join whose form AQE picks from
+    the measured size of the hits (no side is forced)."""
+    return hits.join(memories.select("project", "id", *columns), ["project", "id"], "inner")
 
 
 def search(queries: DataFrame, memories: DataFrame, as_of, **kw) -> DataFrame:
     """Hits per query with ``rank``, rounded ``similarity`` and
-    ``relevance_score``, and the note as served (access_count as read, Q8)."""
-    c = candidates(queries, memories, as_of, **kw)
-    hits = rerank(c, queries, as_of)
-    bounded = choose_strategy(queries)[0] == "broadcast" and kw.get("strategy", "auto") != "blocked"
-    return attach_notes(hits, memories, ["title", "summary", "content", "status", "priority",
-                                         "source", "created_at", "expires_at", "entities"], bounded)
+    ``relevance_score``, and the note as served (access_count as read, Q8).
+    Feed ``access_events(hits)`` to M5 to count the accesses."""
+    hits = rerank(candidates(queries, memories, as_of, **kw), queries, as_of)
+    return attach_notes(hits, memories, NOTE_COLUMNS)
 
 
 def access_events(hits: DataFrame) -> DataFrame:
@@ -414,18 +405,23 @@ def budget_fold(ranked: DataFrame, group: str, order: str, cost: str, budget: st
 
 def search_budgeted(queries: DataFrame, memories: DataFrame, as_of, **kw) -> DataFrame:
     """Per hit the index entry (id, title, summary, category, similarity),
-    its ``tokens``, whether it is in the budgeted details, and per query the
-    ``tokens_used`` and ``has_more``. Queries without a positive budget keep
-    every hit as detail (plain search)."""
+    its ``tokens``, whether it is in the budgeted details (``fits``), the
+    served note's fields for those details (NULL for the others), and per
+    query the ``tokens_used`` and ``has_more``. Queries without a positive
+    budget keep every hit as detail (plain search)."""
     hits = search(queries, memories, as_of, **kw)
     b = queries.select("query_id", "token_budget")
+    index = ["id", "title", "summary", "category", "similarity", "relevance_score"]
+    detail = [c for c in [*NOTE_COLUMNS, "tags", "access_count", "updated_at"] if c not in index]
     h = hits.join(b, "query_id").withColumn("tokens", X.tokens("content"))
     h = h.withColumn("budget", F.when(F.col("token_budget") > 0, F.col("token_budget").cast("long"))
                      .otherwise(F.lit(None).cast("long")))
-    folded = budget_fold(h.filter(F.col("budget").isNotNull()), "query_id", "rank", "tokens", "budget",
-                         ["id", "title", "summary", "category", "similarity", "relevance_score"])
+    # Only token counts go through the fold; texts join back by (query, rank).
+    folded = budget_fold(h.filter(F.col("budget").isNotNull()), "query_id", "rank", "tokens", "budget", [])
     plain = (h.filter(F.col("budget").isNull())
              .select("query_id", F.lit(None).cast("long").alias("tokens_used"), "rank", "tokens",
-                     "id", "title", "summary", "category", "similarity", "relevance_score",
                      F.lit(True).alias("fits"), F.lit(False).alias("has_more")))
-    return folded.unionByName(plain)
+    both = folded.unionByName(plain.select(*folded.columns))
+    return (both.join(h.select("query_id", "rank", *index, *detail), ["query_id", "rank"])
+            .select("query_id", "tokens_used", "rank", "tokens", *index, "fits", "has_more",
+                    *[F.when(F.col("fits"), F.col(c)).alias(c) for c in detail]))

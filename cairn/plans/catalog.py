@@ -58,9 +58,32 @@ def c1_search(spark, sf):
     mem = AD.memories(spark, sf)
     qs = AD.search_queries(spark, sf)
     hits = SR.rerank(SR.candidates(qs, mem, _as_of()), qs, _as_of())
-    hits = SR.attach_notes(hits, mem, ["title", "summary"], SR.choose_strategy(qs)[0] == "broadcast")
+    hits = SR.attach_notes(hits, mem, ["title", "summary", "content"])
     return hits.select("query_id", "rank", "id", "title", "category", "similarity",
-                       "relevance_score", "access_count", "summary")
+                       "relevance_score", "access_count", "summary", "content")
+
+
+@register("t1_vector_topk_blocked", O.search_topk_sql())
+def t1_vector_topk_blocked(spark, sf):
+    c = SR.candidates(AD.search_queries(spark, sf), AD.memories(spark, sf), _as_of(), apply_min_similarity=False,
+                      strategy="blocked", block_rows=500, query_block_rows=200)
+    return c.select("query_id", "id", "rank_d",
+                    V.round_places(V.snap(F.lit(1.0) - F.col("distance"))).alias("similarity"))
+
+
+@register("c1_search_blocked", O.search_sql())
+def c1_search_blocked(spark, sf):
+    hits = SR.search(AD.search_queries(spark, sf), AD.memories(spark, sf), _as_of(), strategy="blocked")
+    return hits.select("query_id", "rank", "id", "title", "category", "similarity",
+                       "relevance_score", "access_count", "summary", "content")
+
+
+@register("m5_bump_search_hits", O.search_bump_sql())
+def m5_bump_search_hits(spark, sf):
+    """Every search hit counts as one access of its note."""
+    mem = AD.memories(spark, sf)
+    hits = SR.search(AD.search_queries(spark, sf), mem, _as_of())
+    return M.bump_access(mem, SR.access_events(hits)).select("project", "id", "access_count")
 
 
 @register("c2_search_budgeted", O.search_budgeted_sql())
@@ -69,7 +92,7 @@ def c2_search_budgeted(spark, sf):
     qs = AD.search_queries(spark, sf)
     out = SR.search_budgeted(qs, mem, _as_of())
     return out.select("query_id", "rank", "id", "title", "summary", "category", "similarity",
-                      "relevance_score", "tokens", "fits", "tokens_used", "has_more")
+                      "relevance_score", "tokens", "fits", "tokens_used", "has_more", "content", "status")
 
 
 # ======================================================================
@@ -467,7 +490,7 @@ def a6_budget_fold(spark, sf):
     return out.select("project", "position", "id", "tokens", "fits", "tokens_used", "has_more")
 
 
-@register("a7_trail_total", Osql("SELECT memory_id, count(*) AS total FROM provenance GROUP BY memory_id", "provenance"))
+@register("a7_trail_total", Osql("SELECT project, memory_id, count(*) AS total FROM provenance GROUP BY project, memory_id", "provenance"))
 def a7_trail_total(spark, sf):
     return M.trail_total(AD.provenance(spark, sf))
 
@@ -519,11 +542,11 @@ def t4_order_rules(spark, sf):
 
 
 @register("t5_order_trail", Osql("""
-SELECT memory_id, op_seq, operation, CAST(row_number() OVER (PARTITION BY memory_id ORDER BY created_at ASC NULLS LAST, op_seq) AS INTEGER) AS position,
-       count(*) OVER (PARTITION BY memory_id) AS total
+SELECT project, memory_id, op_seq, operation, CAST(row_number() OVER (PARTITION BY project, memory_id ORDER BY created_at ASC NULLS LAST, op_seq) AS INTEGER) AS position,
+       count(*) OVER (PARTITION BY project, memory_id) AS total
 FROM provenance""", "provenance"))
 def t5_order_trail(spark, sf):
-    return M.trail(AD.provenance(spark, sf)).select("memory_id", "op_seq", "operation", "position", "total")
+    return M.trail(AD.provenance(spark, sf)).select("project", "memory_id", "op_seq", "operation", "position", "total")
 
 
 @register("t6_recent_by_category", Osql(
@@ -559,6 +582,9 @@ SELECT r.request_id, r.project,
        CASE WHEN r.id IS NOT NULL AND r.id <> '' THEN m.title WHEN r.title IS NOT NULL AND r.title <> '' THEN r.title END AS title,
        coalesce(m.status, f.status) AS status,
        coalesce(m.access_count, f.access_count) AS access_count,
+       coalesce(m.content, f.content) AS content, coalesce(m.summary, f.summary) AS summary,
+       coalesce(m.tags, f.tags) AS tags, coalesce(m.priority, f.priority) AS priority,
+       coalesce(m.updated_at, f.updated_at) AS updated_at,
        CASE WHEN (r.id IS NULL OR r.id = '') AND (r.title IS NULL OR r.title = '') THEN 'Provide either memory_id or title'
             WHEN coalesce(m.id, f.id) IS NULL THEN 'Memory not found' ELSE 'ok' END AS outcome
 FROM recall_requests r
@@ -568,7 +594,8 @@ LEFT JOIN first_title f ON (r.id IS NULL OR r.id = '') AND r.title IS NOT NULL A
     "memories", "recall_requests", extra=_FIRST_TITLE.strip()))
 def c3_recall(spark, sf):
     ans, _, _ = M.recall(_mem(spark, sf), AD.recall_requests(spark, sf), _as_of())
-    return ans.select("request_id", "project", "id", "title", "status", "access_count", "outcome")
+    return ans.select("request_id", "project", "id", "title", "status", "access_count", "content", "summary", "tags",
+                      "priority", "updated_at", "outcome")
 
 
 @register("c4_list", Osql("""
@@ -618,13 +645,13 @@ def c6_session_digest(spark, sf):
 
 
 @register("c7_trail", Osql("""
-SELECT p.memory_id, p.operation, p.details, p.created_at, p.op_seq,
-       CAST(row_number() OVER (PARTITION BY p.memory_id ORDER BY p.created_at ASC NULLS LAST, p.op_seq) AS INTEGER) AS position,
-       count(*) OVER (PARTITION BY p.memory_id) AS total
-FROM provenance p WHERE p.memory_id IN (SELECT id FROM memories)""", "memories", "provenance"))
+SELECT p.project, p.memory_id, p.operation, p.details, p.created_at, p.op_seq,
+       CAST(row_number() OVER (PARTITION BY p.project, p.memory_id ORDER BY p.created_at ASC NULLS LAST, p.op_seq) AS INTEGER) AS position,
+       count(*) OVER (PARTITION BY p.project, p.memory_id) AS total
+FROM provenance p WHERE EXISTS (SELECT 1 FROM memories m WHERE m.project = p.project AND m.id = p.memory_id)""", "memories", "provenance"))
 def c7_trail(spark, sf):
-    return M.trail(AD.provenance(spark, sf), _mem(spark, sf).select("id")).select(
-        "memory_id", "operation", "details", "created_at", "op_seq", "position", "total")
+    return M.trail(AD.provenance(spark, sf), _mem(spark, sf).select("project", "id")).select(
+        "project", "memory_id", "operation", "details", "created_at", "op_seq", "position", "total")
 
 
 # ---------------------------------------------------- maintenance (M)
@@ -693,12 +720,15 @@ def m3_soft_delete(spark, sf):
 @register("m4_hard_delete", Osql("""
 SELECT h.project, h.id, CASE WHEN m.id IS NOT NULL THEN 'hard_delete' ELSE 'rejected' END AS outcome,
        CASE WHEN m.id IS NOT NULL THEN '{"reason":null}' ELSE 'Memory ''' || h.id || ''' not found' END AS details
-FROM hard_delete_ids h LEFT JOIN memories m ON m.project = h.project AND m.id = h.id""",
+FROM hard_delete_ids h LEFT JOIN memories m ON m.project = h.project AND m.id = h.id
+UNION ALL SELECT project, id, 'rejected', 'Memory ''' || id || ''' not found' FROM hard_delete_ids""",
     "memories", "hard_delete_ids"))
 def m4_hard_delete(spark, sf):
-    """M4: audit rows of removed notes and rejects of unknown ids (the
-    remaining state is ``j6_drop_ids``)."""
-    _, trail, rej = M.hard_delete(_mem(spark, sf), AD.hard_delete_ids(spark, sf), _as_of())
+    """M4: audit rows of removed notes and rejects of unknown and already
+    removed ids (the remaining state is ``j6_drop_ids``)."""
+    ids = AD.hard_delete_ids(spark, sf)
+    again = ids.withColumn("op_seq", F.col("op_seq") + 1_000_000_000)  # every call a second time
+    _, trail, rej = M.hard_delete(_mem(spark, sf), ids.unionByName(again), _as_of())
     return (trail.select("project", F.col("memory_id").alias("id"), F.lit("hard_delete").alias("outcome"), "details")
             .unionByName(rej.select("project", "id", F.lit("rejected").alias("outcome"), F.col("reason").alias("details"))))
 

@@ -215,9 +215,9 @@ live AS (SELECT * FROM memories
 pairs AS (
   SELECT q.query_id, m.project, m.id, m.category, m.tags, m.access_count, m.updated_at,
          q.min_similarity, q.q_limit, q.category AS q_category, q.tags AS q_tags,
-         1.0 - list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(m.embedding AS DOUBLE[]))
+         1.0 - floor((list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(m.embedding AS DOUBLE[]))
              / (sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])))
-                * sqrt(list_dot_product(CAST(m.embedding AS DOUBLE[]), CAST(m.embedding AS DOUBLE[])))) AS distance
+                * sqrt(list_dot_product(CAST(m.embedding AS DOUBLE[]), CAST(m.embedding AS DOUBLE[]))))) * 1e12 + 0.5) / 1e12 AS distance
   FROM search_queries q JOIN live m ON m.project = q.project AND m.status = q.status
   WHERE len(m.embedding) = len(q.embedding)
     AND list_dot_product(CAST(m.embedding AS DOUBLE[]), CAST(m.embedding AS DOUBLE[])) > 0
@@ -244,15 +244,22 @@ def search_topk_sql() -> str:
 def search_sql() -> str:
     return (f"WITH memories AS ({MEMORIES}), search_queries AS ({SEARCH_QUERIES}),{_search_hits()}\n"
             "SELECT h.query_id, CAST(h.rank AS INTEGER) AS rank, h.id, m.title, h.category, h.similarity, "
-            "h.relevance_score, h.access_count, m.summary\n"
+            "h.relevance_score, h.access_count, m.summary, m.content\n"
             "FROM hits h JOIN memories m ON m.project = h.project AND m.id = h.id")
 
 
+def search_bump_sql() -> str:
+    return (f"WITH memories AS ({MEMORIES}), search_queries AS ({SEARCH_QUERIES}),{_search_hits()},\n"
+            "n AS (SELECT project, id, count(*) AS hits FROM hits GROUP BY project, id)\n"
+            "SELECT m.project, m.id, CAST(m.access_count + coalesce(n.hits, 0) AS INTEGER) AS access_count\n"
+            "FROM memories m LEFT JOIN n ON n.project = m.project AND n.id = m.id")
+
+
 def search_budgeted_sql() -> str:
     return (f"WITH RECURSIVE memories AS ({MEMORIES}), search_queries AS ({SEARCH_QUERIES}),{_search_hits()},\n"
             f"""items AS (SELECT h.query_id, CAST(h.rank AS INTEGER) AS rank, h.id, m.title, m.summary, h.category,
                   h.similarity, h.relevance_score, {tokens_sql('m.content')} AS tokens,
-                  CAST(q.token_budget AS BIGINT) AS budget
+                  CAST(q.token_budget AS BIGINT) AS budget, m.content, m.status
            FROM hits h JOIN memories m ON m.project = h.project AND m.id = h.id
            JOIN search_queries q ON q.query_id = h.query_id),
 fold AS (
@@ -265,7 +272,8 @@ fold AS (
   FROM fold f JOIN items i ON i.query_id = f.query_id AND i.rank = f.rank + 1)
 SELECT i.query_id, i.rank, i.id, i.title, i.summary, i.category, i.similarity, i.relevance_score, i.tokens,
        f.fits, max(f.used) OVER (PARTITION BY i.query_id) AS tokens_used,
-       bool_or(NOT f.fits) OVER (PARTITION BY i.query_id) AS has_more
+       bool_or(NOT f.fits) OVER (PARTITION BY i.query_id) AS has_more,
+       CASE WHEN f.fits THEN i.content END AS content, CASE WHEN f.fits THEN i.status END AS status
 FROM items i JOIN fold f ON f.query_id = i.query_id AND f.rank = i.rank""")
 
 

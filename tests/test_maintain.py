@@ -107,3 +107,26 @@ def test_update_empty_title_after_earlier_title_patch(spark):
     out, _, _ = M.update(_mem(spark), patches, _ts())
     a = out.first()
     assert a.title == "" and a.summary == "A: Old content"
+
+
+def test_second_hard_delete_of_a_note_finds_nothing(spark):
+    ids = spark.createDataFrame([("p", "a", "why", 2), ("p", "a", "again", 5), ("p", "zz", None, 3)], "project string, id string, reason string, op_seq long")
+    state, trail, rej = M.hard_delete(_mem(spark), ids, _ts())
+    assert [r.id for r in state.collect()] == ["b"]
+    assert [(r.memory_id, r.op_seq) for r in trail.collect()] == [("a", 2)]
+    assert sorted((r.id, r.op_seq, r.reason) for r in rej.collect()) == [("a", 5, "Memory 'a' not found"), ("zz", 3, "Memory 'zz' not found")]
+
+
+def test_trail_keeps_projects_apart(spark):
+    p = spark.createDataFrame([("p", "a", "create", None, AS_OF, 1), ("q", "a", "create", None, AS_OF, 2), ("p", "a", "update", None, AS_OF, 3)],
+                              "project string, memory_id string, operation string, details string, created_at timestamp_ntz, op_seq long")
+    got = sorted((r.project, r.position, r.total) for r in M.trail(p).collect())
+    assert got == [("p", 1, 2), ("p", 2, 2), ("q", 1, 1)]
+    ids = spark.createDataFrame([("q", "a")], "project string, id string")
+    assert [(r.project, r.total) for r in M.trail(p, ids).collect()] == [("q", 1)]
+
+
+def test_recall_answers_with_the_whole_note(spark):
+    req = spark.createDataFrame([(1, "p", "a", None, 1), (2, "p", None, "B title", 2), (3, "p", "zz", None, 3)], "request_id long, project string, id string, title string, op_seq long")
+    got = {r.request_id: r for r in M.recall(_mem(spark), req, _ts())[0].collect()}
+    assert got[1].content == "Old content. More." and got[1].tags == ["t"] and got[2].content == "B content" and got[3].content is None

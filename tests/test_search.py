@@ -148,3 +148,41 @@ def test_search_same_hits_under_both_strategies(spark):
     qs2 = AD.search_queries(spark, SF)
     b = SR.search(qs2, mem, _ts(spark), strategy="blocked", block_rows=41, query_block_rows=13).select(*cols).collect()
     assert sorted(a) == sorted(b) and len(a) > 0
+
+
+def test_second_call_uses_its_own_arguments(spark):
+    mem = _mem_rows(spark, [_note("p", f"n{i}", [1.0, 0.01 * i]) for i in range(9)])
+    q = _queries(spark, [(1, "p", [1.0, 0.0], None, None, "active", 2, -1.0, None)])
+    assert SR.candidates(q, mem, _ts(spark), oversample=1).count() == 2
+    assert SR.candidates(q, mem, _ts(spark), oversample=3).count() == 6
+    assert SR.choose_strategy(q)[0] == "broadcast"
+    assert SR.choose_strategy(q, max_broadcast_bytes=1)[0] == "blocked"
+
+
+@pytest.mark.parametrize("strategy", ["broadcast", "blocked"])
+def test_vectors_of_several_lengths_in_one_project(spark, strategy):
+    mem = _mem_rows(spark, [_note("p", "two", [1.0, 0.0]), _note("p", "three", [1.0, 0.0, 0.0]), _note("p", "four", [1.0] * 4)])
+    q = _queries(spark, [(1, "p", [1.0, 0.0], None, None, "active", 5, -1.0, None),
+                         (2, "p", [1.0, 0.0, 0.0], None, None, "active", 5, -1.0, None),
+                         (3, "p", [1.0] * 5, None, None, "active", 5, -1.0, None)])
+    got = {(r.query_id, r.id) for r in SR.candidates(q, mem, _ts(spark), strategy=strategy).collect()}
+    assert got == {(1, "two"), (2, "three")}
+
+
+@pytest.mark.parametrize("strategy", ["broadcast", "blocked"])
+def test_equal_vectors_tie_by_id(spark, strategy):
+    rng = np.random.default_rng(8)
+    vecs = rng.normal(size=(7, 33)).astype(np.float32).tolist()
+    mem = _mem_rows(spark, [_note("p", f"{k:02d}{i:03d}", vecs[k]) for i in range(40) for k in range(7)]).repartition(5)
+    q = _queries(spark, [(k, "p", v, None, None, "active", 4, -1.0, None) for k, v in enumerate(vecs)])
+    got = SR.candidates(q, mem, _ts(spark), strategy=strategy, block_rows=50, query_block_rows=3).collect()
+    for k in range(7):
+        ids = [r.id for r in sorted(got, key=lambda r: r.rank_d) if r.query_id == k]
+        assert ids == [f"{k:02d}{i:03d}" for i in range(12)]
+
+
+def test_budget_details_carry_the_note(spark):
+    mem = _mem_rows(spark, [_note("p", "a", [1.0, 0.0], content="x" * 40), _note("p", "b", [1.0, 0.1], content="y" * 4000)])
+    q = _queries(spark, [(1, "p", [1.0, 0.0], None, None, "active", 5, -1.0, 100)])
+    got = {r.id: r for r in SR.search_budgeted(q, mem, _ts(spark)).collect()}
+    assert got["a"].fits and got["a"].content == "x" * 40 and not got["b"].fits and got["b"].content is None
