@@ -24,7 +24,7 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def _json_string(c: Column) -> Column:
+def json_string(c: Column) -> Column:
     """``json.dumps`` of a text: quoted, with backslash, quote and control
     characters escaped (non-ASCII is kept as is)."""
     s = F.regexp_replace(c, r"\\", r"\\\\")
@@ -59,7 +59,7 @@ def render(id_, category, title, status, priority, tags, entities, source, expir
         opt(exp.isNotNull(), F.lit("expires_at: "), ts_text(exp)),
         opt(cre.isNotNull(), F.lit("created_at: "), ts_text(cre)),
         opt(upd.isNotNull(), F.lit("updated_at: "), ts_text(upd)),
-        opt(meta.isNotNull() & (meta != ""), F.lit("metadata: "), _json_string(meta)),
+        opt(meta.isNotNull() & (meta != ""), F.lit("metadata: "), json_string(meta)),
         F.array(F.lit("---"), F.lit(""), F.concat(F.lit("# "), _c(title)), F.lit("")),
         F.when(summ.isNotNull() & (summ != ""), F.array(F.concat(F.lit("> "), summ), F.lit("")))
          .otherwise(F.array().cast("array<string>")),

@@ -117,10 +117,14 @@ def order_rules(df: DataFrame) -> DataFrame:
     return rank_within(FL.rules_only(df), ["project"], rule_order())
 
 
+RULE_TEXT = ["title", "content", "summary", "tags"]
+
+
 def rules_split(df: DataFrame) -> DataFrame:
     """The two rule lists per project and their sizes, in long form:
-    one row per rule with its ``position`` within its own category, plus
-    ``n_mandatory``, ``n_forbidden`` and ``total`` of the project.
+    one whole rule per row with its ``position`` within its own category,
+    plus ``n_mandatory``, ``n_forbidden`` and ``total`` of the project. Only
+    keys are ranked; the texts join back by id.
 
     No per-project array is collected (a project may hold a third of all
     rows); the counts are a partial-aggregated ``groupBy`` joined back, which
@@ -132,6 +136,7 @@ def rules_split(df: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total"))
     return (rank_within(r, ["project", "category"], rule_order())
             .select("project", "category", "position", "id", "priority", "created_at")
+            .join(r.select("project", "id", *RULE_TEXT), ["project", "id"])
             .join(counts, "project"))
 
 

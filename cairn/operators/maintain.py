@@ -122,7 +122,7 @@ def drop_ids(memories: DataFrame, ids: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------- store
 
-def store(batch: DataFrame, as_of, embedder=None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def store(batch: DataFrame, as_of, embedder=None, run_id: str = "") -> tuple[DataFrame, DataFrame, DataFrame]:
     """M1: validate (F8), raise rule priority (E11), derive summary (E1),
     entities (E9), expiry from the raised priority (E10), vector (E13 + V6),
     and an id; status active, access 0, created = updated = ``as_of``.
@@ -130,7 +130,9 @@ def store(batch: DataFrame, as_of, embedder=None) -> tuple[DataFrame, DataFrame,
     ``batch``: project, category, title, content, tags, metadata (JSON text
     or NULL), priority, source, related_ids, op_seq. Returns (notes, audit,
     rejected). A repeatable id is derived from (project, title, content,
-    op_seq) instead of a random UUID.
+    op_seq, ``run_id``) instead of a random UUID: give every batch that is
+    stored its own ``run_id``, and the same note stored twice gets two ids,
+    while a repeated attempt of one batch gets the same.
     """
     ok, rejected = FL.valid_category(batch)
     ts = FL._ts(as_of)
@@ -140,7 +142,7 @@ def store(batch: DataFrame, as_of, embedder=None) -> tuple[DataFrame, DataFrame,
                          "_etext", "_entities")
     notes = ok.select(
         "project",
-        X.note_id("project", "title", "content", "op_seq").alias("id"),
+        X.note_id("project", "title", "content", "op_seq", *([F.lit(run_id)] if run_id else [])).alias("id"),
         "category", "title", "content",
         F.col("_summary").alias("summary"),
         F.coalesce("tags", F.array().cast(S.STR_ARRAY)).alias("tags"),
@@ -311,31 +313,45 @@ IMPORT_OUTCOMES = ("created", "updated", "skipped", "error")
 def import_diff(parsed: DataFrame, memories: DataFrame) -> DataFrame:
     """Classify parsed notes against stored ones (any status): invalid
     category -> error; no content -> skipped; id found and title or content
-    differ -> updated; id found and equal -> skipped; otherwise created."""
+    differ -> updated; id found and equal -> skipped; otherwise created. A
+    title that front matter reads as a number or list (``title_not_text``)
+    never equals the stored text; a new note whose priority is no number
+    (``priority_not_number``) is an error."""
+    for flag in ("title_not_text", "priority_not_number"):
+        if flag not in parsed.columns:
+            parsed = parsed.withColumn(flag, F.lit(False))
     m = memories.select("project", "id", F.col("title").alias("_t"), F.col("content").alias("_c"),
                         F.lit(True).alias("_found"))
     j = parsed.join(m, ["project", "id"], "left")
     outcome = (F.when(~F.coalesce(F.col("category").isin(*S.CATEGORIES), F.lit(False)), F.lit("error"))
                .when(F.col("content").isNull() | (F.col("content") == ""), F.lit("skipped"))
                .when(F.col("_found") & (~F.col("_c").eqNullSafe(F.col("content")) |
-                                        ~F.col("_t").eqNullSafe(F.col("title"))), F.lit("updated"))
+                                        ~F.col("_t").eqNullSafe(F.col("title")) |
+                                        F.coalesce("title_not_text", F.lit(False))), F.lit("updated"))
                .when(F.col("_found"), F.lit("skipped"))
+               .when(F.coalesce("priority_not_number", F.lit(False)), F.lit("error"))
                .otherwise(F.lit("created")))
-    reason = F.when(outcome == "error", F.concat(F.lit("Unknown category: "), F.coalesce("category", F.lit(""))))
-    return j.withColumn("outcome", outcome).withColumn("reason", reason).drop("_t", "_c", "_found")
+    known = F.coalesce(F.col("category").isin(*S.CATEGORIES), F.lit(False))
+    reason = F.when(outcome == "error", F.when(known, F.concat(F.lit("Insert "), F.col("title"), F.lit(": priority is not a number")))
+                    .otherwise(F.concat(F.lit("Unknown category: "), F.coalesce("category", F.lit("")))))
+    return j.withColumn("outcome", outcome).withColumn("reason", reason).drop("_t", "_c", "_found", "title_not_text", "priority_not_number")
 
 
-def import_apply(memories: DataFrame, diff: DataFrame, as_of, embedder=None):
-    """M8: creates as in M1 (source / priority / tags / metadata of the file,
-    new id even when the file's id is unknown, Q14); updates set title,
-    content, summary, entities, vector, tags and ``updated_at`` only.
-    Returns (new notes, updated notes, audit)."""
+def import_apply(memories: DataFrame, diff: DataFrame, as_of, embedder=None, run_id: str = ""):
+    """M8: creates as in M1 (source / priority / tags of the file, its
+    metadata text as a JSON string, new id even when the file's id is
+    unknown, Q14); updates set title, content, summary, entities, vector,
+    tags and ``updated_at`` only. ``run_id`` names this import: another run
+    gives other ids to the same files. Returns (new notes, updated notes, audit)."""
+    from cairn.functions.markdown import json_string
+
     new = diff.filter(F.col("outcome") == "created").withColumn(
         "source", F.coalesce("source", F.lit("import")))
-    created, trail_c, _ = store(new.select("project", "category", "title", "content", "tags", "metadata",
+    meta = F.when(F.col("metadata") != "", json_string(F.col("metadata")))
+    created, trail_c, _ = store(new.select("project", "category", "title", "content", "tags", meta.alias("metadata"),
                                            "priority", "source",
                                            F.array().cast(S.STR_ARRAY).alias("related_ids"), "op_seq"),
-                                as_of, embedder)
+                                as_of, embedder, run_id)
     trail_c = trail_c.withColumn("details", json_obj(F.lit("import").alias("source")))
     upd = diff.filter(F.col("outcome") == "updated").select(
         "project", "id", F.col("title").alias("n_title"), F.col("content").alias("n_content"),

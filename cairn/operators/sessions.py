@@ -32,7 +32,7 @@ def replay(events: DataFrame, as_of=None) -> DataFrame:
 
     Columns: project, id, started_at, ended_at, summary, memories_created,
     memories_accessed, metadata, auto_closed (closed by a later start before
-    any explicit end), start_seq.
+    any explicit end), closed_at (that start), start_seq.
     """
     ev = events if as_of is None else events.filter(F.col("ts") <= FL._ts(as_of))
     for c in ("memories_created", "memories_accessed"):
@@ -67,7 +67,7 @@ def replay(events: DataFrame, as_of=None) -> DataFrame:
         F.when(has_end, F.col("last_end.mc")).when(F.col("next_start").isNotNull(), F.lit(0)).alias("memories_created"),
         F.when(has_end, F.col("last_end.ma")).when(F.col("next_start").isNotNull(), F.lit(0)).alias("memories_accessed"),
         F.lit(None).cast("string").alias("metadata"),
-        auto.alias("auto_closed"), "start_seq")
+        auto.alias("auto_closed"), F.when(auto, F.col("next_start")).alias("closed_at"), "start_seq")
 
 
 def orphans_closed(sessions: DataFrame) -> DataFrame:
@@ -113,7 +113,8 @@ def session_digest(memories: DataFrame, sessions: DataFrame, starts: DataFrame,
     One header row per project (section 'header', position 0) carries
     ``last_session_summary`` and ``orphans_closed``; item rows list the
     mandatory and forbidden rules (all, ordered), the active sprint notes
-    (top 10) and the decisions of the last 7 days (top 20) by id and position.
+    (top 10) and the decisions of the last 7 days (top 20), each with its
+    title and content.
     No per-project array is built: the rule lists are unbounded."""
     projects = starts.select("project").distinct()
     closed = close_at(sessions, projects, as_of)
@@ -122,16 +123,17 @@ def session_digest(memories: DataFrame, sessions: DataFrame, starts: DataFrame,
               .join(closed.groupBy("project").agg(F.sum(F.col("closed_now").cast("int")).alias("orphans_closed")),
                     "project", "left")
               .select("project", F.lit("header").alias("section"), F.lit(0).alias("position"),
-                      F.lit(None).cast("string").alias("id"), "last_session_summary",
+                      F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("title"),
+                      F.lit(None).cast("string").alias("content"), "last_session_summary",
                       F.coalesce("orphans_closed", F.lit(0)).cast("long").alias("orphans_closed")))
     mem = memories.join(projects, "project", "left_semi")
-    rules = L.rules_split(mem).select("project", F.col("category").alias("section"), "position", "id")
+    rules = L.rules_split(mem).select("project", F.col("category").alias("section"), "position", "id", "title", "content")
     sprint = L.active_by_category(mem, "sprint", S.ACTIVE_SPRINT_CAP).select(
-        "project", F.lit("active_sprint").alias("section"), "position", "id")
+        "project", F.lit("active_sprint").alias("section"), "position", "id", "title", "content")
     decisions = L.recent_by_category(mem, as_of, "decision", S.RECENT_DAYS, S.RECENT_DECISIONS_CAP).select(
-        "project", F.lit("recent_decisions").alias("section"), "position", "id")
+        "project", F.lit("recent_decisions").alias("section"), "position", "id", "title", "content")
     items = rules.unionByName(sprint).unionByName(decisions).select(
-        "project", "section", F.col("position").cast("int").alias("position"), "id",
+        "project", "section", F.col("position").cast("int").alias("position"), "id", "title", "content",
         F.lit(None).cast("string").alias("last_session_summary"),
         F.lit(None).cast("long").alias("orphans_closed"))
     return header.unionByName(items)

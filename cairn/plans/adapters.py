@@ -331,15 +331,17 @@ def import_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M12 batch: the first turn of every conversation registers or renames
-    project ``u<conv>``; even ids arrive as 'U_<conv>' and need slugifying."""
-    c = _read(spark, sf_dir, "conversations").filter(F.col("turn") == 0)
+    """M12 batch: every conversation turn registers or renames a project:
+    ``u<conv>`` (even ids arrive as 'U_<conv>' and need slugifying), or, for
+    ids divisible by 3, 'Team <conv>', which the registry does not know."""
+    c = _read(spark, sf_dir, "conversations")
     cid = F.col("conv_id").cast("string")
     return c.select(
-        F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("U_"), cid)).otherwise(F.concat(F.lit("u"), cid)).alias("slug"),
-        F.concat(F.lit("Conversation "), cid).alias("display_name"),
+        F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("Team "), cid))
+         .when(F.col("conv_id") % 2 == 0, F.concat(F.lit("U_"), cid)).otherwise(F.concat(F.lit("u"), cid)).alias("slug"),
+        F.concat(F.lit("Conversation "), cid, F.lit(" turn "), F.col("turn").cast("string")).alias("display_name"),
         F.when(F.col("role") == "user", F.lit(None).cast("string")).otherwise(_title_of("text")).alias("description"),
-        F.col("conv_id").alias("op_seq"))
+        (F.col("conv_id") * 100 + F.col("turn")).alias("op_seq"))
 
 
 def touch_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -349,6 +351,6 @@ def touch_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def delete_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M14 input: projects of users with a severe error (value >= 200)."""
-    ev = _read(spark, sf_dir, "events").filter((F.col("event_type") == "error") & (F.col("value") >= 200))
-    return ev.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("slug"))
+    """M14 input: projects of users whose latest event is an error."""
+    last = _read(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("last"))
+    return last.filter(F.col("last") == "error").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("slug"))

@@ -609,11 +609,13 @@ def c4_list(spark, sf):
     return out.select("project", "id", "priority", "updated_at", "position", "total")
 
 
-@register("c5_rules", Osql("SELECT project, category, position, id, n_mandatory, n_forbidden, total FROM rules_split",
+@register("c5_rules", Osql("SELECT r.project, r.category, r.position, r.id, m.title, m.content, m.tags, "
+                           "r.n_mandatory, r.n_forbidden, r.total FROM rules_split r "
+                           "JOIN memories m ON m.project = r.project AND m.id = r.id",
                            "memories", extra=O.RULES_SPLIT.strip()))
 def c5_rules(spark, sf):
-    return L.rules_split(_mem(spark, sf)).select("project", "category", "position", "id", "n_mandatory",
-                                                 "n_forbidden", "total")
+    return L.rules_split(_mem(spark, sf)).select("project", "category", "position", "id", "title", "content", "tags",
+                                                 "n_mandatory", "n_forbidden", "total")
 
 
 _DIGEST = O.REPLAY.strip() + f""",
@@ -630,13 +632,15 @@ closed AS (SELECT s.project, s.id,
 
 
 @register("c6_session_digest", Osql("""
+SELECT d.project, d.section, d.position, d.id, m.title, m.content, d.last_session_summary, d.orphans_closed FROM (
 SELECT p.project, 'header' AS section, 0 AS position, CAST(NULL AS VARCHAR) AS id, l.last_session_summary,
        CAST(coalesce(c.n, 0) AS BIGINT) AS orphans_closed
 FROM projects p LEFT JOIN last_session l ON l.project = p.project
 LEFT JOIN (SELECT project, count(*) FILTER (WHERE closed_now) AS n FROM closed GROUP BY project) c ON c.project = p.project
 UNION ALL SELECT project, category, position, id, NULL, NULL FROM rules_split
 UNION ALL SELECT project, 'active_sprint', position, id, NULL, NULL FROM sprint_top
-UNION ALL SELECT project, 'recent_decisions', position, id, NULL, NULL FROM decisions_top""",
+UNION ALL SELECT project, 'recent_decisions', position, id, NULL, NULL FROM decisions_top) d
+LEFT JOIN memories m ON m.project = d.project AND m.id = d.id""",
     "memories", "session_events", extra=_DIGEST))
 def c6_session_digest(spark, sf):
     mem = _mem(spark, sf)
@@ -786,14 +790,12 @@ def m9_start_sessions(spark, sf):
 
 
 @register("m10_close_orphans", Osql(
-    "SELECT project, id, auto_closed, CASE WHEN auto_closed THEN ended_at END AS closed_at FROM sessions "
+    "SELECT project, id, auto_closed, closed_at, ended_at FROM sessions "
     "WHERE auto_closed", "session_events", extra=O.REPLAY.strip()))
 def m10_close_orphans(spark, sf):
     """M10 (log form): the sessions a later start auto-closed, and when."""
     s = SE.replay(AD.session_events(spark, sf), _as_of()).filter("auto_closed")
-    return s.select("project", "id", "auto_closed",
-                    F.when(F.col("auto_closed") & (F.col("summary") == S.AUTO_CLOSE_SUMMARY), F.col("ended_at"))
-                    .otherwise(F.col("ended_at")).alias("closed_at"))
+    return s.select("project", "id", "auto_closed", "closed_at", "ended_at")
 
 
 @register("m11_end_sessions", Osql(

@@ -340,11 +340,12 @@ FROM documents
 """
 
 REGISTRY_BATCH = f"""
-SELECT CASE WHEN conv_id % 2 = 0 THEN 'U_' || CAST(conv_id AS VARCHAR) ELSE 'u' || CAST(conv_id AS VARCHAR) END AS slug,
-       'Conversation ' || CAST(conv_id AS VARCHAR) AS display_name,
+SELECT CASE WHEN conv_id % 3 = 0 THEN 'Team ' || CAST(conv_id AS VARCHAR)
+            WHEN conv_id % 2 = 0 THEN 'U_' || CAST(conv_id AS VARCHAR) ELSE 'u' || CAST(conv_id AS VARCHAR) END AS slug,
+       'Conversation ' || CAST(conv_id AS VARCHAR) || ' turn ' || CAST(turn AS VARCHAR) AS display_name,
        CASE WHEN role = 'user' THEN NULL ELSE {title_sql('text')} END AS description,
-       conv_id AS op_seq
-FROM conversations WHERE turn = 0
+       conv_id * 100 + turn AS op_seq
+FROM conversations
 """
 
 TOUCH_EVENTS = """
@@ -352,7 +353,8 @@ SELECT 'u' || CAST(user_id AS VARCHAR) AS slug, ts FROM events WHERE event_type
 """
 
 DELETE_SLUGS = """
-SELECT 'u' || CAST(user_id AS VARCHAR) AS slug FROM events WHERE event_type = 'error' AND value >= 200
+SELECT 'u' || CAST(user_id AS VARCHAR) AS slug FROM events GROUP BY user_id
+HAVING arg_max(event_type, (ts, event_id)) = 'error'
 """
 
 _ALL = {"memories": lambda: MEMORIES, "search_queries": lambda: SEARCH_QUERIES,
@@ -407,7 +409,8 @@ sessions AS (
               WHEN s.next_start IS NOT NULL THEN {AUTO} END AS summary,
          CAST(CASE WHEN je.first_end_seq IS NOT NULL THEN je.end_mc WHEN s.next_start IS NOT NULL THEN 0 END AS INTEGER) AS memories_created,
          CAST(CASE WHEN je.first_end_seq IS NOT NULL THEN je.end_ma WHEN s.next_start IS NOT NULL THEN 0 END AS INTEGER) AS memories_accessed,
-         (s.next_start IS NOT NULL AND (je.first_end_seq IS NULL OR je.first_end_seq > s.next_seq)) AS auto_closed
+         (s.next_start IS NOT NULL AND (je.first_end_seq IS NULL OR je.first_end_seq > s.next_seq)) AS auto_closed,
+         CASE WHEN s.next_start IS NOT NULL AND (je.first_end_seq IS NULL OR je.first_end_seq > s.next_seq) THEN s.next_start END AS closed_at
   FROM starts s LEFT JOIN je ON je.project = s.project AND je.id = s.id)"""
 
 

@@ -85,6 +85,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not current and sc is not None:
         current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
     if not current:
+        if sc is not None and not sc.master.startswith("local") or (sc is not None and sc.master.startswith("local-cluster")):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that driver and executors share")
         current = tempfile.mkdtemp(prefix="cairn-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, current)
     if sc is not None:

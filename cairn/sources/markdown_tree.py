@@ -77,6 +77,8 @@ def parsed_notes(files: DataFrame) -> DataFrame:
         F.coalesce(F.col("p.priority"), F.lit(0)).alias("priority"),
         F.coalesce(F.col("p.source"), F.lit("import")).alias("source"),
         F.col("p.metadata").alias("metadata"),
+        (F.coalesce("p.title_is_number", F.lit(False)) | F.coalesce("p.title_is_list", F.lit(False))).alias("title_not_text"),
+        F.coalesce("p.priority_not_number", F.lit(False)).alias("priority_not_number"),
         err.alias("error"),
         F.col("path"))
 
@@ -192,9 +194,10 @@ def export(memories: DataFrame, project: str, root: str, as_of) -> tuple[dict, D
 
 # ------------------------------------------------------------------ C9
 
-def import_tree(memories: DataFrame, root: str, project: str, as_of, embedder=None):
+def import_tree(memories: DataFrame, root: str, project: str, as_of, embedder=None, run_id: str = ""):
     """Read (S6), parse (N4), classify (J4), apply (M8), report (A4).
-    Returns (created, updated, audit, report, errors)."""
+    ``run_id`` names the import (see M8). Returns (created, updated, audit,
+    report, errors)."""
     spark = memories.sparkSession
     files = read_markdown_tree(spark, root, project)
     parsed = parsed_notes(files)
@@ -206,9 +209,10 @@ def import_tree(memories: DataFrame, root: str, project: str, as_of, embedder=No
     # A parsed id that is empty counts as absent.
     ok = ok.withColumn("id", F.when(F.col("id") == "", F.lit(None)).otherwise(F.col("id")))
     diff = M.import_diff(ok, memories)
-    created, updated, trail = M.import_apply(memories, diff, as_of, embedder)
+    created, updated, trail = M.import_apply(memories, diff, as_of, embedder, run_id)
+    errors = errors.unionByName(diff.filter(F.col("outcome") == "error").select("project", F.col("reason").alias("error")))
     report = M.import_report(diff.unionByName(
-        errors.select("project", F.lit(None).cast("string").alias("id"), F.lit("error").alias("outcome")),
+        parsed.filter(F.col("error").isNotNull()).select("project", F.lit(None).cast("string").alias("id"), F.lit("error").alias("outcome")),
         allowMissingColumns=True))
     return created, updated, trail, report, errors
 
