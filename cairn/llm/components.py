@@ -2,8 +2,10 @@
 
 Every vertex points to the smallest of itself and its neighbours; links are
 then moved to what their ends point to, and links within one vertex go. Each
-round is two shuffles of what is left and is written to the shared folder;
-what is left shrinks by half or more for usual graphs. Nothing is collected.
+round is written to the shared folder; what is left shrinks by half or more for
+usual graphs. As soon as at most ``ONE_TASK`` links are left, one task finishes
+them with a union-find, which gives the same components (that many links are a
+few megabytes, whatever the input). Nothing is collected.
 """
 
 from __future__ import annotations
@@ -13,29 +15,52 @@ from pyspark.sql import functions as F
 
 from cairn.llm.common import stored
 
+ONE_TASK = 100_000
+
+
+def _union_find(batches):
+    import pyarrow as pa
+
+    root: dict = {}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+            p, q = find(root.setdefault(a, a)), find(root.setdefault(b, b))
+            root[max(p, q)] = min(p, q)
+    ids = sorted(root)
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([find(x) for x in ids], pa.int64())], names=["id", "to"])
+
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, component) of every vertex of ``links`` (a, b): the smallest id
-    reachable. Links may repeat, point both ways or to themselves; links with a
-    null end are left out."""
-    links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("a").isNull() | F.col("b").isNull()).alias("no"))
-    left = stored(links.where(~F.col("no")).select("a", "b").distinct(), "links")
+    """(id, component) of every vertex of ``links`` (a, b: long): the smallest
+    id reachable. Links may repeat, point both ways or to themselves; links
+    with a null end are left out."""
+    links = links.where("a is not null and b is not null")
+    left = stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     label = None
     while True:
-        both = left.select(F.col("b").alias("id"), F.col("a").alias("to")).unionByName(left.select(F.col("a").alias("id"), F.col("a").alias("to")))
-        point = both.groupBy("id").agg(F.min("to").alias("to"))
-        # the smaller end of a link may itself point on, so follow one more step
+        last = left.count() <= ONE_TASK
+        if last:
+            point = left.repartition(1).mapInArrow(_union_find, "id long, to long")
+        else:
+            both = left.select(F.col("b").alias("id"), F.col("a").alias("to")).unionByName(left.select(F.col("a").alias("id"), F.col("a").alias("to")))
+            point = stored(both.groupBy("id").agg(F.min("to").alias("to")), "point")
+            # the smaller end of a link may itself point on, so follow one more step
+            on = point.select(F.col("id").alias("to"), F.col("to").alias("on"))
+            point = point.join(on, "to", "left").select("id", F.coalesce("on", "to").alias("to"))
         point = stored(point, "point")
-        on = point.select(F.col("id").alias("to"), F.col("to").alias("on"))
-        point = point.join(on, "to", "left").select("id", F.coalesce("on", "to").alias("to"))
         if label is None:
             label = point.select("id", F.col("to").alias("component"))
         else:
             p = point.select(F.col("id").alias("component"), F.col("to").alias("next"))
-            label = label.join(p, "component", "left").select("id", F.coalesce("next", "component").alias("component"))
-        label = stored(label, "label")
-        a, b = point.select(F.col("id").alias("a"), F.col("to").alias("x")), point.select(F.col("id").alias("b"), F.col("to").alias("y"))
-        left = left.join(a, "a").join(b, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        left = stored(left, "links")
-        if left.isEmpty():
+            label = stored(label.join(p, "component", "left").select("id", F.coalesce("next", "component").alias("component")), "label")
+        if last:
             return label
+        a, b = point.select(F.col("id").alias("a"), F.col("to").alias("x")), point.select(F.col("id").alias("b"), F.col("to").alias("y"))
+        left = stored(left.join(a, "a").join(b, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")

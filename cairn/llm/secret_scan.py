@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairn.llm import crf
-from cairn.llm.common import by_size, new_name, texts_of, with_n_chars
+from cairn.llm.common import by_size, new_name, stored, texts_of, with_n_chars
 
 # Fixed values of the base patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -158,31 +158,27 @@ def fit(docs: DataFrame, max_docs: int = MAX_DOCS):
     them with a base span, chosen by a hash; None if there is no base span."""
     t = texts_of(docs)
 
-    def spans(batches):
+    def windows(batches):
         import pyarrow as pa
 
         for whole in batches:
             for b in by_size(whole, limit=BATCH):
-                has = [bool(base_spans(x)) for x in b.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(has)], names=["doc_id", "text", "has"])
-
-    def windows(batches):
-        import pyarrow as pa
-
-        rng = np.random.default_rng(11)
-        for b in batches:
-            for x in b.column("text").to_pylist():
-                found = _windows([x], rng)
-                yield pa.RecordBatch.from_arrays([pa.array([a.astype("<u2").tobytes() for a, _ in found], pa.binary()), pa.array([y.astype("<u1").tobytes() for _, y in found], pa.binary())], names=["x", "y"])
+                has, xs, ys = [], [], []
+                for x, seed in zip(b.column("text").to_pylist(), b.column("near").to_pylist()):
+                    found = _windows([x], np.random.default_rng(seed))
+                    has.append(any(y.any() for _, y in found))
+                    xs.append([a.astype("<u2").tobytes() for a, _ in found])
+                    ys.append([y.astype("<u1").tobytes() for _, y in found])
+                yield pa.RecordBatch.from_arrays([b.column("near"), pa.array(has), pa.array(xs, pa.list_(pa.binary())), pa.array(ys, pa.list_(pa.binary()))], names=["near", "has", "x", "y"])
 
     # a hash picks the same documents on every run; the share comes from the number of rows
     n = t.count()
     near = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
-    some = t.where(near < int(min(1.0, 8 * max_docs / max(n, 1)) * (1 << 30)))
-    seen = some.mapInArrow(spans, "doc_id long, text string, has boolean").withColumn("near", near)
+    some = t.select(near.alias("near"), "text").where(F.col("near") < int(min(1.0, 8 * max_docs / max(n, 1)) * (1 << 30)))
+    seen = stored(some.mapInArrow(windows, "near long, has boolean, x array<binary>, y array<binary>"), "windows")
     take = seen.where("has").orderBy("near").limit(max_docs // 2).unionByName(seen.where("not has").orderBy("near").limit(max_docs // 2))
-    rows = take.select("doc_id", "text").mapInArrow(windows, "x binary, y binary").collect()  # 5 windows of 2 x WINDOW tokens for each document
-    rows = sorted((bytes(r["x"]), bytes(r["y"])) for r in rows)
+    # at most 5 windows of 2 x WINDOW tokens for each of max_docs documents
+    rows = sorted((bytes(x), bytes(y)) for r in take.select("x", "y").collect() for x, y in zip(r["x"], r["y"]))
     seqs, rng = [], np.random.default_rng(5)
     for x, y in rows:
         ids, y = np.frombuffer(x, "<u2").astype(np.int64).reshape(-1, len(OFF)), np.frombuffer(y, "<u1").astype(np.int64)

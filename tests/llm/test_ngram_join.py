@@ -86,7 +86,9 @@ def test_odd_rows(docs_of):
     assert ngram_join.join(docs_of([])).collect() == []
 
 
-def test_components_of_random_links(docs_of):
+@pytest.mark.parametrize("one_task", [0, 20, 1000])
+def test_components_of_random_links(docs_of, monkeypatch, one_task):
+    monkeypatch.setattr(components, "ONE_TASK", one_task)
     rng = random.Random(9)
     pairs = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 480)] + [(7, 7), (None, 4)]
     root = {}
