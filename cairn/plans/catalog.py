@@ -7,6 +7,8 @@ SQL in ``plans.oracle``.
 
 from __future__ import annotations
 
+import uuid
+
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -105,7 +107,19 @@ from cairn.operators import listing as L  # noqa: E402
 from cairn.operators import maintain as M  # noqa: E402
 from cairn.operators import sessions as SE  # noqa: E402
 
+from cairn.session import scratch_path  # noqa: E402
+from cairn.sources import snapshot as SN  # noqa: E402
+from cairn.sources import tables as TB  # noqa: E402
+
 Osql = O.sql
+
+
+def _written(spark, df, schema, by="project"):
+    """A stored copy of a table in the shared scratch folder."""
+    path = scratch_path(spark, f"table-{uuid.uuid4().hex}")
+    w = df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]).write
+    (w.partitionBy(by) if by else w).parquet(path)
+    return path
 AS = O.AS_OF
 
 
@@ -123,20 +137,22 @@ SELECT project, id, category, title, content, summary, coalesce(tags, CAST([] AS
        {O.ts_text_sql('updated_at')} AS updated_at
 FROM memories""", "memories"))
 def s1_read_memories(spark, sf):
-    """S1 + P1: the typed note table as served (no vector)."""
-    return L.serve(_mem(spark, sf))
+    """S1 + P1: the stored note table read back and served (no vector)."""
+    return L.serve(TB.read_memories(spark, _written(spark, _mem(spark, sf), S.MEMORIES)))
 
 
 @register("s2_read_provenance", Osql("SELECT * FROM provenance", "provenance"))
 def s2_read_provenance(spark, sf):
-    return AD.provenance(spark, sf)
+    return TB.read_provenance(spark, _written(spark, AD.provenance(spark, sf), S.PROVENANCE)).select(
+        "project", "memory_id", "operation", "details", "created_at", "op_seq")
 
 
 @register("s3_read_sessions", Osql(
     "SELECT project, id, started_at, ended_at, summary, memories_created, memories_accessed FROM sessions",
     "session_events", extra=O.REPLAY.strip()))
 def s3_read_sessions(spark, sf):
-    return SE.replay(AD.session_events(spark, sf), _as_of()).select(
+    path = _written(spark, SE.replay(AD.session_events(spark, sf), _as_of()), S.SESSIONS)
+    return TB.read_sessions(spark, path).select(
         "project", "id", "started_at", "ended_at", "summary", "memories_created", "memories_accessed")
 
 
@@ -148,7 +164,47 @@ def s4_read_projects(spark, sf):
     """Registry, newest access first (position is the global order; the
     registry is one row per project)."""
     from cairn.operators.ranking import rank_within
-    return rank_within(AD.registry(spark, sf), [], [F.col("last_accessed").desc_nulls_last(), F.col("slug")])
+    stored = TB.read_projects(spark, _written(spark, AD.registry(spark, sf), S.PROJECTS, by=None))
+    return rank_within(stored, [], [F.col("last_accessed").desc_nulls_last(), F.col("slug")])
+
+
+@register("s5_append_memories", Osql("""
+SELECT project, id, category, title, content, 'active' AS status, 0 AS priority, 0 AS access_count,
+       CAST([] AS VARCHAR[]) AS tags, CAST([] AS VARCHAR[]) AS entities FROM memories""", "memories"))
+def s5_append_memories(spark, sf):
+    """Notes inserted with the required fields only get the column defaults."""
+    path = scratch_path(spark, f"append-{uuid.uuid4().hex}")
+    TB.append_memories(_mem(spark, sf).select("project", "id", "category", "title", "content"), path, _as_of())
+    return TB.read_memories(spark, path).select("project", "id", "category", "title", "content", "status", "priority",
+                                                "access_count", "tags", "entities")
+
+
+def _snapshots(spark, sf):
+    """Every project of the note table copied to a folder of its own."""
+    mem = AD.memories(spark, sf)
+    names = [r.project for r in mem.select("project").distinct().collect()]
+    registry = spark.createDataFrame([(p, p, None, None, None, f"projects/{p}") for p in sorted(names)], S.PROJECTS)
+    base = scratch_path(spark, f"snapshots-{uuid.uuid4().hex}")
+    for p in sorted(names):
+        registry = SN.snapshot_project({"memories": mem, "provenance": AD.provenance(spark, sf)}, registry, p, f"{base}/{p}", _as_of())
+    return registry, [f"{base}/{p}" for p in sorted(names)]
+
+
+@register("s9_snapshot_project", Osql("SELECT project, id, title, content, status FROM memories", "memories"))
+def s9_snapshot_project(spark, sf):
+    _, paths = _snapshots(spark, sf)
+    return spark.read.schema(S.MEMORIES).parquet(*[f"{p}/memories" for p in paths]).select("project", "id", "title", "content", "status")
+
+
+@register("s11_sync_snapshot", Osql("SELECT project AS slug, project AS display_name, count(*) AS notes FROM memories GROUP BY project", "memories"))
+def s11_sync_snapshot(spark, sf):
+    """S10 + S11: every snapshot counted and registered by its folder name."""
+    registry, paths = _snapshots(spark, sf)
+    counts = []
+    for p in paths:
+        registry, n, _ = SN.sync_snapshot(spark, registry, p, _as_of())
+        counts.append((p, n))
+    return registry.join(spark.createDataFrame(counts, "db_path string, notes long"), "db_path").select("slug", "display_name", "notes")
 
 
 @register("s12_upgrade_v1", Osql("""
@@ -157,7 +213,6 @@ SELECT project, id, title, CAST(NULL AS VARCHAR) AS summary, CAST(NULL AS VARCHA
 FROM memories""", "memories"))
 def s12_upgrade_v1(spark, sf):
     """A v1-shaped table (no summary/entities/expires_at) upgraded."""
-    from cairn.sources import tables as TB
     v1 = _mem(spark, sf).select(*[c.name for c in S.MEMORIES_V1.fields])
     return TB.upgrade_v1(v1).select("project", "id", "title", "summary", "entities", "expires_at", "status")
 

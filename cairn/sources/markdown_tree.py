@@ -27,8 +27,12 @@ from cairn.operators import maintain as M
 WRITE_SCHEMA = T.StructType([T.StructField("path", T.StringType()), T.StructField("bytes", T.LongType())])
 
 
-def _export_dir(root: str) -> str:
-    return f"{root.rstrip('/')}/{S.EXPORT_DIR_NAME}"
+def _export_dir(spark: SparkSession, root: str) -> str:
+    """The export folder as a full URI of the file system that Spark resolves
+    ``root`` with, so that the writers on the executors and the reader agree."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{S.EXPORT_DIR_NAME}")
+    uri = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
 
 
 # ------------------------------------------------------------------ S6
@@ -37,7 +41,7 @@ def read_markdown_tree(spark: SparkSession, root: str, project: str) -> DataFram
     """One row per ``<category>/*.md`` file: project, category (the
     folder), stem (default title), text, and ``error`` for folders that are
     not a category. Hidden folders and top-level files are ignored."""
-    base = _export_dir(root)
+    base = _export_dir(spark, root)
     try:
         files = spark.read.text(f"{base}/*/*.md", wholetext=True).select(
             F.col("value").alias("text"), F.col("_metadata.file_path").alias("path"))
@@ -88,7 +92,7 @@ def parsed_notes(files: DataFrame) -> DataFrame:
 def _line_writer(base: str, rel: str):
     def run(batches):
         import pyarrow.fs as pafs
-        fs, prefix = pafs.FileSystem.from_uri(base) if "://" in base else (pafs.LocalFileSystem(), base)
+        fs, prefix = pafs.FileSystem.from_uri(base)
         path = f"{prefix.rstrip('/')}/{rel}"
         fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
         n, first = 0, True
@@ -108,7 +112,7 @@ def _line_writer(base: str, rel: str):
 def _writer(base: str):
     def run(batches):
         import pyarrow.fs as pafs
-        fs, prefix = pafs.FileSystem.from_uri(base) if "://" in base else (pafs.LocalFileSystem(), base)
+        fs, prefix = pafs.FileSystem.from_uri(base)
         for pdf in batches:
             out = []
             for rel, body in zip(pdf["rel"], pdf["body"]):
@@ -181,7 +185,7 @@ def export(memories: DataFrame, project: str, root: str, as_of) -> tuple[dict, D
     counts = active.groupBy("category").agg(F.count(F.lit(1)).alias("exported"))
     if active.limit(1).count() == 0:
         return {"files": 0, "bytes": 0, "index": None}, counts
-    base = _export_dir(root)
+    base = _export_dir(memories.sparkSession, root)
     files = rendered_files(active).select("rel", "body").mapInPandas(_writer(base), WRITE_SCHEMA)
     agg = files.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
     # The index is one document, so its lines stream in order through one

@@ -32,28 +32,30 @@ def _registry_row(spark: SparkSession, slug: str, name: str | None, desc: str |
 def snapshot_project(tables: dict[str, DataFrame], registry: DataFrame, project: str, target: str,
                      as_of) -> DataFrame:
     """Copy one project's three tables to ``target`` (Parquet, one
-    sub-folder per table) and point the registry at it. The source stays as
-    the backup. Returns the new registry."""
+    sub-folder per table) and point the registry at it; nothing else of the
+    registry row changes. The source stays as the backup. A project that
+    already lies at ``target`` is left as it is; one the registry does not
+    know is refused with a ValueError. Returns the new registry."""
     spark = registry.sparkSession
+    known = registry.filter(F.col("slug") == project).select("db_path").first()
+    if known is None:
+        raise ValueError(f"Project '{project}' not found")
+    if known["db_path"] == target:
+        return registry
     for name, schema in TABLES.items():
         df = tables.get(name)
         if df is None:
             df = spark.createDataFrame([], schema)
         df.filter(F.col("project") == project).select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]) \
           .write.mode("overwrite").parquet(f"{target.rstrip('/')}/{name}")
-    row = _registry_row(spark, project, None, None, target)
-    known = registry.filter(F.col("slug") == project)
-    named = row.join(known.select("slug", F.col("display_name").alias("dn"), F.col("description").alias("ds")),
-                     "slug", "left").select("slug", F.coalesce("dn", F.lit(project)).alias("display_name"),
-                                            F.col("ds").alias("description"), "op_seq")
-    out = M.upsert_projects(registry, named, as_of)
-    return out.withColumn("db_path", F.when(F.col("slug") == project, F.lit(target)).otherwise(F.col("db_path")))
+    return registry.withColumn("db_path", F.when(F.col("slug") == project, F.lit(target)).otherwise(F.col("db_path")))
 
 
 def attach_snapshot(spark: SparkSession, registry: DataFrame, path: str, as_of,
-                    slug: str | None = None) -> tuple[DataFrame, bool]:
+                    slug: str | None = None, display_name: str | None = None,
+                    description: str | None = None) -> tuple[DataFrame, bool]:
     """Register an existing snapshot folder (slug from the folder name
-    when not given, slugified); when the folder holds no snapshot, create an
+    when not given, slugified; display name: the folder name); when the folder holds no snapshot, create an
     empty project there. Returns (registry, created_new)."""
     folder = path.rstrip("/").rsplit("/", 1)[-1]
     s = slug or folder
@@ -62,7 +64,7 @@ def attach_snapshot(spark: SparkSession, registry: DataFrame, path: str, as_of,
     if created:
         for name, schema in TABLES.items():
             spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")
-    row = _registry_row(spark, s, s, None, path)
+    row = _registry_row(spark, s, display_name or folder, description, path)
     out = M.upsert_projects(registry, row, as_of)
     return out.withColumn("db_path", F.when(F.col("slug") == s, F.lit(path)).otherwise(F.col("db_path"))), created
 

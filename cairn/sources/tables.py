@@ -70,14 +70,8 @@ def overwrite_projects(df: DataFrame, path: str, schema=S.MEMORIES) -> None:
 
     A project that became empty writes no rows, so its old folder would stay;
     callers remove such projects with ``drop_project_partitions``."""
-    spark = df.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        (df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
-         .write.mode("overwrite").partitionBy("project").parquet(path))
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    (df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project").parquet(path))
 
 
 def drop_project_partitions(spark: SparkSession, path: str, projects: list[str]) -> None:
