@@ -1,8 +1,10 @@
 """Markdown tree and snapshots: render/parse rules, export -> import round trip."""
 
 import datetime as dt
+import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from cairn import schema as S
@@ -90,14 +92,22 @@ def test_no_active_notes_exports_nothing(spark, tmpdir_path):
 
 def test_snapshot_attach_sync(spark, tmpdir_path):
     mem = _notes(spark, "proj", [("decision", "A", "b")])
-    reg = spark.createDataFrame([], S.PROJECTS)
+    empty = spark.createDataFrame([], S.PROJECTS)
     target = os.path.join(tmpdir_path, "proj-snap")
-    reg2 = SN.snapshot_project({"memories": mem}, reg, "proj", target, _ts())
-    assert reg2.filter("slug = 'proj'").first().db_path == target
+    with pytest.raises(ValueError, match="not found"):
+        SN.snapshot_project({"memories": mem}, empty, "proj", target, _ts())
+    reg = spark.createDataFrame([("proj", "Proj", "d", AS_OF, AS_OF, "old")], S.PROJECTS)
+    moved = SN.snapshot_project({"memories": mem}, reg, "proj", target, F.lit(AS_OF + dt.timedelta(days=3)).cast(S.TS))
+    row = moved.first()
+    assert (row.db_path, row.display_name, row.last_accessed) == (target, "Proj", AS_OF)
+    assert SN.snapshot_project({"memories": mem}, moved, "proj", target, _ts()).first() == row  # already there
+    reg = empty
     reg3, n, err = SN.sync_snapshot(spark, reg, target, _ts())
     assert err is None and n == 1 and reg3.filter("slug = 'proj-snap'").count() == 1
     reg4, created = SN.attach_snapshot(spark, reg, os.path.join(tmpdir_path, "New_Proj"), _ts())
-    assert created and reg4.first().slug == "newproj"
+    assert created and (reg4.first().slug, reg4.first().display_name) == ("newproj", "New_Proj")
+    named, _ = SN.attach_snapshot(spark, reg, os.path.join(tmpdir_path, "New_Proj"), _ts(), display_name="N", description="D")
+    assert (named.first().display_name, named.first().description) == ("N", "D")
     _, _, err = SN.sync_snapshot(spark, reg, os.path.join(tmpdir_path, "missing"), _ts())
     assert err is not None
 
@@ -126,3 +136,24 @@ def test_parse_without_heading_and_empty_content_skipped(spark, tmpdir_path):
     assert (r.created, r.skipped) == (1, 1)
     assert [e.error for e in errors.collect()] == ["Failed to parse: bad.md"]
     assert created.first().title == "full"            # title defaults to the file stem
+
+
+def test_import_of_fields_that_are_no_text(spark, tmpdir_path):
+    base = os.path.join(tmpdir_path, ".memory", "decision")
+    os.makedirs(base)
+    files = {"meta.md": '---\ntitle: m\nmetadata: "{\\"a\\": 1}"\n---\n# m\n\nbody\n',
+             "prio.md": "---\ntitle: p\npriority: high\n---\n# p\n\nbody\n",
+             "num.md": "---\nid: n1\ntitle: 123\n---\n# 123\n\nsame\n"}
+    for name, text in files.items():
+        with open(os.path.join(base, name), "w") as f:
+            f.write(text)
+    mem = _notes(spark, "p", [("decision", "123", "same")]).withColumn("id", F.lit("n1"))
+    created, updated, _, report, errors = MT.import_tree(mem, tmpdir_path, "p", _ts(), run_id="one")
+    r = report.first()
+    assert (r.created, r.updated, r.skipped, r.error) == (1, 1, 0, 1)  # a number never equals the stored text
+    assert [e.error for e in errors.collect()] == ["Insert p: priority is not a number"]
+    note = created.first()
+    assert json.loads(json.loads(note.metadata).replace('\\"', '"')) == {"a": 1}
+    again = MT.import_tree(mem, tmpdir_path, "p", _ts(), run_id="two")[0].first()
+    assert again.id != note.id
+    assert MT.import_tree(mem, tmpdir_path, "p", _ts(), run_id="one")[0].first().id == note.id
