@@ -306,6 +306,17 @@ def prefix(h: np.ndarray, classes: np.ndarray, order: int, percent: int) -> np.n
 # --- 4. links --------------------------------------------------------------
 
 
+def in_common(x: np.ndarray, y: np.ndarray) -> int:
+    """How many numbers two sorted arrays without repeats share."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x):
+        return 0
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = len(y) - 1
+    return int(np.count_nonzero(y[at] == x))
+
+
 class JaccardOfSets:
     """Sets (sorted 64-bit shingles) for ``group_links``."""
 
@@ -313,22 +324,22 @@ class JaccardOfSets:
         self.classes, self.percent = classes, percent
 
     def load(self, raw: bytes):
-        """The set and its prefix under every order."""
+        """The set and its prefix under every order but the first."""
         h = np.frombuffer(raw, "<u8")
-        return h, [prefix(h, self.classes, k, self.percent) for k in range(ORDERS)]
+        return h, [np.sort(prefix(h, self.classes, k, self.percent)) for k in range(1, ORDERS)]
 
     def tokens(self, item) -> list[int]:
-        return item[1][0].tolist()
+        """The prefix under the first order, by which candidates are found."""
+        return prefix(item[0], self.classes, 0, self.percent).tolist()
 
     def linked(self, a, b) -> bool:
-        """Do the prefixes meet under every order, and are the sets similar enough?"""
+        """Do the prefixes meet under the other orders as well, and are the sets similar enough?"""
         (x, px), (y, py) = a, b
         if 100 * min(len(x), len(y)) < self.percent * max(len(x), len(y)):
             return False
-        for p, q in zip(px, py):
-            if not len(np.intersect1d(p, q, assume_unique=True)):
-                return False
-        both = len(np.intersect1d(x, y, assume_unique=True))
+        if not all(in_common(p, q) for p, q in zip(px, py)):
+            return False
+        both = in_common(x, y)
         return 100 * both >= self.percent * (len(x) + len(y) - both)
 
 

@@ -33,15 +33,21 @@ from cairn.llm.common import by_size, stored, texts_of
 
 MAX_DOCS = 20_000
 MAX_TERMS = 4000
-FUZZY_FROM, FUZZY_2_FROM = 5, 10
+FUZZY_FROM, FUZZY_2_FROM = 5, 12
 WINDOW = 4
 #: Words a worker remembers the matches of before it starts anew.
 MAX_WORDS = 1_000_000
 
 
-def _gram(a, b, c):
-    """Key of three letters, never 0."""
-    return (a << 42) + (b << 21) + c + 1 if isinstance(a, int) else (a << np.uint64(42)) + (b << np.uint64(21)) + c + np.uint64(1)
+_K = 0x9E3779B97F4A7C15
+
+
+def _gram(*letters):
+    """Key of some letters (numbers or arrays); equal letters, equal keys."""
+    key = letters[0]
+    for c in letters[1:]:
+        key = (key * _K + c) & (1 << 64) - 1 if isinstance(c, int) else key * np.uint64(_K) + c
+    return key
 
 
 def _poly(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,7 +99,7 @@ class Lexicon:
             if len(t) >= FUZZY_2_FROM:
                 n = len(t)
                 for p in (0, n // 3, 2 * n // 3):
-                    key = _gram(*(ord(c) for c in t[p : p + 3]))
+                    key = _gram(*(ord(c) for c in t[p : p + 4]))
                     for q in range(max(0, p - 2), min(62, p + 2) + 1):
                         part[key] = part.get(key, 0) | 1 << q
         self.part = HashIndex()
@@ -101,35 +107,36 @@ class Lexicon:
         self.places = np.array([*part.values(), 0], dtype=np.uint64)
 
     def near(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Words that ``match`` may find (all others it doesn't)."""
+        """Edits within which ``match`` may find each word, 0 if it can't."""
+        ok = np.zeros(len(starts), dtype=np.int8)
         if not len(starts) or not self.root:
-            return np.zeros(len(starts), dtype=bool)
+            return ok
         whole, less = _poly(codes, starts, ends)
-        ok = self.one.find(whole) >= 0
+        ok[self.one.find(whole) >= 0] = 1
         size = ends - starts
         word = np.repeat(np.arange(len(starts)), size)
-        ok[word[self.one.find(less) >= 0]] = True
+        ok[word[self.one.find(less) >= 0]] = 1
         if self.part.n:
-            long = np.flatnonzero((size >= FUZZY_2_FROM - 2) & ~ok)
-            n = size[long] - 2
+            long = np.flatnonzero(size >= FUZZY_2_FROM - 2)
+            n = size[long] - 3
             word = np.repeat(long, n)
             place = np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n)
             p = starts[word] + place
             c = codes.astype(np.uint64)
-            k = self.part.find(_gram(c[p], c[p + 1], c[p + 2]))
+            k = self.part.find(_gram(c[p], c[p + 1], c[p + 2], c[p + 3]))
             hit = (k >= 0) & (place < 63)
-            ok[word[hit][(self.places[k[hit]] >> place[hit].astype(np.uint64)) & np.uint64(1) > 0]] = True
+            ok[word[hit][(self.places[k[hit]] >> place[hit].astype(np.uint64)) & np.uint64(1) > 0]] = 2
         return ok
 
-    def match(self, word: str) -> tuple[str, int] | None:
+    def match(self, word: str, within: int = 2) -> tuple[str, int] | None:
         """The nearest term within the allowed edits (ties: larger weight, then
-        alphabetic) and the number of edits."""
+        alphabetic) and the number of edits; ``within`` is what ``near`` says."""
         if word in self.terms:
             return (word, 0) if self.terms[word] else None
         n = len(word)
         if n < FUZZY_FROM - 1:
             return None
-        most = 2 if n >= FUZZY_2_FROM - 2 else 1
+        most = min(within, 2 if n >= FUZZY_2_FROM - 2 else 1)
         masks: dict[str, int] = {}
         for i, c in enumerate(word):
             masks[c] = masks.get(c, 0) | (2 << i)
@@ -240,9 +247,10 @@ class Matcher:
             _, first = np.unique(h[miss], return_index=True)
             which = miss[first]
             got: list = [None] * len(which)
-            maybe = np.flatnonzero(self.lexicon.near(codes, starts[which], ends[which]))
+            within = self.lexicon.near(codes, starts[which], ends[which])
+            maybe = np.flatnonzero(within)
             for k, w in zip(maybe.tolist(), Words(codes, starts, ends, None).strings(which[maybe])):
-                got[k] = self.lexicon.match(w)
+                got[k] = self.lexicon.match(w, int(within[k]))
             base = self.index.n
             while base + len(got) > len(self.hit):
                 self.hit = np.concatenate((self.hit, np.zeros_like(self.hit)))
@@ -336,8 +344,8 @@ def learn_lexicon(seen: DataFrame, max_terms: int = MAX_TERMS, min_odds: float =
         for b in batches:
             words = b.column(0).to_pylist()
             at = np.concatenate(([0], np.cumsum([len(w) for w in words]))).astype(np.int64)
-            maybe = np.flatnonzero(lexicon.near(to_codes("".join(words)), at[:-1], at[1:])).tolist()
-            words = [words[k] for k in maybe if words[k] not in terms and lexicon.match(words[k])]
+            within = lexicon.near(to_codes("".join(words)), at[:-1], at[1:]).tolist()
+            words = [w for w, e in zip(words, within) if e and w not in terms and lexicon.match(w, e)]
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string())], names=["term"])
 
     known = counts.where((F.col("b") >= 2) & (F.col("b") * (n1 + 1) >= F.col("a") * (n0 + 1))).select("term").mapInArrow(near, "term string").collect() if terms else []

@@ -34,14 +34,20 @@ def brute(terms, word):
 def test_automata_equal_edit_distance(seed):
     rng = random.Random(seed)
     word = lambda a, z: "".join(rng.choice("abc") for _ in range(rng.randint(a, z)))
-    terms = {word(3, 12): float(rng.randint(0, 3)) for _ in range(25)}
+    terms = {word(3, 15): float(rng.randint(0, 3)) for _ in range(25)}
     lex = toxicity.Lexicon(terms)
-    words = [word(1, 13) for _ in range(800)]
+    words = [word(1, 16) for _ in range(800)]
+    for t in list(terms) * 12:
+        w = list(t)
+        for _ in range(rng.randint(1, 3)):
+            k = rng.randrange(len(w) + 1)
+            w[k : k + rng.randint(0, 1)] = rng.choice(["", "a", "b", "c"])
+        words.append("".join(w) or "a")
     at = np.concatenate(([0], np.cumsum([len(w) for w in words])))
     near = lex.near(to_codes("".join(words)), at[:-1], at[1:])
     for w, maybe in zip(words, near):
         assert lex.match(w) == brute(terms, w), w
-        assert maybe or lex.match(w) is None, w
+        assert (lex.match(w, int(maybe)) if maybe else None) == brute(terms, w), w
 
 
 def test_quotation():
