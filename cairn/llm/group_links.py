@@ -27,20 +27,21 @@ from cairn.llm.components import components
 
 
 def _compare(shared):
-    """Candidates (with the first payload) of one id: those that are linked."""
-
-    def run(key, edges, own):
-        import pandas as pd
-
-        sim = shared.value
-        out = []
-        if len(edges):
-            ys = [sim.load(y) for y in own["own"]]
-            for a, raw in zip(edges["a"], edges["payload"]):
-                x = sim.load(raw)
-                if any(sim.linked(x, y) for y in ys):
-                    out.append((a, key[0]))
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+    """Of candidates with both payloads, those that are linked."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        sim, last, y = shared.value, None, None
+        for batch in batches:
+            a, b, x, own = (batch.column(c).to_pylist() for c in ("a", "b", "payload", "own"))
+            keep = []
+            for k in range(len(a)):
+                if own[k] != last:  # sorted by b, so mostly the one before
+                    last, y = own[k], sim.load(own[k])
+                if sim.linked(sim.load(x[k]), y):
+                    keep.append(k)
+            yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in keep], pa.int64()), pa.array([b[k] for k in keep], pa.int64())], names=["a", "b"])
 
     return run
 
@@ -49,7 +50,7 @@ def verified(pairs: DataFrame, payload: DataFrame, shared) -> DataFrame:
     """The pairs (a, b) that are linked."""
     left = pairs.join(payload.select(F.col("id").alias("a"), "payload"), "a")
     own = payload.select(F.col("id").alias("b"), F.col("payload").alias("own"))
-    return left.groupBy("b").cogroup(own.groupBy("b")).applyInPandas(_compare(shared), "a long, b long")
+    return left.join(own, "b").select("a", "b", "payload", "own").mapInArrow(_compare(shared), "a long, b long").distinct()
 
 
 def _cell_links(shared):
