@@ -26,7 +26,7 @@ def op2_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_report(read(spark, sf_dir, "documents"))
+    return line_dedup.dedup_report(read(spark, sf_dir, "documents"), short=True)
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
