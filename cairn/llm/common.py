@@ -46,7 +46,20 @@ def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Removes tables made by ``stored`` that nothing reads any more, through
+    Spark's own file system interface. Others, and None, are left alone."""
+    for df in tables:
+        path = getattr(df, "stored_path", None)
+        if path:
+            jvm, sc = df.sparkSession._jvm, df.sparkSession._jsc
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(sc.hadoopConfiguration()).delete(where, True)
 
 
 def texts_of(docs: DataFrame) -> DataFrame:

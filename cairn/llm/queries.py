@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, hnsw, huffman, line_dedup, ngram_join, packing, quality, rules, secret_scan, toxicity
+from cairn.llm import bpe, hadamard, hnsw, huffman, language, line_dedup, ngram_join, oracles, packing, prefix_trie, quality, rules, secret_scan, toxicity
 from cairn.llm.common import read, tokenizer_path
 
 
@@ -63,5 +63,19 @@ def op10_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(secret_scan.joined(spans, True).cast("binary"), 256).alias("base_sha256"), secret_scan.joined(spans, False).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_ftrl, op2_bpe_words, op3_fuzzy_lines, op4_ngram_jaccard, op5_crf_lines, op6_best_fit_packing, op7_hnsw, op8_toxicity_automata, op9_huffman_ids, op10_secret_crf)}
-ORACLE: dict[str, str] = {}
+def op11_zfast_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.report(*prefix_trie.rebuilt(prefix_trie.turns_of(read(spark, sf_dir, "conversations"))))
+
+
+def op12_language_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = language.identify(read(spark, sf_dir, "documents"))
+    return docs.select("doc_id", quality.held_out().alias("held_out"), "lang_pred", "score", "distance", "rejected")
+
+
+def op13_hadamard_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hadamard.report(read(spark, sf_dir, "embeddings"), hadamard.CENTROIDS, hadamard.ROUNDS, 3)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_ftrl, op2_bpe_words, op3_fuzzy_lines, op4_ngram_jaccard, op5_crf_lines, op6_best_fit_packing, op7_hnsw, op8_toxicity_automata, op9_huffman_ids, op10_secret_crf,
+                                   op11_zfast_trie, op12_language_centroids, op13_hadamard_clusters)}
+ORACLE: dict[str, str] = {"op11_zfast_trie": oracles.PREFIX_NODES, "op13_hadamard_clusters": oracles.clusters(hadamard.ROUNDS, hadamard.CENTROIDS, 3)}
