@@ -11,8 +11,7 @@ cosine. It is *rejected* if its cosine distance exceeds that centroid's
 radius, the largest distance of nearly all (``WITHIN``) of its own texts, widened by ``SLACK``.
 
 Document frequencies are counted over all learnable texts; the centroids are
-fitted on at most ``MAX_DOCS`` distinct texts of each language, those with the
-smallest hashes. Scoring covers whole texts in parallel, with the centroids
+fitted on about ``MAX_DOCS`` distinct texts of each language, chosen by a hash of the text. Scoring covers whole texts in parallel, with the centroids
 (languages x ``CENTROIDS`` x 2**BITS x 4 bytes, 0.5 MB a language) sent along; a table with more
 than ``MAX_LANGUAGES`` languages raises an error rather than send more.
 
@@ -28,7 +27,7 @@ from __future__ import annotations
 import unicodedata
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.common import by_size
@@ -155,17 +154,15 @@ def idf_of(rows: DataFrame, bits: int = BITS) -> np.ndarray:
 
 
 def sampled(rows: DataFrame, max_docs: int) -> DataFrame:
-    """Of each language's distinct texts the ``max_docs`` with the smallest hashes."""
-    h = F.xxhash64("text")
-    thin = rows.select("lang", h.alias("h")).distinct()
-    ranked = thin.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= max_docs)
-    last = ranked.groupBy("lang").agg(F.max("h").alias("h")).limit(MAX_LANGUAGES + 1).collect()
-    if len(last) > MAX_LANGUAGES:
+    """Of each language about ``max_docs`` distinct texts, by their hashes; all of them if there are fewer."""
+    h, parts = F.xxhash64("text"), 1 << 30
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct(h).alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"over {MAX_LANGUAGES} languages to learn")
-    if not last:
+    if not sizes:
         return rows.where(F.lit(False))
-    most = F.element_at(F.create_map(*[x for r in last for x in (F.lit(r["lang"]), F.lit(r["h"]))]), F.col("lang"))
-    return rows.withColumn("h", h).where(F.col("h") <= most).dropDuplicates(["lang", "h"]).select("lang", "text")
+    share = F.element_at(F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(int(max_docs / max(1, r["n"]) * parts)))]), F.col("lang"))
+    return rows.withColumn("h", h).where(F.pmod(F.col("h"), F.lit(parts)) < share).dropDuplicates(["lang", "h"]).select("lang", "text")
 
 
 def clustered(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
@@ -220,7 +217,7 @@ def fit(rows: DataFrame, bits: int = BITS, k: int = CENTROIDS, max_docs: int = M
         radius = [min(1.0, float(np.quantile(far[own == j], WITHIN)) * SLACK) for j in used]
         return pd.DataFrame({"lang": [pdf["lang"].iloc[0]] * len(used), "centroid": [c[j].astype("<f4").tobytes() for j in used], "radius": radius})
 
-    groups = sampled(rows, max_docs).mapInArrow(vectors, "lang string, idx binary, x binary").groupBy("lang")  # at most max_docs rows each
+    groups = sampled(rows, max_docs).mapInArrow(vectors, "lang string, idx binary, x binary").groupBy("lang")  # about max_docs rows each
     # at most MAX_LANGUAGES * k rows
     found = sorted(groups.applyInPandas(train, "lang string, centroid binary, radius double").collect(), key=lambda r: (r["lang"], r["radius"], bytes(r["centroid"])))
     c = np.array([np.frombuffer(bytes(r["centroid"]), "<f4") for r in found], dtype=np.float32).reshape(-1, size).T
