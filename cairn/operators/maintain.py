@@ -122,27 +122,18 @@ def drop_ids(memories: DataFrame, ids: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------- store
 
-def store(batch: DataFrame, as_of, embedder=None, run_id: str = "") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """M1: validate (F8), raise rule priority (E11), derive summary (E1),
-    entities (E9), expiry from the raised priority (E10), vector (E13 + V6),
-    and an id; status active, access 0, created = updated = ``as_of``.
-
-    ``batch``: project, category, title, content, tags, metadata (JSON text
-    or NULL), priority, source, related_ids, op_seq. Returns (notes, audit,
-    rejected). A repeatable id is derived from (project, title, content,
-    op_seq, ``run_id``) instead of a random UUID: give every batch that is
-    stored its own ``run_id``, and the same note stored twice gets two ids,
-    while a repeated attempt of one batch gets the same.
-    """
-    ok, rejected = FL.valid_category(batch)
+def enriched(valid: DataFrame, as_of, run_id: str, embedder=None) -> DataFrame:
+    """The notes that M1 stores for valid rows of a batch, with their ``op_seq``."""
+    if not run_id:
+        raise ValueError("run_id names the batch: without one, storing a note twice would give one id")
     ts = FL._ts(as_of)
     prio = X.rule_priority("category", F.coalesce("priority", F.lit(0)))
-    ok = X.with_summary(ok, "title", "content", "_summary")
+    ok = X.with_summary(valid, "title", "content", "_summary")
     ok = X.with_entities(ok.withColumn("_etext", F.concat(F.col("title"), F.lit(" "), F.col("content"))),
                          "_etext", "_entities")
     notes = ok.select(
         "project",
-        X.note_id("project", "title", "content", "op_seq", *([F.lit(run_id)] if run_id else [])).alias("id"),
+        X.note_id("project", "title", "content", "op_seq", F.lit(run_id)).alias("id"),
         "category", "title", "content",
         F.col("_summary").alias("summary"),
         F.coalesce("tags", F.array().cast(S.STR_ARRAY)).alias("tags"),
@@ -161,10 +152,31 @@ def store(batch: DataFrame, as_of, embedder=None, run_id: str = "") -> tuple[Dat
     if embedder is not None:
         notes = embedder.embed(notes.withColumn("_etext", X.embedding_text("title", "content")),
                                "_etext", "embedding").drop("_etext")
+    return notes
+
+
+def create_trail(notes: DataFrame) -> DataFrame:
+    """M15 for ``enriched`` notes: one create row each."""
     details = json_obj(F.col("category"), F.col("title"), F.col("source"),
                        F.size("entities").alias("entities_extracted"))
-    trail = audit(notes, "id", "create", details, F.col("created_at"))
-    return notes.drop("op_seq"), trail, rejected
+    return audit(notes, "id", "create", details, F.col("created_at"))
+
+
+def store(batch: DataFrame, as_of, run_id: str, embedder=None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """M1: validate (F8), raise rule priority (E11), derive summary (E1),
+    entities (E9), expiry from the raised priority (E10), vector (E13 + V6),
+    and an id; status active, access 0, created = updated = ``as_of``.
+
+    ``batch``: project, category, title, content, tags, metadata (JSON text
+    or NULL), priority, source, related_ids, op_seq. Returns (notes, audit,
+    rejected). A repeatable id is derived from (project, title, content,
+    op_seq, ``run_id``) instead of a random UUID: every batch that is stored
+    has its own ``run_id``, so the same note stored twice gets two ids, while
+    a repeated attempt of one batch gets the same.
+    """
+    ok, rejected = FL.valid_category(batch)
+    notes = enriched(ok, as_of, run_id, embedder)
+    return notes.drop("op_seq"), create_trail(notes), rejected
 
 
 # -------------------------------------------------------------- update
@@ -337,7 +349,7 @@ def import_diff(parsed: DataFrame, memories: DataFrame) -> DataFrame:
     return j.withColumn("outcome", outcome).withColumn("reason", reason).drop("_t", "_c", "_found", "title_not_text", "priority_not_number")
 
 
-def import_apply(memories: DataFrame, diff: DataFrame, as_of, embedder=None, run_id: str = ""):
+def import_apply(memories: DataFrame, diff: DataFrame, as_of, run_id: str, embedder=None):
     """M8: creates as in M1 (source / priority / tags of the file, its
     metadata text as a JSON string, new id even when the file's id is
     unknown, Q14); updates set title, content, summary, entities, vector,
@@ -351,7 +363,7 @@ def import_apply(memories: DataFrame, diff: DataFrame, as_of, embedder=None, run
     created, trail_c, _ = store(new.select("project", "category", "title", "content", "tags", meta.alias("metadata"),
                                            "priority", "source",
                                            F.array().cast(S.STR_ARRAY).alias("related_ids"), "op_seq"),
-                                as_of, embedder, run_id)
+                                as_of, run_id, embedder)
     trail_c = trail_c.withColumn("details", json_obj(F.lit("import").alias("source")))
     upd = diff.filter(F.col("outcome") == "updated").select(
         "project", "id", F.col("title").alias("n_title"), F.col("content").alias("n_content"),

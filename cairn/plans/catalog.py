@@ -722,7 +722,7 @@ from cairn.functions import embed as EM  # noqa: E402
 SELECT project, id, category, title, summary, entities, tags, metadata, status, priority, source, access_count,
        expires_at, created_at FROM store_notes""", "store_batch", extra=O.STORE_NOTES.strip()))
 def m1_store(spark, sf):
-    notes, _, _ = M.store(AD.store_batch(spark, sf), _as_of())
+    notes, _, _ = M.store(AD.store_batch(spark, sf), _as_of(), "store")
     return notes.select("project", "id", "category", "title", "summary", "entities", "tags", "metadata", "status",
                         "priority", "source", "access_count", "expires_at", "created_at")
 
@@ -734,7 +734,7 @@ SELECT project, id AS memory_id, 'create' AS operation,
 FROM store_notes""", "store_batch", extra=O.STORE_NOTES.strip()))
 def m15_record(spark, sf):
     """M15 as written by M1: one create row per stored note."""
-    _, trail, _ = M.store(AD.store_batch(spark, sf), _as_of())
+    _, trail, _ = M.store(AD.store_batch(spark, sf), _as_of(), "store")
     return trail
 
 
@@ -816,7 +816,7 @@ def m6_sweep_expired(spark, sf):
 
 
 @register("m8_import_apply", Osql(f"""
-SELECT project, {O.note_id_sql('project', 'title', 'content', 'op_seq')} AS id, 'created' AS kind, title,
+SELECT project, {O.note_id_sql('project', 'title', 'content', 'op_seq', "'import'")} AS id, 'created' AS kind, title,
        {O.summary_sql('title', 'content')} AS summary, coalesce(tags, CAST([] AS VARCHAR[])) AS tags,
        CAST({O.rule_priority_sql('category', 'coalesce(priority, 0)')} AS INTEGER) AS priority,
        coalesce(source, 'import') AS source,
@@ -831,7 +831,7 @@ FROM diff d JOIN memories m ON m.project = d.project AND m.id = d.id WHERE d.out
 def m8_import_apply(spark, sf):
     mem = _mem(spark, sf)
     diff = M.import_diff(AD.import_parsed(spark, sf), mem)
-    created, updated, _ = M.import_apply(mem, diff, _as_of())
+    created, updated, _ = M.import_apply(mem, diff, _as_of(), "import")
     cols = ["project", "id", "kind", "title", "summary", "tags", "priority", "source", "expires_at", "updated_at"]
     return (created.withColumn("kind", F.lit("created")).select(*cols)
             .unionByName(updated.withColumn("kind", F.lit("updated")).select(*cols)))
@@ -947,3 +947,6 @@ def s7_rendered_files(spark, sf):
     """S7 content: the file set of each project's export after same-slug
     collisions (last by title, id wins)."""
     return MT.rendered_files(FL.by_status(_mem(spark, sf), S.ACTIVE), ["project"])
+
+
+from cairn.plans import flows  # noqa: E402, F401 - registers the streaming and file-tree queries

@@ -482,7 +482,7 @@ VALID_SLUG_RE = "(?:[a-z0-9][a-z0-9-]*[a-z0-9]|[a-z0-9])\\n?"
 STORE_NOTES = f"""
 store_ok AS (SELECT * FROM store_batch WHERE category IN (SELECT unnest({CATS}))),
 store_notes AS (
-  SELECT project, {note_id_sql('project', 'title', 'content', 'op_seq')} AS id, category, title, content,
+  SELECT project, {note_id_sql('project', 'title', 'content', 'op_seq', "'store'")} AS id, category, title, content,
          {summary_sql('title', 'content')} AS summary,
          coalesce(tags, CAST([] AS VARCHAR[])) AS tags,
          CASE WHEN metadata IN ('{{}}', 'null') THEN NULL ELSE metadata END AS metadata,

@@ -198,7 +198,7 @@ def export(memories: DataFrame, project: str, root: str, as_of) -> tuple[dict, D
 
 # ------------------------------------------------------------------ C9
 
-def import_tree(memories: DataFrame, root: str, project: str, as_of, embedder=None, run_id: str = ""):
+def import_tree(memories: DataFrame, root: str, project: str, as_of, run_id: str, embedder=None):
     """Read (S6), parse (N4), classify (J4), apply (M8), report (A4).
     ``run_id`` names the import (see M8). Returns (created, updated, audit,
     report, errors)."""
@@ -213,7 +213,7 @@ def import_tree(memories: DataFrame, root: str, project: str, as_of, embedder=No
     # A parsed id that is empty counts as absent.
     ok = ok.withColumn("id", F.when(F.col("id") == "", F.lit(None)).otherwise(F.col("id")))
     diff = M.import_diff(ok, memories)
-    created, updated, trail = M.import_apply(memories, diff, as_of, embedder, run_id)
+    created, updated, trail = M.import_apply(memories, diff, as_of, run_id, embedder)
     errors = errors.unionByName(diff.filter(F.col("outcome") == "error").select("project", F.col("reason").alias("error")))
     report = M.import_report(diff.unionByName(
         parsed.filter(F.col("error").isNotNull()).select("project", F.lit(None).cast("string").alias("id"), F.lit("error").alias("outcome")),

@@ -1,30 +1,31 @@
-"""Structured Streaming forms of the write path.
+"""Streaming forms of the write path: R1 and R2 (R3 is ``session_calls``).
 
 The reference applies one call at a time; these jobs consume call streams
 and keep the same end state:
 
-* ``stream_store`` (R1): raw notes -> enriched notes + audit rows. Stateless
-  column expressions (M1) with the row's own event time as ``as_of``.
+* ``stream_store`` (R1): raw notes -> enriched notes, audit rows and rejects.
+  A note sent again within the watermark's delay is stored once. Each batch
+  enriches its notes once for all three sinks, and names itself in their ids.
 * ``stream_access`` (R2): recall/search hits -> running access counts per
-  note (streaming aggregate in update mode); M5 applies them.
-* ``stream_sessions`` (R3): start/end calls -> session updates, with the open
-  session of each project kept in ``applyInPandasWithState``.
+  note, folded into a stored table that records the last batch of every row,
+  so a batch that is repeated adds nothing.
 
-Sinks are ``foreachBatch`` writers that put each micro-batch under
-``batch_id=<n>`` with overwrite: a replayed batch rewrites its own folder,
-so the output is exactly-once. Checkpoints live under the shared
+R1's sinks put each micro-batch under ``batch_id=<n>`` with overwrite: a
+replayed batch rewrites its own folder. Checkpoints live under the shared
 ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import hashlib
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from cairn import schema as S
+from cairn.operators import filters as FL
 from cairn.operators import maintain as M
 from cairn.session import scratch_path
 
@@ -40,21 +41,11 @@ RAW_NOTE = T.StructType([
 HIT = T.StructType([T.StructField("project", T.StringType()), T.StructField("id", T.StringType()),
                     T.StructField("op_seq", T.LongType()), T.StructField("ts", S.TS)])
 
-SESSION_CALL = T.StructType([
-    T.StructField("project", T.StringType()), T.StructField("seq", T.LongType()), T.StructField("ts", S.TS),
-    T.StructField("kind", T.StringType()), T.StructField("session_id", T.StringType()),
-    T.StructField("summary", T.StringType()), T.StructField("memories_created", T.IntegerType()),
-    T.StructField("memories_accessed", T.IntegerType()),
-])
-
-SESSION_UPDATE = T.StructType([
-    T.StructField("project", T.StringType()), T.StructField("id", T.StringType()),
-    T.StructField("seq", T.LongType()), T.StructField("kind", T.StringType()),
-    T.StructField("ts", S.TS), T.StructField("summary", T.StringType()),
-    T.StructField("memories_created", T.IntegerType()), T.StructField("memories_accessed", T.IntegerType()),
-])
-
-OPEN_STATE = T.StructType([T.StructField("open_id", T.StringType())])
+#: Folders the running totals are dealt into; a batch rewrites those it touches.
+BUCKETS = 64
+TOTALS = T.StructType([T.StructField("project", T.StringType()), T.StructField("id", T.StringType()),
+                       T.StructField("hits", T.LongType()), T.StructField("last_batch", T.LongType()),
+                       T.StructField("bucket", T.IntegerType())])
 
 
 def _batch_writer(out: str, fmt: str = "parquet"):
@@ -63,52 +54,97 @@ def _batch_writer(out: str, fmt: str = "parquet"):
     return write
 
 
+def _name(out: str) -> str:
+    return hashlib.sha1(out.rstrip("/").encode()).hexdigest()[:12]
+
+
 def _checkpoint(spark: SparkSession, name: str, out: str) -> str:
     """One checkpoint per (job, sink) under the shared checkpoint folder."""
-    import hashlib
-    return scratch_path(spark, f"streams/{name}-{hashlib.sha1(out.encode()).hexdigest()[:12]}")
+    return scratch_path(spark, f"streams/{name}-{_name(out)}")
 
 
 # ------------------------------------------------------------------ R1
 
-def stream_store(spark: SparkSession, source: str, out: str, fmt: str = "parquet", trigger_once: bool = True,
-                 embedder=None):
-    """Raw notes under ``source`` -> ``out/notes`` and ``out/audit``
-    (and ``out/rejected``); with an ``Embedder`` the notes get vectors."""
-    raw = spark.readStream.schema(RAW_NOTE).format(fmt).load(source)
+def once(raw: DataFrame, delay: str) -> DataFrame:
+    """Each sent note once: a copy of all its fields that comes within
+    ``delay`` of event time goes. Only a digest is kept as state."""
+    fields = F.to_json(F.struct(*[f.name for f in RAW_NOTE.fields]), {"ignoreNullFields": "false"})
+    return (raw.withColumn("_time", F.col("ts").cast("timestamp")).withColumn("_key", F.md5(fields))
+            .withWatermark("_time", delay).dropDuplicatesWithinWatermark(["_key"]).drop("_time", "_key"))
+
+
+def store_writer(out: str, embedder=None):
+    """The sink of R1: notes, audit and rejects of one batch, enriched once."""
+    out = out.rstrip("/")
 
     def write(df: DataFrame, batch_id: int):
-        notes, trail, rejected = M.store(df, F.col("ts"), embedder)
-        # M.store's `as_of` is the row's event time: keep it on the note.
-        notes.write.mode("overwrite").parquet(f"{out.rstrip('/')}/notes/batch_id={batch_id}")
-        trail.write.mode("overwrite").parquet(f"{out.rstrip('/')}/audit/batch_id={batch_id}")
-        rejected.write.mode("overwrite").parquet(f"{out.rstrip('/')}/rejected/batch_id={batch_id}")
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        ok, rejected = FL.valid_category(df)
+        # the row's own event time is the note's ``as_of``
+        notes = M.enriched(ok, F.col("ts"), f"{_name(out)}-{batch_id}", embedder).persist(StorageLevel.MEMORY_AND_DISK)
+        for name, rows in (("notes", notes.drop("op_seq")), ("audit", M.create_trail(notes)), ("rejected", rejected)):
+            rows.write.mode("overwrite").parquet(f"{out}/{name}/batch_id={batch_id}")
+        notes.unpersist()
+        df.unpersist()
 
-    w = raw.writeStream.foreachBatch(write).option("checkpointLocation", _checkpoint(spark, "store", out))
-    return (w.trigger(availableNow=True) if trigger_once else w).start()
+    return write
 
 
-# ------------------------------------------------------------------ R2
+def stream_store(spark: SparkSession, source: str, out: str, fmt: str = "parquet", trigger_once: bool = True,
+                 embedder=None, delay: str = "1 day", files_per_trigger: int = 1000):
+    """Raw notes under ``source`` -> ``out/notes`` and ``out/audit``
+    (and ``out/rejected``); with an ``Embedder`` the notes get vectors. Rows
+    without a time, or later than ``delay``, can't be told from copies already
+    forgotten and are dropped."""
+    raw = spark.readStream.schema(RAW_NOTE).option("maxFilesPerTrigger", files_per_trigger).format(fmt).load(source)
+    w = (once(raw.filter(F.col("ts").isNotNull()), delay).writeStream.foreachBatch(store_writer(out, embedder))
+         .option("checkpointLocation", _checkpoint(spark, "store", out)))
+    return (w.trigger(availableNow=True) if trigger_once else w).start()
 
-def stream_access(spark: SparkSession, source: str, out: str, fmt: str = "parquet", trigger_once: bool = True):
-    """R2: hits -> running count per note (update mode). Each batch writes
-    the notes whose total changed; the latest total per note wins."""
-    hits = spark.readStream.schema(HIT).format(fmt).load(source)
-    counts = hits.groupBy("project", "id").agg(F.count(F.lit(1)).alias("hits"))
 
-    def write(df: DataFrame, batch_id: int):
-        df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(
-            f"{out.rstrip('/')}/batch_id={batch_id}")
+# ------------------------------------------------------------------ R2
 
-    w = (counts.writeStream.outputMode("update").foreachBatch(write)
+def fold_hits(hits: DataFrame, out: str, batch_id: int, buckets: int = BUCKETS) -> None:
+    """Adds one batch of hits to the totals under ``out``. Only the folders of
+    touched notes are rewritten, each at once; a row of ``last_batch`` >=
+    ``batch_id`` holds this batch already and stays, so a batch may be
+    repeated, also after it was written in part."""
+    spark = hits.sparkSession
+    bucket = F.pmod(F.xxhash64("project", "id"), F.lit(buckets)).cast("int")
+    hits = hits.filter(F.col("project").isNotNull() & F.col("id").isNotNull())  # a hit of no note counts nowhere
+    new = hits.groupBy("project", "id").agg(F.count(F.lit(1)).alias("_n")).withColumn("bucket", bucket).persist(StorageLevel.MEMORY_AND_DISK)
+    touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most ``buckets``
+    if touched:
+        old = totals(spark, out).filter(F.col("bucket").isin(touched))
+        j = old.join(new, ["project", "id", "bucket"], "full_outer")
+        adds = F.col("_n").isNotNull() & (F.coalesce("last_batch", F.lit(-1).cast("long")) < batch_id)
+        rows = j.select("project", "id", (F.coalesce("hits", F.lit(0).cast("long")) + F.when(adds, F.col("_n")).otherwise(0)).alias("hits"),
+                        F.when(adds, F.lit(batch_id).cast("long")).otherwise(F.col("last_batch")).alias("last_batch"), "bucket")
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(out)
+    new.unpersist()
+
+
+def totals(spark: SparkSession, out: str) -> DataFrame:
+    """The stored totals; none before the first batch."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(out)
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], TOTALS)
+    return spark.read.schema(TOTALS).parquet(out)
+
+
+def stream_access(spark: SparkSession, source: str, out: str, fmt: str = "parquet", trigger_once: bool = True,
+                  files_per_trigger: int = 1000, buckets: int = BUCKETS):
+    """R2: hits under ``source`` -> the running totals under ``out``."""
+    hits = spark.readStream.schema(HIT).option("maxFilesPerTrigger", files_per_trigger).format(fmt).load(source)
+    w = (hits.writeStream.foreachBatch(lambda df, n: fold_hits(df, out, n, buckets))
          .option("checkpointLocation", _checkpoint(spark, "access", out)))
     return (w.trigger(availableNow=True) if trigger_once else w).start()
 
 
 def access_totals(spark: SparkSession, out: str) -> DataFrame:
-    """The latest running total per note from R2's output."""
-    df = spark.read.parquet(out)
-    return df.groupBy("project", "id").agg(F.max_by("hits", "batch_id").alias("hits"))
+    """The running total per note from R2's table."""
+    return totals(spark, out).select("project", "id", "hits")
 
 
 def apply_access(memories: DataFrame, totals: DataFrame) -> DataFrame:
@@ -116,62 +152,3 @@ def apply_access(memories: DataFrame, totals: DataFrame) -> DataFrame:
     return (memories.join(totals, ["project", "id"], "left")
             .withColumn("access_count", (F.col("access_count") + F.coalesce("hits", F.lit(0))).cast("int"))
             .drop("hits"))
-
-
-# ------------------------------------------------------------------ R3
-
-def _session_state(key, pdfs, state):
-    """Per project: replay calls in ``seq`` order; the state is the id of the
-    session still open (started, not ended, not auto-closed)."""
-    (project,) = key
-    open_id = state.get[0] if state.exists else None
-    out = []
-    frames = [p for p in pdfs if len(p)]
-    if frames:
-        calls = pd.concat(frames).sort_values("seq", kind="mergesort")
-        for r in calls.itertuples(index=False):
-            if r.kind == "start":
-                if open_id is not None:
-                    out.append((project, open_id, r.seq, "auto_close", r.ts, S.AUTO_CLOSE_SUMMARY, 0, 0))
-                out.append((project, r.session_id, r.seq, "start", r.ts, None, None, None))
-                open_id = r.session_id
-            elif r.kind == "end" and r.session_id is not None:
-                mc = 0 if pd.isna(r.memories_created) else int(r.memories_created)
-                ma = 0 if pd.isna(r.memories_accessed) else int(r.memories_accessed)
-                out.append((project, r.session_id, r.seq, "end", r.ts, r.summary, mc, ma))
-                if r.session_id == open_id:
-                    open_id = None
-    state.update((open_id,))
-    if out:
-        yield pd.DataFrame(out, columns=[f.name for f in SESSION_UPDATE.fields])
-
-
-def stream_sessions(spark: SparkSession, source: str, out: str, fmt: str = "parquet", trigger_once: bool = True):
-    """Session calls -> update records (start / end / auto_close) under
-    ``out``; ``sessions_from_updates`` folds them into the session table.
-    Calls of one project must arrive in ``seq`` order across batches (as the
-    reference's calls did)."""
-    calls = spark.readStream.schema(SESSION_CALL).format(fmt).load(source)
-    upd = calls.groupBy("project").applyInPandasWithState(
-        _session_state, SESSION_UPDATE, OPEN_STATE, "append", GroupStateTimeout.NoTimeout)
-    w = (upd.writeStream.outputMode("append").foreachBatch(_batch_writer(out))
-         .option("checkpointLocation", _checkpoint(spark, "sessions", out)))
-    return (w.trigger(availableNow=True) if trigger_once else w).start()
-
-
-def sessions_from_updates(updates: DataFrame) -> DataFrame:
-    """Fold update records into sessions: the start gives ``started_at``;
-    the last end/auto-close by ``seq`` gives end, summary and counts
-    (a late end overwrites an auto-close, Q17; an unknown id has no start
-    and is dropped)."""
-    starts = updates.filter(F.col("kind") == "start").select(
-        "project", "id", F.col("ts").alias("started_at"), F.col("seq").alias("start_seq"))
-    ends = updates.filter(F.col("kind") != "start").join(starts.select("project", "id", "start_seq"),
-                                                         ["project", "id"]).filter(F.col("seq") > F.col("start_seq"))
-    last = ends.groupBy("project", "id").agg(
-        F.max(F.struct("seq", "ts", "summary", "memories_created", "memories_accessed", "kind")).alias("e"))
-    j = starts.join(last, ["project", "id"], "left")
-    return j.select("project", "id", "started_at", F.col("e.ts").alias("ended_at"),
-                    F.col("e.summary").alias("summary"),
-                    F.col("e.memories_created").alias("memories_created"),
-                    F.col("e.memories_accessed").alias("memories_accessed"))

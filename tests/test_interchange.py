@@ -73,13 +73,13 @@ def test_export_layout_and_import_round_trip(spark, tmpdir_path):
     os.makedirs(os.path.join(base, "misc"))
     open(os.path.join(base, "misc", "y.md"), "w").write("---\ntitle: m\n---\nbody")
     target = spark.createDataFrame([], S.MEMORIES)
-    created, updated, trail, report, errors = MT.import_tree(target, tmpdir_path, "dst", _ts())
+    created, updated, trail, report, errors = MT.import_tree(target, tmpdir_path, "dst", _ts(), "run")
     r = report.first()
     assert (r.created, r.updated, r.skipped) == (3, 0, 0)
     assert [e.error for e in errors.collect()] == ["Unknown category: misc"]
     assert sorted(x.title for x in created.collect()) == ["Deploy", "Layers", "Use Redis"]
     # Importing into the source itself: same ids, same text -> all skipped.
-    _, _, _, r2, _ = MT.import_tree(mem, tmpdir_path, "src", _ts())
+    _, _, _, r2, _ = MT.import_tree(mem, tmpdir_path, "src", _ts(), "run")
     r2 = r2.first()
     assert (r2.created, r2.updated, r2.skipped) == (0, 0, 3)
 
@@ -131,7 +131,7 @@ def test_parse_without_heading_and_empty_content_skipped(spark, tmpdir_path):
     # an empty front matter block does not match the file pattern: parse error
     open(os.path.join(base, "bad.md"), "w").write("---\n---\nbody\n")
     target = spark.createDataFrame([], S.MEMORIES)
-    created, _, _, report, errors = MT.import_tree(target, tmpdir_path, "p", _ts())
+    created, _, _, report, errors = MT.import_tree(target, tmpdir_path, "p", _ts(), "run")
     r = report.first()
     assert (r.created, r.skipped) == (1, 1)
     assert [e.error for e in errors.collect()] == ["Failed to parse: bad.md"]
