@@ -142,6 +142,7 @@ def _parsed(ok: Column, entries: Column, content: Column) -> Column:
 
     title_v = _front_value(entries, "title")
     prio_v = _front_value(entries, "priority")
+    tags_v = _front_value(entries, "tags")
     prio = F.when(is_digits(prio_v), prio_v.try_cast("int"))
     parsed = F.struct(
         _front_value(entries, "id").alias("id"),
@@ -153,7 +154,9 @@ def _parsed(ok: Column, entries: Column, content: Column) -> Column:
         _front_value(entries, "status").alias("status"),
         prio.alias("priority"),
         (prio_v.isNotNull() & prio.isNull()).alias("priority_not_number"),
-        as_list(_front_value(entries, "tags")).alias("tags"),
+        as_list(tags_v).alias("tags"),
+        # empty and zero count as no tags; other text or numbers are no list
+        (tags_v.isNotNull() & as_list(tags_v).isNull() & (tags_v != "") & ~tags_v.rlike(r"\A0+\z")).alias("tags_not_list"),
         _front_value(entries, "source").alias("source"),
         _front_value(entries, "metadata").alias("metadata"),
         content.alias("content"))
@@ -166,7 +169,7 @@ def parse_df(df, text_col: str, out: str = "parsed"):
 
     Fields: id, category, title, status, source, metadata (strings; a value
     in double quotes loses them), priority (int when all digits), tags (list
-    when bracketed), title_is_number / title_is_list flags, content (the
+    when bracketed), title_is_number / title_is_list / priority_not_number / tags_not_list flags, content (the
     body without its first '# ' heading, the blank lines and one '> ' line
     after it, and everything from the first kept line starting '## Related').
 

@@ -328,25 +328,30 @@ def import_diff(parsed: DataFrame, memories: DataFrame) -> DataFrame:
     differ -> updated; id found and equal -> skipped; otherwise created. A
     title that front matter reads as a number or list (``title_not_text``)
     never equals the stored text; a new note whose priority is no number
-    (``priority_not_number``) is an error."""
-    for flag in ("title_not_text", "priority_not_number"):
+    (``priority_not_number``) is an error, and so is a note to store or update
+    whose tags are no list (``tags_not_list``)."""
+    for flag in ("title_not_text", "priority_not_number", "tags_not_list"):
         if flag not in parsed.columns:
             parsed = parsed.withColumn(flag, F.lit(False))
     m = memories.select("project", "id", F.col("title").alias("_t"), F.col("content").alias("_c"),
                         F.lit(True).alias("_found"))
     j = parsed.join(m, ["project", "id"], "left")
+    changed = F.col("_found") & (~F.col("_c").eqNullSafe(F.col("content")) | ~F.col("_t").eqNullSafe(F.col("title")) |
+                                 F.coalesce("title_not_text", F.lit(False)))
+    no_list = F.coalesce("tags_not_list", F.lit(False))
     outcome = (F.when(~F.coalesce(F.col("category").isin(*S.CATEGORIES), F.lit(False)), F.lit("error"))
                .when(F.col("content").isNull() | (F.col("content") == ""), F.lit("skipped"))
-               .when(F.col("_found") & (~F.col("_c").eqNullSafe(F.col("content")) |
-                                        ~F.col("_t").eqNullSafe(F.col("title")) |
-                                        F.coalesce("title_not_text", F.lit(False))), F.lit("updated"))
+               .when(no_list & (changed | F.col("_found").isNull()), F.lit("error"))
+               .when(changed, F.lit("updated"))
                .when(F.col("_found"), F.lit("skipped"))
                .when(F.coalesce("priority_not_number", F.lit(False)), F.lit("error"))
                .otherwise(F.lit("created")))
     known = F.coalesce(F.col("category").isin(*S.CATEGORIES), F.lit(False))
-    reason = F.when(outcome == "error", F.when(known, F.concat(F.lit("Insert "), F.col("title"), F.lit(": priority is not a number")))
+    reason = F.when(outcome == "error", F.when(known & no_list & F.col("_found"), F.concat(F.lit("Update "), F.col("id"), F.lit(": tags are no list")))
+                    .when(known & no_list, F.concat(F.lit("Insert "), F.col("title"), F.lit(": tags are no list")))
+                    .when(known, F.concat(F.lit("Insert "), F.col("title"), F.lit(": priority is not a number")))
                     .otherwise(F.concat(F.lit("Unknown category: "), F.coalesce("category", F.lit("")))))
-    return j.withColumn("outcome", outcome).withColumn("reason", reason).drop("_t", "_c", "_found", "title_not_text", "priority_not_number")
+    return j.withColumn("outcome", outcome).withColumn("reason", reason).drop("_t", "_c", "_found", "title_not_text", "priority_not_number", "tags_not_list")
 
 
 def import_apply(memories: DataFrame, diff: DataFrame, as_of, run_id: str, embedder=None):

@@ -1,66 +1,85 @@
 """Markdown tree interchange.
 
 Layout: ``<root>/.memory/<category>/<file-slug>.md`` plus
-``<root>/.memory/MEMORY_INDEX.md``.
-
-* Reading is ``spark.read.text(..., wholetext=True)`` over the category
-  folders, one row per file with its path; hidden folders are skipped and an
-  unknown category folder yields one error row.
-* Writing renders each note as a column (N5) and writes the files from the
-  executors through ``pyarrow.fs`` (any shared file system the cluster
-  mounts); a retried task rewrites the same files, so writes are idempotent.
+``<root>/.memory/MEMORY_INDEX.md``, one root per project.
+
+* Reading and writing go through the ``note_files`` data source
+  (``sources.note_files``): file lists cut into partitions by size; files
+  that appear whole or not at all, lists of them until the job has ended.
+* The index is written in parts by ranges of its order, for all projects at
+  once; the parts' byte lengths give each its place in the document.
+
+A tree whose file system ``pyarrow`` cannot open is read with Spark's text
+source instead (same rows; an empty folder of an unknown category and bytes
+that are no UTF-8 give no error row there), and cannot be written.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cairn import schema as S
 from cairn.functions import markdown as MD
 from cairn.functions import text as X
 from cairn.operators import filters as FL
 from cairn.operators import maintain as M
+from cairn.sources import note_files as NF
 
-WRITE_SCHEMA = T.StructType([T.StructField("path", T.StringType()), T.StructField("bytes", T.LongType())])
 
-
-def _export_dir(spark: SparkSession, root: str) -> str:
-    """The export folder as a full URI of the file system that Spark resolves
-    ``root`` with, so that the writers on the executors and the reader agree."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{S.EXPORT_DIR_NAME}")
-    uri = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
-    return uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
+def _uri(spark: SparkSession, root: str) -> str:
+    """``root`` as a full URI of the file system that Spark resolves it with,
+    so that the Python readers and writers on the executors agree."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root.rstrip("/"))
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
 
 
 # ------------------------------------------------------------------ S6
 
 def read_markdown_tree(spark: SparkSession, root: str, project: str) -> DataFrame:
-    """One row per ``<category>/*.md`` file: project, category (the
-    folder), stem (default title), text, and ``error`` for folders that are
-    not a category. Hidden folders and top-level files are ignored."""
-    base = _export_dir(spark, root)
+    """S6 for one project; see ``read_trees``."""
+    return read_trees(spark, {project: root})
+
+
+def read_trees(spark: SparkSession, roots: dict[str, str], split_bytes: int = NF.SPLIT) -> DataFrame:
+    """One row per ``<category>/*.md`` file of every project's tree:
+    project, category (the folder), stem (default title), text, path; and one
+    row with ``error`` for a root without a tree, a folder that is no
+    category, a ``.md`` folder and a file that is not UTF-8. Hidden folders,
+    top-level files and deeper folders are ignored."""
+    uris = {p: _uri(spark, r) for p, r in roots.items()}
+    if all(NF.can_open(u) for u in uris.values()):
+        NF.register(spark)
+        return spark.read.format("note_files").option("roots", json.dumps(uris)).option("splitBytes", split_bytes).load()
+    out = None
+    for project, uri in uris.items():  # one entry per registered project
+        rows = _text_tree(spark, uri, project)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _text_tree(spark: SparkSession, root: str, project: str) -> DataFrame:
     try:
-        files = spark.read.text(f"{base}/*/*.md", wholetext=True).select(
+        files = spark.read.text(f"{root}/{S.EXPORT_DIR_NAME}/*/*.md", wholetext=True).select(
             F.col("value").alias("text"), F.col("_metadata.file_path").alias("path"))
     except Exception as e:  # noqa: BLE001 - no matching files
         if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e):
             raise
-        return spark.createDataFrame([], "project string, category string, stem string, text string, "
-                                         "path string, error string")
+        return spark.createDataFrame([], NF.FILES)
     folder = F.element_at(F.split(F.col("path"), "/"), -2)
     rows = (files.withColumn("category", F.expr("try_url_decode(element_at(split(path, '/'), -2))"))
             .withColumn("stem", F.regexp_replace(F.expr("try_url_decode(element_at(split(path, '/'), -1))"),
                                                  r"\.md\z", ""))
+            .withColumn("text", F.regexp_replace("text", "\r\n?", "\n"))
             .filter(~folder.startswith(".")))
-    known = F.col("category").isin(*S.CATEGORIES)
-    good = rows.filter(known).select(F.lit(project).alias("project"), "category", "stem", "text", "path",
-                                     F.lit(None).cast("string").alias("error"))
+    known, null = F.col("category").isin(*S.CATEGORIES), F.lit(None).cast("string")
+    good = rows.filter(known).select(F.lit(project).alias("project"), "category", "stem", "text", "path", null.alias("error"))
     bad = (rows.filter(~known).select("category").distinct()
-           .select(F.lit(project).alias("project"), "category", F.lit(None).cast("string").alias("stem"),
-                   F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("path"),
+           .select(F.lit(project).alias("project"), "category", null.alias("stem"), null.alias("text"), null.alias("path"),
                    F.concat(F.lit("Unknown category: "), F.col("category")).alias("error")))
     return good.unionByName(bad)
 
@@ -81,6 +100,7 @@ def parsed_notes(files: DataFrame) -> DataFrame:
         F.coalesce(F.col("p.priority"), F.lit(0)).alias("priority"),
         F.coalesce(F.col("p.source"), F.lit("import")).alias("source"),
         F.col("p.metadata").alias("metadata"),
+        F.coalesce("p.tags_not_list", F.lit(False)).alias("tags_not_list"),
         (F.coalesce("p.title_is_number", F.lit(False)) | F.coalesce("p.title_is_list", F.lit(False))).alias("title_not_text"),
         F.coalesce("p.priority_not_number", F.lit(False)).alias("priority_not_number"),
         err.alias("error"),
@@ -89,43 +109,6 @@ def parsed_notes(files: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------- S7 / S8
 
-def _line_writer(base: str, rel: str):
-    def run(batches):
-        import pyarrow.fs as pafs
-        fs, prefix = pafs.FileSystem.from_uri(base)
-        path = f"{prefix.rstrip('/')}/{rel}"
-        fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
-        n, first = 0, True
-        with fs.open_output_stream(path) as f:
-            for pdf in batches:
-                if pdf.empty:
-                    continue
-                data = ("" if first else "\n") + "\n".join(pdf["line"].tolist())
-                first = False
-                b = data.encode("utf-8")
-                f.write(b)
-                n += len(b)
-        yield pd.DataFrame([(path, n)], columns=["path", "bytes"])
-    return run
-
-
-def _writer(base: str):
-    def run(batches):
-        import pyarrow.fs as pafs
-        fs, prefix = pafs.FileSystem.from_uri(base)
-        for pdf in batches:
-            out = []
-            for rel, body in zip(pdf["rel"], pdf["body"]):
-                path = f"{prefix.rstrip('/')}/{rel}"
-                fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
-                data = body.encode("utf-8")
-                with fs.open_output_stream(path) as f:
-                    f.write(data)
-                out.append((path, len(data)))
-            yield pd.DataFrame(out, columns=["path", "bytes"])
-    return run
-
-
 def rendered_files(active: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """S7 content: one (relative path, text) per file (per ``keys``, e.g.
     project). Two titles with one slug in one category write one file; the
@@ -140,23 +123,23 @@ def rendered_files(active: DataFrame, keys: list[str] | None = None) -> DataFram
                                        F.count(F.lit(1)).alias("notes"))
 
 
-def index_lines(active: DataFrame, project: str, as_of) -> DataFrame:
-    """Lines of the index document with an ordering key (k1..k5):
-    header, one table row per category (sorted), then per category a heading
-    and one link line per note in export order (title, id). Positions come
-    from the final global sort (range-partitioned), not from a window, so a
-    hot category is never gathered in one task."""
+def index_lines(active: DataFrame, as_of) -> DataFrame:
+    """Lines of every project's index document with an ordering key
+    (k1..k5): header, one table row per category (sorted), then per category a
+    heading and one link line per note in export order (title, id). Positions
+    come from the order of the parts, not from a window, so a hot category is
+    never gathered in one task."""
     exported = F.date_format(FL._ts(as_of), "yyyy-MM-dd HH:mm")
-    counts = active.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
-    total = active.agg(F.count(F.lit(1)).alias("total"))
+    counts = active.groupBy("project", "category").agg(F.count(F.lit(1)).alias("n"))
+    total = active.groupBy("project").agg(F.count(F.lit(1)).alias("total"))
     z = F.lit("")
 
     def keyed(df, k1, k2, k3, line, k4=z, k5=z):
-        return df.select(F.lit(k1).alias("k1"), k2.alias("k2"), F.lit(k3).cast("long").alias("k3") if isinstance(k3, int)
+        return df.select("project", F.lit(k1).alias("k1"), k2.alias("k2"), F.lit(k3).cast("long").alias("k3") if isinstance(k3, int)
                          else k3.cast("long").alias("k3"), k4.alias("k4"), k5.alias("k5"), line.alias("line"))
 
-    head = total.select(F.posexplode(F.array(
-        F.lit(f"# Memory Index - {project}"), F.lit(""),
+    head = total.select("project", F.posexplode(F.array(
+        F.concat(F.lit("# Memory Index - "), F.col("project")), F.lit(""),
         F.concat(F.lit("Exported: "), exported), F.lit(""),
         F.concat(F.lit("Total: "), F.col("total").cast("string"), F.lit(" memories")), F.lit(""),
         F.lit("## Categories"), F.lit(""), F.lit("| Category | Count |"), F.lit("|----------|-------|"),
@@ -176,40 +159,166 @@ def index_lines(active: DataFrame, project: str, as_of) -> DataFrame:
     return head.unionByName(table).unionByName(gap).unionByName(heads).unionByName(links).unionByName(tails)
 
 
+PARTS = "project string, part int, path string, bytes long"
+
+
+def _part_writer(roots: dict[str, str], job: str):
+    """Sorted lines of a range -> one part file per project in it. All lines
+    but a document's first begin with the line end before them."""
+    def run(batches):
+        from pyspark import TaskContext
+
+        ctx, out, f, project = TaskContext.get(), [], None, None
+        for pdf in batches:
+            for (p, first), lines in pdf.groupby(["project", (pdf["project"] != pdf["project"].shift()).cumsum()], sort=False)["text"]:
+                if p != project:
+                    if f is not None:
+                        f.close()
+                    fs, base = NF.file_system(roots[p])
+                    folder = f"{base}/{S.EXPORT_DIR_NAME}/{NF.STAGED}{job}"
+                    fs.create_dir(folder, recursive=True)
+                    project, path = p, f"{folder}/{ctx.partitionId()}-{ctx.taskAttemptId()}"
+                    f = fs.open_output_stream(path)
+                    out.append([p, ctx.partitionId(), path, 0])
+                data = "".join(lines).encode("utf-8")
+                f.write(data)
+                out[-1][3] += len(data)
+        if f is not None:
+            f.close()
+        yield pd.DataFrame(out, columns=["project", "part", "path", "bytes"])
+    return run
+
+
+def _stitcher(roots: dict[str, str], job: str):
+    """Copies one part's bytes to its place in the document (local and other
+    seekable file systems of the operating system)."""
+    def run(batches):
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                fs, base = NF.file_system(roots[r.project])
+                folder = f"{base}/{S.EXPORT_DIR_NAME}/{NF.STAGED}{job}"
+                with fs.open_input_stream(r.path) as source, open(f"{folder}/whole", "r+b") as whole:
+                    whole.seek(r.at)
+                    while data := source.read(NF.BATCH):
+                        whole.write(data)
+            yield pdf[["project", "part"]]
+    return run
+
+
+def write_indexes(active: DataFrame, roots: dict[str, str], as_of) -> dict[str, str]:
+    """Writes every project's index document. Returns their paths.
+
+    The lines of all projects are range-partitioned by their order and each
+    range writes its part; the parts' lengths (one row per part) give their
+    places. Where the file system is the operating system's, tasks copy the parts to
+    their places in parallel; elsewhere they are streamed one after another.
+    The document is renamed into place, so it is never seen in part."""
+    spark, job = active.sparkSession, uuid.uuid4().hex
+    uris = {p: _uri(spark, r) for p, r in roots.items()}
+    order = ["project", "k1", "k2", "k3", "k4", "k5"]
+    first = (F.col("k1") == 0) & (F.col("k3") == 0)
+    lines = index_lines(active, as_of).repartitionByRange(*order).sortWithinPartitions(*order)
+    text = F.when(first, F.col("line")).otherwise(F.concat(F.lit("\n"), F.col("line")))
+    parts = lines.select("project", text.alias("text")).mapInPandas(_part_writer(uris, job), PARTS).collect()  # one row per part
+    by: dict[str, list] = {}
+    for r in sorted(parts, key=lambda r: (r["project"], r["part"])):
+        mine = by.setdefault(r["project"], [])
+        mine.append((r["project"], r["part"], r["path"], r["bytes"], mine[-1][4] + mine[-1][3] if mine else 0))
+    done, opened = {}, {p: NF.file_system(uris[p]) for p in by}
+    local = [p for p in by if opened[p][0].type_name == "local"]
+    for p in local:
+        with open(f"{opened[p][1]}/{S.EXPORT_DIR_NAME}/{NF.STAGED}{job}/whole", "wb") as f:
+            f.truncate(by[p][-1][4] + by[p][-1][3])
+    rows = [x for p in local for x in by[p]]
+    if rows:
+        todo = spark.createDataFrame(rows, PARTS + ", at long").repartition(min(len(rows), spark.sparkContext.defaultParallelism))
+        todo.mapInPandas(_stitcher(uris, job), "project string, part int").count()
+    for p, mine in by.items():
+        fs, base = opened[p]
+        folder, path = f"{base}/{S.EXPORT_DIR_NAME}/{NF.STAGED}{job}", f"{base}/{S.EXPORT_DIR_NAME}/{S.EXPORT_INDEX_NAME}"
+        if p in local:
+            fs.move(f"{folder}/whole", path)
+        else:
+            with fs.open_output_stream(path) as whole:
+                for x in mine:
+                    with fs.open_input_stream(x[2]) as source:
+                        while data := source.read(NF.BATCH):
+                            whole.write(data)
+        fs.delete_dir(folder)
+        done[p] = path
+    return done
+
+
+def read_indexes(spark: SparkSession, roots: dict[str, str], split_bytes: int = NF.SPLIT) -> DataFrame:
+    """The lines of every project's index document: project, at (byte offset), line."""
+    NF.register(spark)
+    uris = {p: _uri(spark, r) for p, r in roots.items()}
+    return spark.read.format("note_files").option("what", "index").option("roots", json.dumps(uris)).option("splitBytes", split_bytes).load()
+
+
+# ------------------------------------------------------------------ C8
+
+def export_trees(memories: DataFrame, root: str, as_of) -> tuple[DataFrame, dict[str, str], dict]:
+    """C8 for all projects: the active notes of each as a tree under
+    ``root/<project>``, with its index. Returns (count per project and
+    category, root of each exported project, totals: files, bytes). A project
+    without an active note has no tree."""
+    active = FL.by_status(memories, S.ACTIVE)
+    counts = active.groupBy("project", "category").agg(F.count(F.lit(1)).alias("exported"))
+    roots = {r["project"]: f"{root.rstrip('/')}/{r['project']}" for r in active.select("project").distinct().collect()}  # registered projects
+    rel = F.concat(F.col("project"), F.lit(f"/{S.EXPORT_DIR_NAME}/"), F.col("rel")).alias("rel")
+    return counts, roots, _write_trees(active, roots, root, rel, as_of)
+
+
 def export(memories: DataFrame, project: str, root: str, as_of) -> tuple[dict, DataFrame]:
     """Write the active notes of ``project`` as a Markdown tree plus the
     index. Returns (summary, count per category); the summary holds the
-    number of note files and bytes written (one aggregate row, nothing per
-    file reaches the driver). No active note -> nothing is written."""
+    number of note files and bytes written (counted as they are written,
+    nothing per file reaches the driver). No active note -> nothing is written."""
     active = FL.by_status(memories.filter(F.col("project") == project), S.ACTIVE)
     counts = active.groupBy("category").agg(F.count(F.lit(1)).alias("exported"))
-    if active.limit(1).count() == 0:
+    if not active.take(1):
         return {"files": 0, "bytes": 0, "index": None}, counts
-    base = _export_dir(memories.sparkSession, root)
-    files = rendered_files(active).select("rel", "body").mapInPandas(_writer(base), WRITE_SCHEMA)
-    agg = files.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
-    # The index is one document, so its lines stream in order through one
-    # writer task (a global sort, then coalesce keeps the order); memory
-    # stays bounded by one Arrow batch.
-    lines = index_lines(active, project, as_of).orderBy("k1", "k2", "k3", "k4", "k5").coalesce(1).select("line")
-    idx = lines.mapInPandas(_line_writer(base, S.EXPORT_INDEX_NAME), WRITE_SCHEMA).first()
-    return {"files": int(agg["files"]), "bytes": int(agg["bytes"]), "index": idx["path"]}, counts
+    rel = F.concat(F.lit(f"{S.EXPORT_DIR_NAME}/"), F.col("rel")).alias("rel")
+    summary = _write_trees(active, {project: root}, root, rel, as_of)
+    return summary | {"index": summary["index"][project]}, counts
+
+
+def _write_trees(active: DataFrame, roots: dict[str, str], root: str, rel, as_of) -> dict:
+    if not roots:
+        return {"files": 0, "bytes": 0, "index": {}}
+    spark = active.sparkSession
+    uri = _uri(spark, root)
+    if not NF.can_open(uri):
+        raise ValueError(f"no file system for {uri}")
+    NF.register(spark)
+    seen = Observation()
+    files = rendered_files(active, ["project"]).select(rel, "body")
+    files.observe(seen, F.count(F.lit(1)).alias("files"), F.coalesce(F.sum(F.octet_length("body")), F.lit(0)).alias("bytes")) \
+        .write.format("note_files").mode("append").save(uri)
+    return {"files": int(seen.get["files"]), "bytes": int(seen.get["bytes"]), "index": write_indexes(active, roots, as_of)}
 
 
 # ------------------------------------------------------------------ C9
 
 def import_tree(memories: DataFrame, root: str, project: str, as_of, run_id: str, embedder=None):
-    """Read (S6), parse (N4), classify (J4), apply (M8), report (A4).
-    ``run_id`` names the import (see M8). Returns (created, updated, audit,
-    report, errors)."""
+    """C9 for one project; see ``import_trees``."""
+    return import_trees(memories, {project: root}, as_of, run_id, embedder)
+
+
+def import_trees(memories: DataFrame, roots: dict[str, str], as_of, run_id: str, embedder=None):
+    """Read (S6), parse (N4), classify (J4), apply (M8), report (A4) the
+    trees of all projects. ``run_id`` names the import (see M8). Returns
+    (created, updated, audit, report, errors)."""
     spark = memories.sparkSession
-    files = read_markdown_tree(spark, root, project)
+    files = read_trees(spark, roots)
     parsed = parsed_notes(files)
     errors = parsed.filter(F.col("error").isNotNull()).select("project", "error")
     ok = parsed.filter(F.col("error").isNull())
-    # A per-file sequence key for the repeatable id: a hash of the path (no
-    # global numbering window, which would put every file in one task).
-    ok = ok.withColumn("op_seq", F.xxhash64("path")).drop("error", "path")
+    # A per-file sequence key for the repeatable id: a hash of the path below
+    # the project (no global numbering window, which would put every file in one task).
+    own = F.substring_index("path", "/", -2)
+    ok = ok.withColumn("op_seq", F.xxhash64(own)).drop("error", "path")
     # A parsed id that is empty counts as absent.
     ok = ok.withColumn("id", F.when(F.col("id") == "", F.lit(None)).otherwise(F.col("id")))
     diff = M.import_diff(ok, memories)
@@ -219,4 +328,3 @@ def import_tree(memories: DataFrame, root: str, project: str, as_of, run_id: str
         parsed.filter(F.col("error").isNotNull()).select("project", F.lit(None).cast("string").alias("id"), F.lit("error").alias("outcome")),
         allowMissingColumns=True))
     return created, updated, trail, report, errors
-
