@@ -7,13 +7,16 @@ once and encodes whole batches (the reference encodes in batches of 32).
 No sentence-embedding model is installed here, so the default is
 ``HashEmbedder``: signed feature hashing of lower-cased word tokens into 384
 dimensions, L2-normalised. It keeps the shape, the unit norm and lexical
-overlap of real embeddings, not their semantics. Plug a model in by
-subclassing ``Embedder.encode``.
+overlap of real embeddings, not their semantics. Its hash is md5, so any SQL
+engine can compute the same vectors. Plug a model in by subclassing
+``Embedder.encode``.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -54,27 +57,57 @@ class Embedder:
 
 
 class HashEmbedder(Embedder):
-    """Deterministic signed token hashing (xxhash64) into ``dim`` buckets."""
+    """Token counts, signed and dealt into ``dim`` places by md5: the first 8
+    hex digits choose the place, the next one the sign (8 to f: minus)."""
 
     name = "hash-384"
+    batch_size = 8192
+    #: Characters tokenised at a time, and tokens whose place is remembered.
+    CHUNK, REMEMBERED = 2_000_000, 500_000
 
-    def __init__(self, dim: int = S.EMBED_DIM, seed: int = 0):
+    def __init__(self, dim: int = S.EMBED_DIM):
         self.dim = dim
-        self.seed = seed
+        self._places: dict[str, int] = {}
+
+    def _place(self, token: str) -> int:
+        h = hashlib.md5(token.encode("utf-8", "surrogatepass")).hexdigest()
+        return int(h[:8], 16) % self.dim + (self.dim if h[8] >= "8" else 0)
+
+    def _places_of(self, tokens) -> np.ndarray:
+        known = self._places
+        if len(known) > self.REMEMBERED:
+            known.clear()
+        out = np.empty(len(tokens), dtype=np.int64)
+        for i, t in enumerate(tokens):
+            p = known.get(t)
+            if p is None:
+                p = known[t] = self._place(t)
+            out[i] = p
+        return out
+
+    def _counts(self, texts: list[str]) -> np.ndarray:
+        """(texts x dim) signed counts: all tokens as one flat list, each
+        distinct one hashed once, one count over (text, place)."""
+        found = [_TOKEN.findall(t.lower()) for t in texts]
+        flat = np.array(list(chain.from_iterable(found)), dtype=object)
+        if not len(flat):
+            return np.zeros((len(texts), self.dim))
+        code, tokens = pd.factorize(flat)
+        row = np.repeat(np.arange(len(texts)), [len(f) for f in found])
+        wide = 2 * self.dim
+        n = np.bincount(row * wide + self._places_of(tokens)[code], minlength=len(texts) * wide).reshape(len(texts), wide)
+        return (n[:, :self.dim] - n[:, self.dim:]).astype(np.float64)
 
     def encode(self, texts: list[str]) -> np.ndarray:
-        import xxhash
-        m = np.zeros((len(texts), self.dim), dtype=np.float64)
-        for r, t in enumerate(texts):
-            toks = _TOKEN.findall(t.lower())
-            if not toks:
-                continue
-            h = np.fromiter((xxhash.xxh64_intdigest(x, seed=self.seed) for x in toks),
-                            dtype=np.uint64, count=len(toks))
-            idx = (h % np.uint64(self.dim)).astype(np.int64)
-            sign = np.where((h >> np.uint64(63)) == 0, 1.0, -1.0)
-            np.add.at(m[r], idx, sign)
-        n = np.linalg.norm(m, axis=1, keepdims=True)
+        m, at = np.zeros((len(texts), self.dim)), 0
+        while at < len(texts):
+            to, size = at, 0
+            while to < len(texts) and (to == at or size + len(texts[to]) <= self.CHUNK):
+                size += len(texts[to])
+                to += 1
+            m[at:to] = self._counts(texts[at:to])
+            at = to
+        n = np.sqrt((m * m).sum(axis=1, keepdims=True))
         np.divide(m, n, out=m, where=n > 0)
         return m
 

@@ -253,6 +253,28 @@ def metadata_json(m) -> Column:
     return F.when(j.isNull() | j.isin("{}", "null"), F.lit(None).cast("string")).otherwise(j)
 
 
+def json_value(c) -> Column:
+    """E15 decode: JSON text (metadata, audit details) to a VARIANT. NULL, empty
+    text and text that is no JSON give NULL; the JSON ``null`` is a variant of
+    its own (``is_variant_null``)."""
+    t = strip_ws(_c(c))
+    return F.when(t != "", F.try_parse_json(t))
+
+
+def json_field(c, path: str, kind: str = "string") -> Column:
+    """E15 decode of one field of a JSON text: the value at ``path`` (as in
+    ``$.a.b[0]``) as ``kind``, NULL where it is missing or does not fit."""
+    return F.try_variant_get(json_value(c), path, kind)
+
+
+def json_kind(c) -> Column:
+    """What a JSON text holds: ``object``, ``array``, ``string``, ``number``,
+    ``boolean``, ``null``, or NULL for no JSON."""
+    k = F.schema_of_variant(json_value(c))
+    return (F.when(k.startswith("OBJECT"), "object").when(k.startswith("ARRAY"), "array").when(k == "STRING", "string")
+            .when(k == "BOOLEAN", "boolean").when(k == "VOID", "null").when(k.isNotNull(), "number"))
+
+
 # ------------------------------------------------------------------ N1-N3
 
 def slugify(text) -> Column:

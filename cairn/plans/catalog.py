@@ -892,22 +892,53 @@ def m14_delete_projects(spark, sf):
     return M.delete_projects(AD.registry(spark, sf), AD.delete_slugs(spark, sf))
 
 
-# ------------------------------------------- embedder (no SQL oracle)
+# ----------------------------------------------------------------- embedder
 
-@register("v6_embed")
+def _vector(c):
+    """A vector as doubles of 4 places."""
+    return F.transform(F.col(c).cast("array<double>"), lambda x: V.round_places(x)).alias(c)
+
+
+@register("v6_embed", Osql(f"""
+SELECT m.project, m.id, CAST(len(v.vec) AS INTEGER) AS dim, {O.rounded_list_sql('v.vec')} AS vec
+FROM memories m JOIN vectors v USING (project, id)""", "memories", extra=O.VECTORS.strip()))
 def v6_embed(spark, sf):
-    """V6: every note's ``title\\ncontent`` embedded (default hash embedder);
-    reports dimension and norm per note."""
+    """V6: every note's title and content embedded (default hash embedder)."""
     e = EM.HashEmbedder().embed(_mem(spark, sf).select(
-        "id", X.embedding_text("title", "content").alias("t")), "t", "vec")
-    return e.select("id", F.size("vec").alias("dim"), V.round_places(V.norm("vec"), 6).alias("norm"))
+        "project", "id", X.embedding_text("title", "content").alias("t")), "t", "vec")
+    return e.select("project", "id", F.size("vec").alias("dim"), _vector("vec"))
 
 
-@register("m7_reembed")
+@register("m7_reembed", Osql(f"""
+SELECT m.project, m.id, m.status, CASE WHEN m.status = 'active' THEN {O.rounded_list_sql('v.vec')} ELSE {O.rounded_list_sql('m.embedding')} END AS embedding,
+       CASE WHEN m.status = 'active' THEN {AS} ELSE m.updated_at END AS updated_at
+FROM memories m JOIN vectors v USING (project, id)""", "memories", extra=O.VECTORS.strip()))
 def m7_reembed(spark, sf):
-    """Re-embed active notes with a new model; state plus audit count."""
+    """M7: the note table after re-embedding its active notes."""
+    state, _ = EM.reembed(_mem(spark, sf), EM.HashEmbedder(), _as_of())
+    return state.select("project", "id", "status", _vector("embedding"), "updated_at")
+
+
+@register("m7_reembed_audit", Osql(f"""
+SELECT project, id AS memory_id, 'reembed' AS operation, '{{"model":"hash-384"}}' AS details, {AS} AS created_at
+FROM memories WHERE status = 'active'""", "memories"))
+def m7_reembed_audit(spark, sf):
+    _, trail = EM.reembed(_mem(spark, sf), EM.HashEmbedder(), _as_of())
+    return trail.select("project", "memory_id", "operation", "details", "created_at")
+
+
+@register("c10_reembed_for_model", Osql(f"""
+SELECT m.project, count(*) FILTER (WHERE m.status = 'active') AS to_reembed, count(*) FILTER (WHERE m.status = 'active') AS audited,
+       count(*) FILTER (WHERE m.updated_at = {AS} OR m.status = 'active') AS updated,
+       CAST(sum(CASE WHEN m.status = 'active' THEN len(v.vec) ELSE coalesce(len(m.embedding), 0) END) AS BIGINT) AS components
+FROM memories m JOIN vectors v USING (project, id) GROUP BY m.project""", "memories", extra=O.VECTORS.strip()))
+def c10_reembed_for_model(spark, sf):
+    """A switch from another model: impact, audit rows and new state per project."""
     impact, state, trail = EM.reembed_for_model(_mem(spark, sf), "previous-model", EM.HashEmbedder(), _as_of())
-    return state.select("project", "id", "status", F.size("embedding").alias("dim"), "updated_at")
+    done = state.groupBy("project").agg(F.count(F.when(F.col("updated_at") == _as_of(), 1)).alias("updated"),
+                                        F.sum(F.coalesce(F.size("embedding"), F.lit(0)).cast("long")).alias("components"))
+    audited = trail.groupBy("project").agg(F.count(F.lit(1)).alias("audited"))
+    return impact.join(audited, "project").join(done, "project").select("project", "to_reembed", "audited", "updated", "components")
 
 
 # ------------------------------------------------------ interchange (N, S7)

@@ -223,3 +223,18 @@ def p3_project_info(spark, sf):
     from cairn.operators.ranking import rank_within
     info = SN.project_info(AD.registry(spark, sf))
     return rank_within(info, [], [F.col("last_accessed").desc_nulls_last(), F.col("slug")])
+
+
+# -------------------------------------------------------------- JSON
+
+@register("e15_metadata_json", Osql("""
+SELECT project, id, 'object' AS kind, CAST(metadata ->> '$.conv' AS BIGINT) AS conv, CAST(metadata ->> '$.turn' AS INTEGER) AS turn,
+       CAST(NULL AS VARCHAR) AS missing, category, title, source, CAST(len(entities) AS INTEGER) AS entities_extracted
+FROM store_notes""", "store_batch", extra=O.STORE_NOTES.strip()))
+def e15_metadata_json(spark, sf):
+    """The metadata of all stored notes and the details of their audit rows decoded."""
+    notes, trail, _ = M.store(AD.store_batch(spark, sf), C._as_of(), "store")
+    of = lambda name, kind="string": X.json_field("details", f"$.{name}", kind).alias(name)
+    details = trail.select("project", F.col("memory_id").alias("id"), of("category"), of("title"), of("source"), of("entities_extracted", "int"))
+    return notes.select("project", "id", X.json_kind("metadata").alias("kind"), X.json_field("metadata", "$.conv", "long").alias("conv"),
+                        X.json_field("metadata", "$.turn", "int").alias("turn"), X.json_field("metadata", "$.none").alias("missing")).join(details, ["project", "id"])

@@ -524,3 +524,20 @@ def render_sql() -> str:
   CASE WHEN len(coalesce(related_ids, CAST([] AS VARCHAR[]))) > 0
        THEN flatten([['## Related'], list_transform(related_ids, lambda r: '- ' || r), ['']])
        ELSE CAST([] AS VARCHAR[]) END]), chr(10))"""
+
+
+def rounded_list_sql(e: str) -> str:
+    """A vector as doubles of 4 places."""
+    return f"list_transform({e}, lambda x: {round_sql('CAST(x AS DOUBLE)')})"
+
+
+# V6: tokens dealt into 384 places by md5, signed, and scaled to length one
+VECTORS = r"""
+tokens AS (SELECT project, id, unnest(regexp_extract_all(lower(title || chr(10) || content), '[\pL\pN]+|_+')) AS t FROM memories),
+places AS (SELECT project, id, CAST('0x' || substring(md5(t), 1, 8) AS BIGINT) % 384 AS j,
+                  sum(CASE WHEN substring(md5(t), 9, 1) >= '8' THEN -1 ELSE 1 END) AS s FROM tokens GROUP BY ALL),
+norms AS (SELECT project, id, sqrt(CAST(sum(s * s) AS DOUBLE)) AS n FROM places GROUP BY ALL),
+vectors AS (SELECT g.project, g.id, list(CAST(coalesce(CASE WHEN n.n > 0 THEN p.s / n.n END, 0) AS FLOAT) ORDER BY g.j) AS vec
+            FROM (SELECT project, id, j FROM memories, range(384) AS r(j)) g
+            LEFT JOIN places p ON p.project = g.project AND p.id = g.id AND p.j = g.j
+            LEFT JOIN norms n ON n.project = g.project AND n.id = g.id GROUP BY g.project, g.id)"""
