@@ -55,9 +55,13 @@ def min_similarity(df: DataFrame, x: float, col: str = "similarity") -> DataFram
     return df.filter(F.col(col) >= F.lit(x))
 
 
+def is_recent(as_of, days: int = S.RECENT_DAYS) -> Column:
+    return F.col("created_at") >= F.timestamp_add("DAY", F.lit(-days), _ts(as_of))
+
+
 def recent(df: DataFrame, as_of, days: int = S.RECENT_DAYS) -> DataFrame:
     """created within ``days`` before ``as_of`` (inclusive)."""
-    return df.filter(F.col("created_at") >= F.timestamp_add("DAY", F.lit(-days), _ts(as_of)))
+    return df.filter(is_recent(as_of, days))
 
 
 def rules_only(df: DataFrame) -> DataFrame:

@@ -44,29 +44,55 @@ def audit(df: DataFrame, memory_id: str, operation: str | Column, details: Colum
 
 # ------------------------------------------------------------- lookups
 
+#: Slots of the filter that keeps unrequested notes out of a lookup's shuffle,
+#: and the table size from which it is built.
+LOOKUP_SLOTS = 1 << 20
+FILTER_BYTES_CONF = "cairn.lookup.filterBytes"
+DEFAULT_FILTER_BYTES = 1 << 30
+
+
+def requested(memories: DataFrame, requests: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of ``memories`` whose ``keys`` may be among those of
+    ``requests``: a semi-join on a hash cut to ``LOOKUP_SLOTS`` values. The
+    broadcast side has at most that many longs, however many requests there
+    are; rows let through by chance fall out of the exact join that follows.
+    A table smaller than ``cairn.lookup.filterBytes`` is joined as it is."""
+    from cairn.operators.ranking import estimated_bytes
+    least = int(memories.sparkSession.conf.get(FILTER_BYTES_CONF, str(DEFAULT_FILTER_BYTES)))
+    size = estimated_bytes(memories)
+    if size is not None and size < least:
+        return memories
+    slot = F.pmod(F.xxhash64(*keys), F.lit(LOOKUP_SLOTS)).alias("_slot")
+    slots = requests.select(slot).distinct()
+    return memories.select("*", slot).join(F.broadcast(slots), "_slot", "left_semi").drop("_slot")
+
+
 def lookup_by_id(memories: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Exact id, any status. Returns (found, not_found)."""
-    found = requests.join(memories, ["project", "id"], "inner")
+    found = requests.join(requested(memories, requests, ["project", "id"]), ["project", "id"], "inner")
     missing = requests.join(memories.select("project", "id"), ["project", "id"], "left_anti")
     return found, missing
 
 
-def first_by_title(memories: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """The note a title lookup returns: active, newest ``updated_at``, ties by
-    the larger id. One grouped ``max_by`` per (project, title), so a title
-    shared by a third of all rows is reduced map-side before any join. Only
-    ``columns`` (default: all) ride in the aggregation buffer."""
-    act = FL.by_status(memories, S.ACTIVE)
-    keep = columns or memories.columns
-    cols = [c for c in dict.fromkeys(["id", "updated_at", *keep]) if c not in ("project", "title")]
-    best = act.groupBy("project", "title").agg(
-        F.max_by(F.struct(*cols), F.struct("updated_at", "id")).alias("m"))
-    return best.select("project", "title", "m.*")
+def first_by_title(memories: DataFrame, requests: DataFrame | None = None) -> DataFrame:
+    """(project, title, id): the note a title lookup returns, i.e. active,
+    newest ``updated_at``, ties by the larger id. One grouped ``max_by`` per
+    (project, title) over ids only, so a title shared by a third of all rows
+    is reduced map-side and no text rides in the buffer. With ``requests``
+    only titles that may be asked for are grouped."""
+    thin = FL.by_status(memories, S.ACTIVE).select("project", "title", "id", "updated_at")
+    if requests is not None:
+        thin = requested(thin, requests, ["project", "title"])
+    return thin.groupBy("project", "title").agg(F.max_by("id", F.struct("updated_at", "id")).alias("id"))
 
 
 def lookup_by_title(memories: DataFrame, requests: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Exact title, active only, first match."""
-    return requests.join(first_by_title(memories, columns), ["project", "title"], "inner")
+    """Exact title, active only, first match. The id is found first; the
+    note's ``columns`` (default: all) come from one join by id."""
+    named = requests.drop("id").join(first_by_title(memories, requests), ["project", "title"], "inner")
+    keep = [c for c in (columns or memories.columns) if c not in ("project", "id", "title")]
+    notes = requested(memories, named, ["project", "id"]).select("project", "id", *keep)
+    return named.join(notes, ["project", "id"], "inner")
 
 
 def recall(memories: DataFrame, requests: DataFrame, as_of) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -76,31 +102,29 @@ def recall(memories: DataFrame, requests: DataFrame, as_of) -> tuple[DataFrame,
     (Q8); a batch reads its notes once, so repeated requests for a note show
     the same count (sequential calls would count up).
 
-    One pass over the requests: a left join by id (for requests with an id)
-    and a left join to the first note per title (for the others); the
-    request flags are join conditions next to the equi-keys."""
+    Titles become ids first, over thin rows; the notes' texts are read for one
+    last join by id, behind a filter of the requested ids."""
     has_id = F.col("id").isNotNull() & (F.col("id") != "")
     has_title = F.col("title").isNotNull() & (F.col("title") != "")
     r = requests.select("request_id", "project", "id", "title", "op_seq",
                         has_id.alias("_by_id"), (~has_id & has_title).alias("_by_title"))
     keep = ["category", "status", "access_count", "content", "summary", "tags", "metadata", "priority", "source",
             "related_ids", "entities", "created_at", "updated_at", "expires_at"]
-    m = memories.select(F.col("project").alias("_p"), F.col("id").alias("_id"), F.col("title").alias("_t"),
-                        *[F.col(k).alias(f"_m_{k}") for k in keep])
-    f = first_by_title(memories, keep).select(F.col("project").alias("_fp"), F.col("title").alias("_ft"),
-                                        F.col("id").alias("_fid"), *[F.col(k).alias(f"_f_{k}") for k in keep])
-    j = r.join(m, (F.col("project") == F.col("_p")) & (F.col("id") == F.col("_id")) & F.col("_by_id"), "left")
-    j = j.join(f, (F.col("project") == F.col("_fp")) & (F.col("title") == F.col("_ft")) & F.col("_by_title"), "left")
-    found = F.col("_id").isNotNull() | F.col("_fid").isNotNull()
+    asked = r.filter(F.col("_by_title")).select("project", "title")
+    named = first_by_title(memories, asked).select("project", "title", F.col("id").alias("_fid"), F.lit(True).alias("_by_title"))
+    r = r.join(named, ["project", "title", "_by_title"], "left").withColumn(
+        "_target", F.when(F.col("_by_id"), F.col("id")).otherwise(F.col("_fid")))
+    wanted = r.select("project", F.col("_target").alias("id"))
+    m = requested(memories, wanted, ["project", "id"]).select(
+        "project", F.col("id").alias("_target"), F.col("title").alias("_t"), F.lit(True).alias("_found"), *keep)
+    j = r.join(m, ["project", "_target"], "left")
     outcome = (F.when(~F.col("_by_id") & ~F.col("_by_title"), F.lit("Provide either memory_id or title"))
-               .when(~found, F.lit("Memory not found")).otherwise(F.lit("ok")))
+               .when(F.col("_found").isNull(), F.lit("Memory not found")).otherwise(F.lit("ok")))
     answers = j.select(
         "request_id", "project",
         F.when(F.col("_by_id"), F.col("id")).otherwise(F.col("_fid")).alias("id"),
         F.when(F.col("_by_id"), F.col("_t")).when(F.col("_by_title"), F.col("title")).alias("title"),
-        "op_seq",
-        *[F.coalesce(F.col(f"_m_{k}"), F.col(f"_f_{k}")).alias(k) for k in keep],
-        outcome.alias("outcome"))
+        "op_seq", *keep, outcome.alias("outcome"))
     hits = answers.filter(F.col("outcome") == "ok")
     trail = audit(hits, "id", "access", json_obj(F.lit("recall").alias("method")), as_of)
     return answers, hits.select("project", "id", "op_seq"), trail
@@ -202,10 +226,11 @@ def patch_join(memories: DataFrame, patches: DataFrame) -> tuple[DataFrame, Data
     given = F.lit(False)
     for f in PATCH_FIELDS:
         given = given | F.col(f).isNotNull()
-    unknown = patches.join(memories.select("project", "id"), ["project", "id"], "left_anti").withColumn(
-        "reason", F.concat(F.lit("Memory '"), F.col("id"), F.lit("' not found")))
-    empty = patches.filter(~given).join(memories.select("project", "id"), ["project", "id"], "left_semi") \
-        .withColumn("reason", F.lit("No fields to update"))
+    stored = memories.select("project", "id", F.lit(True).alias("_stored"))
+    unknown, nothing = F.col("_stored").isNull(), ~given
+    rejected = (patches.join(stored, ["project", "id"], "left").filter(unknown | nothing)
+                .withColumn("reason", F.when(unknown, F.concat(F.lit("Memory '"), F.col("id"), F.lit("' not found")))
+                            .otherwise(F.lit("No fields to update"))).drop("_stored"))
     # Aggregated before any join: unknown ids fall out of the join below.
     valid = patches.filter(given)
 
@@ -248,7 +273,6 @@ def patch_join(memories: DataFrame, patches: DataFrame) -> tuple[DataFrame, Data
         F.col("k_star").isNotNull().alias("text_changed"),
         derive("title").alias("derive_title"), derive("content").alias("derive_content"),
         "n_patches")
-    rejected = unknown.unionByName(empty)
     return out, rejected
 
 
@@ -271,10 +295,11 @@ def update(memories: DataFrame, patches: DataFrame, as_of, embedder=None):
                              "_etext", "_new_vec")
         out = out.withColumn("embedding", F.when(F.col("text_changed"), F.col("_new_vec"))
                              .otherwise(F.col("embedding"))).drop("_etext", "_new_vec")
-    given = patches.join(memories.select("project", "id"), ["project", "id"], "left_semi")
     fields = F.filter(F.array(*[F.when(F.col(f).isNotNull(), F.lit(f)) for f in PATCH_FIELDS]),
                       lambda x: x.isNotNull())
-    given = given.withColumn("_fields", fields).filter(F.size("_fields") > 0)
+    # names of the given fields only: no text rides through the join
+    given = patches.select("project", "id", "op_seq", fields.alias("_fields")).filter(F.size("_fields") > 0) \
+        .join(memories.select("project", "id"), ["project", "id"], "left_semi")
     trail = audit(given, "id", "update", json_obj(F.col("_fields").alias("changed_fields")), as_of)
     return out.drop("text_changed", "derive_title", "derive_content", "n_patches"), trail, rejected
 

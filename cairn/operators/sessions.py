@@ -23,8 +23,7 @@ from pyspark.sql import functions as F
 
 from cairn import schema as S
 from cairn.operators import filters as FL
-from cairn.operators import listing as L
-from cairn.operators.ranking import next_within
+from cairn.operators.ranking import next_within, rank_within
 
 
 def replay(events: DataFrame, as_of=None) -> DataFrame:
@@ -96,14 +95,43 @@ def last_session(sessions: DataFrame) -> DataFrame:
     """Per project the latest ended session's summary; if that is the
     auto-close text, the latest ended one with a non-NULL, non-auto summary
     (else NULL). A NULL latest summary stays NULL. Ties in end time: id."""
-    ended = sessions.filter(F.col("ended_at").isNotNull())
-    key = F.struct("ended_at", "id")
+    return sessions.filter(F.col("ended_at").isNotNull()).groupBy("project").agg(*_latest()).select(
+        "project", _last_summary().alias("last_session_summary"))
+
+
+def _latest() -> list:
+    """Aggregates of ``_last_summary``; sessions that have not ended count nowhere."""
     real = F.col("summary").isNotNull() & (F.col("summary") != S.AUTO_CLOSE_SUMMARY)
-    g = ended.groupBy("project").agg(
-        F.max_by("summary", key).alias("latest"),
-        F.max_by(F.when(real, F.col("summary")), F.when(real, key)).alias("latest_real"))
-    return g.select("project", F.when(F.col("latest") == S.AUTO_CLOSE_SUMMARY, F.col("latest_real"))
-                    .otherwise(F.col("latest")).alias("last_session_summary"))
+    key = F.when(F.col("ended_at").isNotNull(), F.struct("ended_at", "id"))
+    return [F.max_by("summary", key).alias("latest"),
+            F.max_by(F.when(real, F.col("summary")), F.when(real, key)).alias("latest_real")]
+
+
+def _last_summary():
+    return F.when(F.col("latest") == S.AUTO_CLOSE_SUMMARY, F.col("latest_real")).otherwise(F.col("latest"))
+
+
+def digest_items(memories: DataFrame, as_of) -> DataFrame:
+    """The listed notes of C6: section, position, id, title, content.
+
+    One scan of the four categories and one ranking by (project, section):
+    each section's order is turned into two descending keys. Sprint notes and
+    decisions are cut to their caps; titles and contents join back by id."""
+    category = F.col("category")
+    section = (F.when(category.isin(*S.RULE_CATEGORIES), category).when(category == "sprint", "active_sprint")
+               .when((category == "decision") & FL.is_recent(as_of, S.RECENT_DAYS), "recent_decisions"))
+    thin = FL.by_status(memories.filter(category.isin(*S.RULE_CATEGORIES, "sprint", "decision")), S.ACTIVE).select(
+        "project", "id", section.alias("section"), "priority", "updated_at", "created_at").filter(F.col("section").isNotNull())
+    micros = lambda c: F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast(S.TS), F.col(c))
+    sec = F.col("section")
+    thin = thin.select("project", "section", "id",
+                       F.when(sec == "recent_decisions", micros("created_at")).otherwise(F.col("priority").cast("long")).alias("k1"),
+                       F.when(sec == "active_sprint", micros("updated_at")).when(sec != "recent_decisions", -micros("created_at")).alias("k2"))
+    ranked = rank_within(thin, ["project", "section"], [F.col("k1").desc_nulls_last(), F.col("k2").desc_nulls_last(), F.col("id")])
+    cap = F.when(sec == "active_sprint", S.ACTIVE_SPRINT_CAP).when(sec == "recent_decisions", S.RECENT_DECISIONS_CAP)
+    kept = ranked.filter(cap.isNull() | (F.col("position") <= cap)).select("project", "section", "position", "id")
+    texts = memories.filter(category.isin(*S.RULE_CATEGORIES, "sprint", "decision")).select("project", "id", "title", "content")
+    return kept.join(texts, ["project", "id"])
 
 
 def session_digest(memories: DataFrame, sessions: DataFrame, starts: DataFrame, as_of) -> DataFrame:
@@ -118,21 +146,14 @@ def session_digest(memories: DataFrame, sessions: DataFrame, starts: DataFrame,
     No per-project array is built: the rule lists are unbounded."""
     projects = starts.select("project").distinct()
     closed = close_at(sessions, projects, as_of)
-    header = (projects
-              .join(last_session(closed), "project", "left")
-              .join(closed.groupBy("project").agg(F.sum(F.col("closed_now").cast("int")).alias("orphans_closed")),
-                    "project", "left")
-              .select("project", F.lit("header").alias("section"), F.lit(0).alias("position"),
-                      F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("title"),
-                      F.lit(None).cast("string").alias("content"), "last_session_summary",
-                      F.coalesce("orphans_closed", F.lit(0)).cast("long").alias("orphans_closed")))
+    per = closed.groupBy("project").agg(F.sum(F.col("closed_now").cast("int")).alias("orphans_closed"), *_latest())
+    header = projects.join(per, "project", "left").select(
+        "project", F.lit("header").alias("section"), F.lit(0).alias("position"),
+        F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("title"),
+        F.lit(None).cast("string").alias("content"), _last_summary().alias("last_session_summary"),
+        F.coalesce("orphans_closed", F.lit(0)).cast("long").alias("orphans_closed"))
     mem = memories.join(projects, "project", "left_semi")
-    rules = L.rules_split(mem).select("project", F.col("category").alias("section"), "position", "id", "title", "content")
-    sprint = L.active_by_category(mem, "sprint", S.ACTIVE_SPRINT_CAP).select(
-        "project", F.lit("active_sprint").alias("section"), "position", "id", "title", "content")
-    decisions = L.recent_by_category(mem, as_of, "decision", S.RECENT_DAYS, S.RECENT_DECISIONS_CAP).select(
-        "project", F.lit("recent_decisions").alias("section"), "position", "id", "title", "content")
-    items = rules.unionByName(sprint).unionByName(decisions).select(
+    items = digest_items(mem, as_of).select(
         "project", "section", F.col("position").cast("int").alias("position"), "id", "title", "content",
         F.lit(None).cast("string").alias("last_session_summary"),
         F.lit(None).cast("long").alias("orphans_closed"))
