@@ -18,6 +18,9 @@ and only a local top-k per query leaves the task:
   (memory block, query block) group is one bounded task in a co-grouped
   ``applyInPandas``. A hot project holding a third of all rows is simply
   split into more blocks.
+* ``pivots`` strategy: a stored index whose blocks a query can rule out by the
+  triangle inequality (``operators.pivots``); for stores searched again and
+  again, and too large to score in full.
 
 The global cut is one window ordered by (distance, id) per query, with a
 literal bound so the planner inserts a partial ``WindowGroupLimit`` before
@@ -249,12 +252,14 @@ def choose_strategy(queries: DataFrame, strategy: str = "auto", max_broadcast_by
 def candidates(queries: DataFrame, memories: DataFrame, as_of, oversample: int = S.SEARCH_OVERSAMPLE,
                apply_min_similarity: bool = True, strategy: str = "auto",
                max_broadcast_bytes: int = 64 << 20, block_rows: int = 20_000,
-               query_block_rows: int = 2_048) -> DataFrame:
+               query_block_rows: int = 2_048, index=None) -> DataFrame:
     """Per query, the ``limit * oversample`` nearest live notes of its
     project and status, by cosine distance then id (exact).
 
     Returns ``CANDIDATE_SCHEMA`` plus ``rank_d`` (1-based distance rank).
     With ``apply_min_similarity`` the F5 filter is applied below the cut.
+    ``strategy="pivots"`` searches a pivot index (``operators.pivots``):
+    ``index``, or one built for this call with blocks of ``block_rows``.
     """
     spark = queries.sparkSession
     q = _query_frame(queries, oversample, apply_min_similarity)
@@ -288,6 +293,10 @@ def candidates(queries: DataFrame, memories: DataFrame, as_of, oversample: int =
         local = mem.mapInPandas(_broadcast_kernel(bc), CANDIDATE_SCHEMA)
         kq = q.select("query_id", "k")
         local = local.join(F.broadcast(kq), "query_id")   # k per query: n_q rows, checked above
+    elif strategy == "pivots":
+        from cairn.operators import pivots as PV
+        local, _ = PV.nearest(spark, index or PV.PivotIndex.build(mem, block_rows=block_rows), q, query_block_rows)
+        kmax = None
     else:
         local = _blocked(q, mem, block_rows, query_block_rows)
         kmax = None

@@ -81,6 +81,7 @@ def r3_stream_sessions(spark, sf):
 # --------------------------------------------------------- file trees (S, C)
 
 from cairn.functions import markdown as MD  # noqa: E402
+from cairn.functions import score as V  # noqa: E402
 from cairn.functions import text as X  # noqa: E402
 from cairn.operators import listing as L  # noqa: E402
 from cairn.operators import search as SR  # noqa: E402
@@ -207,6 +208,16 @@ def c9_import(spark, sf):
     return rows.unionByName(counts, allowMissingColumns=True)
 
 
+# ------------------------------------------------------------ search (T)
+
+@register("t1_vector_topk_pivots", O.search_topk_sql())
+def t1_vector_topk_pivots(spark, sf):
+    """T1 over a pivot index of all searchable notes."""
+    c = SR.candidates(AD.search_queries(spark, sf), AD.memories(spark, sf), C._as_of(), apply_min_similarity=False,
+                      strategy="pivots", block_rows=200, query_block_rows=200)
+    return c.select("query_id", "id", "rank_d", V.round_places(V.snap(F.lit(1.0) - F.col("distance"))).alias("similarity"))
+
+
 # ------------------------------------------------------- served shapes (P)
 
 @register("p2_search_index", f"SELECT query_id, rank, id, title, summary, category, similarity FROM ({O.search_sql()})")
