@@ -304,6 +304,16 @@ def update(memories: DataFrame, patches: DataFrame, as_of, embedder=None):
     return out.drop("text_changed", "derive_title", "derive_content", "n_patches"), trail, rejected
 
 
+def merged(memories: DataFrame, touched: DataFrame) -> DataFrame:
+    """The note table with the rows of ``touched`` (same columns) in place of
+    its own, for operators that return the touched notes only (M2, M8)."""
+    rest = [c for c in memories.columns if c not in ("project", "id")]
+    new = touched.select("project", "id", F.struct(*rest).alias("_new"))
+    j = memories.join(new, ["project", "id"], "left")
+    return j.select("project", "id", *[F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) for c in rest]) \
+        .select(memories.columns)
+
+
 # -------------------------------------------------------------- delete
 
 def _requests_found(memories: DataFrame, ids: DataFrame):

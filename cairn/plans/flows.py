@@ -236,6 +236,31 @@ def p3_project_info(spark, sf):
     return rank_within(info, [], [F.col("last_accessed").desc_nulls_last(), F.col("slug")])
 
 
+# ------------------------------------------------ bucketed rewrites (M2-M6)
+
+_HITS = C.ORACLE["m5_bump_access"]
+
+
+@register("m3_bucketed_rewrites", Osql(f"""
+SELECT m.project, m.id, b.access_count,
+       CASE WHEN d.id IS NOT NULL THEN 'archived' WHEN m.status = 'active' AND m.expires_at IS NOT NULL AND m.expires_at <= {AS} THEN 'expired'
+            ELSE m.status END AS status,
+       CASE WHEN d.id IS NOT NULL THEN {AS} ELSE m.updated_at END AS updated_at
+FROM memories m JOIN ({_HITS}) b ON b.project = m.project AND b.id = m.id
+LEFT JOIN (SELECT DISTINCT project, id FROM soft_delete_ids) d ON d.project = m.project AND d.id = m.id""", "memories", "soft_delete_ids"))
+def m3_bucketed_rewrites(spark, sf):
+    """M3, M5 and M6 one after another on a bucketed note table, a generation each."""
+    from cairn.sources.buckets import NoteTable
+    notes = NoteTable(spark, _folder(spark, "bucketed"), buckets=16)
+    first = AD.memories(spark, sf)
+    notes.commit(first)
+    _, hits, _ = M.recall(first, AD.recall_requests(spark, sf), C._as_of())
+    notes.commit(M.soft_delete(notes.read(), AD.soft_delete_ids(spark, sf), C._as_of())[0])
+    notes.commit(M.bump_access(notes.read(), hits))
+    notes.commit(L.sweep_expired(notes.read(), C._as_of()))
+    return notes.read().select("project", "id", "access_count", "status", "updated_at")
+
+
 # -------------------------------------------------------------- JSON
 
 @register("e15_metadata_json", Osql("""
