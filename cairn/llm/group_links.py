@@ -1,6 +1,6 @@
 """Links between rows that share a token, as components, without all pairs.
 
-``posts`` (token, id, n) says which ids hold which tokens; ``payload``
+``posts`` (token, id, n; with their counts as size, or all of them) says which ids hold which tokens; ``payload``
 (id, n, payload) is what a similarity compares. Every pair of ids that share a
 token and whose sizes ``n`` are within ``percent`` of each other is a
 candidate, and no linked candidate is lost between different components:
@@ -110,8 +110,10 @@ def _cells(rows: DataFrame, percent: int, cell: int) -> DataFrame:
 def group_links(posts: DataFrame, payload: DataFrame, shared, percent: int, small: int, cell: int) -> DataFrame:
     """(id, component) of all ids that are linked with another; the component
     is its smallest id. ``shared`` is the broadcast similarity object."""
-    sizes = posts.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    posts = stored(posts.join(sizes, "token"), "posts")
+    own = "size" not in posts.columns
+    if own:
+        sizes = posts.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        posts = stored(posts.join(sizes, "token"), "posts")
     similar = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("a") != F.col("b"))
 
     def with_component(label):
