@@ -12,7 +12,11 @@ candidate, and no linked candidate is lost between different components:
    about ``cell`` ids each (dealt by size class and hash), which hand back only
    links that join something new.
 
-The similarity object has ``load(raw)``, ``tokens(item)`` and ``linked(a, b)``.
+Posts may carry 128 bits of a sketch (s0, s1; null where it says nothing): then only
+ids whose sketches differ in at most ``far`` bits are candidates.
+
+The similarity object has ``load(raw)``, ``tokens(item)`` and ``linked(a, b)``, and
+possibly ``load_all(raws)`` for items that are compared with one another.
 """
 
 from __future__ import annotations
@@ -61,7 +65,7 @@ def _cell_links(shared):
         import pandas as pd
 
         sim = shared.value
-        items = [sim.load(x) for x in pdf["payload"]]
+        items = sim.load_all(pdf["payload"]) if hasattr(sim, "load_all") else [sim.load(x) for x in pdf["payload"]]
         comp, side, ids = pdf["component"].tolist(), pdf["side"].tolist(), pdf["id"].tolist()
         index: dict[int, list[int]] = {}
         root = {c: c for c in comp}
@@ -107,7 +111,7 @@ def _cells(rows: DataFrame, percent: int, cell: int) -> DataFrame:
     return rows.withColumn("task", F.explode(tasks)).select("family", F.col("task.x").alias("x"), F.col("task.y").alias("y"), "id", "component", own.alias("side"))
 
 
-def group_links(posts: DataFrame, payload: DataFrame, shared, percent: int, small: int, cell: int) -> DataFrame:
+def group_links(posts: DataFrame, payload: DataFrame, shared, percent: int, small: int, cell: int, far: int = 0) -> DataFrame:
     """(id, component) of all ids that are linked with another; the component
     is its smallest id. ``shared`` is the broadcast similarity object."""
     own = "size" not in posts.columns
@@ -115,6 +119,11 @@ def group_links(posts: DataFrame, payload: DataFrame, shared, percent: int, smal
         sizes = posts.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         posts = stored(posts.join(sizes, "token"), "posts")
     similar = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("a") != F.col("b"))
+    sketch = [c for c in ("s0", "s1") if c in posts.columns]
+    other = {"s0": "t0", "s1": "t1"}
+    if sketch:
+        apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(other[c]))) for c in sketch[1:]), F.bit_count(F.col("s0").bitwiseXOR(F.col("t0"))))
+        similar &= F.coalesce(apart <= far, F.lit(True))
 
     def with_component(label):
         if label is None:
@@ -124,10 +133,10 @@ def group_links(posts: DataFrame, payload: DataFrame, shared, percent: int, smal
     found = label = None
     for turn in range(2):
         now = with_component(label)
-        lead = now.groupBy("token").agg(F.min_by(F.struct("id", "n", "component"), F.struct(F.xxhash64(F.lit(turn), "id"), F.col("id"))).alias("lead"),
+        lead = now.groupBy("token").agg(F.min_by(F.struct("id", "n", "component", *sketch), F.struct(F.xxhash64(F.lit(turn), "id"), F.col("id"))).alias("lead"),
                                         F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1")
         star = now.join(lead, "token").where(F.col("component") != F.col("lead.component"))
-        star = star.select(F.col("id").alias("a"), "n", F.col("lead.id").alias("b"), F.col("lead.n").alias("m")).where(similar).select("a", "b").distinct()
+        star = star.select(F.col("id").alias("a"), "n", F.col("lead.id").alias("b"), F.col("lead.n").alias("m"), *sketch, *[F.col(f"lead.{c}").alias(other[c]) for c in sketch]).where(similar).select("a", "b").distinct()
         new = verified(star, payload, shared)
         found = stored(new if found is None else found.unionByName(new), "found")
         label = components(found)
@@ -137,8 +146,8 @@ def group_links(posts: DataFrame, payload: DataFrame, shared, percent: int, smal
     split = now.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("token")
     now = stored(now.join(split, "token"), "split")
     few, many = now.where(F.col("size") <= small), now.where(F.col("size") > small)
-    x = few.select("token", F.col("id").alias("a"), "n", F.col("component").alias("ca"))
-    y = few.select("token", F.col("id").alias("b"), F.col("n").alias("m"), F.col("component").alias("cb"))
+    x = few.select("token", F.col("id").alias("a"), "n", F.col("component").alias("ca"), *sketch)
+    y = few.select("token", F.col("id").alias("b"), F.col("n").alias("m"), F.col("component").alias("cb"), *[F.col(c).alias(other[c]) for c in sketch])
     pairs = x.join(y, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))).where(similar).select("a", "b").distinct()
     new = verified(pairs, payload, shared)
     if not many.isEmpty():
