@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import stored
+from cairn.llm.common import discard, stored
 
 ONE_TASK = 100_000
 
@@ -43,24 +43,28 @@ def components(links: DataFrame) -> DataFrame:
     with a null end are left out."""
     links = links.where("a is not null and b is not null")
     left = stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    label = None
+    label = nearest = None
     while True:
         last = left.count() <= ONE_TASK
         if last:
             point = left.repartition(1).mapInArrow(_union_find, "id long, to long")
         else:
             both = left.select(F.col("b").alias("id"), F.col("a").alias("to")).unionByName(left.select(F.col("a").alias("id"), F.col("a").alias("to")))
-            point = stored(both.groupBy("id").agg(F.min("to").alias("to")), "point")
+            nearest = point = stored(both.groupBy("id").agg(F.min("to").alias("to")), "point")
             # the smaller end of a link may itself point on, so follow one more step
             on = point.select(F.col("id").alias("to"), F.col("to").alias("on"))
             point = point.join(on, "to", "left").select("id", F.coalesce("on", "to").alias("to"))
         point = stored(point, "point")
-        if label is None:
+        before, first = label, label is None
+        if first:
             label = point.select("id", F.col("to").alias("component"))
         else:
             p = point.select(F.col("id").alias("component"), F.col("to").alias("next"))
             label = stored(label.join(p, "component", "left").select("id", F.coalesce("next", "component").alias("component")), "label")
+        discard(before, nearest)
         if last:
+            discard(left)
             return label
         a, b = point.select(F.col("id").alias("a"), F.col("to").alias("x")), point.select(F.col("id").alias("b"), F.col("to").alias("y"))
-        left = stored(left.join(a, "a").join(b, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+        links, left = left, stored(left.join(a, "a").join(b, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+        discard(links)

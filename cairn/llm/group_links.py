@@ -26,7 +26,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import stored
+from cairn.llm.common import discard, stored
 from cairn.llm.components import components
 
 
@@ -138,7 +138,8 @@ def group_links(posts: DataFrame, payload: DataFrame, shared, percent: int, smal
         star = now.join(lead, "token").where(F.col("component") != F.col("lead.component"))
         star = star.select(F.col("id").alias("a"), "n", F.col("lead.id").alias("b"), F.col("lead.n").alias("m"), *sketch, *[F.col(f"lead.{c}").alias(other[c]) for c in sketch]).where(similar).select("a", "b").distinct()
         new = verified(star, payload, shared)
-        found = stored(new if found is None else found.unionByName(new), "found")
+        before, found = found, stored(new if found is None else found.unionByName(new), "found")
+        discard(before)
         label = components(found)
 
     # tokens whose ids lie in several components
@@ -157,4 +158,6 @@ def group_links(posts: DataFrame, payload: DataFrame, shared, percent: int, smal
         rows = many.select("id", "n", "component").distinct().join(family, "id")
         dealt = _cells(rows, percent, cell).join(payload.select("id", "payload"), "id")
         new = new.unionByName(dealt.groupBy("family", "x", "y").applyInPandas(_cell_links(shared), "a long, b long"))
-    return components(found.unionByName(new))
+    out = components(found.unionByName(new))
+    discard(found, now)
+    return out
