@@ -67,6 +67,19 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def give_back() -> None:
+    """Memory that a task has freed goes back to the system, as a Python worker
+    lives on after it; nothing where the C library can't."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def by_size(batch, column: str = "text", limit: int = 4 << 20) -> Iterator:
     """Slices of an Arrow batch whose texts hold about ``limit`` bytes."""
     import numpy as np

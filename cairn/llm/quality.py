@@ -30,6 +30,8 @@ BITS = 20
 MAX_DOCS = 8000
 EPOCHS = 3
 SCALE = 12.0
+#: Bytes of text whose n-grams are held at a time.
+SLICE = 1 << 20
 
 _KINDS = np.full(0x110000, 255, dtype=np.uint8)  # 0 space, 1 lower, 2 upper, 3 digit, 4 other
 
@@ -143,7 +145,7 @@ def fit(docs: DataFrame, sample: DataFrame, bits: int = BITS, epochs: int = EPOC
         import pyarrow as pa
 
         for whole in batches:
-            for b in by_size(whole):
+            for b in by_size(whole, limit=SLICE):
                 g, d = grams(b.column("text").to_pylist(), bits)
                 key, count = np.unique(d << bits | g, return_counts=True)
                 doc = key >> bits
@@ -178,7 +180,7 @@ def score(docs: DataFrame, weights: np.ndarray, bits: int = BITS, name: str = "q
 
         w = shared.value
         for whole in batches:
-            for b in by_size(whole):
+            for b in by_size(whole, limit=SLICE):
                 texts = [t or "" for t in b.column("text").to_pylist()]
                 g, d = grams(texts, bits)
                 total = np.bincount(d, weights=w[g], minlength=len(texts))
