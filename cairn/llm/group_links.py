@@ -5,8 +5,8 @@
 token and whose sizes ``n`` are within ``percent`` of each other is a
 candidate, and no linked candidate is lost between different components:
 
-1. Two turns compare the ids of each token with one leader (as many rows as
-   posts at most) and join what is linked.
+1. In some turns the ids of each token are compared with one leader (as many rows
+   as posts at most), another one each time, and what is linked is joined.
 2. Tokens whose ids still lie in several components: small groups are compared
    as pairs of ids across components; larger ones in tasks of two cells of
    about ``cell`` ids each (dealt by size class and hash), which hand back only
@@ -29,6 +29,9 @@ from pyspark.sql import functions as F
 from cairn.llm.common import discard, stored
 from cairn.llm.components import components
 
+#: Leaders each token has in turn; what they join need not be compared in pairs.
+TURNS = 2
+
 
 def _compare(shared):
     """Of candidates with both payloads, those that are linked."""
@@ -111,7 +114,7 @@ def _cells(rows: DataFrame, percent: int, cell: int) -> DataFrame:
     return rows.withColumn("task", F.explode(tasks)).select("family", F.col("task.x").alias("x"), F.col("task.y").alias("y"), "id", "component", own.alias("side"))
 
 
-def group_links(posts: DataFrame, payload: DataFrame, shared, percent: int, small: int, cell: int, far: int = 0) -> DataFrame:
+def group_links(posts: DataFrame, payload: DataFrame, shared, percent: int, small: int, cell: int, far: int = 0, turns: int = TURNS) -> DataFrame:
     """(id, component) of all ids that are linked with another; the component
     is its smallest id. ``shared`` is the broadcast similarity object."""
     own = "size" not in posts.columns
@@ -131,7 +134,7 @@ def group_links(posts: DataFrame, payload: DataFrame, shared, percent: int, smal
         return posts.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
     found = label = None
-    for turn in range(2):
+    for turn in range(turns):
         now = with_component(label)
         lead = now.groupBy("token").agg(F.min_by(F.struct("id", "n", "component", *sketch), F.struct(F.xxhash64(F.lit(turn), "id"), F.col("id"))).alias("lead"),
                                         F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1")
