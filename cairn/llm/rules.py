@@ -28,7 +28,8 @@ from cairn.llm import crf
 from cairn.llm.common import by_size, texts_of
 
 MAX_DOCS = 3000
-MAX_LINES = 48  # of a training document, in windows; decoding takes all lines
+MAX_LINES = 48  # of a training document, as WINDOWS runs of lines; decoding takes all lines
+WINDOWS = 3
 MIN_CONTENT = 0.5
 SYMBOLS = "#*$%&|<>"
 N_BINS = 12
@@ -127,6 +128,16 @@ N_FEATURES = 12
 N_IDS = N_BINS * N_FEATURES
 
 
+def line_windows(a: int, z: int) -> list[tuple[int, int]]:
+    """Runs of neighbouring lines of [a, z): all of up to ``MAX_LINES``, else
+    ``WINDOWS`` runs at the start, the end and evenly between, of ``MAX_LINES`` in all."""
+    a, z = int(a), int(z)
+    if z - a <= MAX_LINES:
+        return [(a, z)]
+    size = MAX_LINES // WINDOWS
+    return [(x, x + size) for x in (a + (z - a - size) * k // (WINDOWS - 1) for k in range(WINDOWS))]
+
+
 def _gather_lines(seen: DataFrame) -> list:
     def run(batches):
         import pyarrow as pa
@@ -134,21 +145,17 @@ def _gather_lines(seen: DataFrame) -> list:
         for whole in batches:
             for b in by_size(whole, limit=BATCH):
                 m = Measure(b.column("text").to_pylist())
-                ids = []
-                for d in range(b.num_rows):
-                    a, z = m.first_line[d], m.first_line[d + 1]
-                    # at most MAX_LINES lines of a training document, spread evenly
-                    pick = np.unique(np.linspace(a, z - 1, min(MAX_LINES, z - a)).astype(np.int64))
-                    ids.append(m.ids[pick].astype("<u2").tobytes())
-                yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(ids, pa.binary())], names=["y", "ids"])
+                ids = [[m.ids[x:z].astype("<u2").tobytes() for x, z in line_windows(m.first_line[d], m.first_line[d + 1])] for d in range(b.num_rows)]
+                yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(ids, pa.list_(pa.binary()))], names=["y", "ids"])
 
-    return seen.mapInArrow(run, "y int, ids binary").collect()  # at most MAX_DOCS x MAX_LINES lines
+    return seen.mapInArrow(run, "y int, ids array<binary>").collect()  # at most MAX_DOCS x MAX_LINES lines
 
 
 def fit(docs: DataFrame, sample: DataFrame):
     """(w, a) of the field; states 0 content, 1 boilerplate. ``sample``: bounded (doc_id, y)."""
     seen = texts_of(docs).join(F.broadcast(sample), "doc_id").select("text", "y")
-    rows = sorted((r["y"], bytes(r["ids"])) for r in _gather_lines(seen))
+    # each run of lines is a sequence of its own, so that steps are learned between neighbours only
+    rows = sorted((r["y"], bytes(x)) for r in _gather_lines(seen) for x in r["ids"])
     if len({y for y, _ in rows}) < 2:
         w = np.zeros((N_IDS + 1, 2))
         w[:, 0] = 1.0

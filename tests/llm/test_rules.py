@@ -82,3 +82,20 @@ def test_marks_boilerplate_and_keeps_clean(spark, docs_of):
     assert by[102].base_failed and by[103].base_failed and by[102].n_words == 0 and not by[103].kept
     assert all(r.kept for r in rules.apply(docs, labels.where("false")).collect() if not r.base_failed)
     assert rules.apply(docs.where("false"), labels).collect() == []
+
+
+def test_training_lines_are_neighbours():
+    for a, z in ((0, 1), (5, 5 + rules.MAX_LINES), (3, 4 + rules.MAX_LINES), (0, 1000), (7, 100_000)):
+        runs = rules.line_windows(a, z)
+        lines = [i for x, y in runs for i in range(x, y)]
+        assert len(lines) == min(z - a, rules.MAX_LINES) and lines[0] == a and lines[-1] == z - 1
+        if z - a >= 2 * rules.MAX_LINES:
+            assert len(runs) == rules.WINDOWS and len(set(lines)) == len(lines)
+
+
+def test_steps_are_learned_between_neighbours(spark, docs_of):
+    """A long document whose lines alternate: no line stands beside its like."""
+    docs = docs_of([(1, "\n".join(["some words of text here." if k % 2 == 0 else "| | |" for k in range(2001)]))])
+    seen = docs.selectExpr("text", "1 as y")
+    runs = [np.frombuffer(bytes(x), "<u2").reshape(-1, rules.N_FEATURES) for r in rules._gather_lines(seen) for x in r["ids"]]
+    assert len(runs) == rules.WINDOWS and all((x[1:, 0] != x[:-1, 0]).all() for x in runs)
