@@ -201,20 +201,39 @@ def quoted(text: str, a: int, b: int) -> bool:
     return a > 0 and b < len(text) and text[a - 1] in "'‘`" and text[b] in "'’`"
 
 
-def in_marks(codes: np.ndarray, at: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """For each word, does an odd number of '"', or more opening than closing
-    marks, stand before it on its line? (the vectorised part of ``quoted``)"""
-    is_both = codes == 34
+def _marks(codes: np.ndarray, at: np.ndarray, starts: np.ndarray):
+    """Running counts of '"' and of open marks, and where each word's line begins."""
     depth = np.isin(codes, [ord(c) for c in OPEN]).astype(np.int64) - np.isin(codes, [ord(c) for c in CLOSE])
     line = np.zeros(len(codes) + 1, dtype=np.int64)
     line[at[at < len(codes)]] = at[at < len(codes)]
     ends = np.flatnonzero(codes == 10) + 1
     line[ends] = ends
     line = np.maximum.accumulate(line)[starts]
-    both, deep = (np.concatenate(([0], np.cumsum(x))) for x in (is_both, depth))
+    both, deep = (np.concatenate(([0], np.cumsum(x))) for x in (codes == 34, depth))
+    return both, deep, line
+
+
+def in_marks(codes: np.ndarray, at: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each word, does an odd number of '"', or more opening than closing
+    marks, stand before it on its line?"""
+    both, deep, line = _marks(codes, at, starts)
     return ((both[starts] - both[line]) % 2 == 1) | (deep[starts] > deep[line])
 
 
+def quoted_words(codes: np.ndarray, at: np.ndarray, doc: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """``quoted`` of the words ``which``, all lines gone through once."""
+    s, e, d = starts[which], ends[which], doc[which]
+    both, deep, line = _marks(codes, at, s)
+    # the end of the word's line: the next line break, or the end of the text
+    breaks = np.append(np.flatnonzero(codes == 10), len(codes))
+    stop = np.minimum(breaks[np.searchsorted(breaks, e)], at[d + 1])
+    out = (deep[s] > deep[line]) | (((both[s] - both[line]) % 2 == 1) & (both[stop] > both[e]))
+    inner = (s > at[d]) & (e < at[d + 1])
+    before, after = codes[s[inner] - 1], codes[e[inner]]
+    out[inner] |= np.isin(before, [ord(c) for c in "'‘`"]) & np.isin(after, [ord(c) for c in "'’`"])
+    return out
+
+
 class Matcher:
     """Matches of whole texts, with the verdict on each distinct word kept."""
 
@@ -259,11 +278,13 @@ class Matcher:
             self.index.add(h[which])
             e[miss] = self.index.find(h[miss])
         out = []
-        for k in np.flatnonzero(self.hit[e]).tolist():
+        hits = np.flatnonzero(self.hit[e])
+        marked = quoted_words(codes, at, doc, starts, ends, hits)
+        for k, mark in zip(hits.tolist(), marked.tolist()):
             d = int(doc[k])
             word = lambda j, d=d: low[d][int(starts[j] - at[d]) : int(ends[j] - at[d])]
             near = [word(j) for j in range(max(0, k - WINDOW), min(len(starts), k + WINDOW + 1)) if j != k and doc[j] == d]
-            out.append((d, *self.found[int(e[k])], quoted(low[d], int(starts[k] - at[d]), int(ends[k] - at[d])), near))
+            out.append((d, *self.found[int(e[k])], mark, near))
         return out, n_words
 
     def matches(self, texts: list[str]):

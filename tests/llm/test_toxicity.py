@@ -63,6 +63,22 @@ def test_marks_of_many_words_at_once():
     assert got.tolist() == [False, True, True, False, False, True, True, False, True]
 
 
+def test_quoted_words_equal_quoted():
+    rng = random.Random(5)
+    texts = ["", "a", '"a"', "'a'"] + ["".join(rng.choice(['a', 'bc ', ' "', '"', "“", "”", "'", "’", "`", "\n", " "]) for _ in range(rng.randint(1, 30))) for _ in range(800)]
+    low, codes, starts, ends, doc, at = toxicity.words_of(texts)
+    which = np.array([k for k in range(len(starts)) if k % 3])
+    got = toxicity.quoted_words(codes, at, doc, starts, ends, which)
+    want = [toxicity.quoted(low[doc[k]], int(starts[k] - at[doc[k]]), int(ends[k] - at[doc[k]])) for k in which]
+    assert got.tolist() == want and any(want)
+
+
+def test_one_very_long_line_of_matches():
+    text = "“ idiot " * 150_000
+    spans, n = toxicity.Matcher(toxicity.Lexicon({"idiot": 1.0}), frozenset()).spans([text])
+    assert len(spans) == n[0] == 150_000 and all(s[3] for s in spans)
+
+
 def test_learns_terms_misspellings_and_quotation(spark, docs_of):
     rng = random.Random(2)
     fill = lambda: " ".join(rng.choice("alpha beta gamma delta omega".split()) for _ in range(12))
