@@ -15,12 +15,13 @@ so only the stretches between them need the lattice.
 Base spans always stay; spans of the field that overlap no base span are added
 with the kind ``crf``. Offsets are code points, ends exclusive. Null and empty
 texts have no spans; repeated rows are all scanned; an empty table gives no
-rows; without any base span in the sample the field adds none. ``redact``
+rows; without any base span in the table the field adds none. ``redact``
 replaces the spans in the text and keeps all other columns.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import numpy as np
@@ -39,6 +40,7 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "crf")
 
 MAX_DOCS = 4000
+SECRETS = 4  # of a training document
 WINDOW = 12
 WORDS = 1 << 11
 BATCH = 1 << 20
@@ -146,16 +148,33 @@ def _windows(texts: list[str], rng) -> list[tuple[np.ndarray, np.ndarray]]:
                 y[k] = 2
                 y[k[0]] = 1
                 at.append(int(k[0]))
-        for k in at[:4] + [int(rng.integers(0, z - a))]:
+        # of more than SECRETS secrets, some are drawn over the whole text
+        some = at if len(at) <= SECRETS else [at[k] for k in sorted(rng.choice(len(at), SECRETS, replace=False))]
+        for k in some + [int(rng.integers(0, z - a))]:
             lo, hi = max(0, k - WINDOW), min(z - a, k + WINDOW)
             if not (t.odd[a + lo : a + hi] & (y[lo:hi] == 0)).any():
                 out.append((t.ids[a + lo : a + hi].copy(), y[lo:hi]))
     return out
 
 
+#: Matches every text with a base span, and few others.
+MAYBE = r"""AKIA[A-Z0-9]{14}|[0-9a-f]{16}|(?i:(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{12})"""
+
+
+def _holds(batches):
+    """The hashes of texts with a base span."""
+    import pyarrow as pa
+
+    for whole in batches:
+        for b in by_size(whole, limit=BATCH):
+            kept = [k for k, x in zip(b.column("near").to_pylist(), b.column("text").to_pylist()) if base_spans(x)]
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64())], names=["near"])
+
+
 def fit(docs: DataFrame, max_docs: int = MAX_DOCS):
     """(w, a) of the field from at most about ``max_docs`` documents, half of
-    them with a base span, chosen by a hash; None if there is no base span."""
+    them with a base span (found by a scan of all rows), chosen by a hash; None
+    if there is no base span."""
     t = texts_of(docs)
 
     def windows(batches):
@@ -171,10 +190,17 @@ def fit(docs: DataFrame, max_docs: int = MAX_DOCS):
                     ys.append([y.astype("<u1").tobytes() for _, y in found])
                 yield pa.RecordBatch.from_arrays([b.column("near"), pa.array(has), pa.array(xs, pa.list_(pa.binary())), pa.array(ys, pa.list_(pa.binary()))], names=["near", "has", "x", "y"])
 
-    # a hash picks the same documents on every run; the share comes from the number of rows
-    n = t.count()
     near = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
-    some = t.select(near.alias("near"), "text").where(F.col("near") < int(min(1.0, 8 * max_docs / max(n, 1)) * (1 << 30)))
+    t = t.select(near.alias("near"), "text")
+    # the secrets may be anywhere, so all rows are scanned for them before a hash draws some
+    maybe = F.col("text").rlike(MAYBE)
+    held = stored(t.where(maybe).mapInArrow(_holds, "near long"), "held")
+    last = held.orderBy("near").limit(2 * max_docs).agg(F.max("near")).first()[0]
+    if last is None:
+        return None
+    # a hash picks the same documents on every run; the share comes from the number of rows
+    other = int(min(1.0, 8 * max_docs / max(t.count(), 1)) * (1 << 30))
+    some = t.where((F.col("near") < other) | ((F.col("near") <= last) & maybe))
     seen = stored(some.mapInArrow(windows, "near long, has boolean, x array<binary>, y array<binary>"), "windows")
     take = seen.where("has").orderBy("near").limit(max_docs // 2).unionByName(seen.where("not has").orderBy("near").limit(max_docs // 2))
     # at most 5 windows of 2 x WINDOW tokens for each of max_docs documents
@@ -231,13 +257,26 @@ def tagged_spans(t: Tokens, tags: np.ndarray) -> list[tuple[int, int, int]]:
 SPANS = "array<struct<kind:string,start:long,end:long>>"
 
 
+def apart(added: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Of the spans ``added``, by start and apart from each other, those that
+    overlap none of ``base`` (by start; these may overlap each other)."""
+    out, k, reach = [], 0, 0
+    for a, b in added:
+        while k < len(base) and base[k][0] < b:
+            reach = max(reach, base[k][1])
+            k += 1
+        if reach <= a:
+            out.append((a, b))
+    return out
+
+
 def _find(texts: list[str], model) -> list[list[dict]]:
     found = [base_spans(x) for x in texts]
     if model is not None:
         t = Tokens(texts)
-        for d, a, b in tagged_spans(t, decode(t, model)):
-            if not any(x < b and a < y for x, y, kind in found[d] if kind < 3):
-                found[d].append((a, b, 3))
+        added = tagged_spans(t, decode(t, model))
+        for d, spans in itertools.groupby(added, key=lambda s: s[0]):
+            found[d] += [(a, b, 3) for a, b in apart([s[1:] for s in spans], found[d])]
     return [[{"kind": KINDS[k], "start": a, "end": b} for a, b, k in sorted(s, key=lambda s: (s[0], s[2]))] for s in found]
 
 

@@ -40,6 +40,38 @@ def test_decoding_by_parts_equals_the_whole_lattice():
         assert np.array_equal(secret_scan.decode(t, (w, a)), whole)
 
 
+def test_a_span_is_added_only_beside_base_spans():
+    rng = random.Random(8)
+    for _ in range(500):
+        cuts = sorted(rng.sample(range(60), 2 * rng.randint(0, 8)))
+        added = list(zip(cuts[::2], cuts[1::2]))
+        base = sorted((a, a + rng.randint(1, 12), rng.randrange(3)) for a in (rng.randrange(60) for _ in range(rng.randint(0, 6))))
+        assert secret_scan.apart(added, base) == [(a, b) for a, b in added if not any(x < b and a < y for x, y, _ in base)]
+
+
+def test_rare_secrets_train_the_field(spark, docs_of):
+    """One document in a thousand holds a secret, and 8 documents are asked for."""
+    rng = random.Random(9)
+    fill = lambda: " ".join(rng.choice("alpha beta gamma delta omega".split()) for _ in range(15))
+    rows = [(k, fill() + (' token = "x1y2z3k4Q5w6" ' if k % 1000 == 500 else " ") + fill()) for k in range(3000)]
+    assert secret_scan.fit(docs_of(rows), max_docs=8) is not None
+    assert secret_scan.fit(docs_of([(1, "secret: token = abcdefghijklmnop"), (2, None)]), max_docs=8) is None
+
+
+def test_every_text_with_a_base_span_may_hold_one(spark, docs_of):
+    texts = HARD + ["A" * 1_000_000 + "token=abcdefghijkl", "é\nPASSWD'  : 'abcdefghijkl", "x" * 200_000]
+    may = {r.doc_id for r in docs_of(list(enumerate(texts))).where(secret_scan.F.col("text").rlike(secret_scan.MAYBE)).collect()}
+    assert may >= {k for k, x in enumerate(texts) if secret_scan.base_spans(x)}
+
+
+def test_one_very_long_line():
+    """A million letters with 40,000 secrets, and a field that tags at random."""
+    rng = np.random.default_rng(2)
+    text = "token=abcdefghijkl x9y8z7 " * 40_000
+    found = secret_scan._find([text], (rng.normal(size=(secret_scan._N + 1, 3)), rng.normal(size=(3, 3))))[0]
+    assert sum(s["kind"] == "assign" for s in found) == 40_000
+
+
 def test_finds_adds_and_redacts(spark, docs_of):
     rng = random.Random(6)
     hexa = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
