@@ -8,16 +8,15 @@ and only a local top-k per query leaves the task:
 
 * ``broadcast`` strategy (default when the query batch is provably small:
   rows x vector bytes below ``max_broadcast_bytes``): the query vectors go to
-  every executor once; each memory partition runs ``Q_p @ M.T`` per project
-  in ``mapInPandas`` and keeps, per query, its k nearest (ties by id). The
+  every executor once; each memory partition compares its notes pack by pack in
+  ``mapInArrow`` and keeps, per query, its k nearest (ties by id). The
   memories table is scanned once and never shuffled; only candidates
   (queries x partitions x k rows at most) reach the exchange.
-* ``blocked`` strategy (any size): a 2-D block decomposition. Per
-  (project, status) the notes are salted into ``ceil(n / block_rows)`` blocks
-  and the queries into ``ceil(q / query_block_rows)`` blocks; each
-  (memory block, query block) group is one bounded task in a co-grouped
-  ``applyInPandas``. A hot project holding a third of all rows is simply
-  split into more blocks.
+* ``blocked`` strategy (any size): a grid of cells (``operators.cells``). Per
+  (project, status, vector length) notes and queries are packed and dealt to
+  the rows and columns of a grid that follows the cluster's cores; a task
+  streams the notes of a cell past its queries. A hot project holding a third
+  of all rows has more cells.
 * ``pivots`` strategy: a stored index whose blocks a query can rule out by the
   triangle inequality (``operators.pivots``); for stores searched again and
   again, and too large to score in full.
@@ -42,7 +41,9 @@ from pyspark.sql import types as T
 from cairn import schema as S
 from cairn.functions import score as V
 from cairn.functions import text as X
+from cairn.operators import cells as CE
 from cairn.operators import filters as FL
+from cairn.operators.cells import snap
 
 # Columns of a note carried through the kernel: small scalars needed to
 # filter and score candidates. Texts are joined back for the final hits only.
@@ -78,12 +79,6 @@ def _by_length(vectors: pd.Series) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def snap(similarity: np.ndarray) -> np.ndarray:
-    """``score.snap`` in numpy: 12 places, so that equal vectors score equally
-    wherever they stand in a matrix product."""
-    return np.floor(similarity * 1e12 + 0.5) / 1e12
-
-
 def local_topk(q_ids: np.ndarray, q_mat: np.ndarray, q_k: np.ndarray, q_min: np.ndarray,
                m_ids: np.ndarray, m_mat: np.ndarray):
     """Exact per-query top-k of one block by (distance, id).
@@ -141,77 +136,26 @@ def local_topk_chunked(q_ids, q_mat, q_k, q_min, m_ids, m_mat, q_chunk: int = 10
     return r[keep], mi[keep], d[keep]
 
 
-def _emit(q_ids, proj, r, m_idx, d, g: pd.DataFrame) -> pd.DataFrame:
-    sub = g.iloc[m_idx]
-    return pd.DataFrame({
-        "query_id": q_ids[r].astype(np.int64),
-        "project": proj,
-        "id": sub["id"].to_numpy(),
-        "distance": d,
-        "category": sub["category"].to_numpy(),
-        "tags": sub["tags"].to_numpy(),
-        "access_count": sub["access_count"].to_numpy(),
-        "updated_at": sub["updated_at"].to_numpy(),
-    })
-
-
-def _final_cut(frames: list[pd.DataFrame], kq: dict) -> pd.DataFrame:
-    """Merge per-batch candidates of one task into one top-k per query."""
-    if not frames:
-        return pd.DataFrame({f.name: pd.Series(dtype=object) for f in CANDIDATE_SCHEMA.fields})
-    c = pd.concat(frames, ignore_index=True)
-    c = c.sort_values(["query_id", "distance", "id"], kind="mergesort")
-    pos = c.groupby("query_id", sort=False).cumcount().to_numpy()
-    k = c["query_id"].map(kq).to_numpy()
-    return c[pos < k]
-
-
 def _broadcast_kernel(bc):
     def run(batches):
-        info = bc.value
-        kept = None                                   # running top-k of this task
-        for pdf in batches:
-            if pdf.empty:
+        info, near = bc.value, {}                     # running top-k of this task
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            frames = [] if kept is None else [kept]
-            for (proj, status), g in pdf.groupby(["project", "status"], sort=False):
-                asked = info["groups"].get((proj, status))
-                if asked is None:
+            for proj, status, dim, notes in CE.split(batch, "embedding", "id", CE.PACK_ROWS):
+                qi = info.get((proj, status), {}).get(dim)
+                if qi is None:
                     continue
-                for dim, (pos, mat) in _by_length(g["embedding"]).items():
-                    qi = asked.get(dim)
-                    if qi is None:
-                        continue
-                    sub = g.iloc[pos]
-                    r, mi, d = local_topk_chunked(qi["ids"], qi["mat"], qi["k"], qi["min"],
-                                                  sub["id"].to_numpy(dtype=object), mat)
-                    if len(r):
-                        frames.append(_emit(qi["ids"], proj, r, mi, d, sub))
-            # merge after every batch: a task holds at most queries x k rows
-            if frames:
-                kept = _final_cut(frames, info["k_by_query"])
-        if kept is not None and len(kept):
-            yield kept
+                ok, mat = CE.unit(CE.matrix(notes.column("embedding")))
+                if len(ok):
+                    if (proj, status, dim) not in near:
+                        near[proj, status, dim] = CE.Nearest(qi["ids"], qi["mat"], qi["k"], qi["min"])
+                    near[proj, status, dim].add(notes.take(ok).drop_columns(["embedding"]), mat)
+        for (proj, _, _), found in near.items():
+            yield from found.rows(proj, CANDIDATE_SCHEMA.names)
     return run
 
 
-def _blocked_kernel(keys, mem: pd.DataFrame, qry: pd.DataFrame) -> pd.DataFrame:
-    frames = []
-    notes = _by_length(mem["embedding"]) if len(mem) and len(qry) else {}
-    for dim, (q_pos, q_mat) in (_by_length(qry["q_embedding"]).items() if notes else ()):
-        if dim in notes:
-            pos, mat = notes[dim]
-            q, sub = qry.iloc[q_pos], mem.iloc[pos]
-            q_ids = q["query_id"].to_numpy(dtype=np.int64)
-            r, mi, d = local_topk_chunked(q_ids, q_mat, q["k"].to_numpy(dtype=np.int64),
-                                          q["q_min"].to_numpy(dtype=np.float64),
-                                          sub["id"].to_numpy(dtype=object), mat)
-            frames.append(_emit(q_ids, sub["project"].iloc[0], r, mi, d, sub))
-    if not frames:
-        return pd.DataFrame({f.name: pd.Series(dtype=object) for f in CANDIDATE_SCHEMA.fields})
-    return pd.concat(frames, ignore_index=True)
-
-
 # ------------------------------------------------------------ operators
 
 def searchable(memories: DataFrame, as_of) -> DataFrame:
@@ -280,17 +224,19 @@ def candidates(queries: DataFrame, memories: DataFrame, as_of, oversample: int =
         for (proj, status), g in pdf.groupby(["project", "status"], sort=False):
             for dim, (pos, mat) in _by_length(g["q_embedding"]).items():
                 sub = g.iloc[pos]
-                groups.setdefault((proj, status), {})[dim] = {
-                    "ids": sub["query_id"].to_numpy(dtype=np.int64), "mat": mat,
-                    "k": sub["k"].to_numpy(dtype=np.int64), "min": sub["q_min"].to_numpy(dtype=np.float64)}
-        k_by_query = dict(zip(pdf["query_id"].astype(np.int64), pdf["k"].astype(np.int64)))
-        bc = spark.sparkContext.broadcast({"groups": groups, "k_by_query": k_by_query})
+                k = sub["k"].to_numpy(dtype=np.int64)
+                some = k > 0
+                if some.any():
+                    groups.setdefault((proj, status), {})[dim] = {
+                        "ids": sub["query_id"].to_numpy(dtype=np.int64)[some], "mat": mat[some],
+                        "k": k[some], "min": sub["q_min"].to_numpy(dtype=np.float64)[some]}
+        bc = spark.sparkContext.broadcast(groups)
     if bc is not None:
         projects = sorted({p for p, _ in groups})
         # Prune the scan to queried projects (partition pruning on a
         # project-partitioned table); the kernel skips other statuses.
         mem = mem.filter(F.col("project").isin(projects)) if projects else mem.limit(0)
-        local = mem.mapInPandas(_broadcast_kernel(bc), CANDIDATE_SCHEMA)
+        local = mem.mapInArrow(_broadcast_kernel(bc), CANDIDATE_SCHEMA)
         kq = q.select("query_id", "k")
         local = local.join(F.broadcast(kq), "query_id")   # k per query: n_q rows, checked above
     elif strategy == "pivots":
@@ -312,25 +258,7 @@ def candidates(queries: DataFrame, memories: DataFrame, as_of, oversample: int =
 
 
 def _blocked(q: DataFrame, mem: DataFrame, block_rows: int, query_block_rows: int) -> DataFrame:
-    keys = ["project", "status"]
-    m_stats = mem.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_m"))
-    q_stats = q.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_q"))
-    stats = (m_stats.join(q_stats, keys)
-             .select(*keys,
-                     F.ceil(F.col("n_m") / block_rows).cast("int").alias("nmb"),
-                     F.ceil(F.col("n_q") / query_block_rows).cast("int").alias("nqb")))
-    # One row per (project, status); the join's form is AQE's choice.
-    st = stats
-    mem_b = (mem.join(st, keys)
-             .withColumn("mb", F.pmod(F.xxhash64("id"), F.col("nmb")).cast("int"))
-             .withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("nqb") - 1)))
-             .drop("nmb", "nqb"))
-    q_b = (q.join(st, keys)
-           .withColumn("qb", F.pmod(F.xxhash64("query_id"), F.col("nqb")).cast("int"))
-           .withColumn("mb", F.explode(F.sequence(F.lit(0), F.col("nmb") - 1)))
-           .drop("nmb", "nqb"))
-    g = ["project", "status", "mb", "qb"]
-    local = mem_b.groupBy(*g).cogroup(q_b.groupBy(*g)).applyInPandas(_blocked_kernel, CANDIDATE_SCHEMA)
+    local = CE.nearest(q, mem, CANDIDATE_SCHEMA, block_rows, query_block_rows)
     return local.join(q.select("query_id", "k"), "query_id")
 
 
