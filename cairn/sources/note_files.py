@@ -39,7 +39,7 @@ FILES = "project string, category string, stem string, text string, path string,
 INDEX = "project string, at long, line string"
 SPLIT = 32 << 20
 #: What opening a file costs, in bytes, and what one batch may hold.
-OPEN_COST, BATCH = 64 << 10, 4 << 20
+OPEN_COST, BATCH = 4 << 10, 4 << 20
 STAGED = ".write-"
 
 
