@@ -3,11 +3,12 @@
 ``transformWithState`` keeps two things per project:
 
 * calls not yet taken, as map state from a time slot (``SLOT_MS`` of event
-  time) to that slot's calls;
+  time) and a number to a part of that slot's calls, and how many parts a slot has;
 * the id of the open session, as value state.
 
 A call is put into its slot as it arrives, chunk by chunk, so a project's
-micro-batch is never gathered. Each slot sets one event-time timer. When the
+micro-batch is never gathered; a chunk's calls are new parts, and what is there
+already is neither read nor written again. Each slot sets one event-time timer. When the
 watermark has passed the slot's end, no call of it can arrive any more: the
 timer takes the slot's calls one by one in (ts, seq) order, writes their
 updates and removes the slot. So calls may arrive in any order within the
@@ -24,6 +25,7 @@ known kind are ignored, and so is an end without a session id.
 from __future__ import annotations
 
 import json
+import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -65,10 +67,12 @@ class SessionCalls(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.slots = handle.getMapState("slots", "slot long", "calls string")
+        self.parts = handle.getMapState("parts", "slot long", "n long")
+        self.calls = handle.getMapState("calls", "slot long, part long", "calls string")
         self.open = handle.getValueState("open", "id string")
 
     def handleInputRows(self, key, rows, timerValues):
+        parts: dict[int, int] = {}  # of the slots this batch adds to
         for chunk in rows:
             chunk = chunk[chunk["kind"] != TICK]
             slot = chunk["us"] // 1000 // self.slot_ms * self.slot_ms
@@ -76,20 +80,25 @@ class SessionCalls(StatefulProcessor):
                 s = int(s)
                 lines = "\n".join(json.dumps([int(us), int(seq), kind, sid, text, _int(mc), _int(ma)]) for us, seq, kind, sid, text, mc, ma in zip(
                     part["us"], part["seq"], part["kind"], part["session_id"], part["summary"], part["memories_created"], part["memories_accessed"]))
-                if self.slots.containsKey((s,)):
-                    lines = self.slots.getValue((s,))[0] + "\n" + lines
-                else:
-                    self.handle.registerTimer(s + self.slot_ms)
-                self.slots.updateValue((s,), (lines,))
+                if s not in parts:
+                    known = self.parts.containsKey((s,))
+                    parts[s] = self.parts.getValue((s,))[0] if known else 0
+                    if not known:
+                        self.handle.registerTimer(s + self.slot_ms)
+                self.calls.updateValue((s, parts[s]), (lines,))
+                parts[s] += 1
+        for s, n in parts.items():
+            self.parts.updateValue((s,), (n,))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         due = expiredTimerInfo.getExpiryTimeInMs()
         open_id = self.open.get()[0] if self.open.exists() else None
-        for (s,) in sorted(tuple(k) for k in self.slots.keys()):
+        for (s,) in sorted(tuple(k) for k in self.parts.keys()):
             if s + self.slot_ms > due:
                 break
-            calls = sorted(json.loads(x) for x in self.slots.getValue((s,))[0].split("\n"))
+            keys = [(s, k) for k in range(self.parts.getValue((s,))[0])]
+            calls = sorted(json.loads(x) for k in keys for x in self.calls.getValue(k)[0].split("\n"))
             out = []
             for us, seq, kind, sid, text, mc, ma in calls:
                 ts = pd.Timestamp(us, unit="us")
@@ -102,7 +111,9 @@ class SessionCalls(StatefulProcessor):
                     out.append((key[0], sid, seq, "end", ts, text, mc, ma))
                     if sid == open_id:
                         open_id = None
-            self.slots.removeKey((s,))
+            for k in keys:
+                self.calls.removeKey(k)
+            self.parts.removeKey((s,))
             yield self._frame(out)
         if open_id is None:
             self.open.clear()
@@ -155,12 +166,15 @@ def replay_files(spark: SparkSession, calls: DataFrame, path: str, slices: int)
     """Writes ``calls`` as a source folder whose files arrive out of order: time is
     cut into ``slices``, each pair of neighbouring slices arrives in reverse, and a tick ends
     the stream. Returns the delay that covers the disorder."""
+    names = [f.name for f in SESSION_CALL.fields]
+    made = scratch_path(spark, f"calls-{uuid.uuid4().hex}")
+    calls.select(names).write.parquet(made)  # every slice reads them
+    calls = spark.read.schema(calls.select(names).schema).parquet(made)
     lo, hi = calls.agg(F.min("ts"), F.max("ts")).first()
     if lo is None:
         lo = hi = S.AS_OF
     step = max(1, int((hi - lo).total_seconds() * 1e6) // slices + 1)
     at = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit(lo).cast(S.TS).cast("timestamp"))) / step)
-    names = [f.name for f in SESSION_CALL.fields]
     for k in (i ^ 1 if i ^ 1 < slices else i for i in range(slices)):
         calls.filter(at == k).select(names).write.mode("append").parquet(path)
     delay = 2 * step // 1_000_000 + 1
