@@ -226,13 +226,14 @@ def recall_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C3 requests from events: a view recalls note ``user_id`` by id, a
     click recalls by that note's title, an error names neither (rejected)."""
     ev = _read(spark, sf_dir, "events").filter(F.col("event_type").isin("view", "click", "error"))
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    # the title is made before the join, so that whole texts are not shuffled
+    docs = _read(spark, sf_dir, "documents").select("doc_id", _title_of("text").alias("_title"))
     j = ev.join(docs, ev.user_id == docs.doc_id, "left")
     return j.select(
         F.col("event_id").alias("request_id"),
         F.concat(F.lit("p"), (F.col("user_id") % 4).cast("string")).alias("project"),
         F.when(F.col("event_type") == "view", F.col("user_id").cast("string")).alias("id"),
-        F.when(F.col("event_type") == "click", _title_of("text")).alias("title"),
+        F.when(F.col("event_type") == "click", F.col("_title")).alias("title"),
         F.col("event_id").alias("op_seq"))
 
 

@@ -252,8 +252,8 @@ def m3_bucketed_rewrites(spark, sf):
     """M3, M5 and M6 one after another on a bucketed note table, a generation each."""
     from cairn.sources.buckets import NoteTable
     notes = NoteTable(spark, _folder(spark, "bucketed"), buckets=16)
-    first = AD.memories(spark, sf)
-    notes.commit(first)
+    notes.commit(AD.memories(spark, sf))
+    first = notes.read()  # as stored: it stands until the bump is committed
     _, hits, _ = M.recall(first, AD.recall_requests(spark, sf), C._as_of())
     notes.commit(M.soft_delete(notes.read(), AD.soft_delete_ids(spark, sf), C._as_of())[0])
     notes.commit(M.bump_access(notes.read(), hits))
