@@ -36,7 +36,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import by_size, stored, texts_of
+from cairn.llm.common import by_size, give_back, stored, texts_of, tidy
 from cairn.llm.group_links import group_links
 
 WORDS = 4
@@ -135,14 +135,16 @@ class _Block:
     def distinct(self):
         """(distinct shingles, document of each or -1 where several hold it, how many shared shingles each document has)."""
         h, d = np.concatenate(self.h), np.concatenate(self.d)
+        self.h, self.d = [h], [d]  # the parts are held no longer
         order = np.argsort(h)
         h, d = h[order], d[order]
+        del order
         new = np.ones(len(h) + 1, dtype=bool)
         new[1:-1] = h[1:] != h[:-1]
-        at = np.flatnonzero(new[:-1])
         several = ~(new[:-1] & new[1:])
         shared = np.bincount(d[several], minlength=len(self.rows))
-        return h[at], np.where(several[at], -1, d[at]), shared
+        d[several] = -1
+        return h[new[:-1]], d[new[:-1]], shared
 
 
 def _blocks(words: int, emit):
@@ -159,13 +161,14 @@ def _blocks(words: int, emit):
                     if first[i + 1] > first[i]:
                         block.add(doc_id, h[first[i] : first[i + 1]], int(k1[i]), int(k2[i]))
                 if block.size >= BLOCK:
-                    yield emit(block)
+                    done, block = block, None
+                    yield emit(done)
                     seq += 1
-                    block = _Block(f"{part}-{seq}")
+                    done, block = None, _Block(f"{part}-{seq}")
         if block.rows:
             yield emit(block)
 
-    return run
+    return tidy(run)
 
 
 def _emit_ranges(bits: int):
@@ -175,10 +178,12 @@ def _emit_ranges(bits: int):
 
         z = zstandard.ZstdCompressor(level=1)
         h, d, _ = block.distinct()
+        block.h, block.d = [], []
         at = np.append(np.searchsorted(h, np.array([k << (64 - bits) for k in range(1 << bits)], dtype=np.uint64)), len(h))
         w = h >> np.uint64(16)  # 48 bits will do to find what occurs twice; sets are compared in full later
-        step = np.zeros(len(h), dtype=np.uint64)
-        step[1:] = w[1:] - w[:-1]
+        del h
+        step = np.zeros(len(w), dtype=np.uint64)
+        np.subtract(w[1:], w[:-1], out=step[1:])
         rows = []
         for k, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
             if b > a:
@@ -191,25 +196,35 @@ def _emit_ranges(bits: int):
 
 
 def _meet(key, pdf):
+    """``_in_other_blocks``, whose memory is given back."""
+    out = _in_other_blocks(pdf)
+    give_back()
+    return out
+
+
+def _in_other_blocks(pdf):
     """Of one hash range: how many shingles of each block's documents occur in another block."""
     import pandas as pd
     import zstandard
 
     z = zstandard.ZstdDecompressor()
-    vs, ds, bs = [], [], []
-    for k, (n, raw) in enumerate(zip(pdf["n"], pdf["packed"])):
-        raw = np.frombuffer(z.decompress(raw), np.uint8)
-        vs.append(np.cumsum(np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view("<u8").reshape(-1)))
-        ds.append(np.ascontiguousarray(raw[8 * n :].reshape(4, n).T).view("<i4").reshape(-1))
-        bs.append(np.full(n, k, dtype=np.int32))
-    v, d, b = np.concatenate(vs), np.concatenate(ds), np.concatenate(bs)
+    ends = np.cumsum(pdf["n"].to_numpy(np.int64))
+    total = int(ends[-1])
+    v, d, b = np.empty(total, np.uint64), np.empty(total, np.int32), np.empty(total, np.int32)
+    for k, (n, end, raw) in enumerate(zip(pdf["n"], ends.tolist(), pdf["packed"])):
+        raw, own = np.frombuffer(z.decompress(raw), np.uint8), slice(end - n, end)
+        np.cumsum(np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view("<u8").reshape(-1), out=v[own])
+        d[own] = np.ascontiguousarray(raw[8 * n :].reshape(4, n).T).view("<i4").reshape(-1)
+        b[own] = k
     order = np.argsort(v, kind="stable")
-    s = v[order]
-    same = s[1:] == s[:-1]
-    twice = np.zeros(len(s), dtype=bool)
+    v = v[order]
+    same = v[1:] == v[:-1]
+    del v
+    twice = np.zeros(total, dtype=bool)
     twice[1:] |= same
     twice[:-1] |= same
     hit = order[twice]
+    del order
     hit = hit[d[hit] >= 0]
     b, d = b[hit], d[hit]
     out = []
@@ -286,7 +301,7 @@ def frequency_classes(sets: DataFrame, bits: int = TABLE_BITS) -> np.ndarray:
         total = sum(np.frombuffer(x, "<i8") for x in pdf["n"])
         return pd.DataFrame({"slice": [int(key[0])], "n": [np.ceil(np.log2(total + 1)).astype(np.uint8).tobytes()]})
 
-    got = sets.select("payload").mapInArrow(count, "slice int, n binary").groupBy("slice").applyInPandas(add, "slice int, n binary").collect()  # 2**bits bytes in all
+    got = sets.select("payload").mapInArrow(tidy(count), "slice int, n binary").groupBy("slice").applyInPandas(add, "slice int, n binary").collect()  # 2**bits bytes in all
     out = np.zeros((slices, (1 << bits) // slices), dtype=np.uint8)
     for r in got:
         out[r["slice"]] = np.frombuffer(bytes(r["n"]), np.uint8)
@@ -360,7 +375,7 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
             ln = [len(x) for x in p]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p).view(np.int64)), pa.array(np.repeat(ids, ln), pa.int64()), pa.array(np.repeat(n, ln), pa.int64())], names=["token", "id", "n"])
 
-    return group_links(sets.mapInArrow(post, "token long, id long, n long"), sets, shared, percent, SMALL, CELL)
+    return group_links(sets.mapInArrow(tidy(post), "token long, id long, n long"), sets, shared, percent, SMALL, CELL)
 
 
 def sets_of(t: DataFrame, reps: DataFrame, words: int) -> DataFrame:
@@ -381,7 +396,7 @@ def sets_of(t: DataFrame, reps: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in ok], pa.int64()), pa.array([int(first[i + 1] - first[i]) for i in ok], pa.int64()),
                                                   pa.array([h[first[i] : first[i + 1]].astype("<u8").tobytes() for i in ok], pa.binary())], names=["id", "n", "payload"])
 
-    return stored(t.join(ids, "doc_id").select("doc_id", "text", "k1", "k2", "n").mapInArrow(run, "id long, n long, payload binary").dropDuplicates(["id", "n", "payload"]), "sets", "none")
+    return stored(t.join(ids, "doc_id").select("doc_id", "text", "k1", "k2", "n").mapInArrow(tidy(run), "id long, n long, payload binary").dropDuplicates(["id", "n", "payload"]), "sets", "none")
 
 
 def sizes_and_keys(t: DataFrame, words: int) -> DataFrame:
@@ -394,7 +409,7 @@ def sizes_and_keys(t: DataFrame, words: int) -> DataFrame:
                 k1, k2 = set_keys(h, first)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(first)), pa.array(k1), pa.array(k2)], names=["doc_id", "n", "k1", "k2"])
 
-    return t.mapInArrow(run, "doc_id long, n long, k1 long, k2 long")
+    return t.mapInArrow(tidy(run), "doc_id long, n long, k1 long, k2 long")
 
 
 def join(docs: DataFrame, percent: int = THRESHOLD, words: int = WORDS) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from cairn.llm.common import by_size, stored, texts_of
+from cairn.llm.common import by_size, stored, texts_of, tidy
 
 CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -68,7 +68,7 @@ def piece_table(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: in
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()))],
                                                  names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
 
-    return texts_of(docs).mapInArrow(run, PIECES + ", part int, nth long")
+    return texts_of(docs).mapInArrow(tidy(run), PIECES + ", part int, nth long")
 
 
 def plan(runs: Iterable[tuple[int, int]], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int, int]], int]:
@@ -137,7 +137,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     # ``before`` has up to a row per task and length, so it is never broadcast
     ranked = pieces.join(before.drop("n").hint("merge"), ["part", "length"]).withColumn("rank", F.col("base") + F.col("nth"))
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(place, PIECES + ", sequence_id long, offset long")
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(tidy(place), PIECES + ", sequence_id long, offset long")
 
 
 def best_fit(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:

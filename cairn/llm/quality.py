@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import by_size, new_name, texts_of
+from cairn.llm.common import by_size, new_name, texts_of, tidy
 
 BITS = 20
 MAX_DOCS = 8000
@@ -167,7 +167,7 @@ def fit(docs: DataFrame, sample: DataFrame, bits: int = BITS, epochs: int = EPOC
         yield pa.RecordBatch.from_arrays([pa.array([ftrl(rows, bits, epochs).tobytes()], pa.binary())], names=["w"])
 
     seen = texts_of(docs).join(F.broadcast(sample), "doc_id").select("text", "y")
-    w = seen.mapInArrow(features, "y int, idx binary, x binary").repartition(1).mapInArrow(train, "w binary").first()
+    w = seen.mapInArrow(tidy(features), "y int, idx binary, x binary").repartition(1).mapInArrow(train, "w binary").first()
     return np.frombuffer(bytes(w["w"]), "<f4") if w else np.zeros((1 << bits) + 1, dtype=np.float32)
 
 
@@ -188,7 +188,7 @@ def score(docs: DataFrame, weights: np.ndarray, bits: int = BITS, name: str = "q
                 s = 1 / (1 + np.exp(-np.clip(w[-1] + SCALE * total / np.maximum(n, 1), -35, 35)))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=[*b.schema.names, name])
 
-    return docs.mapInArrow(run, type(docs.schema)([*docs.schema.fields]).add(name, "double"))
+    return docs.mapInArrow(tidy(run), type(docs.schema)([*docs.schema.fields]).add(name, "double"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_docs: int = MAX_DOCS) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairn.llm import crf
-from cairn.llm.common import by_size, new_name, stored, texts_of, with_n_chars
+from cairn.llm.common import by_size, new_name, stored, texts_of, tidy, with_n_chars
 
 # Fixed values of the base patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -194,14 +194,14 @@ def fit(docs: DataFrame, max_docs: int = MAX_DOCS):
     t = t.select(near.alias("near"), "text")
     # the secrets may be anywhere, so all rows are scanned for them before a hash draws some
     maybe = F.col("text").rlike(MAYBE)
-    held = stored(t.where(maybe).mapInArrow(_holds, "near long"), "held")
+    held = stored(t.where(maybe).mapInArrow(tidy(_holds), "near long"), "held")
     last = held.orderBy("near").limit(2 * max_docs).agg(F.max("near")).first()[0]
     if last is None:
         return None
     # a hash picks the same documents on every run; the share comes from the number of rows
     other = int(min(1.0, 8 * max_docs / max(t.count(), 1)) * (1 << 30))
     some = t.where((F.col("near") < other) | ((F.col("near") <= last) & maybe))
-    seen = stored(some.mapInArrow(windows, "near long, has boolean, x array<binary>, y array<binary>"), "windows")
+    seen = stored(some.mapInArrow(tidy(windows), "near long, has boolean, x array<binary>, y array<binary>"), "windows")
     take = seen.where("has").orderBy("near").limit(max_docs // 2).unionByName(seen.where("not has").orderBy("near").limit(max_docs // 2))
     # at most 5 windows of 2 x WINDOW tokens for each of max_docs documents
     rows = sorted((bytes(x), bytes(y)) for r in take.select("x", "y").collect() for x, y in zip(r["x"], r["y"]))
@@ -293,7 +293,7 @@ def scan(docs: DataFrame, model, name: str = "secret_spans") -> DataFrame:
                 spans = _find([x or "" for x in b.column("text").to_pylist()], shared.value)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(spans, kind)], names=[*b.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields]).add(name, T._parse_datatype_string(SPANS)))
+    return docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields]).add(name, T._parse_datatype_string(SPANS)))
 
 
 def joined(spans, base_only: bool):
