@@ -148,10 +148,7 @@ JOIN (SELECT project, CAST(len(ls) AS BIGINT) AS lines FROM docs) x USING (proje
 def c8_export(spark, sf):
     """All projects exported; notes exported per category, and the files, bytes and index lines found in the trees."""
     counts, roots, _ = _exported(spark, sf)
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load([f"{r}/{S.EXPORT_DIR_NAME}" for r in roots.values()]).select("path", "length")
-    part = lambda k: F.element_at(F.split("path", "/"), k)
-    files = found.filter(part(-2) != S.EXPORT_DIR_NAME).groupBy(part(-4).alias("project"), part(-2).alias("category")).agg(
-        F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
+    files = MT.count_files(spark, roots)
     lines = MT.read_indexes(spark, roots).groupBy("project").agg(F.count(F.lit(1)).alias("lines"))
     return counts.join(files, ["project", "category"]).join(lines, "project")
 

@@ -60,6 +60,23 @@ def can_open(uri: str) -> bool:
     return uri.split(":", 1)[0] in ("file", "hdfs", "s3", "s3a", "gs", "gcs", "abfs", "abfss") if ":" in uri else True
 
 
+def sizes(fs, folder: str) -> Iterator[tuple[str, int]]:
+    """(name, bytes) of the files of a folder; of a local one they are listed one at a time."""
+    import os
+
+    import pyarrow.fs as pafs
+
+    if fs.type_name == "local":
+        with os.scandir(folder) as found:
+            for x in found:
+                if x.is_file():
+                    yield x.name, x.stat().st_size
+        return
+    for x in fs.get_file_info(pafs.FileSelector(folder)):
+        if x.type == pafs.FileType.File:
+            yield x.base_name, x.size
+
+
 def put(fs, path: str, data: bytes, mark: str) -> None:
     """The file at once: a hidden file is renamed; object stores show a file only when it is whole."""
     if fs.type_name not in ("local", "hdfs"):

@@ -154,3 +154,21 @@ def test_no_note_and_no_root(spark, tmpdir_path):
     assert created.count() == updated.count() == 0 and "No .memory directory" in errors.first()["error"]
 
 
+
+
+def test_note_files_are_counted_where_tasks_run(spark, tmpdir_path, monkeypatch):
+    _write(f"{tmpdir_path}/a/.memory", {"decision/one.md": "12345", "decision/\u00fc.md": "\u00fc", "decision/_b.md": "x", "decision/.two.md.7": "x", "decision/two.txt": "x",
+                                        "rule/c.md": "123", "MEMORY_INDEX.md": "x", ".write-1/1": "x", "empty/.keep": ""})
+    _write(f"{tmpdir_path}/b/.memory", {"rule/d.md": ""})
+    with monkeypatch.context() as m:
+        m.setattr(NF, "sizes", lambda *a: pytest.fail("a list of files on the driver"))
+        got = MT.count_files(spark, {p: f"{tmpdir_path}/{p}" for p in "abc"}).collect()
+    assert {tuple(r) for r in got} == {("a", "decision", 2, 7), ("a", "rule", 1, 3), ("b", "rule", 1, 0)}
+    assert MT.count_files(spark, {"c": f"{tmpdir_path}/c"}).count() == 0
+
+
+def test_export_leaves_no_list_of_files_to_the_driver():
+    import inspect
+
+    from cairn.plans import flows
+    assert "count_files" in inspect.getsource(flows.c8_export) and "binaryFile" not in inspect.getsource(flows.c8_export)
