@@ -36,7 +36,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import by_size, give_back, stored, texts_of, tidy
+from cairn.llm.common import by_size, discard, give_back, stored, texts_of, tidy
 from cairn.llm.group_links import group_links
 
 WORDS = 4
@@ -422,7 +422,9 @@ def join(docs: DataFrame, percent: int = THRESHOLD, words: int = WORDS) -> DataF
     # classes of equal sets; the smallest doc_id stands for each
     classes = stored(keys.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")), "classes")
     reps = stored(with_shared_shingles(known, percent, words).join(classes, ["k1", "k2", "n"]).select("rep", "k1", "k2", "n"), "reps")
-    label = links(sets_of(known, reps, words), percent)
+    sets = sets_of(known, reps, words)
+    label = links(sets, percent)
+    discard(sets, reps)
     reach = classes.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left").where("component is not null or rep <> last")
     reach = reach.select("k1", "k2", "n", F.coalesce("component", "rep").alias("component"))
     out = keys.join(reach, ["k1", "k2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

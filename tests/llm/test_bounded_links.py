@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.llm import common, group_links, line_dedup
+from cairn.llm import common, group_links, line_dedup, ngram_join
 from tests.llm.test_line_dedup import brute, corpus
 
 
@@ -82,3 +82,17 @@ def test_lines_linked_in_turns_are_the_same(docs_of, in_turns, monkeypatch):
         m.setattr(line_dedup, "simhash", lambda x: np.zeros((len(x), 1)))  # all pairs are candidates
         want = brute(rows)
     assert {r.doc_id: (r.n_lines, r.removed, r.kept_in) for r in got} == want
+
+
+def test_documents_linked_in_turns_are_the_same(docs_of, in_turns):
+    rng = random.Random(2)
+    rows = []
+    for k in range(12):
+        text = [f"w{rng.randint(0, 400)}" for _ in range(150)]
+        for c in range(5):
+            own = list(text)
+            own[rng.randrange(150)] = f"c{c}"
+            rows.append((10 * k + c, " ".join(own)))
+    got = {r.doc_id: r.component_id for r in ngram_join.join(docs_of(rows)).collect()}
+    assert got == {d: d - d % 10 for d, _ in rows}
+    assert len(in_turns) > 4 and max(x[0] for x in in_turns) > 1
